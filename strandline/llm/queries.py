@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import url_filter
-from strandline.llm.common import load
+from strandline.llm import language_id, url_filter
+from strandline.llm.common import held_out, load
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = language_id.train(language_id.sample(docs, ~held_out()))
+    found, lang, score = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter}
+    return {"op1_url_filter": op1_url_filter, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
