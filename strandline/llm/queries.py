@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language_id, url_filter
+from strandline.llm import language_id, toxicity, url_filter
 from strandline.llm.common import held_out, load
 
 
@@ -15,6 +15,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.sample(docs, load(spark, sf_dir, "labels"), ~held_out()))
+    found, score = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = language_id.train(language_id.sample(docs, ~held_out()))
@@ -23,7 +30,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op9_language_id": op9_language_id}
+    return {"op1_url_filter": op1_url_filter, "op6_toxicity": op6_toxicity, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
