@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language_id, toxicity, url_filter
+from strandline.llm import bpe, language_id, toxicity, url_filter
 from strandline.llm.common import held_out, load
 
 
@@ -15,6 +16,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found, (count, ids, decoded) = bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", F.col(count).alias("n_tokens"), F.col(ids).alias("ids_sha256"), F.col(decoded).alias("decoded_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.sample(docs, load(spark, sf_dir, "labels"), ~held_out()))
@@ -30,7 +37,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op6_toxicity": op6_toxicity, "op9_language_id": op9_language_id}
+    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_toxicity": op6_toxicity, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
