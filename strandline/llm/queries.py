@@ -24,7 +24,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.sample(docs, load(spark, sf_dir, "labels"), ~held_out()))
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), ~held_out())
     found, score = toxicity.score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
 

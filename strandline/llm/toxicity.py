@@ -24,7 +24,9 @@ TRAIN_TOXIC and TRAIN_CLEAN labelled documents, those with the smallest hash of
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
 
@@ -65,9 +67,6 @@ class Windows:
     def __init__(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray, owner: np.ndarray, piece: np.ndarray | None = None):
         self.letters, self.start, self.length, self.owner, self.piece = letters, start, length, owner, piece
 
-    def strings(self) -> list[bytes]:
-        flat = self.letters.tobytes()
-        return [flat[s : s + n] for s, n in zip(self.start.tolist(), self.length.tolist())]
 
 
 def runs(letters: np.ndarray, run: np.ndarray, owner: np.ndarray, piece: np.ndarray) -> Windows:
@@ -287,10 +286,9 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
                 of.append(i)
     of_text = np.array(of)
     w = windows(*joined(sentences))[0]
-    strings = w.strings()
-    number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(s, len(number)) for s in strings])
-    names = list(number)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.r_[w.start, len(w.letters)].astype(np.int64)), pa.py_buffer(w.letters)]).dictionary_encode()
+    ids, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
+    known = set(names)
     # in how many texts of each label a window occurs, each text once
     pair = np.unique(ids.astype(np.int64) * len(texts) + of_text[w.owner])
     toxic = y[pair % len(texts)]
@@ -307,7 +305,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
     clean = np.flatnonzero((n1 <= n0 * max(1e-9, y.mean()) * 3 + 1) & (n0 > 0) & long)
     common = clean[np.argsort(-n0[clean], kind="stable")][: CLEAN_LANDMARKS // 2]
     size = np.array([len(s) for s in names])
-    positive = [names[i] for i in bad for _ in range(4)] + [v for i in bad for v in varied(names[i], rng, 8) if v not in number]
+    positive = [names[i] for i in bad for _ in range(4)] + [v for i in bad for v in varied(names[i], rng, 8) if v not in known]
     negative = [names[i] for i in [*common, *clean[rng.permutation(len(clean))[:4000]]]]
     marks = [names[i] for i in [*bad, *common]]
     model = None
@@ -326,13 +324,16 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
         a[cells] = (root @ beta) @ zv
         model = Model(a, b)
         if turn < 2:  # clean windows that come nearest join the negative ones, and the landmarks at first
-            some = clean[rng.permutation(len(clean))[:200_000]]
-            at, f = model.function(Windows(np.frombuffer(b"".join(names[i] for i in some), np.uint8), np.cumsum(size[some]) - size[some], size[some], np.arange(len(some))))
-            hard = [names[some[i]] for i in at[np.argsort(-f, kind="stable")[:500]]]
+            nearest: list[tuple[float, bytes]] = []
+            some = clean[rng.permutation(len(clean))]
+            for part in np.array_split(some, len(some) // 20_000 + 1):
+                at, f = model.function(Windows(np.frombuffer(b"".join(names[i] for i in part), np.uint8), np.cumsum(size[part]) - size[part], size[part], np.arange(len(part))))
+                nearest = sorted([*nearest, *zip((-f).tolist(), (names[part[i]] for i in at))])[:500]
+            hard = [name for _, name in nearest]
             negative += hard
             if turn == 0:
                 marks += hard[: CLEAN_LANDMARKS // 2]
-    margin = np.concatenate([model.margins(*joined(texts[i : i + 200])) for i in range(0, len(texts), 200)])
+    margin = np.concatenate([model.margins(*joined(texts[i : i + 100])) for i in range(0, len(texts), 100)])
     fits, weight = [], np.where(y > 0, TOXIC_WEIGHT, 1.0)
     for alone in np.arange(0, 4.1, 0.5):
         x = np.maximum(margin[:, 1], margin[:, 0] - alone)
@@ -343,13 +344,19 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, where: Column, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> list[tuple[str, int]]:
-    """The labelled training rows, at most so many of each label, as (text, label) on the driver."""
+def fit(docs: DataFrame, labels: DataFrame, where: Column, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model | None:
+    """The model of at most so many labelled rows of each label; one task learns it from this bounded sample."""
     rows = labels.where(where & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
     first = lambda t, n: rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, toxic).unionByName(first(0, clean))
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    return [(x.text, x.toxic) for x in found.select("text", "toxic").collect()]
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).select("text", "toxic")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(got))], pa.binary())], names=["model"])
+
+    made = found.repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[DataFrame, str]:
