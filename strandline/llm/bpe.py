@@ -319,3 +319,170 @@ def _decimals(n: int) -> list[bytes]:
 @lru_cache(maxsize=4)
 def _tokens(path: str) -> list[bytes]:
     return [n.encode() for n in vocabulary(path).names]
+
+
+
+
+def valid_pairs(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the strings of tokens a and b, put together, encode as just these two tokens.
+
+    The merges that made both tokens are undone from the latest on; if, on the way, the tokens at the border
+    have a merge that would have come before the last undone one, the border would not have survived."""
+    ok = np.ones(len(a), bool)
+    at = np.arange(len(a))
+    a, b = a.copy(), b.copy()
+    limit = np.full(len(a), _NONE, np.int64)
+    strict = np.zeros(len(a), bool)  # the right token was undone last: at equal rank the border's merge comes first
+    while len(at):
+        meet = v.find(a, b).astype(np.int64)
+        broken = (meet < limit) | (strict & (meet == limit) & (meet != _NONE))
+        ok[at[broken]] = False
+        ra, rb = v.rank_of[a].astype(np.int64), v.rank_of[b].astype(np.int64)
+        go = ~broken & ((ra >= 0) | (rb >= 0))
+        at, a, b, limit, strict, ra, rb = (x[go] for x in (at, a, b, limit, strict, ra, rb))
+        left = ra > rb  # at equal rank the right one is later in the text: it was merged after the left one
+        a = np.where(left, v.half[1][a], a)
+        b = np.where(left, b, v.half[0][b])
+        limit, strict = np.where(left, ra, rb), ~left
+    return ok
+
+
+def prefix_counts(v: Vocabulary, raw: np.ndarray, length: np.ndarray, every: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Exact token counts of all prefixes of words given as bytes, one after the other.
+
+    Returns (inner, final): inner[i] is the number of tokens of a word's bytes up to and including byte i as
+    the beginning of a longer word, final[i] as a word that ends there (0 where not asked for: without
+    `every`, final holds whole words only). Positions are worked on in step for all words, longest first."""
+    n = len(length)
+    total = int(length.sum())
+    inner, final, last = np.zeros(total, np.int32), np.zeros(total, np.int32), np.full(total, -1, np.int32)
+    if not total:
+        return inner, final
+    start = np.cumsum(length) - length
+    longest = int(length.max())
+    widest = min(longest, max(*v.inner.by_length, *v.final.by_length))
+    order = np.argsort(-length, kind="stable")
+    many = np.searchsorted(-length[order], -np.arange(1, longest + 1), side="right")  # words of so many bytes at least
+    hashes = {}  # by length: hash of the bytes that end at each position
+    h = np.zeros(total, np.uint64)
+    base = _Hashed.BASE
+    step = np.uint64(1)
+    code = raw.astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        for size in range(1, widest + 1):
+            new = np.zeros(total, np.uint64)
+            new[size - 1 :] = code[: total - size + 1] * step + (h[size - 1 :] if size > 1 else np.uint64(0))
+            h, step = new, step * base
+            hashes[size] = h
+    place = np.arange(total) - np.repeat(start, length)
+    ends = np.zeros(total, bool)
+    ends[np.cumsum(length)[length > 0] - 1] = True
+    memo_inner, memo_final = {}, {}
+    for size in range(1, widest + 1):
+        fits = place >= size - 1
+        ids = np.full(total, -1, np.int32)
+        ids[fits] = v.inner.find(size, hashes[size][fits])
+        memo_inner[size] = ids
+        want = fits if every else fits & ends
+        ids = np.full(total, -1, np.int32)
+        ids[want] = v.final.find(size, hashes[size][want])
+        memo_final[size] = ids
+    known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, bool))
+
+    def valid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """valid_pairs() with a table of pairs met before."""
+        nonlocal known
+        key, where = np.unique(a.astype(np.int64) * v.size + b, return_inverse=True)
+        at = np.searchsorted(known[0], key)
+        old = (at < len(known[0])) & (known[0][np.minimum(at, max(0, len(known[0]) - 1))] == key) if len(known[0]) else np.zeros(len(key), bool)
+        out = np.zeros(len(key), bool)
+        out[old] = known[1][at[old]]
+        new = ~old
+        if new.any():
+            out[new] = valid_pairs(v, (key[new] // v.size).astype(np.int32), (key[new] % v.size).astype(np.int32))
+            keys = np.r_[known[0], key[new]]
+            by = np.argsort(keys, kind="stable")
+            known = keys[by], np.r_[known[1], out[new]][by]
+        return out[where]
+
+    for i in range(longest):
+        at = start[order[: many[i]]] + i
+        for tokens, counts, save in ((memo_inner, inner, True), (memo_final, final, False)):
+            open_ = at if save or every else at[ends[at]]
+            for size in range(min(i + 1, widest), 0, -1):
+                if not len(open_):
+                    break
+                t = tokens[size][open_]
+                some = np.flatnonzero(t >= 0)
+                if not len(some):
+                    continue
+                pos, t = open_[some], t[some]
+                if size == i + 1:
+                    good, before = np.ones(len(pos), bool), 0
+                else:
+                    good, before = valid(last[pos - size], t), inner[pos - size]
+                counts[pos] = np.where(good, before + 1, counts[pos])
+                if save:
+                    last[pos[good]] = t[good]
+                rest = np.ones(len(open_), bool)
+                rest[some[good]] = False
+                open_ = open_[rest]
+    return inner, final
+
+
+def count_tokens(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column, the exact number of tokens of each whole text by prefix counts."""
+    name = free_name(docs, "n_tokens")
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        v = vocabulary(path)
+        words = Words(v, texts)
+        _, final = prefix_counts(v, words.raw, words.length, every=False)
+        whole = np.zeros(len(words.length), np.int64)
+        some = words.length > 0
+        whole[some] = final[np.cumsum(words.length)[some] - 1]
+        return [pa.array(words.per_text(words.per_word(whole, 1)), pa.int64())]
+
+    return append_columns(docs, text, [StructField(name, LongType())], make), name
+
+
+class PrefixTable:
+    """The token counts of every prefix of one text, for questions about budgets without encoding again.
+
+    Prefixes are those of the text as the tokenizer normalises it, cut between two characters of a piece or
+    between pieces. upto[k] is the token count of the first k characters of `pieces` joined."""
+
+    def __init__(self, path: str, text: str | None):
+        v = vocabulary(path)
+        self.pieces: list[str] = []
+        upto = [0]
+        done = 0
+        parts = [p for word in (text or "").split(" ") for sub in word.split() for p in split_word(v, sub)]
+        raw = [p for p in parts if not isinstance(p, int)]
+        length = np.array([len(p) for p in raw], np.int64)
+        _, final = prefix_counts(v, np.frombuffer(b"".join(raw), np.uint8), length)
+        at = 0
+        for p in parts:
+            if isinstance(p, int):
+                self.pieces.append(v.names[p])
+                upto += [done] * (len(v.names[p]) - 1) + [done + 1]  # an added token counts once it is whole
+                done += 1
+                continue
+            name = p.decode()
+            self.pieces.append(name)
+            size = 0
+            for c in name:
+                size += len(c.encode())
+                # an apostrophe and a part of a contraction stand apart until it is whole
+                apart = name in ("'re", "'ve", "'ll") and size == 2
+                upto.append(done + (2 if apart else int(final[at + size - 1])))
+            done += int(final[at + len(p) - 1])
+            at += len(p)
+        self.upto = np.array(upto)
+
+    def count(self, characters: int) -> int:
+        return int(self.upto[characters])
+
+    def longest_within(self, budget: int) -> int:
+        """The most characters (of pieces joined) of which no more than `budget` tokens are needed."""
+        return int(np.flatnonzero(self.upto <= budget)[-1])

@@ -29,6 +29,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found, count = bpe.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", bytes_.alias("n_bytes"), F.col(count).alias("n_tokens"), (F.col(count) > limit).alias("over_limit"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = language_id.train(language_id.sample(docs, ~held_out()))
@@ -37,7 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_toxicity": op6_toxicity, "op9_language_id": op9_language_id}
+    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
