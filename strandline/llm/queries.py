@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, language_id, toxicity, url_filter
+from strandline.llm import bpe, language_id, near_dedup, toxicity, url_filter
 from strandline.llm.common import held_out, load
 
 
@@ -36,6 +36,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Dat
     return found.select("doc_id", bytes_.alias("n_bytes"), F.col(count).alias("n_tokens"), (F.col(count) > limit).alias("over_limit"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = language_id.train(language_id.sample(docs, ~held_out()))
@@ -44,7 +48,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op9_language_id": op9_language_id}
+    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
