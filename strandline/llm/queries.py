@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, language_id, near_dedup, toxicity, url_filter
+from strandline.llm import bpe, embedding_dedup, language_id, near_dedup, toxicity, url_filter
 from strandline.llm.common import held_out, load
 
 
@@ -22,6 +22,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col(count).alias("n_tokens"), F.col(ids).alias("ids_sha256"), F.col(decoded).alias("decoded_sha256"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"), ~held_out())
@@ -48,7 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id}
+    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
