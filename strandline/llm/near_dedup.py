@@ -51,12 +51,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACES = mix64(np.arange(1000, 1000 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and the number of words of each text."""
+def word_hashes(raw: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and the number of words of each text. space: the bytes between words."""
     n = len(off) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = off[:-1][off[:-1] < len(raw)]

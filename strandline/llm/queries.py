@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, embedding_dedup, language_id, near_dedup, toxicity, url_filter
+from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, near_dedup, toxicity, url_filter
 from strandline.llm.common import held_out, load
 
 
@@ -51,8 +51,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id}
+    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
