@@ -8,14 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, near_dedup, toxicity, url_filter
-from strandline.llm.common import held_out, load
+from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, near_dedup, token_files, toxicity, url_filter
+from strandline.llm.common import fresh_path, held_out, load
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "tokens")
+    token_files.write_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
+    return token_files.read_digests(spark, folder)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found, (count, ids, decoded) = bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -56,7 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op2_token_files": op2_token_files, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
