@@ -13,8 +13,10 @@ for null texts, it is empty and linked with nothing. Two documents are linked wh
 3. In a bucket, every class is a candidate with the smallest id in it only: as many pairs as rows.
 4. Candidates are confirmed on full sets, and components of confirmed links are found.
 5. A link that no star shows lies between two classes of one bucket that are not in the same component yet.
-   So in buckets which still hold several components, pairs across them are confirmed too. Members of one
-   component are never paired: a large group of copies makes no pairs here.
+   Buckets which still hold several components, each set of members once, are searched with their members'
+   sets, in blocks of BLOCK members: a task gets two blocks, compares across components, and writes only links
+   that join two components which its earlier links did not join. So a bucket writes fewer rows than it has
+   members, however many pairs it holds, and its work is split over tasks.
 
 Hot buckets: the smallest id is a grouped minimum, combined before the shuffle; the join that follows splits
 hot keys. Nothing is collected on the driver. A doc_id should be unique; rows that repeat one are each
@@ -35,6 +37,8 @@ from strandline.llm.components import connected
 WORDS = 5
 ROWS = 5
 BANDS = 72
+#: Members of a bucket that a task compares with as many others.
+BLOCK = 512
 #: Link from 100 * intersection >= PERCENT * union on.
 PERCENT = 75
 #: At most so many ids of candidates are sent to all executors (16 MB); more are joined by a shuffle.
@@ -155,19 +159,20 @@ def sketches(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
-    """(id, n, shingles) of the documents whose doc_id is in `ids` (id)."""
+def full_sets(docs: DataFrame, ids: DataFrame, text: str = "text", short: bool = False) -> DataFrame:
+    """(id, n, shingles) of the documents whose doc_id is in `ids` (id). short: the hashes' upper 32 bits."""
+    kind = "int" if short else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text, _STEP):
                 sets, off = shingle_sets(*text_bytes(part.column(1)))
-                arrays = [part.column(0), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(sets.view(np.int64)))]
+                arrays = [part.column(0), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((sets >> np.uint64(32)).astype(np.uint32).view(np.int32) if short else sets.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "shingles"])
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select("doc_id", text).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    return rows.mapInArrow(run, "id long, n long, shingles array<long>")
+    return rows.mapInArrow(run, f"id long, n long, shingles array<{kind}>")
 
 
 def confirmed(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, text: str, percent: int) -> DataFrame:
@@ -183,6 +188,66 @@ def confirmed(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, text: str, pe
     return both.where(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent).select("a", "b")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets share, as a matrix."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[at] > 1
+    owner, at = owner[keep], (np.cumsum(count > 1) - 1)[at[keep]]
+    out = np.zeros((m, m), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    step = max(256, (4 << 20) // m)
+    for lo in range(0, int((count > 1).sum()), step):
+        a, b = np.searchsorted(at, [lo, lo + step])
+        part = np.zeros((m, step), np.float32)
+        part[owner[a:b], at[a:b] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def joining_links(table: pa.Table, percent: int) -> pa.Table:
+    """Of a bucket's members (id, c, n, at, i, j, shingles) links that join components, one after the other."""
+    ids, c, n, at = (table.column(x).to_numpy() for x in ("id", "c", "n", "at"))
+    sets = table.column("shingles").combine_chunks()
+    off, flat = np.asarray(sets.offsets), np.asarray(sets.values)
+    shared = shared_counts([flat[a:b] for a, b in zip(off[:-1], off[1:])])
+    linked = (shared * 100 >= (n[:, None] + n[None, :] - shared) * percent) & (c[:, None] != c[None, :])
+    if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+        linked &= at[:, None] != at[None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for x, y in zip(*np.nonzero(np.triu(linked, 1))):
+        p, q = find(int(c[x])), find(int(c[y]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def across_components(docs: DataFrame, shared: DataFrame, found: DataFrame, text: str, percent: int) -> DataFrame:
+    """Candidate links (a, b) between components that meet in a bucket. shared: (key, id); found: (id, component)."""
+    labelled = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("id") % (1 << 40)).alias("who")).where("low < high")
+    once = mixed.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
+    rest = materialize(labelled.join(once, "key"), "near-mixed")
+    ids = rest.select("id").distinct()
+    sets = full_sets(docs, ids, text, short=True).dropDuplicates(["id"])
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = rest.select("key", "id", "c", blocks.alias("blocks")).withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = placed.withColumn("other", other).select("key", F.greatest("at", "other").alias("i"), F.least("at", "other").alias("j"), "at", "id", "c")
+    full = paired.join(sets, "id").select("key", "i", "j", "at", "id", "c", "n", "shingles")
+    return full.groupBy("key", "i", "j").applyInArrow(lambda t: joining_links(t, percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs; see the module's text."""
     sketch = materialize(sketches(docs, text, bands, rows), "near-sketches")
@@ -198,11 +263,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
     links = materialize(confirmed(docs, sizes, stars, text, percent), "near-links")
     found = connected(links)
 
-    labelled = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = materialize(labelled.join(mixed, "key", "left_semi"), "near-mixed")
-    side = lambda x: rest.select("key", F.col("id").alias(x), F.col("c").alias(f"c_{x}"))
-    across = side("a").join(side("b"), "key").where("a < b and c_a <> c_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    across = across_components(docs, shared.select("key", "id"), found, text, percent)
     more = materialize(confirmed(docs, sizes, across, text, percent), "near-links")
     groups = connected(links.unionByName(more)) if more.head(1) else found
 
