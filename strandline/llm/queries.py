@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, near_dedup, token_files, toxicity, url_filter
+from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, near_dedup, token_files, toxicity, url_filter
 from strandline.llm.common import fresh_path, held_out, load
 
 
@@ -32,6 +32,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(load(spark, sf_dir, "embeddings"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"), ~held_out())
@@ -62,7 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_token_files": op2_token_files, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id, "op10_decontaminate": op10_decontaminate}
+    return {"op1_url_filter": op1_url_filter, "op2_token_files": op2_token_files, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op5_license_scan": op5_license_scan, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
