@@ -1,15 +1,426 @@
-"""All registered queries of the library proper, with their SQL for the oracle."""
+"""All registered queries of the library proper, each with its SQL for the oracle where SQL can say it.
+
+Graph queries run over the testbed graph of the star schema, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions.keys import base_confidence, chained
+from strandline.functions.text import namespace, normalise_path, short_name, slugify
+from strandline.operators import analysis, lookup, store, summaries, traverse
+from strandline.plans import testbed
+from strandline.plans.testbed import edges, nodes, table
+from strandline.sources import scripts
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FUNCTION = "function:Supplier#000000001"
+METHOD_CLASS = "class:Geo\\NATION_7"
+HUB = "external:2-HIGH"
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def query(sql: str | None = None, graph: bool = False):
+    """Register a query under its function's name; graph: its SQL starts from the testbed's tables."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = f"WITH RECURSIVE {testbed.SQL}{sql}" if graph else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+# counts
+
+
+@query(" SELECT 'node' AS what, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type", graph=True)
+def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.stats(nodes(spark, sf), edges(spark, sf))
+
+
+@query(" SELECT type, count(*) AS n FROM nodes GROUP BY type", graph=True)
+def node_type_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return nodes(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT from_key AS key, type AS edge_type, count(*) AS n FROM edges GROUP BY ALL", graph=True)
+def edge_counts_out(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf).groupBy(F.col("from_key").alias("key"), F.col("type").alias("edge_type")).agg(F.count("*").alias("n"))
+
+
+@query(" SELECT to_key AS key, type AS edge_type, count(*) AS n FROM edges GROUP BY ALL", graph=True)
+def edge_counts_in(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf).groupBy(F.col("to_key").alias("key"), F.col("type").alias("edge_type")).agg(F.count("*").alias("n"))
+
+
+@query(" SELECT count(*) FILTER (type = 'section') AS sections, count(*) FILTER (type = 'view') AS views, (SELECT count(*) FROM edges WHERE type = 'documents') AS documents FROM nodes", graph=True)
+def docs_summary(spark: SparkSession, sf: str) -> DataFrame:
+    counted = nodes(spark, sf).agg(F.count_if(F.col("type") == "section").alias("sections"), F.count_if(F.col("type") == "view").alias("views"))
+    return counted.crossJoin(edges(spark, sf).agg(F.count_if(F.col("type") == "documents").alias("documents")))  # one row each
+
+
+# lookups
+
+_RANKED = r""", c AS (SELECT key, type, name, row_number() OVER (ORDER BY (key = '{n}')::INT DESC, (name = '{n}')::INT DESC, ends_with(lower(name), lower('\{n}'))::INT DESC, key) AS r
+  FROM nodes WHERE {t} (key = '{n}' OR name = '{n}' OR key ILIKE '%{n}%'))"""
+
+
+def _ranked(name: str, rest: str, where: str = "") -> str:
+    return _RANKED.replace("{n}", name).replace("{t}", where) + rest
+
+
+@query(_ranked("Geo\\NATION_7", r" SELECT key, type, name FROM c WHERE r <= 25 AND (key = 'Geo\NATION_7' OR name = 'Geo\NATION_7' OR split_part(name, '\', -1) = 'Geo\NATION_7')"), graph=True)
+def find_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.find(nodes(spark, sf), "Geo\\NATION_7").rows.select("key", "type", "name")
+
+
+@query(_ranked("NATION_7", r" SELECT key, type, name FROM c WHERE r <= 25 AND (key = 'NATION_7' OR name = 'NATION_7' OR split_part(name, '\', -1) = 'NATION_7')"), graph=True)
+def find_short_name(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.find(nodes(spark, sf), "NATION_7").rows.select("key", "type", "name")
+
+
+@query(_ranked("customer#00000001", " SELECT key, type, name FROM c WHERE r <= 25", "type = 'method' AND"), graph=True)
+def find_fuzzy_top25(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.candidates(nodes(spark, sf), "customer#00000001", "method").select("key", "type", "name")
+
+
+@query(_ranked("supplier#", " SELECT key, name, type, CAST(0.6 AS DOUBLE) AS score FROM c WHERE r <= 5"), graph=True)
+def find_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.find(nodes(spark, sf), "supplier#").suggestions
+
+
+@query(r""" SELECT n.key, n.name, n.type AS node_type, n.file, x.direction, x.edge_type, x.n FROM nodes n LEFT JOIN (
+  SELECT from_key AS key, 'out' AS direction, type AS edge_type, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT to_key, 'in', type, count(*) FROM edges GROUP BY ALL) x USING (key) WHERE n.key = 'class:Geo\NATION_7'""", graph=True)
+def node_detail(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.node(nodes(spark, sf), edges(spark, sf), METHOD_CLASS)
+
+
+# walks
+
+_BEST = "row_number() OVER (PARTITION BY {near} ORDER BY confidence DESC NULLS LAST, type, {far})"
+
+
+def _walk_sql(key: str, near: str, far: str, depth: int, least: float | None = None) -> str:
+    keep = "" if least is None else f" AND coalesce(confidence, 0) >= {least}"
+    out = f", f1 AS (SELECT '{key}' AS pt)"
+    for d in range(1, depth + 1):
+        best = _BEST.format(near=near, far=far)
+        out += f", s{d} AS (SELECT * FROM (SELECT e.*, {best} AS r FROM edges e WHERE {near} IN (SELECT pt FROM f{d})) WHERE r <= 100{keep})"
+        out += f", f{d + 1} AS (SELECT DISTINCT {far} AS pt FROM s{d} WHERE {far} NOT IN ({' UNION ALL '.join(f'SELECT pt FROM f{k}' for k in range(1, d + 1))}))"
+    return out + " " + " UNION ALL ".join(f"SELECT {d} AS depth, from_key, to_key, type AS edge_type, confidence FROM s{d}" for d in range(1, depth + 1))
+
+
+@query(_walk_sql(FUNCTION, "to_key", "from_key", 1), graph=True)
+def callers_d1(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.callers(edges(spark, sf), FUNCTION)
+
+
+@query(_walk_sql(HUB, "to_key", "from_key", 1), graph=True)
+def callers_of_hub(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.callers(edges(spark, sf), HUB)
+
+
+@query(_walk_sql(FUNCTION, "to_key", "from_key", 2, 0.8), graph=True)
+def callers_d2_minconf(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.callers(edges(spark, sf), FUNCTION, depth=2, min_confidence=0.8)
+
+
+@query(_walk_sql(METHOD_CLASS, "from_key", "to_key", 1), graph=True)
+def callees_d1(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.callees(edges(spark, sf), METHOD_CLASS)
+
+
+@query(_walk_sql("route:GET /europe", "from_key", "to_key", 2), graph=True)
+def callees_d2(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.callees(edges(spark, sf), "route:GET /europe", depth=2)
+
+
+_TYPES = ", ".join(f"'{t}'" for t in traverse.IMPACT_TYPES)
+
+
+def _impact_sql(key: str, depth: int, least: float, last: str) -> str:
+    return f""", used AS (SELECT * FROM edges WHERE type IN ({_TYPES}) AND (confidence IS NULL OR confidence >= {least})),
+    walk(pt, d) AS (SELECT '{key}' AS pt, 0 AS d UNION SELECT to_key, 0 FROM edges JOIN nodes ON to_key = key WHERE edges.type = 'declares' AND from_key = '{key}' AND nodes.type = 'method' AND starts_with('{key}', 'class:')
+      UNION SELECT from_key, d + 1 FROM used JOIN walk ON to_key = pt WHERE d < {depth}),
+    first AS (SELECT from_key AS key, min(d + 1) AS depth FROM used JOIN walk ON to_key = pt WHERE d < {depth} GROUP BY 1),
+    met AS (SELECT f.key, f.depth, min(u.type) AS via FROM first f JOIN used u ON u.from_key = f.key JOIN walk w ON w.pt = u.to_key AND w.d = f.depth - 1
+      WHERE NOT EXISTS (SELECT 1 FROM walk w2 WHERE w2.pt = w.pt AND w2.d < w.d) GROUP BY ALL),
+    named AS (SELECT m.key, n.name, m.depth, m.via, CASE WHEN n.type = 'class' THEN CASE n.kind WHEN 'job' THEN 'jobs' WHEN 'command' THEN 'commands' ELSE 'classes' END WHEN n.type = 'route' THEN 'routes'
+      WHEN n.type = 'view' THEN 'views' WHEN n.type = 'method' THEN 'methods' WHEN n.type = 'section' THEN 'docs' WHEN n.type = 'file' THEN 'js_files' ELSE 'classes' END AS bucket FROM met m JOIN nodes n USING (key)) {last}"""
+
+
+@query(_impact_sql(FUNCTION, 3, 0.0, "SELECT * FROM named"), graph=True)
+def impact_function_d3(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.impact(nodes(spark, sf), edges(spark, sf), FUNCTION)
+
+
+@query(_impact_sql(METHOD_CLASS, 2, 0.8, "SELECT * FROM named"), graph=True)
+def impact_class_d2(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.impact(nodes(spark, sf), edges(spark, sf), METHOD_CLASS, depth=2, min_confidence=0.8)
+
+
+@query(_impact_sql(FUNCTION, 3, 0.0, "SELECT bucket, depth, count(*) AS n FROM named GROUP BY ALL"), graph=True)
+def impact_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.impact(nodes(spark, sf), edges(spark, sf), FUNCTION).groupBy("bucket", "depth").agg(F.count("*").alias("n"))
+
+
+def _path_sql(start: str, end: str, depth: int) -> str:
+    out = f", p0 AS (SELECT '{start}' AS pt)"
+    for d in range(1, depth + 1):
+        best = _BEST.format(near="from_key", far="to_key")
+        seen = " UNION ALL ".join(f"SELECT pt FROM p{k}" for k in range(d))
+        out += f""", b{d} AS (SELECT * FROM (SELECT e.*, {best} AS r FROM edges e WHERE from_key IN (SELECT pt FROM p{d - 1})) WHERE r <= 100),
+        p{d} AS (SELECT to_key AS pt, first(from_key ORDER BY from_key, r) AS from_key, first(type ORDER BY from_key, r) AS type, first(confidence ORDER BY from_key, r) AS confidence FROM b{d} WHERE to_key NOT IN ({seen}) GROUP BY to_key)"""
+    out += ", hit AS (SELECT min(d) AS d FROM (" + " UNION ALL ".join(f"SELECT {d} AS d FROM p{d} WHERE pt = '{end}'" for d in range(1, depth + 1)) + "))"
+    out += f", back(step, pt) AS (SELECT d, '{end}' FROM hit WHERE d IS NOT NULL UNION ALL SELECT step - 1, x.from_key FROM back JOIN (" + " UNION ALL ".join(f"SELECT {d} AS d, pt, from_key FROM p{d}" for d in range(1, depth + 1)) + ") x ON x.d = back.step AND x.pt = back.pt WHERE step > 1)"
+    every = " UNION ALL ".join(f"SELECT {d} AS d, pt, from_key, type, confidence FROM p{d}" for d in range(1, depth + 1))
+    return out + f" SELECT CAST(back.step AS INTEGER) AS step, x.from_key, back.pt AS to_key, x.type AS edge_type, x.confidence FROM back JOIN ({every}) x ON x.d = back.step AND x.pt = back.pt"
+
+
+@query(_path_sql("file:geo/NATION_7.php", "external:2-HIGH", 4), graph=True)
+def path_shortest(spark: SparkSession, sf: str) -> DataFrame:
+    return traverse.path(edges(spark, sf), "file:geo/NATION_7.php", "external:2-HIGH", 4)
+
+
+# summaries
+
+
+@query(" SELECT e.from_key AS route, e.to_key AS handler, v.to_key AS view FROM edges e LEFT JOIN edges v ON v.type = 'renders' AND v.from_key = e.to_key WHERE e.type = 'routes_to' AND e.from_key = 'route:GET /europe'", graph=True)
+def route_views(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.route(nodes(spark, sf), edges(spark, sf), "get europe")
+
+
+@query(" , v AS (SELECT min(to_key) AS key FROM edges WHERE type = 'renders') SELECT 'rendered_by' AS role, from_key AS other FROM edges JOIN v ON to_key = key WHERE type = 'renders'", graph=True)
+def view_summary(spark: SparkSession, sf: str) -> DataFrame:
+    first = edges(spark, sf).where("type = 'renders'").agg(F.min("to_key")).first()[0]
+    return summaries.view(edges(spark, sf), first.removeprefix("view:"))
+
+
+@query(r""" SELECT 'class:Geo\NATION_7' AS key, type AS role, to_key AS other, count(*) AS n FROM edges WHERE from_key = 'class:Geo\NATION_7' AND type IN ('declares', 'instantiates') GROUP BY ALL""", graph=True)
+def model_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.model(nodes(spark, sf), edges(spark, sf), "NATION_7")
+
+
+@query(r""" SELECT 'documented_by' AS role, from_key AS other FROM edges WHERE type = 'documents' AND to_key = 'class:Geo\NATION_7'""", graph=True)
+def docs_links(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.docs(edges(spark, sf), METHOD_CLASS)
+
+
+@query(" SELECT resolution, count(*) AS n, count(*) FILTER (confidence >= 0.8) AS sure FROM edges WHERE type = 'calls' GROUP BY resolution", graph=True)
+def resolution_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.resolution_histogram(edges(spark, sf))
+
+
+_OPEN = "SELECT event_id AS id, 'src/' || event_type || '.php' AS file, event_type AS member FROM events WHERE event_id % 3 = 0"
+
+
+def _open(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third event as an unresolved reference of the testbed."""
+    return table(spark, sf, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.concat(F.lit("src/"), F.col("event_type"), F.lit(".php")).alias("file"), F.col("event_type").alias("member"))
+
+
+@query(f"SELECT * FROM ({_OPEN}) WHERE file ILIKE '%CLICK%' ORDER BY id DESC LIMIT 50")
+def unresolved_list(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.unresolved(_open(spark, sf), file="CLICK")
+
+
+@query(f" , u AS ({_OPEN}), c AS (SELECT (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM u) AS unresolved) SELECT *, round(unresolved / (edges + unresolved), 3) AS ratio, round(unresolved / (edges + unresolved), 3) < 0.5 AS healthy FROM c", graph=True)
+def unresolved_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.unresolved_ratio(edges(spark, sf), _open(spark, sf))
+
+
+# analysis
+
+_PROJECTED = ", ".join(f"'{t}'" for t in analysis.PROJECTED)
+_WEIGHTS = f""", ok AS (SELECT key, type FROM nodes WHERE type IN ('class', 'method', 'route', 'view', 'function') AND (type NOT IN ('class', 'method') OR coalesce(is_project, true))),
+w AS (SELECT least(from_key, to_key) AS a, greatest(from_key, to_key) AS b, count(*) AS w FROM edges WHERE type IN ({_PROJECTED}) AND from_key <> to_key
+  AND from_key IN (SELECT key FROM ok) AND to_key IN (SELECT key FROM ok) GROUP BY ALL),
+deg AS (SELECT ok.key, ok.type, CAST(coalesce(sum(w), 0) AS BIGINT) AS degree FROM ok LEFT JOIN (SELECT a AS key, w FROM w UNION ALL SELECT b, w FROM w) x USING (key) GROUP BY ALL)"""
+
+
+@query(_WEIGHTS + " SELECT a, b, w FROM w", graph=True)
+def projection_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.projection(nodes(spark, sf), edges(spark, sf))
+
+
+def _degrees(spark: SparkSession, sf: str) -> DataFrame:
+    n = nodes(spark, sf)
+    return analysis.degrees(n, analysis.projection(n, edges(spark, sf)))
+
+
+@query(_WEIGHTS + " SELECT key, type, degree FROM deg", graph=True)
+def degrees(spark: SparkSession, sf: str) -> DataFrame:
+    return _degrees(spark, sf)
+
+
+@query(_WEIGHTS + " SELECT key, type, degree FROM deg ORDER BY degree DESC, key LIMIT 20", graph=True)
+def hubs_top20(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.hubs(_degrees(spark, sf))
+
+
+@query(_WEIGHTS + ", o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS r, count(*) OVER () AS n FROM deg) SELECT key, type, degree FROM deg WHERE degree > 0 AND degree >= (SELECT degree FROM o WHERE r = floor(0.99 * n) + 1)", graph=True)
+def hub_percentile_set(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.hub_set(_degrees(spark, sf))
+
+
+_MEMBER = ", mem AS (SELECT key, coalesce(file, type) AS community FROM nodes JOIN ok USING (key, type))"
+
+
+@query(_WEIGHTS + _MEMBER + ", far AS (SELECT DISTINCT x.key, m.community FROM (SELECT a AS key, b AS other FROM w UNION ALL SELECT b, a FROM w) x JOIN mem m ON m.key = x.other) SELECT mem.key, count(far.community) FILTER (far.community IS DISTINCT FROM mem.community) AS bridges FROM mem LEFT JOIN far USING (key) GROUP BY mem.key", graph=True)
+def bridges(spark: SparkSession, sf: str) -> DataFrame:
+    """Bridges between given communities: here the file of a node, else its type."""
+    n = nodes(spark, sf)
+    given = n.join(analysis.eligible(n).select("key"), "key", "left_semi").select("key", F.coalesce("file", "type").alias("community"))
+    return analysis.bridges(analysis.projection(n, edges(spark, sf)), given)
+
+
+@query()
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    return analysis.detect(nodes(spark, sf), edges(spark, sf))
+
+
+# stored tables: two snapshots of the documents as files
+
+_S1 = "SELECT 'doc/' || doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 0"
+_S2 = "SELECT 'doc/' || doc_id AS path, md5(text || CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE '' END) AS hash FROM documents WHERE doc_id % 7 <> 0"
+_CHANGED = f"WITH s1 AS ({_S1}), s2 AS ({_S2}), ch AS (SELECT coalesce(s1.path, s2.path) AS path, CASE WHEN s1.hash IS NULL THEN 'new' WHEN s2.hash IS NULL THEN 'deleted' WHEN s1.hash <> s2.hash THEN 'changed' END AS status FROM s1 FULL JOIN s2 ON s1.path = s2.path)"
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf, "documents")
+    path = F.concat(F.lit("doc/"), F.col("doc_id")).alias("path")
+    edited = F.concat("text", F.when(F.col("doc_id") % 13 == 0, "x").otherwise(""))
+    return docs.where("doc_id % 10 <> 0").select(path, F.md5(F.col("text").cast("binary")).alias("hash")), docs.where("doc_id % 7 <> 0").select(path, F.md5(edited.cast("binary")).alias("hash"))
+
+
+@query(f"{_CHANGED} SELECT path, status FROM ch WHERE status IS NOT NULL")
+def diff_files(spark: SparkSession, sf: str) -> DataFrame:
+    return store.changed_files(*_snapshots(spark, sf))
+
+
+@query(f"{_CHANGED}, deps AS (SELECT 'doc/' || doc_id AS path, unnest([source, lang]) AS symbol FROM documents), sym AS (SELECT DISTINCT source AS symbol FROM documents JOIN ch ON ch.path = 'doc/' || doc_id WHERE status = 'changed' AND doc_id % 39 = 0) SELECT DISTINCT path FROM deps WHERE symbol IN (SELECT symbol FROM sym) AND path NOT IN (SELECT path FROM ch WHERE status IS NOT NULL)")
+def affected_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that depend on the source of a changed document whose number 39 divides: the edit of the testbed."""
+    changed = store.changed_files(*_snapshots(spark, sf))
+    docs = table(spark, sf, "documents").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id")))
+    deps = docs.select("path", F.explode(F.array("source", "lang")).alias("symbol"))
+    symbols = docs.where("doc_id % 39 = 0").join(changed.where("status = 'changed'"), "path", "left_semi").select(F.col("source").alias("symbol")).distinct()
+    return store.affected_files(deps, symbols, changed)
+
+
+@query(f"WITH s1 AS ({_S1}), s2 AS ({_S2}) SELECT path, hash FROM s2 UNION ALL SELECT path, hash FROM s1 WHERE path NOT IN (SELECT path FROM s2)")
+def upsert_files(spark: SparkSession, sf: str) -> DataFrame:
+    return store.upsert(*_snapshots(spark, sf), "path")
+
+
+@query("SELECT 'sup:' || s_suppkey AS key, arg_max(l_linestatus || l_returnflag, l_orderkey * 1000 + l_linenumber * 100 + ascii(l_returnflag) + ascii(l_linestatus) / 1000) AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 UNION ALL SELECT 'sup:' || s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)")
+def upsert_nodes_lastwins(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as nodes, renamed by their line items in order of order and line: the last one wins."""
+    key = F.concat(F.lit("sup:"), F.col("s_suppkey")).alias("key")
+    old = table(spark, sf, "supplier").select(key, F.col("s_name").alias("name"))
+    order = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.ascii("l_returnflag") + F.ascii("l_linestatus") / 1000
+    new = table(spark, sf, "lineitem").select(F.concat(F.lit("sup:"), F.col("l_suppkey")).alias("key"), F.concat("l_linestatus", "l_returnflag").alias("name"), order.alias("at"))
+    return store.upsert(old, new, "key", "at")
+
+
+_LINES = "SELECT 'calls' AS type, 'o' || l_orderkey AS from_key, 's' || l_suppkey AS to_key, CASE WHEN l_linenumber <= 4 THEN l_returnflag END AS file, CASE WHEN l_linenumber <> 3 THEN l_linenumber END AS line, l_linestatus AS resolution, l_discount AS confidence FROM lineitem"
+
+
+@query(f"WITH e AS ({_LINES}), r AS (SELECT *, row_number() OVER (PARTITION BY type, from_key, to_key, file, line ORDER BY confidence DESC, resolution DESC) AS r FROM e) SELECT type, from_key, to_key, file, line, resolution, confidence FROM r WHERE r = 1 OR file IS NULL OR line IS NULL")
+def edges_null_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as edges, inserted in two halves: equal places are one edge, places with a null never are."""
+    c = F.col
+    rows = table(spark, sf, "lineitem").select(F.lit("calls").alias("type"), F.concat(F.lit("o"), c("l_orderkey")).alias("from_key"), F.concat(F.lit("s"), c("l_suppkey")).alias("to_key"), F.when(c("l_linenumber") <= 4, c("l_returnflag")).alias("file"), F.when(c("l_linenumber") != 3, c("l_linenumber")).alias("line"), c("l_linestatus").alias("resolution"), c("l_discount").alias("confidence"))
+    return store.insert_edges(rows.limit(0), rows)
+
+
+@query("SELECT coalesce(a.w, b.w) AS warning, coalesce(a.first, 2) AS first_seen, CASE WHEN b.w IS NULL THEN a.first ELSE 2 END AS last_seen FROM (SELECT DISTINCT event_type || user_id % 50 AS w, 1 AS first FROM events WHERE event_id % 2 = 0) a FULL JOIN (SELECT DISTINCT event_type || user_id % 50 AS w FROM events WHERE event_id % 5 = 0) b ON a.w = b.w")
+def warnings_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Warnings of two builds (even events, and every fifth) with the builds they were first and last seen in."""
+    events = table(spark, sf, "events").withColumn("warning", F.concat("event_type", (F.col("user_id") % 50).cast("string")))
+    old = events.where("event_id % 2 = 0").select("warning", F.lit(1).alias("first_seen"), F.lit(1).alias("last_seen")).distinct()
+    return store.upsert_warnings(old, events.where("event_id % 5 = 0"), F.lit(2))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'new' ELSE p_brand END AS brand, CASE WHEN p_size % 2 = 0 THEN p_type END AS type, p_name AS name FROM part")
+def meta_merge(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    old = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.col("p_name"), F.lit("community"), F.lit("x"))
+    new = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("brand"), F.lit("new"), F.lit("type"), F.col("p_type")))
+    meta = store.without_key(store.merge_meta(old, new), "community")
+    get = lambda k: F.try_element_at("m", F.lit(k)).alias(k)
+    return part.select("p_partkey", meta.alias("m")).select("p_partkey", get("brand"), get("type"), get("name"))
+
+
+@query("SELECT kind, CASE WHEN c >= 0.8 THEN least(0.9, c) ELSE c END AS confidence FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'static' WHEN 'N' THEN 'cast' ELSE 'interface' END AS kind, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.6 END AS c FROM lineitem) GROUP BY ALL")
+def confidence_chain(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "A", "static").when(F.col("l_returnflag") == "N", "cast").otherwise("interface")
+    rows = table(spark, sf, "lineitem").select(kind.alias("kind")).distinct()
+    return rows.select("kind", F.coalesce(chained(F.col("kind"), F.lit(0.9)), base_confidence(F.col("kind"))).alias("confidence"))
+
+
+# texts
+
+_HREF = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#?]*)', 1)) AS url FROM pages"
+
+
+def _hrefs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"#?]*)'), F.lit(1))).alias("url"))
+
+
+@query(f"SELECT page_id, url, count(*) AS n FROM ({_HREF}) GROUP BY ALL")
+def pages_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _hrefs(spark, sf).groupBy("page_id", "url").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT url, count(DISTINCT page_id) AS pages FROM ({_HREF}) GROUP BY url")
+def pages_link_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _hrefs(spark, sf).select("url", "page_id").distinct().groupBy("url").agg(F.count("*").alias("pages"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_size, p_brand FROM part) SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'b/' || p_brand WHEN p_size % 3 = 1 THEN p_brand ELSE 'a/' || p_brand END AS path FROM p""")
+def path_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("a/.././b//"), F.col("p_brand"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("../../"), F.col("p_brand"))).otherwise(F.concat(F.lit("/a/./x/../"), F.col("p_brand"), F.lit("/")))
+    return table(spark, sf, "part").select("p_partkey", normalise_path(raw).alias("path"))
+
+
+@query(r"""WITH h AS (SELECT page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS title FROM pages) SELECT page_id, title, regexp_replace(trim(regexp_replace(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\s_-]', '', 'g')), '\s+', '-', 'g') AS slug FROM h""")
+def slugify_titles(spark: SparkSession, sf: str) -> DataFrame:
+    title = F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)
+    return table(spark, sf, "pages").select("page_id", title.alias("title"), slugify(title).alias("slug"))
+
+
+@query(r"SELECT n_name, 'Geo' AS space, n_name AS short FROM nation")
+def names_split(spark: SparkSession, sf: str) -> DataFrame:
+    full = testbed.class_name()
+    return table(spark, sf, "nation").select("n_name", namespace(full).alias("space"), short_name(full).alias("short"))
+
+
+_REQ = r"WITH q AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, '/' || regexp_extract(url, '://[^/]*/([a-z]+)', 1) AS url FROM pages), r AS (SELECT 'GET' AS verb, '/en' AS uri UNION ALL SELECT 'POST', '/en' UNION ALL SELECT 'GET', '/de' UNION ALL SELECT 'PUT', '/fr' UNION ALL SELECT 'PATCH', '/fr')"
+
+
+@query(_REQ + """, x AS (SELECT q.page_id, q.verb, q.url, (SELECT 'route:' || r.verb || ' ' || r.uri FROM r WHERE r.verb = q.verb AND r.uri = q.url) AS exact, (SELECT list('route:' || r.verb || ' ' || r.uri ORDER BY r.verb) FROM r WHERE r.uri = q.url) AS every FROM q)
+SELECT CAST(page_id AS VARCHAR) AS path, verb, url, coalesce(exact, CASE WHEN len(every) = 1 THEN every[1] END) AS key, CASE WHEN exact IS NOT NULL THEN 1 ELSE len(every) END AS n FROM x WHERE every IS NOT NULL""")
+def request_route_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages' first path parts as requests against a small route table."""
+    verb = F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST")
+    found = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit(1).alias("line"), verb.alias("verb"), F.concat(F.lit("/"), F.regexp_extract("url", "://[^/]*/([a-z]+)", 1)).alias("url"))
+    routes = spark.createDataFrame([(v, u, f"route:{v} {u}") for v, u in (("GET", "/en"), ("POST", "/en"), ("GET", "/de"), ("PUT", "/fr"), ("PATCH", "/fr"))], "verb string, uri string, key string")
+    matched = scripts.match_requests(found, routes)
+    return matched.select("path", "verb", "url", "key", F.size("candidates").alias("n"))
