@@ -92,7 +92,7 @@ def _moves(state: DataFrame, links: DataFrame, strength: DataFrame, total: float
     return best.select("id", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("moved"))
 
 
-def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, sweeps: int = 12, levels: int = 8) -> DataFrame:
+def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, sweeps: int = 5, levels: int = 4) -> DataFrame:
     """(id, community) by greedy modularity: nodes go to the neighbouring community with the largest gain, half
     of them at a time, until none gains or `sweeps` are over; communities become nodes of the next level, until
     their number stays. A community is named by its least member. ids: (id); weights: (a, b, w), loops allowed.

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir; where none is set (tests), a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        found = tempfile.mkdtemp(prefix="strandline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; a temporary one where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint()
+    """df written to the shared folder and read back: computed once, with a plan that starts anew."""
+    path = f"{shared_folder(df.sparkSession)}/strandline/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A quoted literal without substitution: its quote is the group before it.
-_LITERAL = r"(['\"`])((?:(?!{n}).)*){n}"
+_QUOTED = r"(?P<q>['\"`])(?P<url>(?:(?!(?P=q)).)*)(?P=q)"
+_CALLS = (
+    re.compile(r"(?<![\w$])axios\s*\.\s*(?P<verb>get|post|put|patch|delete|head)\s*\(\s*" + _QUOTED, re.I),
+    re.compile(r"\$\.(?P<verb>get|post)\s*\(\s*" + _QUOTED, re.I),
+    re.compile(r"(?<![\w$.])fetch\s*\(\s*" + _QUOTED + r"(?:\s*,\s*\{(?P<options>[^}]*)\})?"),
+    re.compile(r"(?:(?<![\w$])axios|\$\.ajax)\s*\(\s*\{(?P<options>[^}]*)\}", re.I),
+)
+_URL = re.compile(r"(?<!\w)url\s*:\s*" + _QUOTED, re.I)
+_METHOD = re.compile(r"(?<!\w)(?:method|type)\s*:\s*['\"](\w+)", re.I)
+
+
+def calls(content: str) -> list[tuple[int, str, str]]:
+    """(line, verb, url) of the calls in one script."""
+    out = []
+    for pattern in _CALLS:
+        for m in pattern.finditer(content):
+            got = m.groupdict()
+            options = got.get("options") or ""
+            url = got.get("url")
+            if url is None:
+                inside = _URL.search(options)
+                if inside is None:
+                    continue
+                url = inside["url"]
+            said = _METHOD.search(options)
+            verb = got.get("verb") or (said[1] if said else "GET")
+            if "${" not in url:
+                out.append((content.count("\n", 0, m.start()) + 1, verb.upper(), url))
+    return sorted(out)
 
 
 def requests(files: DataFrame) -> DataFrame:
     """(path, line, verb, url) of calls with a literal URL: axios.verb(), $.get(), $.post(), fetch(), and the
-    option objects of axios() and $.ajax(). The verb is GET where none is said."""
-
-    def calls(head: str, quote: int, verb, flags: str = "(?i)"):
-        pattern = flags + head + _LITERAL.replace("{n}", f"\\{quote}")
-        whole = files.select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("call")).distinct()
-        at = F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("content", "\n"))), lambda i: F.when(F.contains(F.get(F.split("content", "\n"), i - 1), F.substring_index(F.col("call"), "\n", 1)), i)), lambda i: i.isNotNull()))
-        return whole.select("path", at.alias("line"), verb.alias("verb"), F.regexp_extract("call", pattern, quote + 1).alias("url"))
-
-    said = F.upper(F.regexp_extract("call", r"(?i)(?:axios|\$)\s*\.\s*(\w+)", 1))
-    method = lambda c: F.upper(F.coalesce(F.nullif(F.regexp_extract(c, r"(?i)(?:method|type)\s*:\s*['\"](\w+)", 1), F.lit("")), F.lit("GET")))
-    verbs = calls(r"(?<![\w$])axios\s*\.\s*(get|post|put|patch|delete|head)\s*\(\s*", 2, said)
-    short = calls(r"\$\.(get|post)\s*\(\s*", 2, said)
-    plain = calls(r"(?<![\w$.])fetch\s*\(\s*", 1, F.lit("GET"))
-    option = files.select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(r"(?is)(?:(?<![\w$])axios|\$\.ajax)\s*\(\s*\{[^}]*\}"), F.lit(0))).alias("call"))
-    with_method = files.select("path", "content", F.explode(F.regexp_extract_all("content", F.lit(r"(?is)(?<![\w$.])fetch\s*\(\s*['\"`][^'\"`]*['\"`]\s*,\s*\{[^}]*\}"), F.lit(0))).alias("call"))
-    line = lambda c: F.size(F.split(F.substring_index("content", c, 1), "\n"))
-    url = F.regexp_extract("call", r"(?i)url\s*:\s*['\"`]([^'\"`]*)", 1)
-    objects = option.select("path", line(F.col("call")).alias("line"), method("call").alias("verb"), url.alias("url")).where("url <> ''")
-    fetched = with_method.select("path", line(F.col("call")).alias("line"), method("call").alias("verb"), F.regexp_extract("call", r"fetch\s*\(\s*['\"`]([^'\"`]*)", 1).alias("url"))
-    plain = plain.join(fetched.select("path", "line", "url"), ["path", "line", "url"], "left_anti")
-    return verbs.unionByName(short).unionByName(plain).unionByName(objects).unionByName(fetched).where(~F.contains(F.col("url"), F.lit("${"))).distinct()
+    option objects of axios(), fetch() and $.ajax(). The verb is GET where none is said. Null content has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, *x) for p, c in zip(f.path, f.content) for x in calls(c or "")], columns=["path", "line", "verb", "url"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, line int, verb string, url string")
 
 
 def match_requests(found: DataFrame, routes: DataFrame) -> DataFrame:
