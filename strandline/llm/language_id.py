@@ -104,7 +104,8 @@ def train(samples: dict[str, list[str]]) -> Model | None:
     grams = []  # for each language the symbols and, for orders 1 to 3, the contexts before them
     for k in languages:
         s = symbols(raw[k], lut, blank)
-        grams.append((s[3:], s[2:-1], s[1:-2] * size + s[2:-1], (s[:-3] * size + s[1:-2]) * size + s[2:-1]))
+        own = np.concatenate([np.r_[[False] * 3, np.ones(len(t), bool)] for t in raw[k]])[3:]
+        grams.append(tuple(x[own] for x in (s[3:], s[2:-1], s[1:-2] * size + s[2:-1], (s[:-3] * size + s[1:-2]) * size + s[2:-1])))
     every = [None, np.arange(size)]
     for order in (2, 3):
         context, count = np.unique(np.concatenate([g[order] for g in grams]), return_counts=True)
