@@ -368,7 +368,7 @@ def meta_merge(spark: SparkSession, sf: str) -> DataFrame:
     return part.select("p_partkey", meta.alias("m")).select("p_partkey", get("brand"), get("type"), get("name"))
 
 
-@query("SELECT kind, CASE WHEN c >= 0.8 THEN least(0.9, c) ELSE c END AS confidence FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'static' WHEN 'N' THEN 'cast' ELSE 'interface' END AS kind, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.8 ELSE 0.6 END AS c FROM lineitem) GROUP BY ALL")
+@query("SELECT kind, CASE WHEN c >= 0.8 THEN least(CAST(0.9 AS DOUBLE), c) ELSE c END AS confidence FROM (SELECT CASE l_returnflag WHEN 'A' THEN 'static' WHEN 'N' THEN 'cast' ELSE 'interface' END AS kind, CASE l_returnflag WHEN 'A' THEN CAST(1.0 AS DOUBLE) WHEN 'N' THEN 0.8 ELSE 0.6 END AS c FROM lineitem) GROUP BY ALL")
 def confidence_chain(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("l_returnflag") == "A", "static").when(F.col("l_returnflag") == "N", "cast").otherwise("interface")
     rows = table(spark, sf, "lineitem").select(kind.alias("kind")).distinct()
@@ -416,7 +416,7 @@ _REQ = r"WITH q AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'P
 
 
 @query(_REQ + """, x AS (SELECT q.page_id, q.verb, q.url, (SELECT 'route:' || r.verb || ' ' || r.uri FROM r WHERE r.verb = q.verb AND r.uri = q.url) AS exact, (SELECT list('route:' || r.verb || ' ' || r.uri ORDER BY r.verb) FROM r WHERE r.uri = q.url) AS every FROM q)
-SELECT CAST(page_id AS VARCHAR) AS path, verb, url, coalesce(exact, CASE WHEN len(every) = 1 THEN every[1] END) AS key, CASE WHEN exact IS NOT NULL THEN 1 ELSE len(every) END AS n FROM x WHERE every IS NOT NULL""")
+SELECT CAST(page_id AS VARCHAR) AS path, verb, url, coalesce(exact, CASE WHEN len(every) = 1 THEN every[1] END) AS key, CAST(CASE WHEN exact IS NOT NULL THEN 1 ELSE len(every) END AS INTEGER) AS n FROM x WHERE every IS NOT NULL""")
 def request_route_match(spark: SparkSession, sf: str) -> DataFrame:
     """Pages' first path parts as requests against a small route table."""
     verb = F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST")
