@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, near_dedup, token_files, toxicity, url_filter
+from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, near_dedup, oracles, token_files, toxicity, url_filter
 from strandline.llm.common import fresh_path, held_out, load
 
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.oracle()}
+    return oracles.oracle_sql()
