@@ -143,6 +143,8 @@ def _pack(values: np.ndarray, sizes: np.ndarray) -> bytes:
     """Values of `sizes` bits each, one after the other, the highest bit first."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return b""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     left = ends[owner] - np.arange(total) - 1
     return np.packbits(((values[owner] >> left) & 1).astype(np.uint8)).tobytes()
@@ -163,12 +165,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
 
 def _encode_lanes(ids: np.ndarray, block: int, bits: int) -> list[tuple[bytes, bytes]]:
     lanes = -(-len(ids) // block)
-    index = np.full(lanes * block, -1, np.int64)
+    index = np.full(lanes * block, -1, np.int32)
     index[: len(ids)] = _listing(ids, block)
-    grid = np.zeros(lanes * block, np.int64)
+    grid = np.zeros(lanes * block, np.int32 if bits < 32 else np.int64)
     grid[: len(ids)] = ids
     # what an escape would code: its bucket, and the plain bits behind it
-    buckets = np.where(index < 0, _NEW, np.minimum(np.frexp((index + 1).astype(float))[1] - 1, _NEW - 1))
+    buckets = np.where(index < 0, _NEW, np.minimum(np.frexp((index + 1).astype(np.float32))[1] - 1, _NEW - 1)).astype(np.int8)
     turned = lambda x: np.ascontiguousarray(x.reshape(lanes, block).T)
     escapes = np.zeros((block, lanes), bool)
     ids_at, bucket_at = turned(grid), turned(buckets)
@@ -187,7 +189,7 @@ def _encode_lanes(ids: np.ndarray, block: int, bits: int) -> list[tuple[bytes, b
         symbol = np.where(x == model.guess[1], 0, np.where((x == model.guess[0]) & (model.hit1 > 0), 1, 2))
         escaped = np.flatnonzero(symbol == 2)
         escapes[t, escaped] = True
-        bucket = bucket_at[t].take(escaped)
+        bucket = bucket_at[t].take(escaped).astype(np.int64)
         bounds, line = model.bounds(escaped), np.arange(len(escaped))
         start = model.hit2 * (symbol > 0)
         freq = np.where(symbol == 0, model.hit2, model.hit1)
@@ -212,11 +214,13 @@ def _encode_lanes(ids: np.ndarray, block: int, bits: int) -> list[tuple[bytes, b
         out[np.arange(lanes), size] = low >> np.uint64(48)
         low <<= np.uint64(16)
         size += 1
-    plain = np.ascontiguousarray(escapes.T).ravel()
-    sizes = np.where(plain, np.where(buckets == _NEW, bits, buckets), 0)
-    values = np.where(index < 0, grid, index + 1 - (1 << np.minimum(buckets, 30)))
-    cut = lambda k: slice(k * block, (k + 1) * block)
-    return [(out[k, : size[k]].astype("<u2").tobytes(), _pack(values[cut(k)], sizes[cut(k)])) for k in range(lanes)]
+    parts = []
+    for k in range(lanes):
+        own = np.arange(k * block, (k + 1) * block)[escapes[:, k]]
+        b, i = buckets[own].astype(np.int64), index[own].astype(np.int64)
+        values = np.where(i < 0, grid[own], i + 1 - (np.int64(1) << np.minimum(b, 30)))
+        parts.append((out[k, : size[k]].astype("<u2").tobytes(), _pack(values, np.where(b == _NEW, bits, b))))
+    return parts
 
 
 def decode(payload: bytes) -> np.ndarray:

@@ -64,8 +64,7 @@ class PieceEncoder:
     def __init__(self, path: str):
         self.library = _library(path)
         self.known: dict[str, int] = {}
-        self.ids, self.start, self.size = [np.zeros(0, np.int32)], [], []
-        self.length = 0
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, sizes) of distinct pieces."""
@@ -74,12 +73,12 @@ class PieceEncoder:
         found = [e.ids for e in self.library.encode_batch_fast([pieces[k] for k in new], add_special_tokens=False)] if new else []
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
-        pool = np.concatenate([*self.ids, flat])
+        pool = np.concatenate([self.ids, flat])
         starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        old = [k for k, n in enumerate(number) if n >= 0]
-        at = np.array([number[k] for k in old], np.int64)
-        if old:
-            starts[old], sizes[old] = np.array(self.start)[at], np.array(self.size)[at]
+        numbers = np.array(number, np.int64)
+        old = np.flatnonzero(numbers >= 0)
+        if len(old):
+            starts[old], sizes[old] = self.start[numbers[old]], self.size[numbers[old]]
         first = len(pool) - len(flat) + np.cumsum(size) - size
         starts[new], sizes[new] = first, size
         room = MEMORY - len(self.known)
@@ -89,9 +88,8 @@ class PieceEncoder:
                 self.known[pieces[k]] = len(self.start) + j
             total = int(size[: len(keep)].sum())
             begin = len(pool) - len(flat)
-            self.ids = [pool[: begin + total]]
-            self.start = np.r_[np.array(self.start, np.int64), first[: len(keep)]]
-            self.size = np.r_[np.array(self.size, np.int64), size[: len(keep)]]
+            self.ids = pool[: begin + total].copy()
+            self.start, self.size = np.r_[self.start, first[: len(keep)]], np.r_[self.size, size[: len(keep)]]
         return pool, starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +135,12 @@ class PieceEncoder:
         return flat, count
 
 
+@lru_cache(maxsize=1)
+def piece_encoder(path: str) -> PieceEncoder:
+    """One for all tasks of a worker, so that pieces stay known."""
+    return PieceEncoder(path)
+
+
 def with_end(ids: np.ndarray, count: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The end id behind each text's ids."""
     stops = np.cumsum(count)
@@ -147,7 +151,7 @@ def container_rows(docs: DataFrame, path: str, end_id: int = 0, text: str = "tex
     """The rows of the token files, in order of doc_id over parts and within."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, done = PieceEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, done = piece_encoder(path), TaskContext.get().partitionId(), 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
