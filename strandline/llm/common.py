@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that one vectorised step works on; a longer single text is a step of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

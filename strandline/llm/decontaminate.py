@@ -32,7 +32,7 @@ THRESHOLD = 0.6
 #: Words of all items that are sent to every task (some 100 MB with their seeds).
 BROADCAST_WORDS = 3_000_000
 
-_STEP = 4 << 20
+_STEP = 2 << 20
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 _BASE = np.uint64(0xD1342543DE82EF95)

@@ -116,22 +116,22 @@ def train(samples: dict[str, list[str]]) -> Model | None:
         count = np.bincount(s, minlength=size).astype(float)
         t, d = count.sum(), (count > 0).sum()
         p = np.where(count > 0, count / (t + d), d / (t + d) / size)[None, :]
-        tables[0].append(p)
+        tables[0].append(p.astype(np.float32))
         for order in (1, 2, 3):
             rows, wanted = contexts[order - 1], every[order]
             at = np.minimum(np.searchsorted(wanted, rows), len(wanted) - 1)
             hit = wanted[at] == rows if len(wanted) else np.zeros(len(rows), bool)
-            count = np.bincount(at[hit] * size + s[hit], minlength=len(wanted) * size).reshape(-1, size).astype(float)
+            count = np.bincount(at[hit] * size + s[hit], minlength=len(wanted) * size).reshape(-1, size).astype(np.float32)
             t, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
             shorter = wanted % size ** (order - 1)
             lower = tables[order - 1][-1][np.searchsorted(every[order - 1], shorter) if order > 1 else np.zeros(len(wanted), int)]
             with np.errstate(invalid="ignore", divide="ignore"):
                 p = np.where(count > 0, count / (t + d), d / (t + d) * lower)
-            tables[order].append(np.where(t > 0, p, lower))
+            tables[order].append(np.where(t > 0, p, lower).astype(np.float32))
 
     first = np.cumsum([0, *(len(tables[o][0]) for o in range(4))])
     cost = np.stack([np.concatenate([tables[o][i] for o in range(4)]) for i in range(len(languages))], axis=-1)
-    three = np.arange(size**3)
+    three = np.arange(size**3, dtype=np.int32)
     row = (first[1] + three % size).astype(np.int32)
     for order in (2, 3):
         known = np.full(size**order, -1, np.int32)

@@ -44,7 +44,7 @@ PERCENT = 75
 #: At most so many ids of candidates are sent to all executors (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
-_STEP = 2 << 20
+_STEP = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32

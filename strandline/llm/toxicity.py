@@ -48,7 +48,7 @@ SPAN = 5
 DECAY = 0.6
 FLOOR = -1.0
 #: Bytes worked on at once (a longer text is one step).
-STEP = 2 << 20
+STEP = 1 << 20
 
 _LETTERS = 60  # 0 unused, 1-26 a-z, 27-58 Latin-1 letters by their second byte, 59 any other letter
 _OFFSETS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
