@@ -227,12 +227,12 @@ def resolution_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.resolution_histogram(edges(spark, sf))
 
 
-_OPEN = "SELECT event_id AS id, 'src/' || event_type || '.php' AS file, event_type AS member FROM events WHERE event_id % 3 = 0"
+_OPEN = "SELECT event_id AS id, 'src/' || event_type || '.php' AS file, event_type AS member FROM events"
 
 
 def _open(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third event as an unresolved reference of the testbed."""
-    return table(spark, sf, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.concat(F.lit("src/"), F.col("event_type"), F.lit(".php")).alias("file"), F.col("event_type").alias("member"))
+    """Events as unresolved references of the testbed."""
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("src/"), F.col("event_type"), F.lit(".php")).alias("file"), F.col("event_type").alias("member"))
 
 
 @query(f"SELECT * FROM ({_OPEN}) WHERE file ILIKE '%CLICK%' ORDER BY id DESC LIMIT 50")
@@ -314,13 +314,14 @@ def diff_files(spark: SparkSession, sf: str) -> DataFrame:
     return store.changed_files(*_snapshots(spark, sf))
 
 
-@query(f"{_CHANGED}, deps AS (SELECT 'doc/' || doc_id AS path, unnest([source, lang]) AS symbol FROM documents), sym AS (SELECT DISTINCT source AS symbol FROM documents JOIN ch ON ch.path = 'doc/' || doc_id WHERE status = 'changed' AND doc_id % 39 = 0) SELECT DISTINCT path FROM deps WHERE symbol IN (SELECT symbol FROM sym) AND path NOT IN (SELECT path FROM ch WHERE status IS NOT NULL)")
+@query(f"{_CHANGED}, deps AS (SELECT 'doc/' || doc_id AS path, unnest([source || ':' || lang, 'size:' || n_chars]) AS symbol FROM documents), sym AS (SELECT DISTINCT 'size:' || n_chars AS symbol FROM documents JOIN ch ON ch.path = 'doc/' || doc_id WHERE status = 'changed') SELECT DISTINCT path FROM deps WHERE symbol IN (SELECT symbol FROM sym) AND path NOT IN (SELECT path FROM ch WHERE status IS NOT NULL)")
 def affected_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files that depend on the source of a changed document whose number 39 divides: the edit of the testbed."""
+    """Unchanged documents of the same size as a changed one: every document depends on its size as a symbol."""
     changed = store.changed_files(*_snapshots(spark, sf))
     docs = table(spark, sf, "documents").withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id")))
-    deps = docs.select("path", F.explode(F.array("source", "lang")).alias("symbol"))
-    symbols = docs.where("doc_id % 39 = 0").join(changed.where("status = 'changed'"), "path", "left_semi").select(F.col("source").alias("symbol")).distinct()
+    size = F.concat(F.lit("size:"), F.col("n_chars"))
+    deps = docs.select("path", F.explode(F.array(F.concat("source", F.lit(":"), "lang"), size)).alias("symbol"))
+    symbols = docs.join(changed.where("status = 'changed'"), "path", "left_semi").select(size.alias("symbol")).distinct()
     return store.affected_files(deps, symbols, changed)
 
 
