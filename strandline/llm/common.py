@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -137,15 +136,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Drop a table when the driver's Python ends, for tables that a returned plan still reads."""
-
-    def end() -> None:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session is gone already: the folder is the cluster's to clean
-            pass
-
-    atexit.register(end)
