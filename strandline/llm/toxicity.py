@@ -284,13 +284,18 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
             if s.strip():
                 sentences.append(s)
                 of.append(i)
-    of_text = np.array(of)
-    w = windows(*joined(sentences))[0]
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.r_[w.start, len(w.letters)].astype(np.int64)), pa.py_buffer(w.letters)]).dictionary_encode()
-    ids, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
-    known = set(names)
+    of_text = np.array(of, np.int64)
+    number: dict[bytes, int] = {}
+    pairs = []  # (window, text), each once; worked on in steps, as the arrays of a step are many times its text
+    for lo in range(0, len(sentences), 4000):
+        w = windows(*joined(sentences[lo : lo + 4000]))[0]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.r_[w.start, len(w.letters)].astype(np.int64)), pa.py_buffer(w.letters)]).dictionary_encode()
+        ids = np.array([number.setdefault(x, len(number)) for x in coded.dictionary.to_pylist()], np.int64)
+        pairs.append(np.unique(ids[np.asarray(coded.indices)] * len(texts) + of_text[lo + w.owner]))
+    names, known = list(number), number
+    del sentences, w, coded
     # in how many texts of each label a window occurs, each text once
-    pair = np.unique(ids.astype(np.int64) * len(texts) + of_text[w.owner])
+    pair = np.unique(np.concatenate(pairs))
     toxic = y[pair % len(texts)]
     n1 = np.bincount(pair // len(texts), toxic, len(names))
     n0 = np.bincount(pair // len(texts), 1 - toxic, len(names))
