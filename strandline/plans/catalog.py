@@ -1,11 +1,9 @@
-"""All registered queries of the library proper, each with its SQL for the oracle where SQL can say it.
+"""Queries of the graph, of stored tables and of texts.
 
 Graph queries run over the testbed graph of the star schema, over whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,38 +11,14 @@ from strandline.functions.keys import base_confidence, chained
 from strandline.functions.text import namespace, normalise_path, short_name, slugify
 from strandline.operators import analysis, lookup, store, summaries, traverse
 from strandline.plans import testbed
+from strandline.plans.registry import query
 from strandline.plans.testbed import edges, nodes, table
 from strandline.sources import scripts
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 FUNCTION = "function:Supplier#000000001"
 METHOD_CLASS = "class:Geo\\NATION_7"
 HUB = "external:2-HIGH"
 
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, graph: bool = False):
-    """Register a query under its function's name; graph: its SQL starts from the testbed's tables."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _ORACLES[f.__name__] = f"WITH RECURSIVE {testbed.SQL}{sql}" if graph else sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
-
 
 # counts
 
