@@ -4,21 +4,28 @@ Words are runs of letters, digits, dots and hyphens between them, and non-ASCII
 A template's telling words are those outside COMMON. In a text, places of telling words that lie no further
 apart than the template is long form a stretch; stretches whose distinct telling words could not reach the
 threshold are dropped, and the others are aligned in a window that the template's length widens on both sides.
+A window with words enough for two copies is split first: from left to right, the copy that ends first is taken
+and begins as late as it can, copies being template words in order, no further apart than the template is long
+and as many as the threshold asks for. So no other choice holds more copies that do not overlap. Each is
+aligned in the words that its neighbours leave to it.
 
 Patience alignment: words that occur once in the window and once in the template are anchors; the longest
 increasing subsequence of the anchors in both orders is kept, and the gaps between kept anchors are aligned in
-the same way. A gap without an anchor is matched word by word from both of its ends. Coverage is the share of
-the template's words that are matched, and from THRESHOLD on the stretch is a find.
+the same way. A gap without an anchor is matched word by word from both of its ends, and what is left of it by
+a longest common subsequence. Coverage is the share of the template's words that are matched, and from
+THRESHOLD on the stretch or the copy is a find.
 
-Null and empty texts have no finds; a text has a row for every stretch found, with the template that fits it best; repeated rows are
+Null and empty texts have no finds; a text has a row for every find, with the template that fits it best; repeated rows are
 scanned each; extra columns are not read. A map without shuffle; templates are a short list of parameters."""
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -69,6 +76,26 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists."""
+    above, took = [0] * (len(b) + 1), []
+    for x in a:
+        row, from_ = [0], bytearray(len(b) + 1)  # 1: the pair, 2: without x, 0: without b's word
+        for j, y in enumerate(b):
+            pair = x == y
+            from_[j + 1] = 1 if pair else 2 if above[j + 1] >= row[j] else 0
+            row.append(above[j] + 1 if pair else max(above[j + 1], row[j]))
+        took.append(from_)
+        above = row
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        step = took[i - 1][j]
+        if step == 1:
+            out.append((i - 1, j - 1))
+        i, j = i - (step > 0), j - (step < 2)
+    return out[::-1]
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places (in a, in b) of the patience alignment, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -95,6 +122,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             out.append((a1, b1))
+        if a0 < a1 and b0 < b1:
+            out += [(a0 + i, b0 + j) for i, j in common(a[a0:a1], b[b0:b1])]
     return sorted(out)
 
 
@@ -107,6 +136,49 @@ class Template:
         self.name, self.words = name, words_of(text)
         self.telling = {w for w in self.words if w not in COMMON} or set(self.words)
         self.common = sum(w not in self.telling for w in self.words)
+        self.places: dict[str, list[int]] = {}
+        for j, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(j)
+
+
+def copies(words: list[str], t: Template, need: int) -> list[tuple[int, int]]:
+    """(first word, last word) of as many copies of `need` words as fit without overlap, each as short as it can be."""
+    n = len(t.words)
+    # for each of the last n words, the template's word it is matched with, and a number of matches: the latest start
+    starts = np.full((n, n, need + 1), -1, np.int64)
+    out = []
+    for i, w in enumerate(words):
+        new = np.full((n, need + 1), -1, np.int64)
+        for j in t.places.get(w, ()):
+            new[j, 1] = i
+            if j:
+                new[j, 2:] = starts[:, :j, 1:-1].max((0, 1))
+        starts[i % n] = new
+        if (first := int(new[:, need].max())) >= 0:
+            out.append((first, i))
+            starts[:] = -1
+    return out
+
+
+def finds(words: list[str], t: Template, threshold: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(start, pairs from there on) of every find of a template in a stretch's window."""
+    n = len(t.words)
+    need = max(1, math.ceil(threshold * n))
+    split = copies(words, t, need) if sum(w in t.places for w in words) >= 2 * need else []
+    if len(split) < 2:  # also words that lie further apart than those of copies()
+        pairs = align(words, t.words)
+        if len(pairs) >= threshold * n:
+            yield 0, pairs
+            return
+        split = split or copies(words, t, need)
+    done = 0
+    for (first, last), (end, _) in zip(split, [*split[1:], (len(words), 0)]):
+        lo = max(done, first - n)
+        pairs = align(words[lo : min(end, last + n + 1)], t.words)
+        if len(pairs) < need:  # anchors among the words around it or out of order
+            lo, pairs = first, common(words[first : last + 1], t.words)
+        yield lo, pairs
+        done = lo + pairs[-1][0] + 1
 
 
 def scan(text: str, templates: list[Template], threshold: float = THRESHOLD) -> list[tuple[str, float, int, int, int]]:
@@ -124,13 +196,12 @@ def scan(text: str, templates: list[Template], threshold: float = THRESHOLD) ->
             found = {words[i] for i in places[k:m]}
             if sum(w in found for w in t.words) + t.common >= threshold * n:
                 lo, hi = max(0, places[k] - n), min(len(words), places[m - 1] + n + 1)
-                pairs = align(words[lo:hi], t.words)
-                if len(pairs) >= threshold * n:
-                    out.append((t.name, len(pairs) / n, len(pairs), lo + pairs[0][0], lo + pairs[-1][0]))
+                for at, pairs in finds(words[lo:hi], t, threshold):
+                    out.append((t.name, len(pairs) / n, len(pairs), lo + at + pairs[0][0], lo + at + pairs[-1][0]))
             k = m
-    # where finds overlap, the one that covers its template best is kept: more words on a tie, then the name
+    # where finds overlap, the one that covers its template best is kept: more words on a tie, then fewer foreign ones, then the name
     kept: list[tuple[str, float, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (-x[1], -x[2], x[0], x[3])):
+    for x in sorted(out, key=lambda x: (-x[1], -x[2], x[4] - x[3], x[0], x[3])):
         if all(x[4] < y[3] or x[3] > y[4] for y in kept):
             kept.append(x)
     return sorted(kept, key=lambda x: (x[3], x[0]))

@@ -166,6 +166,23 @@ def test_patience_alignment_is_monotone():
     assert len(license_scan.align(["x", *words[:10], "y", *words[10:]], words)) == 30
 
 
+def test_licenses_that_stand_close_together(spark):
+    known = [license_scan.Template(k, v) for k, v in license_scan.TEMPLATES.items()]
+    for name, notice in license_scan.TEMPLATES.items():
+        n = len(license_scan.words_of(notice))
+        for text, steps in ((f"foo {notice}. {notice}. bar", (n, n)), (" ".join(f"photo {k} {notice}." for k in range(40)), (n + 2,) * 40)):
+            first = 1 if text[0] == "f" else 2
+            assert license_scan.scan(text, known) == [(name, 1.0, n, first + k * step, first + k * step + n - 1) for k, step in enumerate(steps)]
+    texts = ["Released under the MIT License, Released under the new MIT License, under the MIT License. Licensed under CC BY 4.0, Released under the MIT License"]
+    got = license_scan.scan_licenses(documents(spark, texts)).select("first_word", "last_word", "license", "matched_words").collect()
+    assert sorted(map(tuple, got)) == [(0, 4, "MIT", 5), (5, 10, "MIT", 5), (11, 14, "MIT", 4), (15, 19, "CC-BY-4.0", 5), (20, 24, "MIT", 5)]
+
+
+def test_gap_without_anchor_is_matched_by_a_common_subsequence():
+    assert len(license_scan.align(list("xabcabcy"), list("abc"))) == 3
+    assert license_scan.common(list("xaybzc"), list("abc")) == [(1, 0), (3, 1), (5, 2)]
+
+
 # 6
 
 
