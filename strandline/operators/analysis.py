@@ -16,6 +16,8 @@ ELIGIBLE = ("class", "method", "route", "view", "function")
 
 PERCENTILE = 0.99
 SAME = 1e-9
+#: Turns of one level of communities() after which it gives up with an error.
+TURNS = 1000
 
 
 def eligible(nodes: DataFrame) -> DataFrame:
@@ -75,7 +77,9 @@ def bridges(weights: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def _moves(state: DataFrame, links: DataFrame, strength: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """state (id, c) after nodes of one half (by hash and turn) went to the best community next to them."""
+    """(id, c, wants): state (id, c) after those nodes of one half (by hash and turn) that gain went to the best community
+    next to them; wants: whether a node gains, in the half or not. A move to an equal one is not made: nodes that
+    move at the same time would hand such moves on along a chain, a turn for each of its nodes."""
     at = state.join(strength, "id")
     sums = at.groupBy("c").agg(F.sum("k").alias("tot"))
     near = links.join(state.select(F.col("id").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("kin"))
@@ -88,20 +92,20 @@ def _moves(state: DataFrame, links: DataFrame, strength: DataFrame, total: float
         F.min("c").alias("c"), F.min_by("to", F.struct(-F.col("gain"), "to")).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("own")
     )
     turn_of = F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn, F.lit(2)) == 0
-    go = turn_of & ((F.col("top") > F.col("own") + SAME) | ((F.abs(F.col("top") - F.col("own")) <= SAME) & (F.col("to") < F.col("c"))))
-    return best.select("id", F.when(go, F.col("to")).otherwise(F.col("c")).alias("c"), go.alias("moved"))
+    wants = F.col("top") > F.col("own") + SAME
+    return best.select("id", F.when(turn_of & wants, F.col("to")).otherwise(F.col("c")).alias("c"), wants.alias("wants"))
 
 
-def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, sweeps: int = 5, levels: int = 4) -> DataFrame:
+def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, turns: int = TURNS) -> DataFrame:
     """(id, community) by greedy modularity: nodes go to the neighbouring community with the largest gain, half
-    of them at a time, until none gains or `sweeps` are over; communities become nodes of the next level, until
-    their number stays. A community is named by its least member. ids: (id); weights: (a, b, w), loops allowed.
+    of them at a time, until none gains; communities become nodes of the next level, until their number stays. A
+    level that has not come to rest after `turns` raises an error. A community is named by its least member. ids:
+    (id); weights: (a, b, w), loops allowed.
 
     Each turn is a few joins and grouped sums over the edges, so a component may be as large as the graph."""
     membership = cut(ids.select("id", F.col("id").alias("community")))
     weights = cut(weights)
-    while levels > 0:
-        levels -= 1
+    while True:
         links = both_ways(weights.where("a <> b"))
         loops = weights.where("a = b").groupBy(F.col("a").alias("id")).agg((2 * F.sum("w")).alias("k"))
         nodes = membership.select(F.col("community").alias("id")).distinct()
@@ -110,13 +114,14 @@ def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, swe
         total = strength.agg(F.sum("k")).first()[0] or 0
         if total <= 0:
             break
-        state, quiet = cut(nodes.select("id", F.col("id").alias("c"))), 0
-        for turn in range(2 * sweeps):
+        state, turn = cut(nodes.select("id", F.col("id").alias("c"))), 0
+        while True:
             step = cut(_moves(state, links, strength, float(total), resolution, turn))
-            state = step.select("id", "c")
-            quiet = 0 if not step.where("moved").isEmpty() else quiet + 1
-            if quiet == 2:
+            if step.where("wants").isEmpty():
                 break
+            state, turn = step.select("id", "c"), turn + 1
+            if turn == turns:
+                raise RuntimeError(f"communities: nodes still gain after {turns} turns of a level")
         least = state.groupBy("c").agg(F.min("id").alias("name"))
         state = cut(state.join(least, "c").select("id", F.col("name").alias("c")))
         before, after = nodes.count(), state.select("c").distinct().count()

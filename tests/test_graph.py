@@ -1,5 +1,8 @@
 """Walks, lookups, store and analysis on small graphs with known answers."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import analysis, lookup, store, traverse
@@ -91,6 +94,77 @@ def test_communities(spark):
     assert dict(analysis.communities(ids(99), weights()).collect()) == {99: 99}
 
 
+def sequential(n, pairs):
+    """Communities of nodes 0 to n - 1 one node at a time, without a cap."""
+    own, links = list(range(n)), {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            links.setdefault(x, {})[y] = links.get(x, {}).get(y, 0) + 1
+    m = len(pairs)
+    while True:
+        c, k = {x: x for x in links}, {x: sum(w for w in links[x].values()) for x in links}
+        tot, moved = dict(k), True
+        while moved:
+            moved = False
+            for x in sorted(links):
+                near = {c[x]: 0}
+                for y, w in links[x].items():
+                    if y != x:
+                        near[c[y]] = near.get(c[y], 0) + w
+                tot[c[x]] -= k[x]
+                best = min(near, key=lambda y: (-round(near[y] / m - tot[y] * k[x] / (2 * m * m), 9), y))
+                tot[best] += k[x]
+                moved, c[x] = moved or best != c[x], best
+        own = [c.get(x, x) for x in own]
+        if len(set(c.values())) == len(c):
+            return own
+        merged = {}
+        for x, near in links.items():
+            for y, w in near.items():
+                row = merged.setdefault(c[x], {})
+                row[c[y]] = row.get(c[y], 0) + w
+        links = merged
+
+
+def modularity(found, pairs):
+    inside, tot = sum(found[a] == found[b] for a, b in pairs), {}
+    for x in (x for p in pairs for x in p):
+        tot[found[x]] = tot.get(found[x], 0) + 1
+    return inside / len(pairs) - sum(t * t for t in tot.values()) / (4 * len(pairs) ** 2)
+
+
+def gaining_merges(found, pairs):
+    """Pairs of communities that would gain by becoming one: none where no level is left out."""
+    between, tot, m = {}, {}, len(pairs)
+    for a, b in pairs:
+        a, b = found[a], found[b]
+        for x in (a, b):
+            tot[x] = tot.get(x, 0) + 1
+        if a != b:
+            between[min(a, b), max(a, b)] = between.get((min(a, b), max(a, b)), 0) + 1
+    return [p for p, w in between.items() if w / m - tot[p[0]] * tot[p[1]] / (2 * m * m) > 2e-9]
+
+
+@pytest.mark.parametrize("kind", ["chain", "groups"])
+def test_communities_come_to_rest(spark, kind):
+    n, rng = {"chain": 2000, "groups": 600}[kind], random.Random(5)
+    pairs = [(i, i + 1) for i in range(n - 1)]
+    if kind == "groups":
+        pairs = sorted({(min(p), max(p)) for i in range(n) for j in range(4) if (p := (i, i // 30 * 30 + rng.randrange(30) if j else rng.randrange(n))) and p[0] != p[1]})
+    ids, weights = spark.range(n), spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, w long")
+    found = dict(analysis.communities(ids, weights).collect())
+    plain = sequential(n, pairs)
+    assert gaining_merges(plain, pairs) == [] and gaining_merges(found, pairs) == []
+    assert len(found) == n and modularity(found, pairs) > modularity(plain, pairs) - 0.02
+    assert len(set(found.values())) < 1.5 * len(set(plain))
+
+
+def test_communities_do_not_stop_early(spark):
+    weights = spark.createDataFrame([(i, i + 1, 1) for i in range(50)], "a long, b long, w long")
+    with pytest.raises(RuntimeError, match="still gain"):
+        analysis.communities(spark.range(51), weights, turns=1)
+
+
 def test_hub_threshold(spark):
     d = spark.createDataFrame([(str(i), "class", i) for i in range(100)], "key string, type string, degree long")
     assert analysis.hub_threshold(d, 0.99) == 99
