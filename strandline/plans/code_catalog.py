@@ -237,6 +237,42 @@ def mention_targets(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({"keys": F.array_join("keys", " "), "matches": F.array_join("matches", " ")})
 
 
+def _mentioning(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a mention for every lookup: table, file, class by its name and by its short name, view, route."""
+    k, j = c("page_id").cast("string"), (c("page_id") % 10 + 1).cast("string")
+    text = F.concat(lit("# All\n`part_"), k, lit("` and `geo/NATION_"), (c("page_id") % 25).cast("string"), lit(".php`, Sup\\S"), j, lit(" or S"), j, lit(" with page.p"), j, lit("\nat /europe\n"))
+    return markdown.mentions(markdown.sections(table(spark, sf, "pages").select(F.concat(lit("pages/"), k, lit(".md")).alias("path"), text.alias("content"))))
+
+
+def _mentioned(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph, classes whose names are words, every second short name twice, and views."""
+    k = c("s_suppkey").cast("long")
+    extra = lambda rows, type_, prefix: rows.select(numbered(f"{type_}:{prefix}", k).alias("key"), lit(type_).alias("type"), numbered(prefix, k).alias("name"), *[lit(None).cast(t).alias(x) for x, t in (("file", "string"), ("is_project", "boolean"), ("kind", "string"))])
+    rows = table(spark, sf, "supplier")
+    return nodes(spark, sf).unionByName(extra(rows, "class", "Sup\\S")).unionByName(extra(rows.where(k % 2 == 0), "class", "Alt\\S")).unionByName(extra(rows, "view", "page.p"))
+
+
+_MENTIONS = r"""pg AS (SELECT 'pages/' || page_id || '.md' AS path, page_id AS k, page_id % 10 + 1 AS j FROM pages),
+said AS (SELECT path, 'part_' || k AS text, true AS backticked, 'table' AS match, 'table:part_' || k AS key FROM pg
+  UNION ALL SELECT path, 'geo/NATION_' || (k % 25) || '.php', true, 'file', 'file:geo/NATION_' || (k % 25) || '.php' FROM pg
+  UNION ALL SELECT path, 'Sup\S' || j, false, 'class', 'class:Sup\S' || j FROM pg UNION ALL SELECT path, 'S' || j, false, 'class', 'class:Sup\S' || j FROM pg UNION ALL SELECT path, 'S' || j, false, 'class', 'class:Alt\S' || j FROM pg
+  UNION ALL SELECT path, 'page.p' || j, false, 'view', 'view:page.p' || j FROM pg UNION ALL SELECT path, '/europe', false, 'route_uri', 'route:GET /europe' FROM pg)"""
+
+
+@query(f"WITH {_MENTIONS} SELECT DISTINCT path, 'all' AS anchor, text, backticked FROM said")
+def markdown_mentions_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All mentions of every kind."""
+    return _mentioning(spark, sf)
+
+
+@query(rf""", {_MENTIONS}, known AS (SELECT key FROM nodes UNION ALL SELECT 'class:Sup\S' || s_suppkey FROM supplier UNION ALL SELECT 'class:Alt\S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'view:page.p' || s_suppkey FROM supplier)
+SELECT path, 'all' AS anchor, text, string_agg(key, ' ' ORDER BY key) AS keys, min(match) AS matches FROM said WHERE key IN (SELECT key FROM known) GROUP BY path, text""", graph=True)
+def mention_targets_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes that all mentions mean, by every lookup."""
+    found = markdown.resolve_mentions(_mentioning(spark, sf), _mentioned(spark, sf))
+    return found.withColumns({"keys": F.array_join("keys", " "), "matches": F.array_join("matches", " ")})
+
+
 @query("SELECT 'js/' || page_id || '.js' AS path, x.line, x.verb, x.u || page_id AS url FROM pages, (VALUES (1, 'GET', '/a/'), (2, 'PUT', '/b/'), (3, 'DELETE', '/c/'), (3, 'POST', '/d/'), (4, 'PATCH', '/e/')) x(line, verb, u)")
 def script_requests(spark: SparkSession, sf: str) -> DataFrame:
     k = c("page_id").cast("string")

@@ -70,3 +70,12 @@ def test_stream_of_files(spark, tmp_path):
         stream = spark.readStream.schema("path string, hash string, seen int").json(str(source))
         follow(stream, s, str(tmp_path / "c"), lambda c, k: seen.append(rows(c))).awaitTermination()
     assert seen == [[("a",), ("b",)], [("b",)]] and rows(s.read("files")) == [("a", "1"), ("b", "3")]
+
+
+def test_mentions_resolve_without_a_nested_loop(spark):
+    said = spark.createDataFrame([("p", "a", t, False) for t in ("A\\B", "B", "C", "Z")], "path string, anchor string, text string, backticked boolean")
+    known = spark.createDataFrame([("class:A\\B", "class", "A\\B"), ("class:D\\B", "class", "D\\B"), ("class:C", "class", "C")], "key string, type string, name string")
+    found = markdown.resolve_mentions(said, known)
+    assert sorted((r["text"], r["keys"]) for r in found.collect()) == [("A\\B", ["class:A\\B"]), ("B", ["class:A\\B", "class:D\\B"]), ("C", ["class:C"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
