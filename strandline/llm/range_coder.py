@@ -1,308 +1,389 @@
 """An adaptive context-mixing range coder for token ids, run for many independent blocks in step.
 
-The ids of a block are coded from a fresh state. The order-2 and the order-1 context (the last two ids and the
-last one) each predict the id that followed them last, with a confidence; order 0 is the block's own list of
-ids in order of first appearance. One symbol is coded for an id:
+Orders. Order 0 is the frequency of every id, order 1 the frequency of the ids that follow an id, both gathered
+over the container and kept in its head: every block starts from them. Order 2 is learned by each block: a
+table of the id that followed the last two ids, with a confidence.
 
-    0            it is the order-2 prediction
-    1            it is the order-1 prediction
-    2 + b        it is in the list at index 2^b - 1 .. 2^(b+1) - 2, or new to the block for the last b
+An id is coded by arithmetic coding in up to three parts:
 
-The probability of 0 is a logistic mix of what the confidences of order 2, of order 1 and the block's history
-say, with weights that follow the coding errors; that of 1 goes by the confidence of order 1, and the rest by
-adaptive counts. Bits that no order can tell, those of an index within its bucket and of a new id, stand
-uncoded behind the coded ones. All arithmetic is in integers, so every machine decodes what any other encoded.
+    1. whether it is the guess, which is the order-2 follower, else the commonest order-1 follower. The chance
+       is a logistic mix of what the guess's confidence has meant in this block so far (order 2), of its order-1
+       and of its order-0 frequency, with weights that follow the coding errors;
+    2. if not, the id by its order-1 frequency without the guess, or an escape;
+    3. behind an escape, the id by its order-0 frequency.
+
+Confidences, chances and weights are a block's own and start anew in each. All arithmetic is in integers, so
+every machine decodes what any other encoded.
 
 Blocks are the lanes of numpy arrays: a step codes the next id of every block. Block i holds ids
-i * BLOCK .. (i + 1) * BLOCK - 1 of the sequence, so only the last one is shorter. A container's head has a
-checksum, and each block one of its own."""
+i * BLOCK .. (i + 1) * BLOCK - 1 of the sequence, so only the last one is shorter. The head with the frequencies
+has a checksum, and each block one of its own; a block needs the head and its own bytes only."""
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 
-BLOCK = 2048
-#: Blocks coded in step.
-LANES = 2048
+BLOCK = 1024
+#: Blocks coded in step, at most.
+LANES = 6144
+#: Followers of an id are in the head from so many occurrences on.
+LEAST = 3
 
-_SLOTS = 11  # bits of a context's slot
-_NEW = 13  # the bucket of ids that are new to the block
-_BUCKETS = 14
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_MAGIC = b"SLT1"
-_HEAD = struct.Struct("<4sIQII")  # magic, blocks, ids, bits of a new id, ids of a block
+_SLOTS = 10  # bits of a context's slot
+_SURER = 15  # the highest confidence
+_MAGIC = b"SLT2"
+_HEAD = struct.Struct("<4sIQIII")  # magic, blocks, ids, ids of a block, bytes of the frequencies, checksum of what stands before
+_TOTAL = 1 << 20  # no row of frequencies sums up to more
+_SURE = 128  # a guess's chance is this much of 65536 at least and leaves as much
+_LOW, _SHIFT = 1 << 30, 32  # a width below _LOW moves on by _SHIFT bits
 
 _STRETCH_IN = (np.arange(4096) + 0.5) / 4096
-_STRETCH = np.rint(np.log(_STRETCH_IN / (1 - _STRETCH_IN)) * 256).astype(np.int32)
-_SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256.0))), 48, 65536 - 48).astype(np.int32)
-#: Cumulated frequencies that the bucket counts move to after each bucket; every bucket keeps 16 of 32768.
-_TARGET = np.array([[16 * i + (32768 - 16 * _BUCKETS) * (i > b) for i in range(_BUCKETS + 1)] for b in range(_BUCKETS)], np.int32)
+_STRETCH = np.rint(np.log(_STRETCH_IN / (1 - _STRETCH_IN)) * 256).astype(np.int64)
+_SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256.0))), _SURE, 65536 - _SURE).astype(np.int64)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers of up to 32 bits, their bytes apart, compressed."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+
+
+class Frequencies:
+    """Rows of (symbol, count): row 0 is order 0, the others belong to an id each and end with an escape.
+
+    ids: the ids that occur, ascending; a symbol is a place in them, len(ids) the escape. row_of: each symbol's
+    row (0: it has none). symbol, count, first: the entries of all rows and the counts before each one."""
+
+    def __init__(self, ids: np.ndarray, zero: np.ndarray, sizes: np.ndarray, followers: np.ndarray, counts: np.ndarray, escapes: np.ndarray):
+        self.parts = ids, zero, sizes, followers, counts, escapes
+        self.ids, n = ids, len(ids)
+        own = np.flatnonzero(sizes)
+        self.row_of = np.zeros(n + 1, np.int64)
+        self.row_of[own] = np.arange(1, len(own) + 1)
+        # row 0 has an escape too, which is never coded: so every row has two entries at least
+        length = np.r_[n, sizes[own]] + 1
+        ends = np.cumsum(length)
+        self.start = ends - length
+        entries = int(ends[-1])
+        self.escape = np.zeros(entries, bool)
+        self.escape[ends - 1] = True
+        self.symbol, self.count = np.full(entries, n, np.int64), np.zeros(entries, np.int64)
+        self.symbol[~self.escape], self.count[~self.escape] = np.r_[np.arange(n), followers], np.r_[zero, counts]
+        self.count[self.escape] = np.r_[1, escapes[own]]
+        row = np.repeat(np.arange(len(length)), length)
+        total = np.add.reduceat(self.count, self.start)
+        while (over := total > _TOTAL).any():
+            self.count = np.where(over[row], (self.count + 1) >> 1, self.count)
+            total = np.add.reduceat(self.count, self.start)
+        self.first = np.cumsum(self.count) - self.count
+        self.base, self.total = self.first[self.start], total
+        self.entry_at = np.repeat(np.arange(entries), self.count)
+        self.within = self.first - self.base[row]
+        self.row = np.r_[row, -1]
+        self.top = np.lexsort((-self.count, row))[self.start] << 5 | (_SURER + 1)
+        share = lambda a, b: _STRETCH[np.minimum(4095, a * 4096 // b)]
+        self.one = share(self.count, total[row])
+        common = np.r_[self.count[:n], self.count[self.escape].sum() // len(length) + 1]
+        self.zero = share(common, np.maximum(total[0], common + 1))[self.symbol]
+
+    @classmethod
+    def of(cls, x: np.ndarray, block: int) -> tuple[Frequencies, np.ndarray, np.ndarray]:
+        """The frequencies of a sequence of ids, for each id its symbol, and the entry of its row that codes it."""
+        if len(x) and x.max() < 1 << 22:
+            every = np.bincount(x)
+            ids = np.flatnonzero(every)
+            zero = every[ids]
+            every[ids] = np.arange(len(ids))
+            at = every.take(x)
+        else:
+            ids, at, zero = np.unique(x, return_inverse=True, return_counts=True)
+        n, bits = len(ids), max(1, len(x).bit_length())
+        if n * n >= 1 << (62 - bits):
+            raise ValueError("too many ids for one container")
+        packed = at[:-1] * n
+        packed += at[1:]
+        packed[block - 1 :: block] = n * n  # the first id of a block has none before it
+        packed <<= bits
+        packed |= np.arange(1, max(1, len(x)))
+        packed.sort()
+        packed = packed[: len(x) - -(-len(x) // block)]
+        key, some = packed >> bits, packed & ((1 << bits) - 1)
+        lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        times = np.diff(np.r_[lead, len(key)])
+        before, follower = key[lead] // max(1, n), key[lead] % max(1, n)
+        kept = times >= LEAST
+        sizes = np.bincount(before[kept], minlength=n)
+        escapes = np.bincount(before[~kept], times[~kept], n).astype(np.int64)
+        out = cls(ids, zero, sizes, follower[kept], times[kept], np.where(sizes > 0, np.maximum(1, escapes), 0))
+        entry = at.copy()  # in row 0
+        row = out.row_of[before]
+        number = np.zeros(len(lead), np.int64)
+        number[kept] = np.flatnonzero(~out.escape)[n:]
+        ends = np.flatnonzero(out.escape)
+        own = np.where(kept, number, np.where(row > 0, ends[row], follower))
+        entry[some] = np.repeat(own, times)
+        return out, at, entry
+
+    def to_bytes(self) -> bytes:
+        ids, zero, sizes, followers, counts, escapes = self.parts
+        lead = np.r_[0, np.cumsum(sizes)[:-1]][sizes > 0] if len(sizes) else np.zeros(0, np.int64)
+        steps = np.diff(followers, prepend=0)
+        steps[lead] = followers[lead]
+        data = [_planes(v) for v in (np.diff(ids, prepend=0), zero, sizes, steps, counts, escapes)]
+        return struct.pack("<6I", *map(len, data)) + b"".join(data)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Frequencies:
+        ends = 24 + np.cumsum(struct.unpack_from("<6I", data))
+        ids, zero, sizes, steps, counts, escapes = (_unplanes(data[a:b]) for a, b in zip([24, *ends[:-1]], ends))
+        run = np.cumsum(steps)
+        lead = (np.cumsum(sizes) - sizes)[sizes > 0]
+        followers = run - np.repeat(run[lead] - steps[lead], sizes[sizes > 0])
+        return cls(np.cumsum(ids), zero, sizes, followers, counts, escapes)
 
 
 class _Model:
-    """The state of all lanes. predict() and update() are the same for both directions."""
-
-    def __init__(self, lanes: int, bits: int):
-        self.n, self.row = lanes, np.arange(lanes)
-        kind = np.int32 if bits <= 26 else np.int64
-        self.table = [np.full(lanes << _SLOTS, -1, kind) for _ in (1, 2)]  # order 1, order 2: id << 4 | confidence
-        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # hashes of the ids before
-        self.base = self.row << _SLOTS
-        # probabilities of a hit in 16 bits, by confidence of order 2, of order 1 (and agreement), without either;
-        # the last of order 1's own hit. A lane's cells lie together
-        sizes = (17, 34, 1, 34)
-        self.p = [np.full(lanes * size, 1 << 14, np.int32) for size in sizes]
-        self.at = [self.row * size for size in sizes]
-        self.w = [np.full(lanes, 1 << 15, np.int32) for _ in range(3)]
-        self.bucket_ends = np.tile(np.linspace(0, 32768, _BUCKETS + 1).astype(np.int32), (lanes, 1))
-        self.listed = np.zeros(lanes, np.int64)
-
-    def predict(self) -> None:
-        n = self.n
-        one, base = self.one[:n], self.base[:n]
-        self.slot = [base + (one >> np.uint32(32 - _SLOTS)), base + ((one ^ self.two[:n]) >> np.uint32(32 - _SLOTS))]
-        self.found = [t.take(s) for t, s in zip(self.table, self.slot)]
-        self.guess = [f >> 4 for f in self.found]  # -1: none
-        none1, none2 = self.guess[0] < 0, self.guess[1] < 0
-        sure1, sure2 = ((f & 15) + 1 for f in self.found)
-        sure1 *= ~none1
-        sure2 *= ~none2
-        same = self.guess[0] == self.guess[1]
-        self.index = [self.at[0][:n] + sure2, self.at[1][:n] + sure1 + 17 * same, self.row[:n], self.at[3][:n] + sure1 + 17 * none2]
-        self.old = [p.take(i) for p, i in zip(self.p, self.index)]
-        self.input = [_STRETCH.take(o >> 4) for o in self.old[:3]]
-        dot = sum(w[:n] * x for w, x in zip(self.w, self.input)) >> 16
-        np.clip(dot, -2047, 2047, out=dot)
+    """The state of all lanes, the same for both directions: guess() before an id is coded, learn() behind it."""
+
+    def __init__(self, lanes: int, tables: Frequencies):
+        self.t = tables
+        lane = np.arange(lanes)
+        self.table = np.full(lanes << _SLOTS, len(tables.count) << 5, np.int64)  # entry << 5 | confidence; at first one of no row
+        self.base = lane << _SLOTS
+        self.chance = np.full(lanes * (_SURER + 2), 1 << 14, np.int64)  # by confidence, the last: no order-2 guess
+        self.chance_at = lane * (_SURER + 2)
+        self.weight = [np.full(lanes, w, np.int64) for w in (30000, 30000, 4000)]
+        self.row = np.zeros(lanes, np.int64)
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # hashes of the symbols before
+
+    def guess(self, n: int) -> None:
+        """For the first n lanes: guessed entry and its chance in 65536."""
+        t, row = self.t, self.row[:n]
+        self.slot = self.base[:n] + ((self.one[:n] ^ self.two[:n]) >> np.uint32(32 - _SLOTS))
+        self.found = self.table.take(self.slot)
+        self.follower = self.found >> 5
+        guess = np.where(t.row.take(self.follower) == row, self.found, t.top.take(row))
+        self.guessed = guess >> 5
+        guess &= 31
+        guess += self.chance_at[:n]
+        self.cell = guess
+        self.old = self.chance.take(guess)
+        self.input = _STRETCH.take(self.old >> 4), t.one.take(self.guessed), t.zero.take(self.guessed)
+        dot = self.weight[0][:n] * self.input[0]
+        dot += self.weight[1][:n] * self.input[1]
+        dot += self.weight[2][:n] * self.input[2]
+        dot >>= 16
         dot += 2047
-        self.mixed = _SQUASH.take(dot)
-        hit2 = self.mixed * ~none2
-        hit1 = ((65536 - hit2) * (self.old[3] >> 2) >> 14) * ~(none1 | same)
-        # the rest of the range is 4096 at least, so that every bucket has a place
-        np.minimum(hit2, 57344, out=hit2)
-        np.minimum(hit1, 61440 - hit2, out=hit1)
-        self.hit2, self.hit1, self.rest = hit2, hit1, 65536 - hit2 - hit1
-
-    def bounds(self, lanes: np.ndarray) -> np.ndarray:
-        """Cumulated frequencies of the buckets, scaled to the rest: lanes x (_BUCKETS + 1)."""
-        return self.bucket_ends.take(lanes, axis=0) * (self.rest.take(lanes) >> 1)[:, None] >> 14
-
-    def update(self, ids: np.ndarray, symbol: np.ndarray, lanes: np.ndarray, bucket: np.ndarray) -> None:
-        """lanes: those of symbol 2, with their buckets."""
-        n = self.n
-        y2 = (symbol == 0) * np.int32(65536)
-        for k in range(3):
-            self.p[k][self.index[k]] = self.old[k] + ((y2 - self.old[k]) >> 5)
-        y1 = (symbol == 1) * np.int32(65536)
-        self.p[3][self.index[3]] = self.old[3] + ((y1 - self.old[3]) >> 5) * ((symbol != 0) & (self.hit1 > 0))
-        error = (y2 - self.mixed) >> 2
-        for w, x in zip(self.w, self.input):
-            w[:n] += (x * error) >> 11
-        if len(lanes):
-            ends = self.bucket_ends.take(lanes, axis=0)
-            self.bucket_ends[lanes] = ends + ((_TARGET.take(bucket, axis=0) - ends) >> 5)
-            self.listed[lanes] += bucket == _NEW
-        fresh = ids.astype(self.table[0].dtype) << 4
-        for t, s, g, f in zip(self.table, self.slot, self.guess, self.found):
-            t[s] = np.where(g == ids, f + ((f & 15) < 15), fresh)
-        self.two[:n] = self.one[:n] * np.uint32(0x85EBCA77)
-        self.one[:n] = ids.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
-
-    def shrink(self, n: int) -> None:
-        """The last lane has ended."""
-        self.n = n
-
-
-def _normalised(lo: np.ndarray, wi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes that move 16 bits on, and the widths before they do."""
-    top = (lo ^ (lo + wi)) < _TOP
-    small = (wi < _BOTTOM) & ~top
-    if small.any():
-        wi = np.where(small, (~lo + np.uint64(1)) & (_BOTTOM - np.uint64(1)), wi)
-        top |= small
-    return np.flatnonzero(top), wi
-
-
-def _listing(ids: np.ndarray, width: int) -> np.ndarray:
-    """For every id its index in its block's list, or -1 at its first place."""
-    block = np.arange(len(ids)) // width
-    key = block * (int(ids.max()) + 1) + ids
-    _, first, where = np.unique(key, return_index=True, return_inverse=True)
-    new = np.zeros(len(ids), bool)
-    new[first] = True
-    rank = np.cumsum(new) - 1
-    rank -= rank[block * width]
-    out = rank[first][where]
-    out[first] = -1
-    return out
-
-
-def _pack(values: np.ndarray, sizes: np.ndarray) -> bytes:
-    """Values of `sizes` bits each, one after the other, the highest bit first."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    if not total:
-        return b""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    left = ends[owner] - np.arange(total) - 1
-    return np.packbits(((values[owner] >> left) & 1).astype(np.uint8)).tobytes()
+        self.p = _SQUASH.take(dot, mode="clip")
+
+    def learn(self, n: int, hit: np.ndarray, entry: np.ndarray, symbol: np.ndarray) -> None:
+        """hit: whether the guess was right; entry: of the id in its row; symbol: the id itself."""
+        y = hit * np.int64(65536)
+        step = y - self.old
+        step >>= 4
+        step += self.old
+        self.chance[self.cell] = step
+        y -= self.p
+        y >>= 2
+        for w, x in zip(self.weight, self.input):
+            gain = x * y
+            gain >>= 13
+            w[:n] += gain
+        same = self.follower == entry
+        surer = (self.found & 31 < _SURER) + self.found
+        self.table[self.slot] = np.where(same, surer, entry << 5)
+        np.multiply(self.one[:n], np.uint32(0x85EBCA77), out=self.two[:n])
+        np.multiply(symbol.astype(np.uint32), np.uint32(0x9E3779B1), out=self.one[:n])
+        self.t.row_of.take(symbol, out=self.row[:n], mode="clip")
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """All ids (0 to 2^32 - 1) as one container: a head, a table of blocks, the blocks' bytes."""
+    """All ids (0 to 2^32 - 1) as one container: a head, its frequencies, a table of blocks, the blocks' bytes."""
     ids = np.asarray(ids, np.int64)
     total = len(ids)
-    bits = max(1, int(ids.max()).bit_length()) if total else 1
-    parts: list[tuple[bytes, bytes]] = []
+    tables, symbol, entry = Frequencies.of(ids, block)
+    parts: list[bytes] = []
     for lo in range(0, total, block * LANES):
-        parts += _encode_lanes(ids[lo : lo + block * LANES], block, bits)
-    table = np.array([[len(a), len(b), zlib.crc32(a + b)] for a, b in parts], "<u4").reshape(-1, 3)
-    head = _HEAD.pack(_MAGIC, len(parts), total, bits, block) + table.tobytes()
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(a + b for a, b in parts)
-
-
-def _encode_lanes(ids: np.ndarray, block: int, bits: int) -> list[tuple[bytes, bytes]]:
-    lanes = -(-len(ids) // block)
-    index = np.full(lanes * block, -1, np.int32)
-    index[: len(ids)] = _listing(ids, block)
-    grid = np.zeros(lanes * block, np.int32 if bits < 32 else np.int64)
-    grid[: len(ids)] = ids
-    # what an escape would code: its bucket, and the plain bits behind it
-    buckets = np.where(index < 0, _NEW, np.minimum(np.frexp((index + 1).astype(np.float32))[1] - 1, _NEW - 1)).astype(np.int8)
-    turned = lambda x: np.ascontiguousarray(x.reshape(lanes, block).T)
-    escapes = np.zeros((block, lanes), bool)
-    ids_at, bucket_at = turned(grid), turned(buckets)
-    last = len(ids) - (lanes - 1) * block
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out = np.zeros((lanes, block * 2 + 8), np.uint16)
+        parts += _encode_lanes(tables, symbol[lo : lo + block * LANES], entry[lo : lo + block * LANES], block)
+    held = tables.to_bytes()
+    table = np.array([[len(p), zlib.crc32(p)] for p in parts], "<u4").reshape(-1, 2).tobytes()
+    head = _HEAD.pack(_MAGIC, len(parts), total, block, len(held), zlib.crc32(held + table))
+    return head + struct.pack("<I", zlib.crc32(head)) + held + table + b"".join(parts)
+
+
+def _encode_lanes(t: Frequencies, symbols: np.ndarray, entries: np.ndarray, block: int) -> list[bytes]:
+    lanes = -(-len(symbols) // block)
+    last = len(symbols) - (lanes - 1) * block
+
+    def turned(x: np.ndarray) -> np.ndarray:
+        grid = np.zeros(lanes * block, np.int32)
+        grid[: len(x)] = x
+        return np.ascontiguousarray(grid.reshape(lanes, block).T)
+
+    symbol_at, entry_at = turned(symbols), turned(entries)
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, (1 << 62) - 1, np.int64)
+    out = np.zeros((block + 8, lanes), np.int64)  # digits of 32 bits, with carries above
     size = np.zeros(lanes, np.int64)
-    model = _Model(lanes, bits)
-    for t in range(block):
-        n = lanes if t < last else lanes - 1
+    model = _Model(lanes, t)
+
+    def move(n: int) -> None:
+        nonlocal out
+        at = np.flatnonzero(width[:n] < _LOW)
+        if len(at):
+            value, where = low.take(at), size.take(at)
+            if where.max() >= len(out):
+                out = np.r_[out, np.zeros_like(out)]
+            out[where, at] = value >> 30
+            size[at] = where + 1
+            low[at] = (value & (_LOW - 1)) << _SHIFT
+            width[at] <<= _SHIFT
+
+    for k in range(block):
+        n = lanes if k < last else lanes - 1
         if not n:
             break
-        model.shrink(n)
-        x = ids_at[t, :n]
-        model.predict()
-        symbol = np.where(x == model.guess[1], 0, np.where((x == model.guess[0]) & (model.hit1 > 0), 1, 2))
-        escaped = np.flatnonzero(symbol == 2)
-        escapes[t, escaped] = True
-        bucket = bucket_at[t].take(escaped).astype(np.int64)
-        bounds, line = model.bounds(escaped), np.arange(len(escaped))
-        start = model.hit2 * (symbol > 0)
-        freq = np.where(symbol == 0, model.hit2, model.hit1)
-        first = bounds[line, bucket]
-        start[escaped] += model.hit1.take(escaped) + first
-        freq[escaped] = bounds[line, bucket + 1] - first
-        step = width[:n] >> np.uint64(16)
-        lo, wi = low[:n], width[:n]
-        lo += step * start.astype(np.uint64)
-        wi[:] = step * freq.astype(np.uint64)
-        while True:
-            move, wi = _normalised(lo, wi)
-            if not len(move):
-                break
-            out[move, size[move]] = lo[move] >> np.uint64(48)
-            size[move] += 1
-            lo[move] <<= np.uint64(16)
-            wi[move] <<= np.uint64(16)
-        width[:n] = wi
-        model.update(x, symbol, escaped, bucket)
-    for _ in range(4):
-        out[np.arange(lanes), size] = low >> np.uint64(48)
-        low <<= np.uint64(16)
-        size += 1
-    parts = []
-    for k in range(lanes):
-        own = np.arange(k * block, (k + 1) * block)[escapes[:, k]]
-        b, i = buckets[own].astype(np.int64), index[own].astype(np.int64)
-        values = np.where(i < 0, grid[own], i + 1 - (np.int64(1) << np.minimum(b, 30)))
-        parts.append((out[k, : size[k]].astype("<u2").tobytes(), _pack(values, np.where(b == _NEW, bits, b))))
-    return parts
-
-
-def decode(payload: bytes) -> np.ndarray:
-    """The ids of a container; ValueError if its head or a block does not match its checksum."""
-    magic, blocks, total, bits, block = _HEAD.unpack_from(payload)
-    at = _HEAD.size + 12 * blocks
-    if magic != _MAGIC or len(payload) < at + 4 or zlib.crc32(payload[:at]) != struct.unpack_from("<I", payload, at)[0]:
+        symbol, entry = symbol_at[k, :n], entry_at[k, :n].astype(np.int64)
+        model.guess(n)
+        guessed = model.guessed
+        hit = entry == guessed
+        part = width[:n] >> 16
+        part *= model.p
+        less = t.count.take(guessed)
+        rest = t.total.take(model.row[:n])
+        rest -= less
+        step = ((width[:n] - part).view(np.uint64) // rest.view(np.uint64)).view(np.int64)
+        less *= entry > guessed
+        start = t.within.take(entry)
+        start -= less
+        start *= step
+        start += part
+        start *= ~hit
+        low[:n] += start
+        step *= t.count.take(entry)
+        width[:n] = np.where(hit, part, step)
+        move(n)
+        escaped = np.flatnonzero(t.escape.take(entry))
+        if len(escaped):
+            plain = symbol.take(escaped)
+            step = width.take(escaped) // t.total[0]
+            low[escaped] += step * t.first.take(plain)
+            width[escaped] = step * t.count.take(plain)
+            move(n)
+        model.learn(n, hit, entry, symbol)
+    at = np.arange(lanes)
+    if size.max() + 2 > len(out):
+        out = np.r_[out, np.zeros((2, lanes), np.int64)]
+    out[size, at], out[size + 1, at] = low >> 30, (low & (_LOW - 1)) << 2
+    size += 2
+    carry = np.zeros(lanes, np.int64)
+    for k in range(int(size.max()) - 1, -1, -1):
+        out[k] += carry
+        carry = out[k] >> 32
+    words = out.astype("<u4")  # without the carries
+    return [words[: size[i], i].tobytes() for i in range(lanes)]
+
+
+def decode(payload: bytes, only: Sequence[int] | None = None) -> np.ndarray:
+    """The ids of a container, or of some of its blocks (`only`: their numbers, in this order).
+
+    ValueError if the head or a block that is read does not match its checksum."""
+    magic, blocks, total, block, held, check = _HEAD.unpack_from(payload.ljust(_HEAD.size, b"\0"))
+    begin = _HEAD.size + 4
+    at = begin + held + 8 * blocks
+    if magic != _MAGIC or len(payload) < at or zlib.crc32(payload[: _HEAD.size]) != struct.unpack_from("<I", payload, _HEAD.size)[0] or zlib.crc32(payload[begin:at]) != check:
         raise ValueError("damaged head of a token container")
-    table = np.frombuffer(payload, "<u4", 3 * blocks, _HEAD.size).reshape(-1, 3).astype(np.int64)
-    ends = at + 4 + np.cumsum(table[:, 0] + table[:, 1])
-    parts = []
-    for end, (a, b, check) in zip(ends.tolist(), table.tolist()):
-        body = payload[end - a - b : end]
-        if zlib.crc32(body) != check:
-            raise ValueError("damaged block of a token container")
-        parts.append((body[:a], body[a:]))
-    out = [_decode_lanes(parts[k : k + LANES], min(total - k * block, block * LANES), block, bits) for k in range(0, blocks, LANES)]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _rows(parts: list[bytes], kind: str, more: int) -> np.ndarray:
-    out = np.zeros((len(parts), max(map(len, parts)) // np.dtype(kind).itemsize + more), kind)
-    for k, p in enumerate(parts):
-        out[k, : len(p) // out.itemsize] = np.frombuffer(p, kind)
-    return out
-
-
-def _decode_lanes(parts: list[tuple[bytes, bytes]], total: int, block: int, bits: int) -> np.ndarray:
+    tables = Frequencies.from_bytes(payload[begin : begin + held])
+    table = np.frombuffer(payload, "<u4", 2 * blocks, begin + held).reshape(-1, 2).astype(np.int64)
+    ends = at + np.cumsum(table[:, 0])
+    out = []
+    wanted = list(range(blocks) if only is None else only)
+    for lo in range(0, len(wanted), LANES):
+        numbers = sorted(wanted[lo : lo + LANES])  # the shorter last block comes last
+        parts = []
+        for k in numbers:
+            body = payload[ends[k] - table[k, 0] : ends[k]]
+            if zlib.crc32(body) != table[k, 1]:
+                raise ValueError("damaged block of a token container")
+            parts.append(body)
+        size = [block] * len(numbers)
+        if numbers[-1] == blocks - 1:
+            size[-1] = total - (blocks - 1) * block
+        found = _decode_lanes(tables, parts, sum(size), block)
+        own = dict(zip(numbers, np.split(found, np.cumsum(size)[:-1])))
+        out += [found] if only is None else [own[k] for k in wanted[lo : lo + LANES]]
+    return tables.ids[np.concatenate(out)] if out else np.zeros(0, np.int64)
+
+
+def _decode_lanes(t: Frequencies, parts: list[bytes], total: int, block: int) -> np.ndarray:
     lanes = len(parts)
-    words = _rows([a for a, _ in parts], "<u2", 8).astype(np.uint64)
-    plain = _rows([b for _, b in parts], "u1", 8)
-    # the 40 bits from each byte on, so that a value of up to 32 bits is one look-up
-    ahead = sum(plain[:, k : plain.shape[1] - 4 + k].astype(np.int64) << (32 - 8 * k) for k in range(5))
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code, size, bit = np.zeros(lanes, np.uint64), np.full(lanes, 4, np.int64), np.zeros(lanes, np.int64)
-    for k in range(4):
-        code = (code << np.uint64(16)) | words[:, k]
+    words = np.zeros((max(map(len, parts)) // 4 + 4, lanes), np.int64)
+    for i, p in enumerate(parts):
+        words[: len(p) // 4, i] = np.frombuffer(p, "<u4")
+    # digits are of 62 bits at first, then of 32: two bits to the left of the words
+    ahead = ((words[1:-1] << 30) | (words[2:] >> 2)) & ((1 << 32) - 1)
+    off, width = (words[0] << 30) | (words[1] >> 2), np.full(lanes, (1 << 62) - 1, np.int64)
+    size = np.zeros(lanes, np.int64)
     last = total - (lanes - 1) * block
-    grid = np.zeros((block, lanes), np.int64)
-    known = np.zeros((lanes, block), np.int64)
-    model = _Model(lanes, bits)
-    for t in range(block):
-        n = lanes if t < last else lanes - 1
+    grid = np.zeros((block, lanes), np.int32)
+    model = _Model(lanes, t)
+
+    def move(n: int) -> None:
+        at = np.flatnonzero(width[:n] < _LOW)
+        if len(at):
+            where = size.take(at)
+            off[at] = (off.take(at) << _SHIFT) | ahead[where, at]
+            size[at] = where + 1
+            width[at] <<= _SHIFT
+
+    for k in range(block):
+        n = lanes if k < last else lanes - 1
         if not n:
             break
-        model.shrink(n)
-        model.predict()
-        lo, wi, co = low[:n], width[:n], code[:n]
-        step = wi >> np.uint64(16)
-        value = np.minimum((co - lo) // step, np.uint64(65535)).astype(np.int32)
-        hits = model.hit2 + model.hit1
-        symbol = (value >= model.hit2).astype(np.int64) + (value >= hits)
-        escaped = np.flatnonzero(symbol == 2)
-        bounds, line = model.bounds(escaped), np.arange(len(escaped))
-        bucket = np.minimum((bounds[:, 1:] <= (value - hits).take(escaped)[:, None]).sum(1), _NEW)
-        start = model.hit2 * (symbol > 0)
-        freq = np.where(symbol == 0, model.hit2, model.hit1)
-        first = bounds[line, bucket]
-        start[escaped] += model.hit1.take(escaped) + first
-        freq[escaped] = bounds[line, bucket + 1] - first
-        lo += step * start.astype(np.uint64)
-        wi[:] = step * freq.astype(np.uint64)
-        while True:
-            move, wi = _normalised(lo, wi)
-            if not len(move):
-                break
-            co[move] = (co[move] << np.uint64(16)) | words[move, size[move]]
-            size[move] += 1
-            lo[move] <<= np.uint64(16)
-            wi[move] <<= np.uint64(16)
-        width[:n] = wi
-        x = np.where(symbol == 0, model.guess[1], model.guess[0]).astype(np.int64)
+        model.guess(n)
+        row, guessed = model.row[:n], model.guessed
+        own = off[:n]
+        part = width[:n] >> 16
+        part *= model.p
+        hit = own < part
+        less, base = t.count.take(guessed), t.base.take(row)
+        rest = t.total.take(row)
+        rest -= less
+        step = ((width[:n] - part).view(np.uint64) // rest.view(np.uint64)).view(np.int64)
+        behind = own - part
+        behind *= ~hit
+        value = (behind.view(np.uint64) // step.view(np.uint64)).view(np.int64)
+        rest -= 1
+        np.minimum(value, rest, out=value)
+        value += base
+        value += (value >= t.first.take(guessed)) * less
+        entry = np.where(hit, guessed, t.entry_at.take(value))
+        less *= entry > guessed
+        start = t.within.take(entry)
+        start -= less
+        start *= step
+        start += part
+        start *= ~hit
+        own -= start
+        step *= t.count.take(entry)
+        width[:n] = np.where(hit, part, step)
+        move(n)
+        symbol = t.symbol.take(entry)
+        escaped = np.flatnonzero(t.escape.take(entry))
         if len(escaped):
-            fresh = bucket == _NEW
-            many = np.where(fresh, bits, bucket)
-            where = bit.take(escaped)
-            v = (ahead[escaped, where >> 3] >> (40 - (where & 7) - many)) & ((np.int64(1) << many) - 1)
-            bit[escaped] = where + many
-            old = known[escaped, np.minimum(v - 1 + (np.int64(1) << np.minimum(bucket, 30)), block - 1)]
-            x[escaped] = np.where(fresh, v, old)
-            new = escaped[fresh]
-            known[new, model.listed[new]] = v[fresh]
-        model.update(x, symbol, escaped, bucket)
-        grid[t, :n] = x
-    return grid.T.ravel()[:total]
+            step = width.take(escaped) // t.total[0]
+            plain = t.entry_at.take(np.minimum(off.take(escaped) // step, t.total[0] - 2))
+            off[escaped] -= step * t.first.take(plain)
+            width[escaped] = step * t.count.take(plain)
+            symbol[escaped] = plain
+            move(n)
+        model.learn(n, hit, entry, symbol)
+        grid[k, :n] = symbol
+    return grid.T.ravel()[:total] if last == block else np.r_[grid[:, :-1].T.ravel(), grid[:last, -1]]

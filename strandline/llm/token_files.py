@@ -16,11 +16,12 @@ the longest document at least."""
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,11 @@ from strandline.llm.common import chunks, ragged, segment_sums, text_bytes
 
 CONTAINER = 1 << 22
 #: Pieces whose ids a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
+#: Text bytes that are encoded at once.
+STEP = 8 << 20
+#: New pieces that the library gets as one text.
+TOGETHER = 100
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0x1C, 0x1D, 0x1E, 0x1F]] = True
@@ -55,47 +60,74 @@ def _library(path: str):
 
 
 class PieceEncoder:
-    """Ids of whole texts by the library for a byte-level tokenizer without normaliser, each distinct piece once.
+    """Ids of whole texts by the library, each distinct piece once.
 
-    Such a tokenizer always starts a piece at a single blank between two characters that are no white space,
-    so " word" has the same ids wherever it stands. Texts with any other white space next to a blank, or with
-    non-ASCII white space, go to the library whole."""
+    A byte-level tokenizer without normaliser always starts a piece at a single blank between two characters
+    that are no white space, so " word" has the same ids wherever it stands. Texts with any other white space
+    next to a blank, or with non-ASCII white space, go to the library whole, and so do all texts for a
+    tokenizer file of another kind."""
 
     def __init__(self, path: str):
         self.library = _library(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        self.by_pieces = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        added = {t["id"]: t for t in spec["added_tokens"]}
+        self.by_pieces &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added.values())
+        # bytes of every id: a byte-level token has a character for each
+        names = {i: len(n) for n, i in self.library.get_vocab(with_added_tokens=False).items()} | {i: len(t["content"].encode()) for i, t in added.items()}
+        self.width = np.zeros(1 + max(names), np.int64)
+        self.width[list(names)] = list(names.values())
         self.known: dict[str, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int16)
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, sizes) of distinct pieces."""
-        number = [self.known.get(p, -1) for p in pieces]
-        new = [k for k, n in enumerate(number) if n < 0]
-        found = [e.ids for e in self.library.encode_batch_fast([pieces[k] for k in new], add_special_tokens=False)] if new else []
+    def separately(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of texts given to the library one by one."""
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
-        pool = np.concatenate([self.ids, flat])
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+
+    def together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """separately() for pieces that each start with a blank: TOGETHER at a time as one text, cut again where
+        the bytes of the ids add up to those of the pieces."""
+        texts = ["".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(ids or [np.zeros(0, np.int32)])
+        raw = pa.array(pieces, pa.string())
+        ends = np.cumsum(np.asarray(pc.binary_length(raw)), dtype=np.int64)
+        done = np.cumsum(self.width[flat])
+        last = np.searchsorted(done, ends)
+        if len(pieces) and (done[-1] != ends[-1] or (done[last] != ends).any()):  # a piece that the library doesn't cut here
+            return self.separately(pieces)
+        return flat, np.diff(last + 1, prepend=0)
+
+    def encode_pieces(self, leads: list[str], pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of distinct pieces: first words of texts, and pieces that start with a blank."""
+        number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(number < 0)
+        fresh = [pieces[k] for k in new.tolist()]
+        (head, head_size), (flat, size) = self.separately(leads), self.together(fresh)
+        old = np.flatnonzero(number >= 0)
         starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-        numbers = np.array(number, np.int64)
-        old = np.flatnonzero(numbers >= 0)
-        if len(old):
-            starts[old], sizes[old] = self.start[numbers[old]], self.size[numbers[old]]
-        first = len(pool) - len(flat) + np.cumsum(size) - size
-        starts[new], sizes[new] = first, size
-        room = MEMORY - len(self.known)
-        if room > 0 and new:
-            keep = new[:room]
-            for j, k in enumerate(keep):
-                self.known[pieces[k]] = len(self.start) + j
-            total = int(size[: len(keep)].sum())
-            begin = len(pool) - len(flat)
-            self.ids = pool[: begin + total].copy()
-            self.start, self.size = np.r_[self.start, first[: len(keep)]], np.r_[self.size, size[: len(keep)]]
-        return pool, starts, sizes
+        starts[old], sizes[old] = self.start[number[old]], self.size[number[old]]
+        starts[new], sizes[new] = len(self.ids) + np.cumsum(size) - size, size
+        pool = np.concatenate([self.ids, flat, head])
+        room = max(0, MEMORY - len(self.known))
+        some = np.flatnonzero(size[:room] < 1 << 15)
+        if len(some) == min(room, len(fresh)) and len(some):
+            self.known.update(zip(fresh[: len(some)], range(len(self.start), len(self.start) + len(some))))
+            self.ids = pool[: len(self.ids) + int(size[: len(some)].sum())].copy()
+            self.start, self.size = np.r_[self.start, starts[new[: len(some)]]], np.r_[self.size, size[: len(some)].astype(np.int16)]
+        first = len(pool) - len(head) + np.cumsum(head_size) - head_size
+        return pool, np.r_[first, starts], np.r_[head_size, sizes]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
         if texts.null_count:
             texts = texts.fill_null("")
+        if not self.by_pieces:
+            return self.separately(texts.to_pylist())
         texts = texts.cast(pa.large_string())
         raw, off = text_bytes(texts)
         space = _SPACE[raw]
@@ -112,25 +144,25 @@ class PieceEncoder:
         parts = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         first = np.asarray(parts.offsets) - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
-        word, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        word, names = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         leads = pa.array(word[first[:-1]]).dictionary_encode()  # the first piece of a text has no blank before it
         lead_names = [names[k] for k in leads.dictionary.to_pylist()]
         at = word.astype(np.int64) + len(lead_names)
         at[first[:-1]] = np.asarray(leads.indices)
         odd = np.flatnonzero(whole)
         odd_names = texts.take(pa.array(odd)).to_pylist()
-        ids, start, size = self.encode_pieces([*lead_names, *(" " + n for n in names)])
+        ids, start, size = self.encode_pieces(lead_names, [" " + n for n in names])
         each = size[at]
         flat = ids[ragged(start[at], each)]
         count = segment_sums(each, first)
         if len(odd):
-            found = [e.ids for e in self.library.encode_batch_fast(odd_names, add_special_tokens=False)]
-            ends = np.cumsum(count)
+            found, size = self.separately(odd_names)
+            ends, stops = np.cumsum(count), np.cumsum(size)
             pieces, before = [], 0
-            for k, x in zip(odd.tolist(), found):
-                pieces += [flat[before : ends[k]], np.array(x, np.int32)]
+            for k, a, b in zip(odd.tolist(), (stops - size).tolist(), stops.tolist()):
+                pieces += [flat[before : ends[k]], found[a:b]]
                 before = ends[k]
-                count[k] += len(x)
+                count[k] += b - a
             flat = np.concatenate([*pieces, flat[before:]])
         return flat, count
 
@@ -164,7 +196,7 @@ def container_rows(docs: DataFrame, path: str, end_id: int = 0, text: str = "tex
             return pa.RecordBatch.from_arrays(columns, names=["part", "local_start", "doc_ids", "counts", "n_tokens", "payload"])
 
         for batch in batches:
-            for piece in chunks(batch, "text"):
+            for piece in chunks(batch, "text", STEP):
                 ids, count = with_end(*encoder.encode(piece.column(1)), end_id)
                 held.append((piece.column(0), count, ids))
                 if sum(len(i) for _, _, i in held) >= size:

@@ -2,12 +2,14 @@
 empty tables and extra columns with clashing names."""
 
 import hashlib
+import lzma
 import re
 import zlib
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -63,6 +65,32 @@ def test_range_coder_finds_damage_and_small_blocks():
             range_coder.decode(bytes(bad))
 
 
+def test_range_coder_blocks_are_independent_and_small(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").toPandas().text
+    x = np.array([i for e in Tokenizer.from_file(BYTE).encode_batch(list(texts)) for i in e.ids])
+    packed = range_coder.encode(x, block=256)
+    last = len(x) // 256
+    assert (range_coder.decode(packed, [3, last, 0]) == np.r_[x[768:1024], x[last * 256 :], x[:256]]).all()
+    plain = [x[i : i + 256].astype("<u2").tobytes() for i in range(0, len(x), 256)]
+    assert len(packed) < sum(len(lzma.compress(p, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2}])) for p in plain) and len(packed) < sum(len(zlib.compress(p, 9)) for p in plain)
+
+
+def test_other_tokenizer_files_get_whole_texts():
+    encoder = token_files.PieceEncoder(WORD)
+    ids, count = encoder.encode(pa.array(ODD))
+    want = [Tokenizer.from_file(WORD).encode(t or "", add_special_tokens=False).ids for t in ODD]
+    assert not encoder.by_pieces and ids.tolist() == [i for w in want for i in w] and count.tolist() == list(map(len, want))
+
+
+def test_token_files_of_repeated_and_null_ids(spark, tmp_path):
+    given = [(5, "b c"), (None, "x"), (5, "a"), (5, "a"), (None, None), (1, "the quick")]
+    token_files.write_tokens(spark.createDataFrame(given, "doc_id long, text string"), BYTE, str(tmp_path / "t"))
+    got = sorted(token_files.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    lib = Tokenizer.from_file(BYTE)
+    assert sorted((str(r.doc_id), r.token_ids) for r in got) == sorted((str(i), [*lib.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in given)
+    assert [r.doc_id for r in got] == [None, None, 1, 5, 5, 5] and [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_token_files(spark, tmp_path):
     docs, lib = documents(spark, ODD), Tokenizer.from_file(BYTE)
     folder = str(tmp_path / "t")
