@@ -29,7 +29,7 @@ import numpy as np
 
 BLOCK = 1024
 #: Blocks coded in step, at most.
-LANES = 6144
+LANES = 8192
 #: Followers of an id are in the head from so many occurrences on.
 LEAST = 3
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandline.llm import range_coder
 from strandline.llm.common import chunks, ragged, segment_sums, text_bytes
 
-CONTAINER = 1 << 22
+CONTAINER = 1 << 23
 #: Pieces whose ids a worker remembers.
 MEMORY = 1_000_000
 #: Text bytes that are encoded at once.
