@@ -101,21 +101,25 @@ class Frequencies:
             every = np.bincount(x)
             ids = np.flatnonzero(every)
             zero = every[ids]
-            every[ids] = np.arange(len(ids))
-            at = every.take(x)
+            place = np.zeros(len(every), np.int32)
+            place[ids] = np.arange(len(ids))
+            at = place.take(x)
         else:
             ids, at, zero = np.unique(x, return_inverse=True, return_counts=True)
+            at = at.astype(np.int32)
         n, bits = len(ids), max(1, len(x).bit_length())
         if n * n >= 1 << (62 - bits):
             raise ValueError("too many ids for one container")
-        packed = at[:-1] * n
+        packed = at[:-1] * np.int64(n)
         packed += at[1:]
         packed[block - 1 :: block] = n * n  # the first id of a block has none before it
         packed <<= bits
         packed |= np.arange(1, max(1, len(x)))
         packed.sort()
         packed = packed[: len(x) - -(-len(x) // block)]
-        key, some = packed >> bits, packed & ((1 << bits) - 1)
+        some = packed & ((1 << bits) - 1)
+        packed >>= bits
+        key = packed
         lead = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         times = np.diff(np.r_[lead, len(key)])
         before, follower = key[lead] // max(1, n), key[lead] % max(1, n)
@@ -123,12 +127,13 @@ class Frequencies:
         sizes = np.bincount(before[kept], minlength=n)
         escapes = np.bincount(before[~kept], times[~kept], n).astype(np.int64)
         out = cls(ids, zero, sizes, follower[kept], times[kept], np.where(sizes > 0, np.maximum(1, escapes), 0))
+        del packed, key
         entry = at.copy()  # in row 0
         row = out.row_of[before]
-        number = np.zeros(len(lead), np.int64)
+        number = np.zeros(len(lead), np.int32)
         number[kept] = np.flatnonzero(~out.escape)[n:]
         ends = np.flatnonzero(out.escape)
-        own = np.where(kept, number, np.where(row > 0, ends[row], follower))
+        own = np.where(kept, number, np.where(row > 0, ends[row], follower)).astype(np.int32)
         entry[some] = np.repeat(own, times)
         return out, at, entry
 
@@ -207,7 +212,7 @@ class _Model:
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """All ids (0 to 2^32 - 1) as one container: a head, its frequencies, a table of blocks, the blocks' bytes."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     total = len(ids)
     tables, symbol, entry = Frequencies.of(ids, block)
     parts: list[bytes] = []
@@ -230,7 +235,7 @@ def _encode_lanes(t: Frequencies, symbols: np.ndarray, entries: np.ndarray, bloc
 
     symbol_at, entry_at = turned(symbols), turned(entries)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, (1 << 62) - 1, np.int64)
-    out = np.zeros((block + 8, lanes), np.int64)  # digits of 32 bits, with carries above
+    out = np.zeros((block // 4 + 8, lanes), np.int64)  # digits of 32 bits, with carries above
     size = np.zeros(lanes, np.int64)
     model = _Model(lanes, t)
 
@@ -240,7 +245,7 @@ def _encode_lanes(t: Frequencies, symbols: np.ndarray, entries: np.ndarray, bloc
         if len(at):
             value, where = low.take(at), size.take(at)
             if where.max() >= len(out):
-                out = np.r_[out, np.zeros_like(out)]
+                out = np.r_[out, np.zeros((block // 8 + 8, lanes), np.int64)]
             out[where, at] = value >> 30
             size[at] = where + 1
             low[at] = (value & (_LOW - 1)) << _SHIFT
@@ -287,7 +292,7 @@ def _encode_lanes(t: Frequencies, symbols: np.ndarray, entries: np.ndarray, bloc
     for k in range(int(size.max()) - 1, -1, -1):
         out[k] += carry
         carry = out[k] >> 32
-    words = out.astype("<u4")  # without the carries
+    words = out[: int(size.max())].astype("<u4")  # without the carries
     return [words[: size[i], i].tobytes() for i in range(lanes)]
 
 

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from strandline.llm import range_coder
 from strandline.llm.common import chunks, ragged, segment_sums, text_bytes
 
-CONTAINER = 1 << 23
+CONTAINER = 5 << 20
 #: Pieces whose ids a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 800_000
 #: Text bytes that are encoded at once.
-STEP = 8 << 20
+STEP = 4 << 20
 #: New pieces that the library gets as one text.
 TOGETHER = 100
 
