@@ -189,22 +189,24 @@ class _Model:
         dot += 2047
         self.p = _SQUASH.take(dot, mode="clip")
 
-    def learn(self, n: int, hit: np.ndarray, entry: np.ndarray, symbol: np.ndarray) -> None:
-        """hit: whether the guess was right; entry: of the id in its row; symbol: the id itself."""
+    def learn(self, n: int, hit: np.ndarray, entry: np.ndarray, symbol: np.ndarray, even: bool) -> None:
+        """hit: whether the guess was right; entry: of the id in its row; symbol: the id itself; even: an even step."""
         y = hit * np.int64(65536)
         step = y - self.old
         step >>= 4
         step += self.old
         self.chance[self.cell] = step
-        y -= self.p
-        y >>= 2
-        for w, x in zip(self.weight, self.input):
-            gain = x * y
-            gain >>= 13
-            w[:n] += gain
+        if even:  # every other error is enough
+            y -= self.p
+            y >>= 2
+            for w, x in zip(self.weight, self.input):
+                x *= y
+                x >>= 12
+                w[:n] += x
         same = self.follower == entry
-        surer = (self.found & 31 < _SURER) + self.found
-        self.table[self.slot] = np.where(same, surer, entry << 5)
+        same &= self.found & 31 < _SURER
+        self.found += same  # surer
+        self.table[self.slot] = np.where(self.follower == entry, self.found, entry << 5)
         np.multiply(self.one[:n], np.uint32(0x85EBCA77), out=self.two[:n])
         np.multiply(symbol.astype(np.uint32), np.uint32(0x9E3779B1), out=self.one[:n])
         self.t.row_of.take(symbol, out=self.row[:n], mode="clip")
@@ -282,7 +284,7 @@ def _encode_lanes(t: Frequencies, symbols: np.ndarray, entries: np.ndarray, bloc
             low[escaped] += step * t.first.take(plain)
             width[escaped] = step * t.count.take(plain)
             move(n)
-        model.learn(n, hit, entry, symbol)
+        model.learn(n, hit, entry, symbol, k % 2 == 0)
     at = np.arange(lanes)
     if size.max() + 2 > len(out):
         out = np.r_[out, np.zeros((2, lanes), np.int64)]
@@ -389,6 +391,6 @@ def _decode_lanes(t: Frequencies, parts: list[bytes], total: int, block: int) ->
             width[escaped] = step * t.count.take(plain)
             symbol[escaped] = plain
             move(n)
-        model.learn(n, hit, entry, symbol)
+        model.learn(n, hit, entry, symbol, k % 2 == 0)
         grid[k, :n] = symbol
     return grid.T.ravel()[:total] if last == block else np.r_[grid[:, :-1].T.ravel(), grid[:last, -1]]

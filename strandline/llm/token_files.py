@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandline.llm import range_coder
 from strandline.llm.common import chunks, ragged, segment_sums, text_bytes
 
-CONTAINER = 5 << 20
+CONTAINER = 7 << 20
 #: Pieces whose ids a worker remembers.
 MEMORY = 800_000
 #: Text bytes that are encoded at once.
@@ -43,6 +43,9 @@ TOGETHER = 100
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _ODD = "[\u0085   -     　]"
 
 SCHEMA = "part int, local_start long, doc_ids array<long>, counts array<int>, n_tokens long, payload binary"
@@ -62,9 +65,10 @@ def _library(path: str):
 class PieceEncoder:
     """Ids of whole texts by the library, each distinct piece once.
 
-    A byte-level tokenizer without normaliser always starts a piece at a single blank between two characters
-    that are no white space, so " word" has the same ids wherever it stands. Texts with any other white space
-    next to a blank, or with non-ASCII white space, go to the library whole, and so do all texts for a
+    A byte-level tokenizer without normaliser always starts a piece at a single blank or line feed between two
+    characters that are no white space, behind such a line feed, and at a punctuation mark behind a letter. So
+    what stands between two of these places has the same ids wherever it stands. Texts with any other white
+    space next to a blank, or with non-ASCII white space, go to the library whole, and so do all texts for a
     tokenizer file of another kind."""
 
     def __init__(self, path: str):
@@ -88,39 +92,44 @@ class PieceEncoder:
         size = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 
-    def together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """separately() for pieces that each start with a blank: TOGETHER at a time as one text, cut again where
-        the bytes of the ids add up to those of the pieces."""
-        texts = ["".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+    def together(self, pieces: list[str], behind: str) -> tuple[np.ndarray, np.ndarray]:
+        """separately() for many pieces, TOGETHER at a time as one text, with `behind` (nothing, or a line feed)
+        after each one; cut again where the bytes of the ids add up to those of the pieces."""
+        texts = [behind.join(pieces[i : i + TOGETHER]) + behind for i in range(0, len(pieces), TOGETHER)]
         ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.concatenate(ids or [np.zeros(0, np.int32)])
-        raw = pa.array(pieces, pa.string())
-        ends = np.cumsum(np.asarray(pc.binary_length(raw)), dtype=np.int64)
+        if not ids:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        flat = np.concatenate(ids)
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(pieces, pa.string()))) + len(behind), dtype=np.int64)
         done = np.cumsum(self.width[flat])
         last = np.searchsorted(done, ends)
-        if len(pieces) and (done[-1] != ends[-1] or (done[last] != ends).any()):  # a piece that the library doesn't cut here
-            return self.separately(pieces)
-        return flat, np.diff(last + 1, prepend=0)
-
-    def encode_pieces(self, leads: list[str], pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, sizes) of distinct pieces: first words of texts, and pieces that start with a blank."""
+        if done[-1] != ends[-1] or (done[last] != ends).any() or (behind and (self.width[flat[last]] != 1).any()):
+            return self.separately(pieces)  # a piece that the library doesn't end here
+        size = np.diff(last + 1, prepend=0)
+        if behind:
+            flat, size = np.delete(flat, last), size - 1
+        return flat, size
+
+    def encode_pieces(self, pieces: list[str], blank: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of distinct pieces; blank: those that start with one; line: the line feed."""
         number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(number < 0)
-        fresh = [pieces[k] for k in new.tolist()]
-        (head, head_size), (flat, size) = self.separately(leads), self.together(fresh)
-        old = np.flatnonzero(number >= 0)
         starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        old = np.flatnonzero(number >= 0)
         starts[old], sizes[old] = self.start[number[old]], self.size[number[old]]
+        fresh = number < 0
+        sets = [np.flatnonzero(fresh & blank), np.flatnonzero(fresh & ~blank & ~line), np.flatnonzero(fresh & line)]
+        names = [[pieces[k] for k in some.tolist()] for some in sets]
+        found = [self.together(names[0], ""), self.together(names[1], "\n"), self.separately(names[2])]
+        new, size = np.concatenate(sets), np.concatenate([n for _, n in found])
         starts[new], sizes[new] = len(self.ids) + np.cumsum(size) - size, size
-        pool = np.concatenate([self.ids, flat, head])
+        pool = np.concatenate([self.ids, *(ids for ids, _ in found)])
         room = max(0, MEMORY - len(self.known))
-        some = np.flatnonzero(size[:room] < 1 << 15)
-        if len(some) == min(room, len(fresh)) and len(some):
-            self.known.update(zip(fresh[: len(some)], range(len(self.start), len(self.start) + len(some))))
-            self.ids = pool[: len(self.ids) + int(size[: len(some)].sum())].copy()
-            self.start, self.size = np.r_[self.start, starts[new[: len(some)]]], np.r_[self.size, size[: len(some)].astype(np.int16)]
-        first = len(pool) - len(head) + np.cumsum(head_size) - head_size
-        return pool, np.r_[first, starts], np.r_[head_size, sizes]
+        keep = len(new) if len(new) <= room and (size < 1 << 15).all() else 0
+        if keep:
+            self.known.update(zip(chain(*names), range(len(self.start), len(self.start) + keep)))
+            self.ids = pool
+            self.start, self.size = np.r_[self.start, starts[new]], np.r_[self.size, size.astype(np.int16)]
+        return pool, starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
@@ -141,20 +150,12 @@ class PieceEncoder:
         edge = np.flatnonzero(off[1:] > off[:-1])
         whole[edge] |= (raw[off[edge]] == 32) | (raw[off[edge + 1] - 1] == 32)
         whole |= np.asarray(pc.match_substring_regex(texts, _ODD))
-        parts = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
-        first = np.asarray(parts.offsets) - parts.offsets[0].as_py()
-        coded = parts.flatten().dictionary_encode()
-        word, names = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        leads = pa.array(word[first[:-1]]).dictionary_encode()  # the first piece of a text has no blank before it
-        lead_names = [names[k] for k in leads.dictionary.to_pylist()]
-        at = word.astype(np.int64) + len(lead_names)
-        at[first[:-1]] = np.asarray(leads.indices)
         odd = np.flatnonzero(whole)
-        odd_names = texts.take(pa.array(odd)).to_pylist()
-        ids, start, size = self.encode_pieces(lead_names, [" " + n for n in names])
-        each = size[at]
-        flat = ids[ragged(start[at], each)]
-        count = segment_sums(each, first)
+        if len(odd):
+            odd_names = texts.take(pa.array(odd)).to_pylist()
+            raw, off = text_bytes(pc.if_else(pa.array(whole), "", texts))
+            space = _SPACE[raw]
+        flat, count = self.by_cuts(raw, off, space)
         if len(odd):
             found, size = self.separately(odd_names)
             ends, stops = np.cumsum(count), np.cumsum(size)
@@ -166,6 +167,31 @@ class PieceEncoder:
             flat = np.concatenate([*pieces, flat[before:]])
         return flat, count
 
+    def by_cuts(self, raw: np.ndarray, off: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts whose blanks all stand between two other characters."""
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
+        cut = raw == 32
+        lines = np.flatnonzero(raw[1:-1] == 10) + 1
+        lines = lines[~(space[lines - 1] | space[lines + 1])]
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[off] = True
+        lines = lines[~(edge[lines] | edge[lines + 1])]
+        cut[lines] = cut[lines + 1] = True
+        mark = np.flatnonzero(_MARK[raw[1:]]) + 1
+        cut[mark[_LETTER[raw[mark - 1]]]] = True
+        cut |= edge[:-1]
+        start = np.flatnonzero(cut)
+        bounds = pa.py_buffer(np.r_[start, len(raw)].astype(np.int64))
+        coded = pa.LargeStringArray.from_buffers(len(start), bounds, pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
+        names = coded.dictionary
+        lead, begin = text_bytes(names)
+        head = lead[begin[:-1]]
+        ids, at, size = self.encode_pieces(names.to_numpy(zero_copy_only=False).tolist(), head == 32, (head == 10) & (np.diff(begin) == 1))
+        word = np.asarray(coded.indices)
+        each = size[word]
+        return ids[ragged(at[word], each)], segment_sums(each, np.searchsorted(start, off))
+
 
 @lru_cache(maxsize=1)
 def piece_encoder(path: str) -> PieceEncoder:
