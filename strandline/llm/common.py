@@ -107,6 +107,32 @@ def append_columns(df: DataFrame, column: str, added: list[StructField], make: C
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """work() for every group of rows with equal whole-number keys. Rows are dealt and sorted by the keys, and
+    groups are cut from the stream, so that a small one costs little; a task holds one group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from work(pa.Table.from_batches(held)).to_batches()
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and (a or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)):
+                    yield from done()
+                held.append(batch.slice(a, b - a))
+        yield from done()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each run, one run after the other."""
     total = int(lengths.sum())

@@ -12,11 +12,12 @@ for null texts, it is empty and linked with nothing. Two documents are linked wh
    probability of (1 - 0.75 ** ROWS) ** BANDS, 3e-9 here.
 3. In a bucket, every class is a candidate with the smallest id in it only: as many pairs as rows.
 4. Candidates are confirmed on full sets, and components of confirmed links are found.
-5. A link that no star shows lies between two classes of one bucket that are not in the same component yet.
-   Buckets which still hold several components, each set of members once, are searched with their members'
-   sets, in blocks of BLOCK members: a task gets two blocks, compares across components, and writes only links
-   that join two components which its earlier links did not join. So a bucket writes fewer rows than it has
-   members, however many pairs it holds, and its work is split over tasks.
+5. A link that no star shows lies between two classes of one bucket, neither of them its smallest id, that are
+   not in the same component yet. Buckets whose other members are still of several components, each set of
+   members once, are searched with their members' whole sets, in blocks of at most BLOCK members and about
+   BLOCK_SHINGLES shingles: a group gets two blocks, compares across components, and writes only links that
+   join two components which its earlier links did not join. So a bucket writes fewer rows than it has members,
+   however many pairs it holds, and its work is split over tasks.
 
 Hot buckets: the smallest id is a grouped minimum, combined before the shuffle; the join that follows splits
 hot keys. Nothing is collected on the driver. A doc_id should be unique; rows that repeat one are each
@@ -31,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import chunks, materialize, mix64, ragged, text_bytes
+from strandline.llm.common import by_group, chunks, materialize, mix64, ragged, text_bytes
 from strandline.llm.components import connected
 
 WORDS = 5
 ROWS = 5
 BANDS = 72
-#: Members of a bucket that a task compares with as many others.
+#: Members of a bucket that are compared with as many others at once, and about how many shingles they may hold.
 BLOCK = 512
+BLOCK_SHINGLES = 2_000_000
 #: Link from 100 * intersection >= PERCENT * union on.
 PERCENT = 75
 #: At most so many ids of candidates are sent to all executors (16 MB); more are joined by a shuffle.
@@ -159,20 +161,19 @@ def sketches(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, text: str = "text", short: bool = False) -> DataFrame:
-    """(id, n, shingles) of the documents whose doc_id is in `ids` (id). short: the hashes' upper 32 bits."""
-    kind = "int" if short else "long"
+def full_sets(docs: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+    """(id, n, shingles) of the documents whose doc_id is in `ids` (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text, _STEP):
                 sets, off = shingle_sets(*text_bytes(part.column(1)))
-                arrays = [part.column(0), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array((sets >> np.uint64(32)).astype(np.uint32).view(np.int32) if short else sets.view(np.int64)))]
+                arrays = [part.column(0), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(sets.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "shingles"])
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select("doc_id", text).join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    return rows.mapInArrow(run, f"id long, n long, shingles array<{kind}>")
+    return rows.mapInArrow(run, "id long, n long, shingles array<long>")
 
 
 def confirmed(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, text: str, percent: int) -> DataFrame:
@@ -212,6 +213,8 @@ def joining_links(table: pa.Table, percent: int) -> pa.Table:
     ids, c, n, at = (table.column(x).to_numpy() for x in ("id", "c", "n", "at"))
     sets = table.column("shingles").combine_chunks()
     off, flat = np.asarray(sets.offsets), np.asarray(sets.values)
+    if (np.minimum.outer(n, n) * 100 < np.maximum.outer(n, n) * percent)[c[:, None] != c[None, :]].all():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})  # sizes exclude all links
     shared = shared_counts([flat[a:b] for a, b in zip(off[:-1], off[1:])])
     linked = (shared * 100 >= (n[:, None] + n[None, :] - shared) * percent) & (c[:, None] != c[None, :])
     if table.column("i")[0].as_py() != table.column("j")[0].as_py():
@@ -232,20 +235,22 @@ def joining_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def across_components(docs: DataFrame, shared: DataFrame, found: DataFrame, text: str, percent: int) -> DataFrame:
-    """Candidate links (a, b) between components that meet in a bucket. shared: (key, id); found: (id, component)."""
-    labelled = shared.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members"), F.sum(F.xxhash64("id") % (1 << 40)).alias("who")).where("low < high")
-    once = mixed.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
-    rest = materialize(labelled.join(once, "key"), "near-mixed")
+def across_components(docs: DataFrame, shared: DataFrame, found: DataFrame, text: str, percent: int, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Candidate links (a, b) between components that meet in a bucket. shared: (key, id, n), the members of
+    buckets but for each one's center; found: (id, component)."""
+    labelled = shared.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    # buckets with the same members: by three sums of 32 independent bits of their ids
+    half = lambda seed, cut: F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), cut).bitwiseAND(F.lit(0xFFFFFFFF)))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members"), F.sum("n").alias("size"), half(1, 0).alias("x"), half(1, 32).alias("y"), half(2, 0).alias("z")).where("low < high")
+    once = mixed.groupBy("members", "size", "x", "y", "z").agg(F.min("key").alias("key")).select("key", F.ceil(F.greatest(F.col("members") / block, F.col("size") / block_shingles)).cast("int").alias("blocks"))
+    rest = materialize(labelled.drop("n").join(once, "key"), "near-mixed")
     ids = rest.select("id").distinct()
-    sets = full_sets(docs, ids, text, short=True).dropDuplicates(["id"])
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = rest.select("key", "id", "c", blocks.alias("blocks")).withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sets = full_sets(docs, ids, text).dropDuplicates(["id"])
+    placed = rest.withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.withColumn("other", other).select("key", F.greatest("at", "other").alias("i"), F.least("at", "other").alias("j"), "at", "id", "c")
     full = paired.join(sets, "id").select("key", "i", "j", "at", "id", "c", "n", "shingles")
-    return full.groupBy("key", "i", "j").applyInArrow(lambda t: joining_links(t, percent), "a long, b long").distinct()
+    return by_group(full, ["key", "i", "j"], lambda t: joining_links(t, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
@@ -256,14 +261,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", bands: int = BANDS, row
     member = materialize(some.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "id", F.col("n_shingles").alias("n")), "near-members")
     sizes = member.where("doc_id = id").select("id", "n").dropDuplicates(["id"])
 
-    placed = some.join(sizes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    placed = some.join(sizes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     centers = placed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("key", "center")
     shared = materialize(placed.join(centers, "key"), "near-buckets")
     stars = materialize(shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "near-stars")
     links = materialize(confirmed(docs, sizes, stars, text, percent), "near-links")
     found = connected(links)
 
-    across = across_components(docs, shared.select("key", "id"), found, text, percent)
+    across = across_components(docs, shared.where("id <> center").select("key", "id", "n"), found, text, percent)
     more = materialize(confirmed(docs, sizes, across, text, percent), "near-links")
     groups = connected(links.unionByName(more)) if more.head(1) else found
 

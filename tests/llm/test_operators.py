@@ -305,12 +305,39 @@ def test_mixed_buckets_find_links_that_stars_miss(spark):
     a, b, c = ("a b c d e f g h i j k l m n o p q r s t".split() for _ in range(3))
     b[0], c[0], b[10], c[10] = "x", "x", "y", "y"
     docs = documents(spark, [" ".join(t) for t in (a, b, c + ["z"])])
-    shared = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "key long, id long")
+    shared = spark.createDataFrame([(1, 1, 16), (1, 2, 17)], "key long, id long, n long")
     found = spark.createDataFrame([], "id long, component long")
     got = near_dedup.across_components(docs, shared, found, "text", 75)
     assert rows(got) == [(1, 2)]
 
 
+@pytest.mark.parametrize("block,size", [(512, 10**9), (4, 10**9), (512, 200)])
+def test_search_of_a_large_mixed_bucket_in_blocks(spark, block, size):
+    """Every link between components of one bucket joins them, whatever block its ends are in."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(12):
+        base = [f"{k}w{i}" for i in range(40)]
+        for v in range(3):
+            c = list(base)
+            c[int(rng.integers(0, 40))] = f"new{k}{v}"
+            texts.append(" ".join(c))
+    sets, root = brute_groups(texts)
+    shared = spark.createDataFrame([(7, i, len(sets[i])) for i in range(len(texts))], "key long, id long, n long")
+    none = spark.createDataFrame([], "id long, component long")
+    links = near_dedup.across_components(documents(spark, texts), shared, none, "text", 75, block, size)
+    got = {r.id: r.component for r in connected(links).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == root and links.count() <= 200
+
+
+def test_hashes_that_agree_in_their_upper_half_change_no_link():
+    def table(x, y):
+        return pa.table({"id": [1, 2], "c": [1, 2], "n": [4, 4], "at": [0, 0], "i": [0, 0], "j": [0, 0], "shingles": pa.array([x, y], pa.list_(pa.int64()))})
+
+    assert near_dedup.joining_links(table([1, 2, 3, 4], [5, 6, 7, 8]), 75).num_rows == 0  # between sets
+    assert near_dedup.joining_links(table([1, 2, 3, 4], [1, 2, 3, 4]), 75).to_pydict() == {"a": [1], "b": [2]}  # inside a set
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 9), (7, 7), (None, 3)], "a long, b long")
     assert rows(connected(e)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)]
