@@ -143,15 +143,19 @@ def test_every_prefix():
 # 4
 
 
-def test_vectors(spark):
+@pytest.mark.parametrize("block", [embedding_dedup.BLOCK, 7])
+def test_vectors(spark, block):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
     near = [base[0] + rng.normal(size=16) * s for s in np.linspace(0.01, 0.5, 60)]
-    vectors = [*base, *near, base[1], base[1], 3 * base[2]]
+    vectors = [*base, *near, base[1], base[1], 3 * base[2], base[3] * 1e200, base[4] * 1e-200]
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] * 16, [1.0, 2.0], [1.0, 2.0]]
     data = [(i, None if v is None else list(map(lambda x: None if x is None else float(x), v)), 0, "c") for i, v in enumerate([*vectors, *odd])]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, n_links int, v string")).collect()}
-    x = np.array(vectors, np.float32).astype(float)
+    given = spark.createDataFrame([*data, (None, [1.0, 2.0], 0, "c")], "vec_id long, embedding array<double>, n_links int, v string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(given, block=block).collect()}
+    assert got.pop(None) == (0, None, True)
+    x = np.array(vectors)
+    x /= np.abs(x).max(1, keepdims=True)
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     links = [(a, b) for a, b in combinations(range(len(x)), 2) if (x[a] * x[b]).sum() >= 0.95] + [(len(x) + 6, len(x) + 7)]
     degree, root = dict.fromkeys(range(len(data)), 0), list(range(len(data)))
@@ -164,6 +168,44 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    data = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [0.0, 1.0])]
+    assert rows(embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"))) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def test_search_across_components_writes_joining_links_only(spark):
+    """A cone of vectors in one bucket, no star among them: blocks find links enough to join it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=64) + 0.2 * rng.normal(size=(60, 64))
+    vectors = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, v array<double>, weight long")
+    shared = spark.createDataFrame([(1, i) for i in range(60)], "key long, id long")
+    none = spark.createDataFrame([], "id long, component long")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    for block in (4096, 9):
+        links = rows(embedding_dedup.across_components(shared, none, embedding_dedup.codes(vectors), vectors, 0.95, block))
+        assert all(unit[a] @ unit[b] >= 0.95 - 1e-9 for a, b in links)
+        assert {r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()} == {0} and len(links) < 60 * 59 // 2
+
+
+def test_codes_leave_few_pairs_open():
+    """Of unrelated pairs hardly any is recomputed, and no link is excluded."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 64))
+    x[300:] = x[:300] + rng.normal(size=(300, 64)) * rng.uniform(0.05, 0.5, (300, 1))
+    units = x / np.sqrt((x * x).sum(1, keepdims=True))
+    sign, factor = embedding_dedup.signs(units, embedding_dedup.rotation(64))
+    group = embedding_dedup.Block(pa.table({"v": pa.array(x.tolist()), "code": pa.array([b.tobytes() for b in np.packbits(sign, axis=1)], pa.binary()), "factor": factor}))
+    got = {(int(a), int(b)) for p, q in group.links(lambda x, y: x < y, 0.95) for a, b in zip(p, q)}
+    assert got == {(a, b) for a, b in zip(*np.nonzero(np.triu(units @ units.T >= 0.95, 1)))} and group.recomputed < 0.003 * 600 * 600 / 2
+
+
+def test_number_of_tables_keeps_the_mean_miss():
+    picks = embedding_dedup.tables(1000)
+    rng, k = np.random.default_rng(4), picks.shape[1]
+    differ = rng.binomial(1024, np.arccos(0.95) / np.pi, 200_000)
+    assert ((1 - (1 - differ / 1024) ** k) ** len(picks)).mean() < 2e-6 and len(embedding_dedup.tables(10**9)) < 1500
+
+
 def test_rotation_keeps_lengths():
     turn = embedding_dedup.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
