@@ -107,12 +107,14 @@ def append_columns(df: DataFrame, column: str, added: list[StructField], make: C
     return df.mapInArrow(run, schema)
 
 
-def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table], schema: str, bundle: int = 1) -> DataFrame:
     """work() for every group of rows with equal whole-number keys. Rows are dealt and sorted by the keys, and
-    groups are cut from the stream, so that a small one costs little; a task holds one group at a time."""
+    groups are cut from the stream, so that a small one costs little; a task holds one group at a time, or with
+    `bundle`, small whole groups of together about so many rows (starts_of() tells them apart)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # whole groups, and the beginning of the last one
+        rows = 0
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
@@ -122,17 +124,36 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            cuts = [*starts_of(batch, keys).tolist(), batch.num_rows]
+            if held and all(held[-1].column(k)[-1] == batch.column(k)[0] for k in keys):
+                cuts = cuts[1:]  # the last group goes on
+                held.append(batch.slice(0, cuts[0]))
+                rows += cuts[0]
+            begin = cuts[0]
             for a, b in zip(cuts, cuts[1:]):
-                if held and (a or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)):
+                if rows + a - begin >= bundle or rows + b - begin > 2 * bundle:
+                    if a > begin:
+                        held.append(batch.slice(begin, a - begin))
                     yield from done()
-                held.append(batch.slice(a, b - a))
+                    begin, rows = a, 0
+            if batch.num_rows > begin:
+                held.append(batch.slice(begin))
+                rows += batch.num_rows - begin
         yield from done()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def starts_of(rows: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """The first row of every run of equal whole-number keys."""
+    differ = np.zeros(rows.num_rows, bool)
+    differ[:1] = True
+    for k in keys:
+        key = np.asarray(rows.column(k))
+        differ[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(differ)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each run, one run after the other."""
     total = int(lengths.sum())

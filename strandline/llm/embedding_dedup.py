@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import by_group, materialize, mix64
+from strandline.llm.common import by_group, materialize, mix64, ragged, starts_of
 from strandline.llm.components import connected
 
 THRESHOLD = 0.95
@@ -48,6 +48,8 @@ MISS = 1e-6
 BLOCK = 4096
 #: Pairs, and rows of a block, that are worked on at once.
 STEP, ROWS = 1 << 14, 256
+#: Groups of up to SMALL members are worked on together, about BUNDLE rows at once.
+SMALL, BUNDLE = 64, 4096
 #: A pair at the threshold has more differing signs than allowed with this chance at most.
 EXCESS = 1e-12
 
@@ -218,50 +220,90 @@ def exact(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 class Block:
-    """The members of a group of vectors of one length, with their codes and factors."""
+    """Vectors of one length with their codes and factors."""
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
         column = lambda c: table.column(c).chunk(0)
         self.units = unit_rows(column("v"))
-        turn = rotation(self.units.shape[1])
-        self.bits = turn.shape[1]
-        self.turned = (self.units @ turn).astype(np.float32)
-        self.sign = unpacked(column("code"), self.bits).astype(np.float32) * 2 - 1
-        self.words = np.frombuffer(b"".join(column("code").to_pylist()), np.uint64).reshape(len(self.units), -1)
+        self.turn = rotation(self.units.shape[1])
+        self.bits = self.turn.shape[1]
+        self.code = np.frombuffer(b"".join(column("code").to_pylist()), np.uint8).reshape(len(self.units), -1)
+        self.words = self.code.view(np.uint64)
         self.factor = column("factor").to_numpy()
+        self.slack = error_bound(self.factor, self.bits) + 1e-5
         self.recomputed = 0
 
-    def links(self, allowed, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Linked pairs (x, y) with allowed(x as a column, all y), some rows after the other.
+    def corners(self, at: np.ndarray) -> np.ndarray:
+        return np.unpackbits(self.code[at], axis=1)[:, : self.bits].astype(np.float32) * 2 - 1
+
+    def turned(self, at: np.ndarray) -> np.ndarray:
+        return (self.units[at] @ self.turn).astype(np.float32) / np.float32(math.sqrt(self.bits))
+
+    def linked(self, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs are linked: stored codes exclude a pair by the number of differing signs, then by the
+        estimate; the rest is exact."""
+        most, out = most_differing(self.bits, threshold), np.zeros(len(x), bool)
+        for k in range(0, len(x), STEP):
+            p, q = x[k : k + STEP], y[k : k + STEP]
+            near = np.flatnonzero(np.bitwise_count(self.words[p] ^ self.words[q]).sum(1) <= most)
+            if len(near):
+                p, q = p[near], q[near]
+                estimate = (self.turned(p) * self.corners(q)).sum(1) / self.factor[q]
+                open_ = estimate + self.slack[q] >= threshold
+                self.recomputed += int(open_.sum())
+                near, p, q = near[open_], p[open_], q[open_]
+                out[k + near] = (self.units[p] * self.units[q]).sum(1) >= threshold
+        return out
 
-        Stored codes exclude pairs by the number of differing signs, then by the estimate; the rest is exact."""
-        most, every = most_differing(self.bits, threshold), np.arange(len(self.units))
-        slack = (error_bound(self.factor, self.bits) + 1e-5).astype(np.float32)
+    def links(self, allowed, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked pairs (x, y) with allowed(x as a column, all y), some rows after the other: linked() for whole
+        rows, by matrix products where many pairs are near."""
+        most, every, corners = most_differing(self.bits, threshold), np.arange(len(self.units)), None
         for lo in range(0, len(self.units), ROWS):
             own = every[lo : lo + ROWS]
             differ = np.zeros((len(own), len(every)), np.uint16)
             for w in range(self.words.shape[1]):
                 differ += np.bitwise_count(self.words[own, w][:, None] ^ self.words[:, w])
             near = (differ <= most) & allowed(own[:, None], every)
-            if near.sum() > near.size // 8:  # many: by matrix products
-                estimate = self.turned[own] @ self.sign.T / np.float32(math.sqrt(self.bits)) / self.factor.astype(np.float32)
-                x, y = np.nonzero(near & (estimate + slack >= threshold))
-                value = (self.units[own] @ self.units.T)[x, y]
-            else:
+            if near.sum() <= near.size // 8:
                 x, y = np.nonzero(near)
-                good = np.zeros(len(x), bool)
-                for k in range(0, len(x), STEP):
-                    p, q = x[k : k + STEP], y[k : k + STEP]
-                    estimate = (self.turned[own[p]] * self.sign[q]).sum(1) / math.sqrt(self.bits) / self.factor[q]
-                    good[k : k + STEP] = estimate + slack[q] >= threshold
-                x, y = x[good], y[good]
-                value = (self.units[own[x]] * self.units[y]).sum(1)
+                good = self.linked(own[x], y, threshold)
+                yield own[x[good]], y[good]
+                continue
+            if corners is None:
+                corners = self.corners(every)
+            estimate = self.turned(own) @ corners.T / self.factor.astype(np.float32)
+            x, y = np.nonzero(near & (estimate + self.slack.astype(np.float32) >= threshold))
             self.recomputed += len(x)
-            unclear = np.flatnonzero(np.abs(value - threshold) < 1e-9)  # as exact() does it, whatever a product rounds to
+            value = (self.units[own] @ self.units.T)[x, y]
+            unclear = np.flatnonzero(np.abs(value - threshold) < 1e-9)  # as linked() does it, whatever a product rounds to
             value[unclear] = (self.units[own[x[unclear]]] * self.units[y[unclear]]).sum(1)
-            linked = value >= threshold
-            yield own[x[linked]], y[linked]
+            good = value >= threshold
+            yield own[x[good]], y[good]
+
+
+def linked_pairs(table: pa.Table, allowed, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (x, y) of rows of a table of whole groups (key, i, j), x < y, where allowed(x, y)."""
+    start = starts_of(table, ["key", "i", "j"])
+    end = np.r_[start[1:], table.num_rows]
+    for a, b in zip(start, end):
+        if b - a > SMALL:
+            for x, y in Block(table.slice(a, b - a)).links(lambda x, y: (x < y) & allowed(a + x, a + y), threshold):
+                yield a + x, a + y
+    vectors = table.column("v").combine_chunks()
+    dims = np.diff(np.asarray(vectors.offsets))[start]
+    for dim in np.unique(dims[end - start <= SMALL]).tolist():  # all small groups at once
+        some = (end - start <= SMALL) & (dims == dim)
+        size = (end - start)[some]
+        at, group_end = ragged(start[some], size), np.repeat(np.cumsum(size), size)
+        more = group_end - np.arange(len(at)) - 1
+        x, y = np.repeat(np.arange(len(at)), more), ragged(np.arange(len(at)) + 1, more)
+        fit = allowed(at[x], at[y])
+        x, y = x[fit], y[fit]
+        if len(x):
+            good = Block(table.take(pa.array(at))).linked(x, y, threshold)
+            yield at[x[good]], at[y[good]]
 
 
 def in_blocks(members: DataFrame, key: str, coded: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
@@ -278,16 +320,15 @@ def link_weights(members: DataFrame, coded: DataFrame, vectors: DataFrame, thres
     (id, component); vectors: (id, v, weight)."""
 
     def count(table: pa.Table) -> pa.Table:
-        group = Block(table)
         at, weight = table.column("at").to_numpy(), table.column("weight").to_numpy()
-        one = table.column("i")[0] == table.column("j")[0]
+        one = np.asarray(table.column("i")) == np.asarray(table.column("j"))
         total = np.zeros(len(at), np.int64)
-        for x, y in group.links(lambda x, y: (x != y) if one else (at[x] != at[y]), threshold):
-            total += np.bincount(x, weight[y], len(at)).astype(np.int64)
+        for x, y in linked_pairs(table, lambda x, y: one[x] | (at[x] != at[y]), threshold):
+            total += np.bincount(x, weight[y], len(at)).astype(np.int64) + np.bincount(y, weight[x], len(at)).astype(np.int64)
         return pa.table({"id": table.column("id"), "links": total})
 
     rows = in_blocks(members.withColumn("c", F.col("component")), "component", coded, vectors, block)
-    return by_group(rows, ["key", "i", "j"], count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return by_group(rows, ["key", "i", "j"], count, "id long, links long", BUNDLE).groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def across_components(shared: DataFrame, found: DataFrame, coded: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -299,9 +340,8 @@ def across_components(shared: DataFrame, found: DataFrame, coded: DataFrame, vec
     rest = materialize(labelled.join(once, "key", "left_semi"), "vector-mixed")
 
     def join(table: pa.Table) -> pa.Table:
-        group = Block(table)
         ids, c, at = (table.column(k).to_numpy() for k in ("id", "c", "at"))
-        one = table.column("i")[0] == table.column("j")[0]
+        one = np.asarray(table.column("i")) == np.asarray(table.column("j"))
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -310,15 +350,15 @@ def across_components(shared: DataFrame, found: DataFrame, coded: DataFrame, vec
             return x
 
         out: list[tuple[int, int]] = []
-        for x, y in group.links(lambda x, y: (c[x] != c[y]) & ((x < y) if one else (at[x] < at[y])), threshold):
-            for p, q in set(zip(x.tolist(), y.tolist())):
+        for x, y in linked_pairs(table, lambda x, y: (c[x] != c[y]) & (one[x] | (at[x] != at[y])), threshold):
+            for p, q in zip(x.tolist(), y.tolist()):
                 a, b = find(int(c[p])), find(int(c[q]))
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     out.append((int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return by_group(in_blocks(rest, "key", coded, vectors, block), ["key", "i", "j"], join, "a long, b long").distinct()
+    return by_group(in_blocks(rest, "key", coded, vectors, block), ["key", "i", "j"], join, "a long, b long", BUNDLE).distinct()
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
