@@ -62,9 +62,9 @@ def delete_files(files: DataFrame, nodes: DataFrame, edges: DataFrame, gone: Dat
 
 
 def changed_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
-    """(path, status): new, changed by content hash, or deleted."""
-    both = seen.select("path", F.col("hash").alias("now")).join(stored.select("path", F.col("hash").alias("was")), "path", "full")
-    status = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "deleted").when(F.col("was") != F.col("now"), "changed")
+    """(path, status): new, changed by content hash (a null one is a value like others), or deleted."""
+    both = seen.select("path", F.col("hash").alias("now"), F.lit(True).alias("is")).join(stored.select("path", F.col("hash").alias("was"), F.lit(True).alias("had")), "path", "full")
+    status = F.when(F.col("had").isNull(), "new").when(F.col("is").isNull(), "deleted").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
     return both.select("path", status.alias("status")).where("status is not null")
 
 
@@ -74,35 +74,40 @@ def affected_files(deps: DataFrame, symbols: DataFrame, changed: DataFrame) -> D
 
 
 class Snapshots:
-    """Versions of a set of tables in a folder. A version is written whole, then a pointer file names it, so
-    readers see the old one or the new one. Paths go through Hadoop's file system, local or not."""
+    """Versions of a set of tables in a folder. A writer claims a number by creating an empty file CLAIM-n, which
+    fails where it exists; it writes the folder v=n whole, and then creates the empty file CURRENT-n-schema. The
+    largest n of these counts and none is ever changed or removed, so at every moment readers see the old version or
+    the new one, and a writer that breaks off leaves nothing that is read. Paths go through Hadoop's file system,
+    local or not."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _numbers(self, mark: str) -> list[tuple[int, ...]]:
+        found = self._fs.globStatus(self._path(f"{self.root}/{mark}-*"))
+        return sorted(tuple(map(int, x.getPath().getName().split("-")[1:])) for x in found or ())
+
+    def _create(self, name: str) -> None:
+        self._fs.create(self._path(f"{self.root}/{name}"), False).close()
+
     def version(self) -> int:
         """The number of the current version; 0 before the first, or after a change of the schema version."""
-        at = f"{self.root}/CURRENT"
-        if not self._fs.exists(self._path(at)):
-            return 0
-        n, schema = self.spark.read.text(at).first().value.split()
-        return int(n) if int(schema) == SCHEMA_VERSION else 0
+        n, schema = (self._numbers("CURRENT") or [(0, SCHEMA_VERSION)])[-1]
+        return n if schema == SCHEMA_VERSION else 0
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self.version()}/{name}")
+        if not (n := self.version()):
+            raise FileNotFoundError(f"no version of schema {SCHEMA_VERSION} in {self.root}")
+        return self.spark.read.parquet(f"{self.root}/v={n}/{name}")
 
     def write(self, tables: dict[str, DataFrame]) -> int:
-        n = self.version() + 1
+        n = 1 + max((x[0] for mark in ("CLAIM", "CURRENT") for x in self._numbers(mark)), default=0)
+        self._create(f"CLAIM-{n}")
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v={n}/{name}")
-        new, current = self._path(f"{self.root}/CURRENT.new"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(new, True)
-        out.write(bytearray(f"{n} {SCHEMA_VERSION}".encode()))
-        out.close()
-        self._fs.delete(current, False)
-        self._fs.rename(new, current)
+            df.write.parquet(f"{self.root}/v={n}/{name}")
+        self._create(f"CURRENT-{n}-{SCHEMA_VERSION}")
         return n
 
 

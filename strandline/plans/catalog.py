@@ -314,15 +314,16 @@ def upsert_nodes_lastwins(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert(old, new, "key", "at")
 
 
-_LINES = "SELECT 'calls' AS type, 'o' || l_orderkey AS from_key, 's' || l_suppkey AS to_key, CASE WHEN l_linenumber <= 4 THEN l_returnflag END AS file, CASE WHEN l_linenumber <> 3 THEN l_linenumber END AS line, l_linestatus AS resolution, l_discount AS confidence FROM lineitem"
+_LINES = "SELECT 'calls' AS type, 'o' || l_orderkey AS from_key, 's' || l_suppkey AS to_key, CASE WHEN l_linenumber <= 4 THEN l_returnflag END AS file, CASE WHEN l_linenumber <> 3 THEN l_linenumber END AS line, l_linestatus AS resolution, l_discount AS confidence, l_partkey % 2 AS half FROM lineitem"
 
 
-@query(f"WITH e AS ({_LINES}), r AS (SELECT *, row_number() OVER (PARTITION BY type, from_key, to_key, file, line ORDER BY confidence DESC, resolution DESC) AS r FROM e) SELECT type, from_key, to_key, file, line, resolution, confidence FROM r WHERE r = 1 OR file IS NULL OR line IS NULL")
+@query(f"WITH e AS ({_LINES}), r AS (SELECT *, row_number() OVER (PARTITION BY type, from_key, to_key, file, line ORDER BY half DESC, confidence DESC, resolution DESC) AS r FROM e) SELECT type, from_key, to_key, file, line, resolution, confidence FROM r WHERE r = 1 OR file IS NULL OR line IS NULL")
 def edges_null_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as edges, inserted in two halves: equal places are one edge, places with a null never are."""
+    """Line items as edges, inserted in two halves: equal places are one edge, the later half's; places with a null never are."""
     c = F.col
-    rows = table(spark, sf, "lineitem").select(F.lit("calls").alias("type"), F.concat(F.lit("o"), c("l_orderkey")).alias("from_key"), F.concat(F.lit("s"), c("l_suppkey")).alias("to_key"), F.when(c("l_linenumber") <= 4, c("l_returnflag")).alias("file"), F.when(c("l_linenumber") != 3, c("l_linenumber")).alias("line"), c("l_linestatus").alias("resolution"), c("l_discount").alias("confidence"))
-    return store.insert_edges(rows.limit(0), rows)
+    rows = table(spark, sf, "lineitem").select(F.lit("calls").alias("type"), F.concat(F.lit("o"), c("l_orderkey")).alias("from_key"), F.concat(F.lit("s"), c("l_suppkey")).alias("to_key"), F.when(c("l_linenumber") <= 4, c("l_returnflag")).alias("file"), F.when(c("l_linenumber") != 3, c("l_linenumber")).alias("line"), c("l_linestatus").alias("resolution"), c("l_discount").alias("confidence"), (c("l_partkey") % 2).alias("half"))
+    first, second = (rows.where(c("half") == k).drop("half") for k in (0, 1))
+    return store.insert_edges(store.insert_edges(first.limit(0), first), second)
 
 
 @query("SELECT coalesce(a.w, b.w) AS warning, coalesce(a.first, 2) AS first_seen, CASE WHEN b.w IS NULL THEN a.first ELSE 2 END AS last_seen FROM (SELECT DISTINCT event_type || user_id % 50 AS w, 1 AS first FROM events WHERE event_id % 2 = 0) a FULL JOIN (SELECT DISTINCT event_type || user_id % 50 AS w FROM events WHERE event_id % 5 = 0) b ON a.w = b.w")

@@ -213,9 +213,9 @@ _SLUG = r"regexp_replace(trim(regexp_replace(translate('T ' || title, 'ABCDEFGHI
 _PAGES = rf"pg AS (SELECT page_id AS k, 'pages/' || page_id || '.md' AS path, regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '\s*#*\s*$', '') AS title, {_SLUG} AS slug FROM pages)"
 
 
-@query(f"WITH {_PAGES} SELECT path, 2 AS line, 1 AS level, trim('T ' || title) AS title, slug AS anchor FROM pg UNION ALL SELECT path, 4, 2, 'Part', 'part' FROM pg UNION ALL SELECT path, 6, 2, 'Part', 'part-1' FROM pg")
+@query(f"WITH {_PAGES} SELECT path, 2 AS line, 1 AS level, trim('T ' || title) AS title, slug AS anchor, 'see [a](../x/p' || k || '.md#top), [w](https://a.b/c.md)' AS body FROM pg UNION ALL SELECT path, 4, 2, 'Part', 'part', '`order.' || k || '` and Geo\\NATION_' || (k % 25) FROM pg UNION ALL SELECT path, 6, 2, 'Part', 'part-1', '[me](#part) /europe' || chr(10) FROM pg")
 def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return _markdown(spark, sf).drop("body")
+    return _markdown(spark, sf)
 
 
 @query(f"WITH {_PAGES} SELECT path, slug AS anchor, 'x/p' || k || '.md' AS target, 'top' AS target_anchor FROM pg UNION ALL SELECT path, 'part-1', path, 'part' FROM pg")
@@ -273,20 +273,20 @@ def mention_targets_all(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({"keys": F.array_join("keys", " "), "matches": F.array_join("matches", " ")})
 
 
-@query("SELECT 'js/' || page_id || '.js' AS path, x.line, x.verb, x.u || page_id AS url FROM pages, (VALUES (1, 'GET', '/a/'), (2, 'PUT', '/b/'), (3, 'DELETE', '/c/'), (3, 'POST', '/d/'), (4, 'PATCH', '/e/')) x(line, verb, u)")
+@query("SELECT 'js/' || page_id || '.js' AS path, x.line, x.verb, x.u || page_id AS url FROM pages, (VALUES (1, 'GET', '/a/'), (2, 'PUT', '/b/'), (3, 'DELETE', '/c/'), (3, 'POST', '/d/'), (4, 'PATCH', '/e/'), (5, 'POST', '/g/'), (6, 'PUT', '/h/'), (7, 'DELETE', '/i/'), (8, 'GET', '/j/')) x(line, verb, u)")
 def script_requests(spark: SparkSession, sf: str) -> DataFrame:
     k = c("page_id").cast("string")
-    text = F.concat(lit("axios.get('/a/"), k, lit("');\nfetch(\"/b/"), k, lit("\", {method: 'put'})\n$.ajax({url: '/c/"), k, lit("', type: 'DELETE'}); $.post('/d/"), k, lit("')\naxios({method: 'patch', url: '/e/"), k, lit("'}); fetch(`/f/${id}`)"))
+    text = F.concat(lit("axios.get('/a/"), k, lit("');\nfetch(\"/b/"), k, lit("\", {method: 'put'})\n$.ajax({url: '/c/"), k, lit("', type: 'DELETE'}); $.post('/d/"), k, lit("')\naxios({method: 'patch', url: '/e/"), k, lit("'}); fetch(`/f/${id}`)\n$.ajax({data: {a: {b: 1}}, url: '/g/"), k, lit("', type: 'POST'})\nfetch('/h/"), k, lit("', {headers: {A: '}'}, method: 'PUT'})\naxios.request({url: '/i/"), k, lit("', method: `delete`})\nfetch('/j/"), k, lit("', {headers: f({A: 'b'})})"))
     return scripts.requests(table(spark, sf, "pages").select(F.concat(lit("js/"), k, lit(".js")).alias("path"), text.alias("content")))
 
 
 def _templates(spark: SparkSession, sf: str) -> DataFrame:
     k, size = c("p_partkey").cast("string"), c("p_size").cast("string")
-    text = F.concat(lit("@extends('layouts."), c("p_brand"), lit("') @include('p."), size, lit("') @each('p."), size, lit("', $x) @includeWhen($a, 'w."), k, lit("') <x-c"), size, lit("/> <x:c"), size, lit("> @component('modal')"))
+    text = F.concat(lit("@extends('layouts."), c("p_brand"), lit("') @include('p."), size, lit("') @each('p."), size, lit("', $x) @includeWhen(f($a, [1, 2]), 'w."), k, lit("') @includeUnless($a, 'u."), k, lit("') @includeWhen($a, 'u."), k, lit("') @includeWhen($b, 't."), k, lit("') @includeUnless($b, 't."), k, lit("') @extends('second') @includeFirst(['f."), k, lit("', 'p."), size, lit("']) @include($dynamic) <x-c"), size, lit("/> <x:c"), size, lit("> @component('modal')"))
     return table(spark, sf, "part").select(F.concat(lit("resources/views/part/p"), k, lit(".blade.php")).alias("path"), text.alias("content"))
 
 
-@query("SELECT 'part.p' || p_partkey AS view, x.t AS target, x.d AS directive FROM (SELECT p_partkey, unnest([{'t': 'layouts.' || p_brand, 'd': 'extends'}, {'t': 'p.' || p_size, 'd': 'each'}, {'t': 'w.' || p_partkey, 'd': 'includeWhen'}]) AS x FROM part)")
+@query("SELECT 'part.p' || p_partkey AS view, x.t AS target, x.d AS directive FROM (SELECT p_partkey, unnest([{'t': 'layouts.' || p_brand, 'd': 'extends'}, {'t': 'p.' || p_size, 'd': 'includeFirst'}, {'t': 'w.' || p_partkey, 'd': 'includeWhen'}, {'t': 'u.' || p_partkey, 'd': 'includeWhen'}, {'t': 't.' || p_partkey, 'd': 'includeUnless'}, {'t': 'f.' || p_partkey, 'd': 'includeFirst'}]) AS x FROM part)")
 def template_includes(spark: SparkSession, sf: str) -> DataFrame:
     return templates.includes(_templates(spark, sf))
 

@@ -9,40 +9,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_QUOTED = r"(?P<q>['\"`])(?P<url>(?:(?!(?P=q)).)*)(?P=q)"
-_CALLS = (
-    re.compile(r"(?<![\w$])axios\s*\.\s*(?P<verb>get|post|put|patch|delete|head)\s*\(\s*" + _QUOTED, re.I),
-    re.compile(r"\$\.(?P<verb>get|post)\s*\(\s*" + _QUOTED, re.I),
-    re.compile(r"(?<![\w$.])fetch\s*\(\s*" + _QUOTED + r"(?:\s*,\s*\{(?P<options>[^}]*)\})?"),
-    re.compile(r"(?:(?<![\w$])axios|\$\.ajax)\s*\(\s*\{(?P<options>[^}]*)\}", re.I),
-)
-_URL = re.compile(r"(?<!\w)url\s*:\s*" + _QUOTED, re.I)
-_METHOD = re.compile(r"(?<!\w)(?:method|type)\s*:\s*['\"](\w+)", re.I)
+#: Calls that name the verb, by object; calls with an options object; what options say the verb and the URL.
+_VERBS = {"axios": ("get", "post", "put", "patch", "delete", "head"), "$": ("get", "post")}
+_WITH_OPTIONS = ("axios", "axios.request", "$.ajax")
+_CALL = re.compile(r"(?<![\w$.])(axios|\$|fetch)\s*(?:\.\s*(\w+)\s*)?\(\s*", re.I)
+_SAID = re.compile(r"(?<!\w)(method|type)\s*:\s*(['\"`])(\w+)\2", re.I)
+_URL = re.compile(r"(?<!\w)url\s*:\s*(?=['\"`])", re.I)
+
+
+def _literal(content: str, at: int) -> tuple[str, int] | None:
+    """The string literal that starts at a place, and the place behind it."""
+    end = content.find(content[at], at + 1) if content[at : at + 1] in ("'", '"', "`") else -1
+    return (content[at + 1 : end], end + 1) if end >= 0 and "\n" not in content[at:end] else None
+
+
+def _closing(content: str, at: int) -> int:
+    """The place of the bracket that closes what is open at a place, brackets inside literals not counted."""
+    depth = 0
+    while at < len(content):
+        c = content[at]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return at
+        elif skip := _literal(content, at):
+            at = skip[1]
+            continue
+        at += 1
+    return at
 
 
 def calls(content: str) -> list[tuple[int, str, str]]:
     """(line, verb, url) of the calls in one script."""
     out = []
-    for pattern in _CALLS:
-        for m in pattern.finditer(content):
-            got = m.groupdict()
-            options = got.get("options") or ""
-            url = got.get("url")
-            if url is None:
-                inside = _URL.search(options)
-                if inside is None:
-                    continue
-                url = inside["url"]
-            said = _METHOD.search(options)
-            verb = got.get("verb") or (said[1] if said else "GET")
-            if "${" not in url:
-                out.append((content.count("\n", 0, m.start()) + 1, verb.upper(), url))
+    for m in _CALL.finditer(content):
+        of, verb, at = m[1].lower(), (m[2] or "").lower(), m.end()
+        rest = content[at : _closing(content, at)]
+        said = _SAID.search(rest)
+        by_option = said[3] if said else "GET"
+        literal = None
+        if of == "fetch" and not verb:
+            literal, verb = _literal(content, at), by_option
+        elif verb in _VERBS.get(of, ()):
+            literal = _literal(content, at)
+        elif (f"{of}.{verb}" if verb else of) in _WITH_OPTIONS and rest.startswith("{") and (inside := _URL.search(rest)):
+            literal, verb = _literal(rest, inside.end()), by_option
+        if literal and "${" not in literal[0]:
+            out.append((content.count("\n", 0, m.start()) + 1, verb.upper(), literal[0]))
     return sorted(out)
 
 
 def requests(files: DataFrame) -> DataFrame:
     """(path, line, verb, url) of calls with a literal URL: axios.verb(), $.get(), $.post(), fetch(), and the
-    option objects of axios(), fetch() and $.ajax(). The verb is GET where none is said. Null content has none."""
+    option objects of axios(), axios.request(), fetch() and $.ajax(), with whatever they nest. The verb is GET where none is said. Null content has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -170,3 +170,39 @@ def test_hub_threshold(spark):
     assert analysis.hub_threshold(d, 0.99) == 99
     assert analysis.hub_threshold(d, 1.0) is None
     assert rows(analysis.hub_set(d, 0.98).select("degree")) == [(98,), (99,)]
+
+
+def test_hashes_that_are_null(spark):
+    files = lambda *x: spark.createDataFrame(list(x), "path string, hash string")
+    old, new = files(("a", None), ("b", None), ("c", "1"), ("d", None)), files(("a", None), ("b", "1"), ("c", None), ("e", None))
+    assert rows(store.changed_files(old, new)) == [("b", "changed"), ("c", "changed"), ("d", "deleted"), ("e", "new")]
+
+
+def test_edges_inserted_into_a_table_that_has_some(spark):
+    kind = "type string, from_key string, to_key string, file string, line int, resolution string, confidence double"
+    old = spark.createDataFrame([("calls", "a", "b", "f", 1, "exact", 1.0), ("calls", "a", "b", None, 1, "exact", 1.0), ("calls", "a", "c", "f", 2, "exact", 0.9)], kind)
+    new = spark.createDataFrame([("calls", "a", "b", "f", 1, "guess", 0.4), ("calls", "a", "b", None, 1, "guess", 0.4)], kind)
+    got = sorted((r.to_key, str(r.file), r.line, r.confidence) for r in store.insert_edges(old, new).collect())
+    assert got == [("b", "None", 1, 0.4), ("b", "None", 1, 1.0), ("b", "f", 1, 0.4), ("c", "f", 2, 0.9)]
+
+
+def test_a_writer_that_breaks_off_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    s, table = store.Snapshots(spark, str(tmp_path / "g")), lambda x: {"t": spark.createDataFrame([(x,)], "x string")}
+    assert s.version() == 0 and s.write(table("one")) == 1
+    real = store.Snapshots._create
+
+    def broken(self, name):
+        if name.startswith("CURRENT"):
+            raise OSError("lost")
+        real(self, name)
+
+    monkeypatch.setattr(store.Snapshots, "_create", broken)
+    with pytest.raises(OSError):
+        s.write(table("two"))
+    assert s.version() == 1 and rows(s.read("t")) == [("one",)]
+    monkeypatch.setattr(store.Snapshots, "_create", real)
+    assert s.write(table("three")) == 3 and rows(s.read("t")) == [("three",)]
+    with pytest.raises(Exception):  # a number that another writer has claimed
+        s._create("CLAIM-3")
+    monkeypatch.setattr(store, "SCHEMA_VERSION", store.SCHEMA_VERSION + 1)
+    assert s.version() == 0 and s.write(table("four")) == 4 and rows(s.read("t")) == [("four",)]

@@ -55,6 +55,30 @@ def test_templates(spark):
     assert rows(templates.components(f)) == [("home", "alert"), ("home", "card.body"), ("home", "modal")]
 
 
+def test_templates_later_place_wins_and_arguments_nest(spark):
+    blade = "@extends('a') @extends('b') @includeUnless($x, 'v') @includeWhen(f($x, ['k' => 1]), 'v') @includeWhen($x, 'u') @includeUnless($x, \"u\") @include($no) @includeFirst(['m', 'n'], []) @includeFirst(['o']) a@b.c(x) @include ( 'p', ['q' => 'r'] )"
+    f = spark.createDataFrame([("resources/views/home.blade.php", blade), ("e.blade.php", None), ("f.blade.php", "")], "path string, content string")
+    assert rows(templates.includes(f)) == [("home", "a", "extends"), ("home", "m", "includeFirst"), ("home", "n", "includeFirst"), ("home", "p", "include"), ("home", "u", "includeUnless"), ("home", "v", "includeWhen")]
+    assert rows(templates.components(f)) == []
+
+
+def test_requests_with_nested_options():
+    js = "$.ajax({data: {a: 1}, url: '/x', type: 'POST'})\nfetch('/z', {headers: {A: 'b)'}, method: 'POST'})\naxios.request({method: \"put\", url: \"/r\"})\naxios.create({url: '/no'}); my.fetch('/no'); fetch(url); $.ajax({url: "
+    assert scripts.calls(js) == [(1, "POST", "/x"), (2, "POST", "/z"), (3, "PUT", "/r")]
+    assert scripts.calls("") == [] and scripts.calls("fetch('/a\n')") == []
+
+
+def test_mentions_are_split_at_their_separators(spark):
+    body = "x A\\B foo\\Bar\\Baz 9Z a.b.c x.Y.z a..b (/u/{id}). http://h/p a/b `Code\\Span` Ab_c /"
+    s = spark.createDataFrame([("p", "a", body), ("p", "n", None)], "path string, anchor string, body string")
+    got = rows(markdown.mentions(s).select("text", "backticked"))
+    assert got == [("/u/{id}", False), ("A\\B", False), ("Bar\\Baz", False), ("Code\\Span", True), ("Y", False), ("a.b.c", False)]
+
+
+def test_many_equal_titles(spark):
+    assert markdown._unique(["a", "a-1", "a", "a", "b", "a"]) == ["a", "a-1", "a-2", "a-3", "b", "a-4"]
+
+
 def test_tree(spark, tmp_path):
     for name in ("a.php", "b.blade.php", "vendor/c.php", "d.txt", "docs/e.md", "docs/skip/f.md"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
