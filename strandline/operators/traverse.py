@@ -30,7 +30,9 @@ def _walk(edges: DataFrame, key: str, depth: int, near: str, far: str, keep: Col
     frontier = spark.createDataFrame([(key,)], "at string")
     visited, out = frontier, None
     for level in range(1, max(1, depth) + 1):
-        best = _best(edges.join(frontier, F.col(near) == F.col("at"), "left_semi"), near, far)
+        # the first level is one key, which a sorted table finds by its row groups
+        met = edges.where(F.col(near) == key) if level == 1 else edges.join(frontier, F.col(near) == F.col("at"), "left_semi")
+        best = _best(met, near, far)
         step = best.where(keep) if keep is not None else best
         step = cut(step.select(F.lit(level).alias("depth"), "from_key", "to_key", F.col("type").alias("edge_type"), "confidence"))
         out = step if out is None else out.unionByName(step)
@@ -93,10 +95,11 @@ def path(edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFram
     frontier = spark.createDataFrame([(start,)], "at string")
     visited, levels = frontier, []
     for level in range(1, max_depth + 1):
-        best = _best(edges.join(frontier, F.col("from_key") == F.col("at"), "left_semi"), "from_key", "to_key")
+        met = edges.where(F.col("from_key") == start) if level == 1 else edges.join(frontier, F.col("from_key") == F.col("at"), "left_semi")
+        best = _best(met, "from_key", "to_key")
         parent = F.min_by(F.struct("from_key", "type", "confidence"), F.struct("from_key", "rank"))
-        met = best.groupBy(F.col("to_key").alias("at")).agg(parent.alias("p")).join(visited, "at", "left_anti")
-        met = cut(met.select("at", "p.from_key", "p.type", "p.confidence"))
+        found = best.groupBy(F.col("to_key").alias("at")).agg(parent.alias("p")).join(visited, "at", "left_anti")
+        met = cut(found.select("at", "p.from_key", "p.type", "p.confidence"))
         levels.append(met)
         if not met.where(F.col("at") == end).isEmpty():
             break

@@ -102,17 +102,17 @@ def _walk_sql(key: str, near: str, far: str, depth: int, least: float | None = N
 
 @query(_walk_sql(FUNCTION, "to_key", "from_key", 1), graph=True)
 def callers_d1(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.callers(edges(spark, sf), FUNCTION)
+    return traverse.callers(edges(spark, sf, "to_key"), FUNCTION)
 
 
 @query(_walk_sql(HUB, "to_key", "from_key", 1), graph=True)
 def callers_of_hub(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.callers(edges(spark, sf), HUB)
+    return traverse.callers(edges(spark, sf, "to_key"), HUB)
 
 
 @query(_walk_sql(FUNCTION, "to_key", "from_key", 2, 0.8), graph=True)
 def callers_d2_minconf(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.callers(edges(spark, sf), FUNCTION, depth=2, min_confidence=0.8)
+    return traverse.callers(edges(spark, sf, "to_key"), FUNCTION, depth=2, min_confidence=0.8)
 
 
 @query(_walk_sql(METHOD_CLASS, "from_key", "to_key", 1), graph=True)
@@ -141,17 +141,17 @@ def _impact_sql(key: str, depth: int, least: float, last: str) -> str:
 
 @query(_impact_sql(FUNCTION, 3, 0.0, "SELECT * FROM named"), graph=True)
 def impact_function_d3(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.impact(nodes(spark, sf), edges(spark, sf), FUNCTION)
+    return traverse.impact(nodes(spark, sf), edges(spark, sf, "to_key"), FUNCTION)
 
 
 @query(_impact_sql(METHOD_CLASS, 2, 0.8, "SELECT * FROM named"), graph=True)
 def impact_class_d2(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.impact(nodes(spark, sf), edges(spark, sf), METHOD_CLASS, depth=2, min_confidence=0.8)
+    return traverse.impact(nodes(spark, sf), edges(spark, sf, "to_key"), METHOD_CLASS, depth=2, min_confidence=0.8)
 
 
 @query(_impact_sql(FUNCTION, 3, 0.0, "SELECT bucket, depth, count(*) AS n FROM named GROUP BY ALL"), graph=True)
 def impact_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return traverse.impact(nodes(spark, sf), edges(spark, sf), FUNCTION).groupBy("bucket", "depth").agg(F.count("*").alias("n"))
+    return traverse.impact(nodes(spark, sf), edges(spark, sf, "to_key"), FUNCTION).groupBy("bucket", "depth").agg(F.count("*").alias("n"))
 
 
 def _path_sql(start: str, end: str, depth: int) -> str:

@@ -1,24 +1,37 @@
-"""Lineage cuts that survive lost executors."""
+"""Lineage cuts that survive lost executors, and the folder of a run's tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark) -> str:
-    """The folder of spark.checkpoint.dir; where none is set (tests), a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set and the master is local (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all tables that this application cuts its plans with."""
+    return f"{shared_folder(spark)}/strandline/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the run's tables, once nothing reads its results any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: computed once, with a plan that starts anew."""
-    path = f"{shared_folder(df.sparkSession)}/strandline/cut-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,12 +5,14 @@ Keys are unique, so they order ties; no surrogate numbers are needed and no glob
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import key
+from strandline.plans.runtime import cut, run_folder
 
 NODES = ("key", "type", "name", "file", "is_project", "kind")
 
@@ -42,7 +44,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("m", key("method", class_name(), "::", F.col("c_name")))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     nation, c = t("nation"), F.col
     file, project = F.concat(F.lit("geo/"), c("n_name"), F.lit(".php")), c("n_regionkey") != 4
@@ -62,7 +64,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     c = F.col
 
@@ -96,6 +98,43 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+#: Folders of the graphs that this process has stored, by application and state of the tables.
+_STORED: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables' files."""
+    out = []
+    for name in ("nation", "region", "customer", "supplier", "orders", "lineitem", "part", "pages"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        out += sorted((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found)
+    return spark.sparkContext.applicationId, sf_dir, *out
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the graph as tables: nodes sorted by key, edges by from_key and once more by to_key, so that a
+    lookup of a key reads few row groups. Written once for an application and a state of the tables."""
+    state = _state(spark, sf_dir)
+    if state not in _STORED:
+        folder = f"{run_folder(spark)}/graph-{uuid.uuid4().hex}"
+        build_nodes(spark, sf_dir).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{folder}/nodes")
+        once = cut(build_edges(spark, sf_dir))
+        for end in ("from_key", "to_key"):
+            once.repartitionByRange(end).sortWithinPartitions(end).write.parquet(f"{folder}/{end}")
+        _STORED[state] = folder
+    return _STORED[state]
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(build_nodes(spark, sf_dir).schema).parquet(f"{stored(spark, sf_dir)}/nodes")
+
+
+def edges(spark: SparkSession, sf_dir: str, by: str = "from_key") -> DataFrame:
+    """The edges, from the table that is sorted by from_key or to_key."""
+    return spark.read.schema(build_edges(spark, sf_dir).schema).parquet(f"{stored(spark, sf_dir)}/{by}")
+
+
 #: The same graph for DuckDB.
 SQL = r"""people AS (SELECT c_custkey, c_name, n_name, n_nationkey, n_regionkey, 'method:Geo\' || n_name || '::' || c_name AS m FROM customer JOIN nation ON c_nationkey = n_nationkey),
 mine AS (SELECT orders.*, m FROM orders JOIN people ON o_custkey = c_custkey),
