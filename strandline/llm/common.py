@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of this application's tables, which goes as a whole when nothing reads them."""
+    return f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,9 @@ Tiling looks only at words inside shared seeds, since every match of SEED words
 Items with fewer than SEED words, null texts and null items contaminate nothing and are not contaminated.
 Repeated item or document rows are compared each and give one row for each pair of ids. Extra columns are not
 read. With up to BROADCAST_WORDS words the items go to every task and documents are read once, without a
-shuffle; larger sets of items are joined on seeds, with the same result."""
+shuffle; larger sets of items are joined on seeds, with the same result. There the places of an item that a
+document's seeds share are gathered for each pair (as many as the item has words, combined before the shuffle) and give
+the same bound before any words are joined."""
 
 from __future__ import annotations
 
@@ -246,14 +248,25 @@ def _by_join(rows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for owner, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seed = np.unique(windows(np.asarray(words.values).view(np.uint64), SEED))
-                yield pa.RecordBatch.from_arrays([pa.array([owner] * len(seed), pa.int64()), pa.array(seed.view(np.int64))], names=["owner", "seed"])
+                seed, place = np.unique(windows(np.asarray(words.values).view(np.uint64), SEED), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seed), owner)), pa.array(seed.view(np.int64)), pa.array(place)], names=["owner", "seed", "place"])
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for owner, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seed = windows(np.asarray(words.values).view(np.uint64), SEED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seed), owner)), pa.array(seed.view(np.int64)), pa.array(np.arange(len(seed)))], names=["owner", "seed", "place"])
 
     words = rows.mapInArrow(doc_words, "doc_id long, words array<long>").withColumn("row", F.xxhash64("doc_id", "words")).where(F.size("words") >= SEED)
     numbered = items.withColumn("number", F.xxhash64("item_id", "words"))
-    a = words.select("row", "words").mapInArrow(seeds, "owner long, seed long").select(F.col("owner").alias("row"), "seed")
-    b = numbered.select("number", "words").mapInArrow(seeds, "owner long, seed long").select(F.col("owner").alias("number"), "seed")
-    pairs = a.join(b, "seed").select("row", "number").distinct()
+    kind = "owner long, seed long, place long"
+    a = words.select("row", "words").mapInArrow(seeds, kind).select(F.col("owner").alias("row"), "seed")
+    b = numbered.select("number", "words").mapInArrow(item_seeds, kind).select(F.col("owner").alias("number"), "seed", "place")
+    # a pair's words are joined only if the item's words inside shared seeds could reach the threshold
+    size = numbered.select("number", F.size("words").alias("size")).distinct()
+    places = a.join(b, "seed").groupBy("row", "number").agg(F.collect_set("place").alias("places"))
+    inside = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (SEED - 1))))))
+    pairs = places.join(size, "number").where(inside >= F.col("size") * threshold).select("row", "number")
     both = pairs.join(words, "row").join(numbered.withColumnRenamed("words", "item"), "number").select("doc_id", "item_id", "item", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

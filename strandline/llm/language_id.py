@@ -17,7 +17,11 @@ ALPHABET most frequent ones to one symbol.
 
 Null texts and texts without a letter get "und" with score 0; ties go to the first language in order of
 name; without any labelled row every text is "und". Repeated rows are judged each; extra columns are not
-read. The sample is TRAIN_DOCS whole documents a language, those with the smallest hash of doc_id."""
+read. The sample is TRAIN_DOCS whole documents a language of no more than TRAIN_BYTES bytes each, those with the
+smallest hash of doc_id.
+
+known() keeps the texts that some learned language codes shorter than plain bytes would: letters at random, or
+a language that was never learned, cost 13 bits a byte and more, as none of their contexts is in a tree."""
 
 from __future__ import annotations
 
@@ -25,11 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField
 
 from strandline.llm.common import append_columns, free_name, segment_sums, text_bytes
 
 TRAIN_DOCS = 400
+TRAIN_BYTES = 200_000
+#: A text of a learned language costs at most so many bits a byte, and so many more whatever its length.
+MOST_BITS, SLACK = 8.0, 128.0
 ALPHABET = 112
 #: Contexts of three bytes are kept from so many occurrences on, over all languages.
 MIN_CONTEXT = 4
@@ -141,18 +148,40 @@ def train(samples: dict[str, list[str]]) -> Model | None:
     return Model(languages, lut, size, blank, row, -np.log2(cost).reshape(-1, len(languages)).astype(np.float32))
 
 
-def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", each: int = TRAIN_DOCS) -> dict[str, list[str]]:
-    """At most `each` whole labelled texts of every language: the training rows on the driver."""
-    rows = docs.where(where & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("k").distinct()
-    found = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null").join(F.broadcast(chosen), "k", "left_semi")
+def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", each: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> dict[str, list[str]]:
+    """At most `each` whole labelled texts of every language: the training rows on the driver.
+
+    Rows of a language are counted first; only those with a hash below a bound that some four times `each`
+    rows pass are ranked, so a language's ranking never meets a great part of the rows in one task."""
+    hash_ = F.shiftrightunsigned(F.xxhash64(F.col(key)), 1)
+    fit = where & F.col(lang).isNotNull() & (F.octet_length(text) <= most_bytes)
+    rows = docs.where(fit).select(F.col(key).alias("k"), F.col(lang).alias("l"), hash_.alias("h"))
+    share = rows.groupBy("l").agg((F.lit(4.0 * each + 100) / F.count("*")).alias("share"))
+    few = rows.join(F.broadcast(share), "l").where(F.col("h") / float(2**63) <= F.col("share"))  # a row for each language
+    order = Window.partitionBy("l").orderBy("h", "k")
+    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("k").distinct()
+    found = docs.where(fit).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen), "k", "left_semi")
     out: dict[str, list[str]] = {}
     for x in sorted(found.select("l", "t").collect()):
         out.setdefault(x.l, []).append(x.t)
     return out
 
 
+def known(docs: DataFrame, model: Model | None, text: str = "text", most_bits: float = MOST_BITS, slack: float = SLACK) -> DataFrame:
+    """The rows whose text has a letter and is one of a learned language by its code length; see the module's
+    text. Null and empty texts go; without a model nothing is known and all rows go. A map, no shuffle."""
+    if model is None:
+        return docs.where(F.lit(False))
+    fits, held = free_name(docs, "lang_fits"), docs.sparkSession.sparkContext.broadcast(model)
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        raw, off = text_bytes(texts)
+        return [pa.array(held.value.bits(raw, off).min(1) <= most_bits * np.diff(off) + slack)]
+
+    lettered = docs.where(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return append_columns(lettered, text, [StructField(fits, BooleanType())], make).where(F.col(fits)).drop(fits)
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> tuple[DataFrame, str, str]:
     """docs with two more columns, the language and its score; their names are returned. A map, no shuffle."""
     pred, score, bits = free_name(docs, "lang_pred"), free_name(docs, "lang_score"), free_name(docs, "lang_bits")

@@ -478,3 +478,42 @@ def test_held_out_matches_zlib(spark):
 
     got = spark.range(50).select(F.col("id").alias("doc_id")).select("doc_id", held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+# language: sample and known texts
+
+
+def test_language_sample_is_the_ranking_by_hash(spark):
+    rows_ = [(i, f"text {i}", ("x", "y", None)[i % 3]) for i in range(3000)] + [(None, "null id", "x"), (9000, None, "x"), (9001, "long " * 100, "y")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    h = lambda k: spark.sql(f"select shiftrightunsigned(xxhash64(cast({k} as bigint)), 1)")
+    got = language_id.sample(docs, F.col("doc_id").isNotNull(), each=20, most_bytes=200)
+    order = docs.where("text is not null and doc_id < 9001 and doc_id is not null").select("text", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")).collect()
+    assert h(1).count() == 1
+    for lang in "xy":
+        want = [r.text for r in sorted((r for r in order if r.lang == lang), key=lambda r: r.h)[:20]]
+        assert sorted(got[lang]) == sorted(want)
+    assert language_id.sample(docs.limit(0), F.lit(True)) == {}
+
+
+def test_known_texts(spark):
+    rng = np.random.default_rng(3)
+    make = lambda letters, n: "".join(rng.choice(list(letters), n))
+    prose = [" ".join(rng.choice(["the", "river", "runs", "under", "old", "stone", "bridges"], 60)) for _ in range(30)]
+    model = language_id.train({"x": prose})
+    texts = [None, "", "123 456", prose[0], "the old river", "a", "The River runs. " * 5000, make("αβγδεζηθ", 300), make("abcdefghijklmnopqrstuvwxyz", 2000)]
+    docs = documents(spark, texts)
+    got = language_id.known(docs, model)
+    assert sorted(r.doc_id for r in got.collect()) == [3, 4, 5, 6] and got.columns == docs.columns
+    assert language_id.known(docs, None).count() == 0 and language_id.known(docs.limit(0), model).count() == 0
+
+
+def test_decontamination_by_join_keeps_to_the_bound(spark):
+    """Pairs that share one seed only are given up before their words are joined; results are those of the other way."""
+    common = "one two three four five"
+    items = [(k, common + " " + " ".join(f"i{k}w{j}" for j in range(25))) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [common] * 5 + [items[3][1] + " more", " ".join(items[4][1].split()[12:] + items[4][1].split()[:12]), "x " * 50_000 + items[5][1], None, ""] + [items[3][1] + " more"]
+    docs = documents(spark, texts)
+    want = rows(decontaminate.contamination(docs, bench))
+    assert rows(decontaminate.contamination(docs, bench, broadcast_words=0)) == want and {(r[0], r[1]) for r in want} == {(5, 3), (6, 4), (7, 5), (10, 3)}
