@@ -18,33 +18,38 @@ TOXIC = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below TOXIC. The model learns from labelled rows of the stage's input
-    that are not held out; documents without text are not toxic."""
+    that are not held out; documents without text, and all without toxic labels, are not toxic. A null doc_id is
+    never learned from. Rows are judged one by one, whatever other columns they have."""
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"), ~held_out())
     scored, score = toxicity.score(docs, model)
     return scored.where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a learned language claims; those of "und" (no text, or no letter) go."""
+    """Documents of a learned language: their text has a letter, and the language that fits it best codes it
+    shorter than plain bytes (language_id.known). Null texts, junk and languages without labels go; short texts have
+    a slack and stay. Without labels nothing is known, and nothing is left. Rows are judged one by one."""
     model = language_id.train(language_id.sample(docs, ~held_out()))
-    found, lang, _ = language_id.identify(docs, model)
-    return found.where(F.col(lang) != "und").select(*docs.columns)
+    return language_id.known(docs, model).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    """One document of each near-duplicate group: the one with the smallest doc_id. Documents without words are in
+    no group and stay, and so do rows without a doc_id; of rows that repeat a doc_id all stay or all go."""
     gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no item of the benchmark contaminates."""
+    """Documents that no item of the benchmark contaminates. Null texts and rows without a doc_id stay, an empty
+    benchmark drops nothing; rows that repeat a doc_id go together."""
     gone = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: number of tokens, digest of its ids, digest of the text decoded from them."""
+    """Per document: number of tokens, digest of its ids, digest of the text decoded from them. Null counts as empty;
+    rows that repeat a doc_id have a row each."""
     found, (count, ids, decoded) = bpe.digest(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", F.col(count).alias("n_tokens"), F.col(ids).alias("ids_sha256"), F.col(decoded).alias("decoded_sha256"))
 
