@@ -30,14 +30,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from strandline.llm.common import append_columns, free_name, ragged, segment_sums
+from strandline.llm.common import append_columns, free_name, ragged, segment_sums, text_bytes
 
 #: Words of these characters only are normalised and split here; the library does all others.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _NONE = np.iinfo(np.int32).max
+#: Words of more bytes are counted one by one, not in step with others.
+LONG = 512
+_WHITE = b" \t\n\x0b\x0c\r"
+_BLANK = np.zeros(256, bool)
+_BLANK[list(_WHITE)] = True
 
 
 def byte_symbols() -> list[str]:
@@ -91,6 +96,8 @@ class Vocabulary:
             ends = bool(end) and name.endswith(end)
             (final if ends else inner)[bytes(back[c] for c in (name[: -len(end)] if ends else name))] = i
         self.inner, self.final = _Hashed(inner), _Hashed(final)
+        self.inner_id, self.final_id = inner, final
+        self.valid: dict[tuple[int, int], bool] = {}  # pairs met in long words
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, or _NONE."""
@@ -227,6 +234,7 @@ class Words:
             count[i] = len(parts)
             flat += [-1 - p if isinstance(p, int) else number.setdefault(p, len(number)) for p in parts]
         self.flat, self.count = np.array(flat, np.int64), count
+        self.named = np.array([bool(n) for n in names], bool)  # not what stands beside a leading or trailing blank
         self.pieces = list(number)
         self.length = np.array([len(p) for p in self.pieces], np.int64)
         self.raw = np.frombuffer(b"".join(self.pieces), np.uint8)
@@ -321,8 +329,6 @@ def _tokens(path: str) -> list[bytes]:
     return [n.encode() for n in vocabulary(path).names]
 
 
-
-
 def valid_pairs(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the strings of tokens a and b, put together, encode as just these two tokens.
 
@@ -353,6 +359,8 @@ def prefix_counts(v: Vocabulary, raw: np.ndarray, length: np.ndarray, every: boo
     Returns (inner, final): inner[i] is the number of tokens of a word's bytes up to and including byte i as
     the beginning of a longer word, final[i] as a word that ends there (0 where not asked for: without
     `every`, final holds whole words only). Positions are worked on in step for all words, longest first."""
+    if len(length) and int(length.max()) > LONG:
+        return _with_long_words(v, raw, length, every)
     n = len(length)
     total = int(length.sum())
     inner, final, last = np.zeros(total, np.int32), np.zeros(total, np.int32), np.full(total, -1, np.int32)
@@ -430,18 +438,129 @@ def prefix_counts(v: Vocabulary, raw: np.ndarray, length: np.ndarray, every: boo
     return inner, final
 
 
+def _with_long_words(v: Vocabulary, raw: np.ndarray, length: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """prefix_counts() where some words are so long that few words are left for most positions: these one by one."""
+    long, start = length > LONG, np.cumsum(length) - length
+    at = ragged(start[~long], length[~long])
+    inner, final = np.zeros(len(raw), np.int32), np.zeros(len(raw), np.int32)
+    inner[at], final[at] = prefix_counts(v, raw[at], length[~long], every)
+    widest = max(*v.inner.by_length, *v.final.by_length)
+
+    def valid(a: int, b: int) -> bool:
+        if (a, b) not in v.valid:
+            v.valid[a, b] = bool(valid_pairs(v, np.array([a], np.int32), np.array([b], np.int32))[0])
+        return v.valid[a, b]
+
+    for k in np.flatnonzero(long).tolist():
+        word, n = raw[start[k] : start[k] + length[k]].tobytes(), int(length[k])
+        counts, ends, last = [0] * n, [0] * n, [-1] * n
+        for i in range(n):
+            for ids, save in ((v.inner_id, True), (v.final_id, False)):
+                if not save and not every and i < n - 1:
+                    continue
+                for size in range(min(i + 1, widest), 0, -1):
+                    t = ids.get(word[i + 1 - size : i + 1])
+                    if t is not None and (size == i + 1 or valid(last[i - size], t)):
+                        number = 1 + (counts[i - size] if size <= i else 0)
+                        if save:
+                            counts[i], last[i] = number, t
+                        else:
+                            ends[i] = number
+                        break
+        inner[start[k] : start[k] + n], final[start[k] : start[k] + n] = counts, ends
+    return inner, final
+
+
+def word_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets in each text where a word of Words ends, and the number of words before each text (and all)."""
+    raw, off = text_bytes(texts)
+    inside = ~_BLANK[raw]
+    end = inside.copy()
+    end[:-1] &= ~inside[1:]
+    last = off[1:][off[1:] > off[:-1]] - 1
+    end[last] = inside[last]
+    at = np.flatnonzero(end)
+    first = np.searchsorted(at, off)
+    return at + 1 - np.repeat(off[:-1], np.diff(first)), first
+
+
+def _counted(v: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(byte offset of each word's end, tokens of its text up to there, words before each text): prefix counts, kept
+    at the ends of words; those of a word's pieces add up."""
+    words = Words(v, texts)
+    _, final = prefix_counts(v, words.raw, words.length, every=False)
+    whole = np.zeros(len(words.length), np.int64)
+    some = words.length > 0
+    whole[some] = final[np.cumsum(words.length)[some] - 1]
+    each = words.per_word(whole, 1)[words.word] if len(words.word) else np.zeros(0, np.int64)
+    named = words.named[words.word] if len(words.word) else np.zeros(0, bool)
+    ends, first = word_ends(texts)
+    running = np.cumsum(each[named])
+    before = np.r_[0, running][first[:-1]] if len(first) > 1 else np.zeros(0, np.int64)
+    return ends, running - np.repeat(before, np.diff(first)), first
+
+
+def prefix_tokens(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column: for each text its prefixes that end with a word, as (end: bytes of the prefix,
+    tokens: its exact number of tokens), ascending. Empty for null, empty and blank texts."""
+    name = free_name(docs, "prefix_tokens")
+    item = StructType([StructField("end", LongType()), StructField("tokens", LongType())])
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        ends, tokens, first = _counted(vocabulary(path), texts)
+        both = pa.StructArray.from_arrays([pa.array(ends, pa.int64()), pa.array(tokens, pa.int64())], ["end", "tokens"])
+        return [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), both)]
+
+    return append_columns(docs, text, [StructField(name, ArrayType(item))], make), name
+
+
+@lru_cache(maxsize=100_000)
+def _prefixes(path: str, word: str) -> PrefixTable:
+    return PrefixTable(path, word)
+
+
+def count_within(docs: DataFrame, path: str, budget: int, text: str = "text") -> tuple[DataFrame, tuple[str, str]]:
+    """docs with two more columns: the exact number of tokens of each whole text, and the bytes of its longest
+    prefix of no more than `budget` tokens, both from the prefix counts and without encoding a prefix again.
+
+    The prefix ends behind a word and what is blank behind it, or in a word behind any of its characters; words with
+    characters beyond Latin-1 or added tokens, which the tokenizer may rewrite, are kept or left whole."""
+    names = free_name(docs, "n_tokens"), free_name(docs, "fitting_bytes")
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        ends, tokens, first = _counted(vocabulary(path), texts)
+        if texts.null_count:
+            texts = texts.fill_null("")
+        size = np.asarray(pc.binary_length(texts.cast(pa.large_string()))).astype(np.int64)
+        total = np.zeros(len(size), np.int64)
+        some = np.diff(first) > 0
+        total[some] = tokens[first[1:][some] - 1]
+        fitting = size.copy()
+        for k in np.flatnonzero(total > budget).tolist():
+            own = tokens[first[k] : first[k + 1]]
+            at = int(np.searchsorted(own, budget, side="right"))  # the first word that does not fit
+            done, raw = int(own[at - 1]) if at else 0, texts[k].as_py().encode()
+            end = int(ends[first[k] + at])
+            begin = int(ends[first[k] + at - 1]) if at else 0
+            begin += len(raw[begin:end]) - len(raw[begin:end].lstrip(_WHITE))
+            word = raw[begin:end].decode()
+            fitting[k] = begin
+            if _PLAIN.fullmatch(word) and not (vocabulary(path).at_special and vocabulary(path).at_special.search(word)):
+                fitting[k] += len(word[: _prefixes(path, word).longest_within(budget - done)].encode())
+        return [pa.array(total), pa.array(fitting)]
+
+    return append_columns(docs, text, [StructField(n, LongType()) for n in names], make), names
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column, the exact number of tokens of each whole text by prefix counts."""
     name = free_name(docs, "n_tokens")
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        v = vocabulary(path)
-        words = Words(v, texts)
-        _, final = prefix_counts(v, words.raw, words.length, every=False)
-        whole = np.zeros(len(words.length), np.int64)
-        some = words.length > 0
-        whole[some] = final[np.cumsum(words.length)[some] - 1]
-        return [pa.array(words.per_text(words.per_word(whole, 1)), pa.int64())]
+        _, tokens, first = _counted(vocabulary(path), texts)
+        total, some = np.zeros(len(texts), np.int64), np.diff(first) > 0
+        total[some] = tokens[first[1:][some] - 1]
+        return [pa.array(total)]
 
     return append_columns(docs, text, [StructField(name, LongType())], make), name
 

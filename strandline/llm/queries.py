@@ -45,9 +45,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found, count = bpe.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    found, (count, fitting) = bpe.count_within(docs, public_tokenizers.path("word_bpe_49k.json"), limit)
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return found.select("doc_id", bytes_.alias("n_bytes"), F.col(count).alias("n_tokens"), (F.col(count) > limit).alias("over_limit"))
+    return found.select("doc_id", bytes_.alias("n_bytes"), F.col(count).alias("n_tokens"), (F.col(count) > limit).alias("over_limit"), F.col(fitting).alias("fitting_bytes"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,39 @@ def test_every_prefix():
     assert bpe.PrefixTable(WORD, None).upto.tolist() == [0]
 
 
+def test_prefix_counts_as_columns(spark):
+    lib = Tokenizer.from_file(WORD)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    texts = [*ODD, "We're all  unbelievably\nantidisestablishmentarian, wörld!! ok", "  \tlead and trail \n", "y" * 700 + " z"]
+    docs = documents(spark, texts)
+    found, name = bpe.prefix_tokens(docs, WORD)
+    for r in found.collect():
+        raw = (texts[r.doc_id] or "").encode()
+        ends = [m.end() for m in re.finditer(rb"[^ \t-\r]+", raw)]
+        assert [x.end for x in r[name]] == ends
+        for x in r[name][:40]:
+            assert x.tokens == count(raw[: x.end].decode())
+    for budget in (0, 1, 3, 7, 10**9):
+        within, (n, fitting) = bpe.count_within(docs, WORD, budget)
+        for r in within.collect():
+            t = texts[r.doc_id] or ""
+            assert r[n] == count(t)
+            fits = t.encode()[: r[fitting]].decode()
+            assert count(fits) <= budget and (r[fitting] == len(t.encode())) == (count(t) <= budget or not t)
+            if t.isascii() and "<" not in t and len(fits) < len(t) < 1000:
+                assert not any(count(t[:k]) <= budget for k in range(len(fits) + 1, len(t) + 1))
+
+
+def test_long_words_are_counted_one_by_one(monkeypatch):
+    v, words = bpe.vocabulary(WORD), ["antidisestablishmentarianism", "a" * 40, "the", "understandings" * 3]
+    raw, length = np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words])
+    want = [bpe.prefix_counts(v, raw, length, every) for every in (True, False)]
+    monkeypatch.setattr(bpe, "LONG", 20)
+    for (a, b), every in zip(want, (True, False)):
+        inner, final = bpe.prefix_counts(v, raw, length, every)
+        assert (inner == a).all() and (final == b).all()
+
+
 # 4
 
 
