@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.keys import base_confidence, chained
 from strandline.functions.text import namespace, normalise_path, short_name, slugify
-from strandline.operators import analysis, lookup, store, summaries, traverse
+from strandline.operators import analysis, lookup, store, summaries, tools, traverse
 from strandline.plans import testbed
 from strandline.plans.registry import query
 from strandline.plans.testbed import edges, nodes, table
@@ -400,3 +400,26 @@ def request_route_match(spark: SparkSession, sf: str) -> DataFrame:
     routes = spark.createDataFrame([(v, u, f"route:{v} {u}") for v, u in (("GET", "/en"), ("POST", "/en"), ("GET", "/de"), ("PUT", "/fr"), ("PATCH", "/fr"))], "verb string, uri string, key string")
     matched = scripts.match_requests(found, routes)
     return matched.select("path", "verb", "url", "key", F.size("candidates").alias("n"))
+
+
+# keys that are no node's
+
+_LIKE = """, c AS (SELECT key, name, type, row_number() OVER (ORDER BY (key = '{n}')::INT DESC, (name = '{n}')::INT DESC, ends_with(lower(name), lower('\\{n}'))::INT DESC, key) AS r
+  FROM nodes WHERE key = '{n}' OR name = '{n}' OR key ILIKE '%{n}%') SELECT key, name, type, 0.6::DOUBLE AS score FROM c WHERE r <= 5"""
+
+
+@query(_LIKE.replace("{n}", "Supplier#00000000"), graph=True)
+def callers_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Suggestions for callers of a key that no node has."""
+    return tools.callers(nodes(spark, sf), edges(spark, sf, "to_key"), "Supplier#00000000").suggestions
+
+
+@query(_LIKE.replace("{n}", "NATION_1"), graph=True)
+def callees_missing(spark: SparkSession, sf: str) -> DataFrame:
+    return tools.callees(nodes(spark, sf), edges(spark, sf), "NATION_1").suggestions
+
+
+@query(_LIKE.replace("{n}", "EUROPE"), graph=True)
+def path_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Suggestions for the one end of a path that is missing."""
+    return tools.path(nodes(spark, sf), edges(spark, sf), "EUROPE", "external:2-HIGH").suggestions

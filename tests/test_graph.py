@@ -206,3 +206,17 @@ def test_a_writer_that_breaks_off_leaves_the_old_version(spark, tmp_path, monkey
         s._create("CLAIM-3")
     monkeypatch.setattr(store, "SCHEMA_VERSION", store.SCHEMA_VERSION + 1)
     assert s.version() == 0 and s.write(table("four")) == 4 and rows(s.read("t")) == [("four",)]
+
+
+def test_keys_that_are_missing(spark):
+    from strandline.operators import tools
+
+    n = spark.createDataFrame([(f"class:A\\{x}", "class", f"A\\{x}", None, True, None) for x in ("Foo", "FooBar", "Qux")], "key string, type string, name string, file string, is_project boolean, kind string")
+    e = spark.createDataFrame([("calls", "class:A\\Qux", "class:A\\Foo", "new", 1.0)], "type string, from_key string, to_key string, resolution string, confidence double")
+    keys = lambda a: [r.key for r in a.suggestions.collect()]
+    assert keys(tools.callers(n, e, "Foo")) == ["class:A\\Foo", "class:A\\FooBar"] and tools.callers(n, e, "class:A\\Foo").rows.count() == 1
+    assert keys(tools.callees(n, e, "nothing")) == [] and tools.callees(n, e, "class:A\\Qux").rows.count() == 1
+    assert [r.key for r in tools.impact(n, e, "Foo").rows.collect()] == ["class:A\\Qux"] and not tools.impact(n, e, "nothing").found
+    assert keys(tools.path(n, e, "Qux", "Foo")) == ["class:A\\Qux", "class:A\\Foo", "class:A\\FooBar"] and tools.path(n, e, "class:A\\Qux", "class:A\\Foo").rows.count() == 1
+    row = tools.miss(tools.callers(n, e, "Foo"), "callers", "Foo", F.lit(7)).first()
+    assert tuple(row) == ("callers", "Foo", ["class:A\\Foo", "class:A\\FooBar"], 7) and tools.miss(tools.callers(n, e, "class:A\\Foo"), "callers", "x", F.lit(7)) is None
