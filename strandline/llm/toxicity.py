@@ -10,8 +10,13 @@ SPAN letters; K(w, z) is the product of these vectors, normalised by lengths. So
 weaken a match but do not end it.
 
 Machine. Landmarks are windows that occur in far more toxic training sentences than clean ones, and windows
-of clean sentences. The Nystrom map K_zz^(-1/2) k(w, z) of landmarks feeds a linear squared-hinge machine
-learned on windows of labelled sentences, with inserted-character variants of the toxic ones. As the kernel
+of clean sentences; this count chooses landmarks only. The machine learns from sentences, which carry the label of
+their text, in ROUNDS (multiple instances): a sentence of a toxic text is one toxic row, its window with the largest
+f, where that f is above 0 or is the largest of the text; in the first round f is the kernel with the nearest toxic
+landmark less that with the nearest clean one, and the bound NEAR. Clean rows are windows of clean sentences: a sample,
+those with the largest f of every round, and all that stand for a toxic sentence too. The Nystrom map K_zz^(-1/2) k(w, z)
+of landmarks feeds a linear squared-hinge machine over these rows, equal ones weighted by their number, with
+inserted-character variants of the toxic ones. As the kernel
 is a product of explicit vectors, the learned function is f(w) = <A, phi(w)> / |phi(w)| + b with one vector A:
 scoring is a few gathers a letter. |phi(w)| is bounded below by its largest terms, and only windows that could
 still reach the FLOOR get it exactly.
@@ -42,6 +47,10 @@ TRAIN_TOXIC = 1500
 TRAIN_CLEAN = 3000
 LANDMARKS = 160
 CLEAN_LANDMARKS = 96
+#: Rounds in which the machine learns and toxic sentences choose their windows anew.
+ROUNDS = 3
+#: In the first round sentences of toxic texts count whose best window is that much nearer to a toxic landmark than to a clean one.
+NEAR = 0.5
 #: A toxic training text counts so many times in the last fit, as a missed one costs more than a lost clean one.
 TOXIC_WEIGHT = 3.0
 SPAN = 5
@@ -127,11 +136,15 @@ def triples(w: Windows):
         yield cell, np.float32(DECAY ** (b + 1)), number[:-b], valid
 
 
+def packed(strings: list[bytes]) -> Windows:
+    """Windows of given letters."""
+    length = np.array([len(s) for s in strings], np.int64)
+    return Windows(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length) - length, length, np.arange(len(strings)))
+
+
 def features(strings: list[bytes], place: np.ndarray, size: int) -> np.ndarray:
     """Normalised phi of each window, reduced to the cells that `place` numbers (-1: left out)."""
-    length = np.array([len(s) for s in strings], np.int64)
-    w = Windows(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length) - length, length, np.arange(len(strings)))
-    key, phi, norm = explicit(w)
+    key, phi, norm = explicit(packed(strings))
     cell = place[key % _LETTERS**3]
     row = key // _LETTERS**3
     out = np.zeros((len(strings), size))
@@ -211,6 +224,33 @@ def varied(window: bytes, rng: np.random.Generator, n: int) -> list[bytes]:
     return out
 
 
+def function_of(model: Model, names: list[bytes], which: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """f of the named windows, FLOOR where it is less."""
+    out = np.full(len(which), FLOOR)
+    for i in range(0, len(which), step):
+        at, f = model.function(packed([names[k] for k in which[i : i + step]]))
+        out[i + at] = np.maximum(FLOOR, f)
+    return out
+
+
+class Bags:
+    """Windows of the sentences of toxic texts: (window, sentence) pairs, and the text of every sentence."""
+
+    def __init__(self, name: np.ndarray, sentence: np.ndarray, of_text: np.ndarray):
+        self.names, self.name = np.unique(name, return_inverse=True)
+        self.sentence, self.text = sentence, of_text[sentence]
+
+    def chosen(self, f: np.ndarray, above: float) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that stand for toxic sentences, and for how many: in each text its best sentence, and
+        every other sentence whose best window has f above a bound."""
+        value = f[self.name]
+        order = np.lexsort((self.names[self.name], -value, self.sentence))
+        best = order[np.r_[True, np.diff(self.sentence[order]) != 0][: len(order)]]
+        order = best[np.lexsort((self.sentence[best], -value[best], self.text[best]))]
+        first = np.r_[True, np.diff(self.text[order]) != 0][: len(order)]
+        return np.unique(self.names[self.name[order[first | (value[order] > above)]]], return_counts=True)
+
+
 def kernel(strings: list[bytes], marks: np.ndarray, place: np.ndarray, step: int = 512) -> np.ndarray:
     """k(w, z) of windows and landmark vectors."""
     return np.concatenate([features(strings[i : i + step], place, marks.shape[1]) @ marks.T for i in range(0, len(strings), step)])
@@ -286,16 +326,17 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
                 of.append(i)
     of_text = np.array(of, np.int64)
     number: dict[bytes, int] = {}
-    pairs = []  # (window, text), each once; worked on in steps, as the arrays of a step are many times its text
+    pairs = []  # (window, sentence), each once; worked on in steps, as the arrays of a step are many times its text
     for lo in range(0, len(sentences), 4000):
         w = windows(*joined(sentences[lo : lo + 4000]))[0]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(np.r_[w.start, len(w.letters)].astype(np.int64)), pa.py_buffer(w.letters)]).dictionary_encode()
         ids = np.array([number.setdefault(x, len(number)) for x in coded.dictionary.to_pylist()], np.int64)
-        pairs.append(np.unique(ids[np.asarray(coded.indices)] * len(texts) + of_text[lo + w.owner]))
+        pairs.append(np.unique(ids[np.asarray(coded.indices)] * len(sentences) + lo + w.owner))
     names, known = list(number), number
-    del sentences, w, coded
+    name_of, sentence_of = np.divmod(np.unique(np.concatenate(pairs)), len(sentences))
+    del sentences, pairs, w, coded
     # in how many texts of each label a window occurs, each text once
-    pair = np.unique(np.concatenate(pairs))
+    pair = np.unique(name_of * len(texts) + of_text[sentence_of])
     toxic = y[pair % len(texts)]
     n1 = np.bincount(pair // len(texts), toxic, len(names))
     n0 = np.bincount(pair // len(texts), 1 - toxic, len(names))
@@ -309,35 +350,45 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
         return None
     clean = np.flatnonzero((n1 <= n0 * max(1e-9, y.mean()) * 3 + 1) & (n0 > 0) & long)
     common = clean[np.argsort(-n0[clean], kind="stable")][: CLEAN_LANDMARKS // 2]
-    size = np.array([len(s) for s in names])
-    positive = [names[i] for i in bad for _ in range(4)] + [v for i in bad for v in varied(names[i], rng, 8) if v not in known]
-    negative = [names[i] for i in [*common, *clean[rng.permutation(len(clean))[:4000]]]]
     marks = [names[i] for i in [*bad, *common]]
+    clean_rows = [*common, *clean[rng.permutation(len(clean))[:4000]]]
+    some = (y[of_text[sentence_of]] == 1) & long[name_of]
+    bags = Bags(name_of[some], sentence_of[some], of_text)
     model = None
-    for turn in range(3):
-        length = np.array([len(s) for s in marks])
-        key = explicit(Windows(np.frombuffer(b"".join(marks), np.uint8), np.cumsum(length) - length, length, np.arange(len(marks))))[0]
+    for turn in range(ROUNDS):
+        key = explicit(packed(marks))[0]
         cells = np.unique(key % _LETTERS**3)
         place = np.full(_LETTERS**3, -1)
         place[cells] = np.arange(len(cells))
         zv = features(marks, place, len(cells))
+        if model is None:
+            f = kernel([names[i] for i in bags.names], zv, place)
+            f = f[:, : len(bad)].max(1) - f[:, len(bad) :].max(1, initial=0)
+        else:
+            f = function_of(model, names, bags.names)
+        chosen, number_of = bags.chosen(f, NEAR if model is None else 0.0)
         value, basis = np.linalg.eigh(zv @ zv.T)
         root = basis @ np.diag(1 / np.sqrt(np.maximum(value, 1e-4))) @ basis.T
-        sign = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-        beta, b = machine(kernel(positive + negative, zv, place) @ root, sign, np.ones(len(sign)))
+        rows, weight = [], []
+        for i, n in zip(chosen.tolist(), number_of.tolist()):
+            other = [v for v in varied(names[i], rng, 8) if v not in known]
+            rows += [names[i], *other]
+            weight += [float(n)] + [n / 4] * len(other)
+        both = chosen[n0[chosen] > 0]  # windows of clean sentences too
+        share = max(1, len(clean_rows)) / 2 / sum(weight)
+        sign = np.r_[np.ones(len(rows)), -np.ones(len(clean_rows) + len(both))]
+        balance = np.r_[np.array(weight) * share, np.ones(len(clean_rows)), n0[both] * share]
+        beta, b = machine(kernel(rows + [names[i] for i in [*clean_rows, *both]], zv, place) @ root, sign, balance)
         a = np.zeros(_LETTERS**3)
         a[cells] = (root @ beta) @ zv
         model = Model(a, b)
-        if turn < 2:  # clean windows that come nearest join the negative ones, and the landmarks at first
-            nearest: list[tuple[float, bytes]] = []
-            some = clean[rng.permutation(len(clean))]
-            for part in np.array_split(some, len(some) // 20_000 + 1):
-                at, f = model.function(Windows(np.frombuffer(b"".join(names[i] for i in part), np.uint8), np.cumsum(size[part]) - size[part], size[part], np.arange(len(part))))
-                nearest = sorted([*nearest, *zip((-f).tolist(), (names[part[i]] for i in at))])[:500]
-            hard = [name for _, name in nearest]
-            negative += hard
+        if turn < ROUNDS - 1:  # clean windows that come nearest join the rows, and the landmarks at first
+            order = clean[rng.permutation(len(clean))]
+            f = function_of(model, names, order)
+            hard = [order[k] for k in np.argsort(-f, kind="stable")[:500] if f[k] > FLOOR]
+            clean_rows += hard
             if turn == 0:
-                marks += hard[: CLEAN_LANDMARKS // 2]
+                marks += [names[i] for i in hard[: CLEAN_LANDMARKS // 2]]
     margin = np.concatenate([model.margins(*joined(texts[i : i + 100])) for i in range(0, len(texts), 100)])
     fits, weight = [], np.where(y > 0, TOXIC_WEIGHT, 1.0)
     for alone in np.arange(0, 4.1, 0.5):

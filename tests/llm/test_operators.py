@@ -316,6 +316,20 @@ def test_toxicity(spark, toxic_rows):
     assert {r[1] for r in toxicity.score(docs.select("doc_id"), None)[0].collect()} == {0.0}
 
 
+def test_sentences_choose_their_windows():
+    # windows 3, 5, 9 in sentences 0-3 of texts 0 (sentences 0, 1) and 1 (sentences 2, 3)
+    bags = toxicity.Bags(np.array([3, 5, 5, 9, 3, 9]), np.array([0, 0, 1, 2, 3, 3]), np.array([0, 0, 1, 1]))
+    f = np.array([0.4, 0.9, -0.5])  # of 3, 5, 9
+    for above, want in ((0.0, {5: 2, 3: 1}), (2.0, {5: 1, 3: 1}), (-1.0, {5: 2, 3: 1, 9: 1})):
+        assert dict(zip(*(x.tolist() for x in bags.chosen(f, above)))) == want
+
+
+def test_toxicity_of_an_empty_table(spark):
+    docs, labels = documents(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, toxicity.F.lit(True))
+    assert model is None and toxicity.score(docs, model)[0].count() == 0
+
+
 def test_string_kernel_by_brute_force():
     words = [b"\x01\x02\x03\x04", b"\x01\x05\x02\x03", b"\x01\x01\x01\x01\x01", b"\x02\x03"]
 
