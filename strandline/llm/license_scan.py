@@ -2,12 +2,12 @@
 
 Words are runs of letters, digits, dots and hyphens between them, and non-ASCII characters, A-Z lower-cased.
 A template's telling words are those outside COMMON. In a text, places of telling words that lie no further
-apart than the template is long form a stretch; stretches whose distinct telling words could not reach the
+apart than the template is long, or LONG words, form a stretch; stretches whose telling words could not reach the
 threshold are dropped, and the others are aligned in a window that the template's length widens on both sides.
 A window with words enough for two copies is split first: from left to right, the copy that ends first is taken
 and begins as late as it can, copies being template words in order, no further apart than the template is long
 and as many as the threshold asks for. So no other choice holds more copies that do not overlap. Each is
-aligned in the words that its neighbours leave to it.
+aligned in the words that its neighbours leave to it. Words of a copy of a long template may lie at any distance.
 
 Patience alignment: words that occur once in the window and once in the template are anchors; the longest
 increasing subsequence of the anchors in both orders is kept, and the gaps between kept anchors are aligned in
@@ -15,7 +15,7 @@ the same way. A gap without an anchor is matched word by word from both of its e
 a longest common subsequence. Coverage is the share of the template's words that are matched, and from
 THRESHOLD on the stretch or the copy is a find.
 
-Null and empty texts have no finds; a text has a row for every find, with the template that fits it best; repeated rows are
+Null and empty texts have no finds; a text has a row for every find, with the template that has most words there; repeated rows are
 scanned each; extra columns are not read. A map without shuffle; templates are a short list of parameters."""
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -33,9 +34,11 @@ from pyspark.sql import DataFrame
 from strandline.llm.common import chunks
 
 THRESHOLD = 0.8
+#: Templates of more words are long: their stretches end at gaps of so many words, not of their own length.
+LONG = 40
 
-#: Short public license notices.
-TEMPLATES = {
+#: Short public license notices. Fixed values.
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
@@ -54,7 +57,33 @@ TEMPLATES = {
     "reserved": "All rights reserved",
 }
 
-COMMON = frozenset("a all and any are as be by for form from in into is it of on or provided that the this to under use version with without work".split())
+_PERMIT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_KEEP = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_SHOW = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."
+
+#: Whole public license texts, and the notices that long licenses ask for. Fixed values.
+TEXTS = {
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-text": " ".join((_PERMIT, _KEEP, _SHOW, _AS_IS)),
+    "BSD-3-text": " ".join((_PERMIT, _KEEP, _SHOW, _ENDORSE, _AS_IS)),
+    "Zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-header": _GNU.format("General Public License", 2),
+    "GPL-3.0-header": _GNU.format("General Public License", 3),
+    "LGPL-3.0-header": _GNU.format("Lesser General Public License", 3),
+    "AGPL-3.0-header": _GNU.format("Affero General Public License", 3),
+}
+
+TEMPLATES = NOTICES | TEXTS
+
+#: Words that tell nothing of a license, though one may hold them.
+COMMON = frozenset("a all an and any anyone are as at be being but by can copy do event except except express following for form free from had have if in including into is it its kind laws limited list make may means more must name names new no not obtain of on one or other our out over own particular person provided public purpose required see should so source such terms that the their this to under unless use used useful version was way we which will with without work writing you your".split())
 
 _WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+(?:[.-][a-z0-9\x80-\U0010ffff]+)*")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -140,10 +169,17 @@ class Template:
         for j, w in enumerate(self.words):
             self.places.setdefault(w, []).append(j)
 
+    def reaches(self, told: list[str], threshold: float) -> bool:
+        """Whether a text with these telling words could cover so much: each counts as often as both sides have it."""
+        count = Counter(told)
+        return sum(min(c, len(self.places[w])) for w, c in count.items()) + self.common >= threshold * len(self.words)
+
 
 def copies(words: list[str], t: Template, need: int) -> list[tuple[int, int]]:
     """(first word, last word) of as many copies of `need` words as fit without overlap, each as short as it can be."""
     n = len(t.words)
+    if n > LONG:
+        return long_copies(words, t, need)
     # for each of the last n words, the template's word it is matched with, and a number of matches: the latest start
     starts = np.full((n, n, need + 1), -1, np.int64)
     out = []
@@ -160,6 +196,21 @@ def copies(words: list[str], t: Template, need: int) -> list[tuple[int, int]]:
     return out
 
 
+def long_copies(words: list[str], t: Template, need: int) -> list[tuple[int, int]]:
+    """copies() of a long template, with words of a copy at any distance: no window of states is kept."""
+    best = np.full((len(t.words), need + 1), -1, np.int64)  # by the template's last matched word and a number of matches
+    out = []
+    for i, w in enumerate(words):
+        for j in reversed(t.places.get(w, ())):  # so that a word is matched once
+            best[j, 1] = i
+            if j:
+                np.maximum(best[j, 2:], best[:j, 1:-1].max(0), out=best[j, 2:])
+        if w in t.places and (first := int(best[t.places[w], need].max())) >= 0:
+            out.append((first, i))
+            best[:] = -1
+    return out
+
+
 def finds(words: list[str], t: Template, threshold: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(start, pairs from there on) of every find of a template in a stretch's window."""
     n = len(t.words)
@@ -184,24 +235,25 @@ def finds(words: list[str], t: Template, threshold: float) -> Iterator[tuple[int
 def scan(text: str, templates: list[Template], threshold: float = THRESHOLD) -> list[tuple[str, float, int, int, int]]:
     """(name, coverage, matched words, first word, last word) of every find in a text."""
     words = words_of(text)
-    out = []
+    have, out = set(words), []
     for t in templates:
+        if t.common + sum(len(t.places[w]) for w in t.telling & have) < threshold * len(t.words):
+            continue
         places = [i for i, w in enumerate(words) if w in t.telling]
         n = len(t.words)
         k = 0
         while k < len(places):
             m = k + 1
-            while m < len(places) and places[m] - places[m - 1] <= n:
+            while m < len(places) and places[m] - places[m - 1] <= min(n, LONG):
                 m += 1
-            found = {words[i] for i in places[k:m]}
-            if sum(w in found for w in t.words) + t.common >= threshold * n:
+            if t.reaches([words[i] for i in places[k:m]], threshold):
                 lo, hi = max(0, places[k] - n), min(len(words), places[m - 1] + n + 1)
                 for at, pairs in finds(words[lo:hi], t, threshold):
                     out.append((t.name, len(pairs) / n, len(pairs), lo + at + pairs[0][0], lo + at + pairs[-1][0]))
             k = m
-    # where finds overlap, the one that covers its template best is kept: more words on a tie, then fewer foreign ones, then the name
+    # where finds overlap, the one with most words is kept: the better coverage on a tie, then fewer foreign words, then the name
     kept: list[tuple[str, float, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (-x[1], -x[2], x[4] - x[3], x[0], x[3])):
+    for x in sorted(out, key=lambda x: (-x[2], -x[1], x[4] - x[3], x[0], x[3])):
         if all(x[4] < y[3] or x[3] > y[4] for y in kept):
             kept.append(x)
     return sorted(kept, key=lambda x: (x[3], x[0]))

@@ -281,6 +281,37 @@ def test_licenses_that_stand_close_together(spark):
     assert sorted(map(tuple, got)) == [(0, 4, "MIT", 5), (5, 10, "MIT", 5), (11, 14, "MIT", 4), (15, 19, "CC-BY-4.0", 5), (20, 24, "MIT", 5)]
 
 
+def test_whole_license_texts(spark):
+    known = [license_scan.Template(k, v) for k, v in license_scan.TEMPLATES.items()]
+    rng = np.random.default_rng(3)
+    for name, text in license_scan.TEXTS.items():
+        words = license_scan.words_of(text)
+        n = len(words)
+        assert n > 30 and [x[:3] for x in license_scan.scan(text, known)] == [(name, 1.0, n)]
+        # one word in twelve is changed, a holder is put in, another copy follows close by
+        edited = [w if rng.random() > 1 / 12 else f"zq{i}" for i, w in enumerate(words)]
+        edited[n // 2 : n // 2] = ["acme", "limited"]
+        got = license_scan.scan(" ".join(["foo", *edited, "bar", *words, "baz"]), known)
+        assert [x[0] for x in got] == [name, name] and got[1][1] == 1.0
+        # brute force: no alignment matches more than a longest common subsequence, and at most two matches less
+        most = len(license_scan.common(["foo", *edited], words))
+        assert most - 2 <= got[0][2] <= most
+    texts = [license_scan.TEXTS["MIT-text"].replace(" ", "\n  * ", 60), "copy modify merge " * 9000, license_scan.TEXTS["BSD-3-text"][:300]]
+    assert [x[1] for x in rows(license_scan.scan_licenses(documents(spark, texts)).select("doc_id", "license")) if x[0] < 2] == ["MIT-text"]
+    assert license_scan.scan_licenses(documents(spark, [])).count() == 0
+
+
+def test_copies_of_long_templates_are_those_of_short_ones():
+    rng = np.random.default_rng(5)
+    t = license_scan.Template("t", "a b c d b e f a")
+    for _ in range(200):
+        words = [str(w) for w in rng.choice(list("abcdefxy"), 12)]
+        short = license_scan.copies(words, t, 6)
+        if all(b - a < len(t.words) for a, b in short):
+            long = license_scan.long_copies(words, t, 6)
+            assert len(long) >= len(short) and all(len(license_scan.common(words[a : b + 1], t.words)) >= 6 for a, b in long)
+
+
 def test_gap_without_anchor_is_matched_by_a_common_subsequence():
     assert len(license_scan.align(list("xabcabcy"), list("abc"))) == 3
     assert license_scan.common(list("xaybzc"), list("abc")) == [(1, 0), (3, 1), (5, 2)]
