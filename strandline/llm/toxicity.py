@@ -224,6 +224,12 @@ def varied(window: bytes, rng: np.random.Generator, n: int) -> list[bytes]:
     return out
 
 
+def nearer(strings: list[bytes], marks: np.ndarray, place: np.ndarray, toxic: int) -> np.ndarray:
+    """k with the nearest of the toxic landmarks, which come first, less k with the nearest other one."""
+    k = kernel(strings, marks, place)
+    return k[:, :toxic].max(1, initial=0) - k[:, toxic:].max(1, initial=0)
+
+
 def function_of(model: Model, names: list[bytes], which: np.ndarray, step: int = 20_000) -> np.ndarray:
     """f of the named windows, FLOOR where it is less."""
     out = np.full(len(which), FLOOR)
@@ -362,8 +368,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
         place[cells] = np.arange(len(cells))
         zv = features(marks, place, len(cells))
         if model is None:
-            f = kernel([names[i] for i in bags.names], zv, place)
-            f = f[:, : len(bad)].max(1) - f[:, len(bad) :].max(1, initial=0)
+            f = np.concatenate([nearer([names[i] for i in part], zv, place, len(bad)) for part in np.array_split(bags.names, len(bags.names) // 4096 + 1)])
         else:
             f = function_of(model, names, bags.names)
         chosen, number_of = bags.chosen(f, NEAR if model is None else 0.0)
