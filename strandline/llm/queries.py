@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, embedding_dedup, language_id, license_scan, near_dedup, oracles, token_files, toxicity, url_filter
+from strandline.llm import bpe, decontaminate, embedding_dedup, filter_audit, hard_negatives, language_id, license_scan, line_dedup, near_dedup, oracles, token_files, toxicity, url_filter
 from strandline.llm.common import fresh_path, held_out, load
 
 
@@ -65,8 +65,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(load(spark, sf_dir, "embeddings"), label)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, (lines, dropped, kept) = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col(lines).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2(F.col(kept).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+QUERIES = (
+    op1_url_filter, op2_token_files, op3_bpe, op4_embedding_dedup, op5_license_scan, op6_toxicity, op7_token_counts, op8_near_dedup, op9_language_id, op10_decontaminate,
+    op11_hard_negatives, op12_line_dedup, op13_filter_audit,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_token_files": op2_token_files, "op3_bpe": op3_bpe, "op4_embedding_dedup": op4_embedding_dedup, "op5_license_scan": op5_license_scan, "op6_toxicity": op6_toxicity, "op7_token_counts": op7_token_counts, "op8_near_dedup": op8_near_dedup, "op9_language_id": op9_language_id, "op10_decontaminate": op10_decontaminate}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
