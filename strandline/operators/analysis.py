@@ -1,4 +1,4 @@
-"""Graph analysis: the weighted projection, degrees, hubs by percentile, bridges, and communities.
+"""Graph analysis: the weighted projection, degrees, hubs by percentile, bridges, and summaries of communities.
 
 Weights are whole numbers, so sums do not depend on their order."""
 
@@ -8,16 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import namespace
-from strandline.plans.runtime import cut
 
 #: Edge types of the projection, and node types that can be an end of them.
 PROJECTED = ("calls", "injects", "instantiates", "routes_to", "renders", "includes", "relates", "dispatches", "listens")
 ELIGIBLE = ("class", "method", "route", "view", "function")
 
 PERCENTILE = 0.99
-SAME = 1e-9
-#: Turns of one level of communities() after which it gives up with an error.
-TURNS = 1000
 
 
 def eligible(nodes: DataFrame) -> DataFrame:
@@ -76,79 +72,6 @@ def bridges(weights: DataFrame, membership: DataFrame) -> DataFrame:
     return membership.select("key").join(counted, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("bridges"))
 
 
-def _moves(state: DataFrame, links: DataFrame, strength: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """(id, c, wants): state (id, c) after those nodes of one half (by hash and turn) that gain went to the best community
-    next to them; wants: whether a node gains, in the half or not. A move to an equal one is not made: nodes that
-    move at the same time would hand such moves on along a chain, a turn for each of its nodes."""
-    at = state.join(strength, "id")
-    sums = at.groupBy("c").agg(F.sum("k").alias("tot"))
-    near = links.join(state.select(F.col("id").alias("dst"), F.col("c").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("kin"))
-    options = near.unionByName(state.select("id", F.col("c").alias("to"), F.lit(0).cast("long").alias("kin"))).groupBy("id", "to").agg(F.max("kin").alias("kin"))
-    options = options.join(at, "id").join(sums.withColumnRenamed("c", "to"), "to")
-    half = total / 2
-    others = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0)
-    gain = F.round(F.col("kin") / half - resolution * others * F.col("k") / (2 * half * half), 9)
-    best = options.withColumn("gain", gain).groupBy("id").agg(
-        F.min("c").alias("c"), F.min_by("to", F.struct(-F.col("gain"), "to")).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("own")
-    )
-    turn_of = F.pmod(F.xxhash64("id", F.lit(turn // 2)) + turn, F.lit(2)) == 0
-    wants = F.col("top") > F.col("own") + SAME
-    return best.select("id", F.when(turn_of & wants, F.col("to")).otherwise(F.col("c")).alias("c"), wants.alias("wants"))
-
-
-def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, turns: int = TURNS) -> DataFrame:
-    """(id, community) by greedy modularity: nodes go to the neighbouring community with the largest gain, half
-    of them at a time, until none gains; communities become nodes of the next level, until their number stays. A
-    level that has not come to rest after `turns` raises an error. A community is named by its least member. ids:
-    (id); weights: (a, b, w), loops allowed.
-
-    Each turn is a few joins and grouped sums over the edges, so a component may be as large as the graph."""
-    membership = cut(ids.select("id", F.col("id").alias("community")))
-    weights = cut(weights)
-    while True:
-        links = both_ways(weights.where("a <> b"))
-        loops = weights.where("a = b").groupBy(F.col("a").alias("id")).agg((2 * F.sum("w")).alias("k"))
-        nodes = membership.select(F.col("community").alias("id")).distinct()
-        strength = links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).unionByName(loops).groupBy("id").agg(F.sum("k").alias("k"))
-        strength = cut(nodes.join(strength, "id", "left").select("id", F.coalesce("k", F.lit(0)).alias("k")))
-        total = strength.agg(F.sum("k")).first()[0] or 0
-        if total <= 0:
-            break
-        state, turn = cut(nodes.select("id", F.col("id").alias("c"))), 0
-        while True:
-            step = cut(_moves(state, links, strength, float(total), resolution, turn))
-            if step.where("wants").isEmpty():
-                break
-            state, turn = step.select("id", "c"), turn + 1
-            if turn == turns:
-                raise RuntimeError(f"communities: nodes still gain after {turns} turns of a level")
-        least = state.groupBy("c").agg(F.min("id").alias("name"))
-        state = cut(state.join(least, "c").select("id", F.col("name").alias("c")))
-        before, after = nodes.count(), state.select("c").distinct().count()
-        membership = cut(membership.join(state.withColumnRenamed("id", "community"), "community").select("id", F.col("c").alias("community")))
-        if after == before:
-            break
-        end = lambda x, y: state.select(F.col("id").alias(x), F.col("c").alias(y))
-        joined = weights.join(end("a", "ca"), "a").join(end("b", "cb"), "b")
-        weights = cut(joined.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
-    least = membership.groupBy("community").agg(F.min("id").alias("name"))
-    return membership.join(least, "community").select("id", F.col("name").alias("community"))
-
-
-def detect(nodes: DataFrame, edges: DataFrame, percentile: float = PERCENTILE, resolution: float = 1.0) -> DataFrame:
-    """(key, community) of all eligible nodes: communities without the hubs, which join the community that most
-    of their weight leads to (the least name on a tie; their own without a neighbour)."""
-    weights = cut(projection(nodes, edges))
-    degree = cut(degrees(nodes, weights))
-    top = cut(hub_set(degree, percentile).select("key"))
-    rest = degree.select("key").join(top, "key", "left_anti").select(F.col("key").alias("id"))
-    inner = weights.join(top.withColumnRenamed("key", "a"), "a", "left_anti").join(top.withColumnRenamed("key", "b"), "b", "left_anti")
-    found = cut(communities(rest, inner, resolution))
-    led = both_ways(weights).join(top.withColumnRenamed("key", "src"), "src", "left_semi").join(found.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
-    led = led.groupBy(F.col("src").alias("key")).agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community"))
-    return found.withColumnRenamed("id", "key").unionByName(top.join(led, "key", "left").select("key", F.coalesce("community", "key").alias("community")))
-
-
 def community_summary(membership: DataFrame, degree: DataFrame, top: int = 5) -> DataFrame:
     """(community, size, members, namespaces): the members of largest degree, and the namespaces of most classes."""
     rows = membership.join(degree, "key")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import key
-from strandline.plans.runtime import cut, run_folder
+from strandline.plans.runtime import cut, exists, run_folder
 
 NODES = ("key", "type", "name", "file", "is_project", "kind")
 
@@ -116,12 +116,13 @@ def stored(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the graph as tables: nodes sorted by key, edges by from_key and once more by to_key, so that a
     lookup of a key reads few row groups. Written once for an application and a state of the tables."""
     state = _state(spark, sf_dir)
-    if state not in _STORED:
+    if state not in _STORED or not exists(spark, _STORED[state]):
         folder = f"{run_folder(spark)}/graph-{uuid.uuid4().hex}"
         build_nodes(spark, sf_dir).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{folder}/nodes")
         once = cut(build_edges(spark, sf_dir))
         for end in ("from_key", "to_key"):
-            once.repartitionByRange(end).sortWithinPartitions(end).write.parquet(f"{folder}/{end}")
+            other = "to_key" if end == "from_key" else "from_key"  # a hub's edges fill as many ranges as they need
+            once.repartitionByRange(end, other).sortWithinPartitions(end).write.parquet(f"{folder}/{end}")
         _STORED[state] = folder
     return _STORED[state]
 

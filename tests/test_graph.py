@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import analysis, lookup, store, traverse
+from strandline.operators import analysis, communities, lookup, store, traverse
+from strandline.plans import runtime, testbed
 
 NODE = "key string, type string, name string, file string, is_project boolean, kind string"
 EDGE = "type string, from_key string, to_key string, resolution string, confidence double"
@@ -89,9 +90,9 @@ def test_snapshots_and_diff(spark, tmp_path):
 def test_communities(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
     weights = lambda *x: spark.createDataFrame([(a, b, 1) for a, b in x], "a long, b long, w long")
-    got = dict(analysis.communities(ids(*range(1, 7)), weights((1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4))).collect())
+    got = dict(communities.communities(ids(*range(1, 7)), weights((1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4))).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
-    assert dict(analysis.communities(ids(99), weights()).collect()) == {99: 99}
+    assert dict(communities.communities(ids(99), weights()).collect()) == {99: 99}
 
 
 def sequential(n, pairs):
@@ -145,24 +146,82 @@ def gaining_merges(found, pairs):
     return [p for p, w in between.items() if w / m - tot[p[0]] * tot[p[1]] / (2 * m * m) > 2e-9]
 
 
-@pytest.mark.parametrize("kind", ["chain", "groups"])
-def test_communities_come_to_rest(spark, kind):
-    n, rng = {"chain": 2000, "groups": 600}[kind], random.Random(5)
+@pytest.mark.parametrize("kind,small", [("chain", 1 << 18), ("groups", 1 << 18), ("groups", 0), ("chain", 300)])
+def test_communities_come_to_rest(spark, monkeypatch, kind, small):
+    """All levels in a task, all by turns of joins, and large levels by turns with small ones in a task."""
+    monkeypatch.setattr(communities, "SMALL", small)
+    n, rng = {"chain": 2000, "groups": 300}[kind], random.Random(5)
     pairs = [(i, i + 1) for i in range(n - 1)]
     if kind == "groups":
         pairs = sorted({(min(p), max(p)) for i in range(n) for j in range(4) if (p := (i, i // 30 * 30 + rng.randrange(30) if j else rng.randrange(n))) and p[0] != p[1]})
     ids, weights = spark.range(n), spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, w long")
-    found = dict(analysis.communities(ids, weights).collect())
+    found = dict(communities.communities(ids, weights).collect())
     plain = sequential(n, pairs)
     assert gaining_merges(plain, pairs) == [] and gaining_merges(found, pairs) == []
     assert len(found) == n and modularity(found, pairs) > modularity(plain, pairs) - 0.02
     assert len(set(found.values())) < 1.5 * len(set(plain))
 
 
-def test_communities_do_not_stop_early(spark):
-    weights = spark.createDataFrame([(i, i + 1, 1) for i in range(50)], "a long, b long, w long")
-    with pytest.raises(RuntimeError, match="still gain"):
-        analysis.communities(spark.range(51), weights, turns=1)
+def test_modularity_rises_with_every_turn(spark, monkeypatch):
+    monkeypatch.setattr(communities, "SMALL", 0)
+    data = "/root/testdata/sf0.001"
+    n, e = testbed.nodes(spark, data), testbed.edges(spark, data)
+    weights = analysis.projection(n, e).cache()
+    pairs = [(r.a, r.b) for r in weights.collect() for _ in range(r.w)]
+    names = sorted({x for p in pairs for x in p})
+    place, seen = {k: i for i, k in enumerate(names)}, []
+    ids = spark.createDataFrame([(k,) for k in names], "id string")
+    found = dict(communities.communities(ids, weights, seen=lambda state: seen.append(state)).collect())
+    plain = sequential(len(names), [(place[a], place[b]) for a, b in pairs])
+    assert gaining_merges(found, pairs) == [] and modularity(found, pairs) > modularity({k: plain[i] for k, i in place.items()}, pairs) - 0.02
+    assert abs(communities.modularity(spark.createDataFrame(list(found.items()), "id string, community string"), weights) - modularity(found, pairs)) < 1e-9
+    assert 5 < len(seen) < 100
+
+
+def test_every_move_that_is_made_gains(spark):
+    """Turn by turn on graphs with hubs, where nodes of equal wishes would overfill a community together."""
+    rng = random.Random(3)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(60), rng.choice((0, 1, 2, rng.randrange(60)))) for _ in range(400)) if a != b})
+    ids, weights = spark.range(60), spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, w long")
+    links = analysis.both_ways(weights).cache()
+    strength = {r.id: r.k for r in links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).collect()}
+    state, last = {i: i for i in range(60)}, -1.0
+    for turn in range(60):
+        df = spark.createDataFrame([(i, c, strength.get(i, 0), hash((turn, i))) for i, c in state.items()], "id long, c long, k long, luck long")
+        wishes = communities._wishes(df, links, 2.0 * len(pairs), 1.0).cache()
+        moves = dict(communities._sound(wishes, 1.0).collect())
+        if not wishes.count():
+            break
+        assert moves
+        state |= moves
+        now = modularity(state, pairs)
+        assert now > last + 1e-9
+        last = now
+    else:
+        raise AssertionError("no rest")
+
+
+def test_hubs_follow_lower_hubs(spark):
+    weights = spark.createDataFrame([("h1", "x", 1), ("h1", "y", 1), ("h1", "h2", 9), ("h2", "y", 1), ("h2", "h3", 5), ("h3", "x", 4), ("h4", "h5", 3)], "a string, b string, w long")
+    hubs = spark.createDataFrame([("h1",), ("h2",), ("h3",), ("h4",), ("h5",), ("h6",)], "key string")
+    given = spark.createDataFrame([("x", "X"), ("y", "Y")], "key string, community string")
+    assert dict(communities.attach_hubs(hubs, weights, given).collect()) == {"h1": "X", "h2": "X", "h3": "X", "h4": "h4", "h5": "h4", "h6": "h6"}
+
+
+def test_the_hub_joins_its_strongest_neighbour(spark):
+    node = lambda k: (f"class:{k}", "class", k, None, True, None)
+    n = spark.createDataFrame([node(k) for k in ("A1", "A2", "A3", "B1", "B2", "B3", "Hub")], "key string, type string, name string, file string, is_project boolean, kind string")
+    pairs = [("A1", "A2"), ("A2", "A3"), ("A1", "A3"), ("B1", "B2"), ("B2", "B3"), ("B1", "B3"), *[("Hub", k) for k in ("A1", "A1", "A2", "A3", "B1", "B2", "B3")]]
+    e = spark.createDataFrame([("calls", f"class:{a}", f"class:{b}", "new", 1.0) for a, b in pairs], "type string, from_key string, to_key string, resolution string, confidence double")
+    found = dict(communities.detect(n, e).collect())
+    assert found == {f"class:{k}": f"class:{'B' if k[0] == 'B' else 'A'}1" for k in ("A1", "A2", "A3", "B1", "B2", "B3", "Hub")}
+
+
+def test_a_cleaned_session_goes_on(spark):
+    data = "/root/testdata/sf0.001"
+    n = testbed.nodes(spark, data).count()
+    runtime.clean(spark)
+    assert testbed.nodes(spark, data).count() == n
 
 
 def test_hub_threshold(spark):
