@@ -273,8 +273,8 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
 @query(_WEIGHTS + _MEMBER + """, both_ways AS (SELECT a AS src, b AS dst, w FROM w UNION ALL SELECT b, a, w FROM w),
 o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS r, count(*) OVER () AS n FROM deg), h AS (SELECT key FROM deg WHERE degree > 0 AND degree >= (SELECT degree FROM o WHERE r = floor(0.99 * n) + 1)),
 b AS (SELECT src, dst FROM both_ways WHERE src IN (SELECT key FROM h) AND (dst NOT IN (SELECT key FROM h) OR dst < src) QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) = 1),
-walk(src, at) AS (SELECT src, dst FROM b UNION ALL SELECT walk.src, b.dst FROM walk JOIN b ON b.src = walk.at)
-SELECT h.key, coalesce(any_value(mem.community), h.key) AS community FROM h LEFT JOIN walk ON walk.src = h.key AND walk.at NOT IN (SELECT key FROM h) LEFT JOIN mem ON mem.key = walk.at GROUP BY h.key""", graph=True)
+walk(src, spot) AS (SELECT src, dst FROM b UNION ALL SELECT walk.src, b.dst FROM walk JOIN b ON b.src = walk.spot)
+SELECT h.key, coalesce(any_value(mem.community), h.key) AS community FROM h LEFT JOIN walk ON walk.src = h.key AND walk.spot NOT IN (SELECT key FROM h) LEFT JOIN mem ON mem.key = walk.spot GROUP BY h.key""", graph=True)
 def hubs_attached(spark: SparkSession, sf: str) -> DataFrame:
     """Hubs and the given communities that they join: here the file of a node, else its type."""
     n = nodes(spark, sf)
