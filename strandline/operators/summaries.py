@@ -22,6 +22,30 @@ def route(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return nodes.where(F.col("key") == key).select(F.col("key").alias("route")).join(handlers, "route", "left").join(views, "handler", "left").select("route", "handler", "view")
 
 
+def route_names(nodes: DataFrame, order: str = "key") -> DataFrame:
+    """(name, key) of the routes with a name in their meta (a variant); the last one in `order` wins."""
+    name = F.try_variant_get("meta", "$.name", "string")
+    return nodes.where("type = 'route'").select(name.alias("name"), "key", F.col(order).alias("o")).where("name is not null").groupBy("name").agg(F.max_by("key", "o").alias("key"))
+
+
+def route_detail(nodes: DataFrame, edges: DataFrame, asked: str) -> DataFrame:
+    """(key, name, action, middleware, domain, views) of one route, by "VERB /uri" or by name (the least key of several);
+    no row for an unknown one. Nodes have a variant `meta`; views are names, repeated as often as handlers render them."""
+    verb, space, uri = asked.partition(" ")
+    routes = nodes.where("type = 'route'")
+    some = routes.where(F.col("key") == f"route:{verb.upper()} /{uri.lstrip('/')}") if space else routes.where(F.try_variant_get("meta", "$.name", "string") == asked).orderBy("key").limit(1)
+    get = lambda path, kind: F.try_variant_get("meta", path, kind)
+    one = some.select("key", get("$.name", "string").alias("name"), get("$.action", "string").alias("action"), F.coalesce(get("$.middleware", "array<string>"), F.array()).alias("middleware"), get("$.domain", "string").alias("domain"))
+    handlers = edges.where("type = 'routes_to'").select(F.col("from_key").alias("key"), F.col("to_key").alias("handler")).join(one.select("key"), "key", "left_semi").distinct()
+    views = edges.where("type = 'renders'").select(F.col("from_key").alias("handler"), F.regexp_replace("to_key", "^view:", "").alias("view")).join(handlers, "handler")
+    return one.join(views.groupBy("key").agg(F.sort_array(F.collect_list("view")).alias("views")), "key", "left").withColumn("views", F.coalesce("views", F.array().cast("array<string>")))
+
+
+def migrations(edges: DataFrame, table: str) -> DataFrame:
+    """(file): the distinct files that touch a table, of edges with a file."""
+    return edges.where((F.col("type") == "touches_table") & (F.col("to_key") == table) & F.col("file").isNotNull()).select("file").distinct()
+
+
 def view(edges: DataFrame, name: str) -> DataFrame:
     """(role, other) of a view: who renders or includes it, what it includes, uses and links to."""
     key = f"view:{name}"

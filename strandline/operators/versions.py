@@ -132,8 +132,6 @@ class Log:
         until = self.version() if until is None else until
         old = self.rows(name, since) if name in self.tables(since) else None
         new = self.rows(name, until)
-        if any(self._record(n)["base"] and n > 1 for n in range(since + 1, until + 1)):
-            raise ValueError("a compaction lies between: identities before and after it differ")
         mark = lambda df, word: df.drop(*IDENTITY).withColumn("change", F.lit(word))
         if old is None:
             return mark(new, "added")
@@ -147,7 +145,7 @@ class Log:
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         return seen.get["n"]
 
-    def commit(self, deltas: dict[str, Delta], after: int | None = None, base: bool = False, **note) -> Commit:
+    def commit(self, deltas: dict[str, Delta], after: int | None = None, compacted: bool = False, **note) -> Commit:
         """Write deltas as the version after `after` (the current one). `note` goes into the record."""
         last = self.latest()
         after = last if after is None or (after == 0 and last and not self.version()) else after
@@ -155,14 +153,14 @@ class Log:
         for name, delta in deltas.items():
             entry: dict = {}
             if delta.add is not None:
-                own = delta.add.drop(*IDENTITY).withColumn("_version", F.lit(n)).withColumn("_number", F.monotonically_increasing_id())
+                own = delta.add if compacted else delta.add.drop(*IDENTITY).withColumn("_version", F.lit(n)).withColumn("_number", F.monotonically_increasing_id())
                 entry["added"] = [f"{folder}/{name}-added", self._write(own, f"{folder}/{name}-added")]
             if delta.remove is not None:
                 entry["removed"] = [f"{folder}/{name}-removed", self._write(delta.remove.select(*IDENTITY).distinct(), f"{folder}/{name}-removed")]
             tables[name] = entry
             rows[name] = tuple(entry.get(k, (None, 0))[1] for k in ("added", "removed"))
         first = not self._since_base(after)
-        self._publish(n, {"schema": self.schema, "base": base or first, "tables": tables, "note": note})
+        self._publish(n, {"schema": self.schema, "base": compacted or first, "tables": tables, "note": note})
         return Commit(n, rows)
 
     def change(self, work: Callable[[int], dict[str, Delta]], tries: int = 5, **note) -> Commit:
@@ -177,9 +175,9 @@ class Log:
         raise AssertionError
 
     def compact(self) -> Commit:
-        """All tables as they are, as the base that later readers start from."""
+        """All tables as they are, as the base that later readers start from. Rows keep their identities."""
         version = self.version()
-        return self.commit({name: Delta(self.read(name, version)) for name in self.tables(version)}, version, base=True, compacted=True)
+        return self.commit({name: Delta(self.rows(name, version)) for name in self.tables(version)}, version, compacted=True)
 
     def history(self, last: int | None = None) -> DataFrame:
         """(version, table, added, removed) of the versions since the last base, the newest `last` of them."""

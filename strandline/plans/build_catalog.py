@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators import analysis, builds, membership, summaries
 from strandline.operators.invalidate import rebuild
 from strandline.operators.versions import Conflict, Delta, Log
+from strandline.plans.catalog import _MEMBER, _WEIGHTS
 from strandline.plans.registry import query
 from strandline.plans.runtime import run_folder
-from strandline.plans.testbed import table
+from strandline.plans.testbed import edges, nodes, table
+from strandline.sources import literals, markdown
 
 
 def new_log(spark: SparkSession) -> Log:
@@ -133,3 +136,96 @@ def edge_changes(spark: SparkSession, sf: str) -> DataFrame:
     some = one.where("supplier % 3 = 0").join(two, ["supplier", "part"], "left_anti")
     log.change(lambda at: {"pairs": log.without("pairs", some, ["supplier", "part"], at)})
     return log.changes("pairs", 1)
+
+
+# builds, misses, communities
+
+
+@query(f"""WITH one AS ({_S1}), two AS ({_S2}) SELECT 1 AS id, 'full' AS kind, count(*) AS new_nodes, 0::BIGINT AS changed_nodes, count(*) FILTER (doc_id % 3 = 1) AS edges, false AS last FROM one
+UNION ALL SELECT 3, 'incremental', count(*) FILTER (one.hash IS NULL), count(*) FILTER (one.hash <> two.hash), count(*) FILTER (two.doc_id % 3 = 2), true FROM two LEFT JOIN one USING (path)""")
+def build_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two builds over documents as nodes: what each wrote, counted while it was written, and which is the last."""
+    log, (one, two) = new_log(spark), snapshots(spark, sf)
+    for kind, docs, rest in (("full", one, 1), ("incremental", two, 2)):
+        edges = docs.where(docs.doc_id % 3 == rest).select(F.col("path").alias("from_key"), F.lit("x").alias("to_key"))
+        builds.record(log, kind, lambda at, docs=docs, edges=edges: {"nodes": log.put("nodes", docs.select(F.col("path").alias("key"), "hash"), ["key"], at), "edges": Delta(edges)}, 0.0, lambda: 1.0)
+    newest = builds.last(log).select("id", F.lit(True).alias("last"))
+    return log.read("builds").join(newest, "id", "left").select("id", "kind", "new_nodes", "changed_nodes", "edges", F.coalesce("last", F.lit(False)).alias("last"))
+
+
+@query("SELECT 1 AS batch, event_type, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY event_type UNION ALL SELECT 2, event_type, count(*) FROM events WHERE event_id % 3 = 1 GROUP BY event_type")
+def misses_exported(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as rows of questions without an answer, appended in two commits and exported after each: rows of every
+    batch as the files have them."""
+    log, events, folder = new_log(spark), table(spark, sf, "events"), f"{run_folder(spark)}/export-{uuid.uuid4().hex}"
+    for k in (0, 1):
+        log.commit({"misses": Delta(events.where(F.col("event_id") % 3 == k).select("event_id", "event_type"))})
+        builds.export(log, "misses", folder)
+    return spark.read.json(folder).groupBy("batch", "event_type").agg(F.count("*").alias("n"))
+
+
+def _given(spark: SparkSession, sf: str) -> DataFrame:
+    n = nodes(spark, sf)
+    return n.join(analysis.eligible(n).select("key"), "key", "left_semi").select("key", F.coalesce("file", "type").alias("community"))
+
+
+@query(_WEIGHTS + _MEMBER + """, far AS (SELECT DISTINCT x.key, m.community FROM (SELECT a AS key, b AS other FROM w UNION ALL SELECT b, a FROM w) x JOIN mem m ON m.key = x.other)
+SELECT deg.key, deg.type, degree, (SELECT count(*) FROM far WHERE far.key = deg.key AND far.community IS DISTINCT FROM (SELECT community FROM mem WHERE mem.key = deg.key)) AS bridges FROM deg ORDER BY degree DESC, deg.key LIMIT 20""", graph=True)
+def hubs_with_bridges(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest hubs with the communities they bridge, from stored communities: here the file of a node, else its
+    type."""
+    log, n, e = new_log(spark), nodes(spark, sf), edges(spark, sf)
+    membership.store(log, _given(spark, sf), n, e, "2024-01-01T00:00:00+00:00")
+    return membership.hubs(log, n, e)
+
+
+@query(_WEIGHTS + _MEMBER + " SELECT community, count(*) AS size, '2024-01-01T00:00:00+00:00' AS computed_at, '1.0' AS resolution FROM mem GROUP BY community", graph=True)
+def communities_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored communities as they are read back, with their time."""
+    log = new_log(spark)
+    membership.store(log, _given(spark, sf), nodes(spark, sf), edges(spark, sf), "2024-01-01T00:00:00+00:00")
+    return membership.summary(log).rows.select("community", "size", "computed_at", "resolution")
+
+
+# routes by name, literal names
+
+
+def _routes(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes with a variant of what routes carry."""
+    name = F.concat(F.lit("region."), F.element_at(F.split("key", "/"), -1))
+    said = F.to_json(F.struct(name.alias("name"), F.lit("GeoController@show").alias("action"), F.array(F.lit("web"), name).alias("middleware"), F.when(F.col("key").endswith("europe"), "eu.test").alias("domain")))
+    return nodes(spark, sf).withColumn("meta", F.parse_json(F.when(F.col("type") == "route", said).otherwise("{}")))
+
+
+@query(""" SELECT 'route:GET /europe' AS key, 'region.europe' AS name, 'GeoController@show' AS action, 'web region.europe' AS middleware, 'eu.test' AS domain,
+coalesce((SELECT string_agg(substr(v.to_key, 6), ' ' ORDER BY v.to_key) FROM (SELECT DISTINCT to_key FROM edges WHERE type = 'routes_to' AND from_key = 'route:GET /europe') h JOIN edges v ON v.type = 'renders' AND v.from_key = h.to_key), '') AS views""", graph=True)
+def route_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    found = summaries.route_detail(_routes(spark, sf), edges(spark, sf), "region.europe")
+    return found.withColumns({"middleware": F.array_join("middleware", " "), "views": F.array_join("views", " ")})
+
+
+@query(""" SELECT 'p/' || page_id AS path, 'region.' || lower(r_name) AS text, 'route:GET /' || lower(r_name) AS keys, 'route_name' AS matches FROM pages JOIN region ON page_id % 7 = r_regionkey""", graph=True)
+def mentions_by_route_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions of routes by their names, which no other lookup knows."""
+    pages, region = table(spark, sf, "pages"), table(spark, sf, "region")
+    said = pages.join(F.broadcast(region.select("r_regionkey", "r_name")), F.expr("page_id % 7 = r_regionkey"))
+    mentions = said.select(F.concat(F.lit("p/"), "page_id").alias("path"), F.lit("all").alias("anchor"), F.concat(F.lit("region."), F.lower("r_name")).alias("text"), F.lit(False).alias("backticked"))
+    found = markdown.resolve_mentions(mentions, nodes(spark, sf), summaries.route_names(_routes(spark, sf)))
+    return found.select("path", "text", F.array_join("keys", " ").alias("keys"), F.array_join("matches", " ").alias("matches"))
+
+
+@query(""", p AS (SELECT page_id AS k, 'src/' || page_id || '.php' AS path FROM pages), names AS (SELECT 'region.' || lower(r_name) AS name, 'route:GET /' || lower(r_name) AS key FROM region)
+SELECT 'renders' AS what, path, 2 AS line, 'view:page.p' || k AS other, NULL AS candidates FROM p UNION ALL SELECT 'renders', path, 6, 'view:made', NULL FROM p
+UNION ALL SELECT 'links_route', path, 3, 'route:GET /europe', NULL FROM p UNION ALL SELECT 'links_route', path, 3, 'route:GET /asia', NULL FROM p WHERE k % 2 = 0
+UNION ALL SELECT 'unresolved links_route', path, 3, 'gone' || k, 'route name ''gone' || k || ''' not found' FROM p WHERE k % 2 = 1
+UNION ALL SELECT 'unresolved view', path, 4, 'view($name)', NULL FROM p UNION ALL SELECT 'unresolved route', path, 5, 'route("a.$x")', NULL FROM p""", graph=True)
+def literal_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Scripts made of the pages' numbers: views and routes by literal names, names that are put together, unknown
+    routes, and calls that only look alike."""
+    k = F.col("page_id").cast("string")
+    lit, other = F.lit, F.when(F.col("page_id") % 2 == 0, "region.asia").otherwise(F.concat(F.lit("gone"), k))
+    text = F.concat(lit("<?php // preview('no'), $view('no'), $a->view('no'), X::route('no'), view()\nreturn view('page.p"), k, lit("', []);\nroute('region.europe'); TO_ROUTE( '"), other, lit("' );\nview($name);\nroute(\"a.$x\");\nView::make(\n\"made\"); View::make($x);"))
+    found = literals.scan(table(spark, sf, "pages").select(F.concat(lit("src/"), k, lit(".php")).alias("path"), text.alias("content")))
+    edges_, open_ = literals.resolve(found, summaries.route_names(_routes(spark, sf)))
+    done = edges_.select(F.col("type").alias("what"), "path", "line", F.col("to_key").alias("other"), lit(None).cast("string").alias("candidates"))
+    return done.unionByName(literals.without_noise(open_).select(F.concat(lit("unresolved "), "kind").alias("what"), "path", "line", F.col("expression").alias("other"), F.array_join("candidates", " ").alias("candidates")))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions.text import normalise_path, slugify, view_name
-from strandline.operators.store import Snapshots
+from strandline.operators.versions import Log
 from strandline.sources import markdown, scripts, templates, tree
 from strandline.streaming.watch import follow
 
@@ -88,12 +88,13 @@ def test_tree(spark, tmp_path):
 
 
 def test_stream_of_files(spark, tmp_path):
-    source, s, seen = tmp_path / "in", Snapshots(spark, str(tmp_path / "g")), []
+    source, s, seen = tmp_path / "in", Log(spark, str(tmp_path / "g")), []
     for n, batch in enumerate(([("a", "1", 1), ("b", "1", 1)], [("a", "1", 2), ("b", "2", 2), ("b", "3", 3)])):
         spark.createDataFrame(batch, "path string, hash string, seen int").coalesce(1).write.mode("append").json(str(source))
         stream = spark.readStream.schema("path string, hash string, seen int").json(str(source))
         follow(stream, s, str(tmp_path / "c"), lambda c, k: seen.append(rows(c))).awaitTermination()
     assert seen == [[("a",), ("b",)], [("b",)]] and rows(s.read("files")) == [("a", "1"), ("b", "3")]
+    assert rows(s.history()) == [(1, "files", 2, 0), (2, "files", 1, 1)] and spark.read.parquet(s._record(2)["tables"]["files"]["added"][0]).count() == 1
 
 
 def test_mentions_resolve_without_a_nested_loop(spark):

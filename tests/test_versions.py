@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import builds, membership
 from strandline.operators.invalidate import rebuild, stale
 from strandline.operators.versions import Conflict, Delta, Log
 
@@ -46,8 +47,7 @@ def test_compaction_keeps_rows_and_old_readers(spark, log):
     assert rows(log.read("t", 2)) == [("0", 1, 0), ("1", 1, 1), ("a", 1, 1)] and old.count() == 3
     assert log.change(lambda at: {"t": log.without("t", table(spark, ("a", 1, 0)), ["k"], at)}).rows == {"t": (0, 1)}
     assert rows(log.read("t")) == want[:-1]
-    with pytest.raises(ValueError):
-        log.changes("t", 3)
+    assert rows(log.changes("t", 3)) == [("3", 1, 3, "added"), ("a", 1, 2, "removed")]
 
 
 def test_a_writer_that_breaks_off_and_another_schema(spark, log, monkeypatch):
@@ -130,3 +130,52 @@ def test_files_that_use_each_other_come_to_rest(spark, log):
 def test_stale_nodes(spark):
     old, new = table(spark, ("A", "x"), ("A", "y"), ("B", "z"), schema="path string, key string"), table(spark, ("A", "x"), schema="path string, key string")
     assert rows(stale(old, new, table(spark, ("A",), schema="path string"))) == [("A", "y")]
+
+
+# builds, misses, exports, communities
+
+
+def test_builds_count_new_nodes_while_they_are_written(spark, log):
+    node = lambda *r: table(spark, *r, schema="key string, file string")
+    one = builds.record(log, "full", lambda at: {"nodes": log.put("nodes", node(("a", "f"), ("b", "f")), ["key"], at)}, 10.0, lambda: 12.5)
+    two = builds.record(log, "incremental", lambda at: {"nodes": log.put("nodes", node(("b", "g"), ("c", "g"), ("c", "g")), ["key"], at)}, 20.0, lambda: 21.0)
+    assert (one.version, two.version) == (1, 3)
+    assert rows(log.read("builds").select("id", "kind", "seconds", "new_nodes", "changed_nodes")) == [(1, "full", 2.5, 2, 0), (3, "incremental", 1.0, 1, 1)]
+    assert builds.last(log).first().id == 3 and builds.last(Log(spark, log.root + "x")) is None
+
+
+def test_values_are_set_and_read(spark, log):
+    assert builds.value(log, "a") is None
+    builds.set_values(log, {"a": "1", "b": None})
+    builds.set_values(log, {"a": "2"})
+    assert builds.value(log, "a") == "2" and builds.value(log, "b") is None and log.read("meta").count() == 2
+
+
+def test_an_export_that_breaks_off_gives_each_row_once(spark, log, tmp_path, monkeypatch):
+    folder, row = str(tmp_path / "out"), lambda *k: {"misses": Delta(table(spark, *[(x,) for x in k], schema="key string"))}
+    read = lambda: sorted((r.batch, r.key) for r in spark.read.json(folder).collect())
+    assert builds.export(log, "misses", folder) == []
+    log.commit(row("a", "b", "b"))
+    assert builds.export(log, "misses", folder) == [1] and builds.export(log, "misses", folder) == []
+    log.commit(row("c"))
+    monkeypatch.setattr(builds, "_move", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        builds.export(log, "misses", folder)
+    monkeypatch.undo()
+    log.commit(row("d"))
+    log.compact()
+    assert builds.export(log, "misses", folder) == [2, 3]
+    assert read() == [(1, "a"), (1, "b"), (1, "b"), (2, "c"), (3, "d")] and builds.waiting(log, "misses").count() == 0
+
+
+def test_communities_are_stored_and_never_computed_by_a_question(spark, log):
+    n = spark.createDataFrame([(f"class:N\\{k}", "class", f"N\\{k}", None, True, None) for k in ("A", "B", "C", "D")], "key string, type string, name string, file string, is_project boolean, kind string")
+    e = spark.createDataFrame([("calls", f"class:N\\{a}", f"class:N\\{b}", "new", 1.0) for a, b in (("A", "B"), ("C", "D"), ("B", "C"), ("A", "B"), ("C", "D"))], "type string, from_key string, to_key string, resolution string, confidence double")
+    assert not membership.summary(log).found and [r.bridges for r in membership.hubs(log, n, e).collect()] == [None] * 4
+    found = spark.createDataFrame([("class:N\\A", "x"), ("class:N\\B", "x"), ("class:N\\C", "y"), ("class:N\\D", "y")], "key string, community string")
+    membership.store(log, found, n, e, "2024-01-01T00:00:00+00:00", 1.0)
+    answer = membership.summary(log)
+    assert [tuple(r) for r in answer.rows.select("community", "size").collect()] == [("x", 2), ("y", 2)] and answer.rows.first().computed_at == "2024-01-01T00:00:00+00:00"
+    assert {r.key[-1]: r.bridges for r in membership.hubs(log, n, e).collect()} == {"A": 0, "B": 1, "C": 1, "D": 0}
+    membership.store(log, found.where("community = 'x'"), n, e, "2024-01-02T00:00:00+00:00", 1.0)
+    assert rows(membership.membership(log)) == [("class:N\\A", "x"), ("class:N\\B", "x")] and membership.summary(log).rows.count() == 1
