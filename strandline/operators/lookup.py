@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,15 +12,54 @@ from strandline.functions.text import ascii_lower, short_name
 
 CANDIDATES = 25
 SUGGESTIONS = 5
+#: Rows of an answer that come to the driver at once.
+PAGE = 1000
 SUGGESTION_SCORE = 0.6
 
 
-def candidates(nodes: DataFrame, name: str, type_: str | None = None, limit: int = CANDIDATES) -> DataFrame:
+#: Letters of a gram: a search for fewer letters in a row than these reads all nodes.
+GRAM = 3
+
+
+def lower(text: str) -> str:
+    """A-Z in lower case, all other letters as they are."""
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+@dataclass
+class Index:
+    """Grams of all keys (gram, key), sorted by gram, and names (name, key), sorted by name: a search reads the row
+    groups of its own grams and name."""
+
+    grams: DataFrame
+    names: DataFrame
+
+    @staticmethod
+    def tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The two tables, to be sorted and stored. A gram that very many keys hold fills as many ranges as it needs."""
+        folded = ascii_lower(F.col("key"))
+        at = F.sequence(F.lit(1), F.length(folded) - GRAM + 1)
+        grams = nodes.where(F.length("key") >= GRAM).select(F.explode(F.array_distinct(F.transform(at, lambda i: F.substr(folded, i, F.lit(GRAM))))).alias("gram"), "key")
+        return grams.repartitionByRange("gram", "key").sortWithinPartitions("gram"), nodes.select("name", "key").repartitionByRange("name", "key").sortWithinPartitions("name")
+
+    def keys(self, name: str) -> DataFrame | None:
+        """(key) of all nodes that can match; None if the name has no gram, and all nodes can."""
+        wanted = sorted({part[i : i + GRAM] for part in re.split("[%_]", lower(name)) for i in range(len(part) - GRAM + 1)})
+        if not wanted:
+            return None
+        holding = self.grams.where(F.col("gram").isin(wanted)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("key")
+        return holding.unionByName(self.names.where(F.col("name") == name).select("key")).distinct()
+
+
+def candidates(nodes: DataFrame, name: str, type_: str | None = None, limit: int = CANDIDATES, index: Index | None = None) -> DataFrame:
     """Nodes whose key or name is `name` or whose key holds it (% and _ are wildcards, case is ignored for
-    A-Z), the likeliest first: same key, same name, a name that ends in a backslash and `name`; then by key."""
+    A-Z), the likeliest first: same key, same name, a name that ends in a backslash and `name`; then by key. With an
+    index only nodes that can match are read."""
     same_key, same_name = F.col("key") == name, F.col("name") == name
-    tail = ascii_lower(F.col("name")).endswith(("\\" + name).lower())
-    found = nodes.where(same_key | same_name | F.col("key").ilike("%" + name.replace("\\", "\\\\") + "%"))
+    tail = ascii_lower(F.col("name")).endswith(lower("\\" + name))
+    if index is not None and (keys := index.keys(name)) is not None:
+        nodes = nodes.join(keys, "key", "left_semi")
+    found = nodes.where(same_key | same_name | ascii_lower(F.col("key")).like("%" + lower(name).replace("\\", "\\\\") + "%"))
     if type_ is not None:
         found = found.where(F.col("type") == type_)
     rank = lambda c: c.cast("int").desc()
@@ -40,12 +80,17 @@ class Answer:
     confidence: float | None = None
     suggestions: DataFrame | None = None
 
-    def envelope(self, tool: str, args: dict) -> dict:
-        """The answer as a plain dictionary; its rows are a tool's bounded result."""
-        rows = lambda df: [x.asDict(recursive=True) for x in df.collect()]
+    def envelope(self, tool: str, args: dict, page: int = PAGE, offset: int = 0, graph: dict | None = None) -> dict:
+        """The answer as a plain dictionary: no more than `page` of its rows from `offset` on, with `next` where more
+        follow (rows keep the order that the tool gave them), and what is known of the graph."""
         out: dict = {"found": self.found, "query": {"tool": tool, **args}}
+        if graph is not None:
+            out["graph"] = graph
+        rows = lambda df: [x.asDict(recursive=True) for x in df.offset(offset).limit(page + 1).collect()]
         if self.found:
             out["result"] = rows(self.rows)
+            if len(out["result"]) > page:
+                out["result"], out["next"] = out["result"][:page], offset + page
             if self.confidence is not None:
                 out["confidence"] = self.confidence
         elif self.suggestions is not None:
@@ -53,18 +98,18 @@ class Answer:
         return out
 
 
-def suggestions(nodes: DataFrame, name: str) -> DataFrame:
-    return candidates(nodes, name).limit(SUGGESTIONS).select("key", "name", "type", F.lit(SUGGESTION_SCORE).alias("score"))
+def suggestions(nodes: DataFrame, name: str, index: Index | None = None) -> DataFrame:
+    return candidates(nodes, name, index=index).limit(SUGGESTIONS).select("key", "name", "type", F.lit(SUGGESTION_SCORE).alias("score"))
 
 
-def find(nodes: DataFrame, name: str, type_: str | None = None, fuzzy: bool = False) -> Answer:
+def find(nodes: DataFrame, name: str, type_: str | None = None, fuzzy: bool = False, index: Index | None = None) -> Answer:
     """Exact matches with confidence 1; with `fuzzy` and no exact one, all candidates with 0.6."""
-    some = candidates(nodes, name, type_)
+    some = candidates(nodes, name, type_, index=index)
     exact = some.where(is_exact(name))
     if not exact.isEmpty():
         return Answer(True, exact, 1.0)
     if not fuzzy:
-        return Answer(False, suggestions=suggestions(nodes, name))
+        return Answer(False, suggestions=suggestions(nodes, name, index))
     return Answer(False) if some.isEmpty() else Answer(True, some, SUGGESTION_SCORE)
 
 

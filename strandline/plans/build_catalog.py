@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import analysis, builds, membership, summaries
+from strandline.operators import analysis, builds, extractors, membership, summaries
 from strandline.operators.invalidate import rebuild
 from strandline.operators.versions import Conflict, Delta, Log
 from strandline.plans.catalog import _MEMBER, _WEIGHTS
@@ -229,3 +230,39 @@ def literal_names(spark: SparkSession, sf: str) -> DataFrame:
     edges_, open_ = literals.resolve(found, summaries.route_names(_routes(spark, sf)))
     done = edges_.select(F.col("type").alias("what"), "path", "line", F.col("to_key").alias("other"), lit(None).cast("string").alias("candidates"))
     return done.unionByName(literals.without_noise(open_).select(F.concat(lit("unresolved "), "kind").alias("what"), "path", "line", F.col("expression").alias("other"), F.array_join("candidates", " ").alias("candidates")))
+
+
+# extractors
+
+
+def _title(path: str, content: str):
+    if found := re.search("<h1[^>]*>([^<]*)</h1>", content):
+        yield "nodes", {"key": f"page:{path}", "type": "page", "name": found[1], "line": 1}
+
+
+def _hrefs(path: str, content: str):
+    for target in re.findall('href="([^"]*)"', content):
+        if target.startswith("/"):
+            yield "edges", {"type": "links", "from_key": f"page:{path}", "to_key": f"uri:{target}"}
+        else:
+            yield "unresolved", {"kind": "href", "expression": target, "candidates": [f"/{target}"]}
+
+
+@query("""WITH p AS (SELECT CAST(page_id AS VARCHAR) AS path, html FROM pages), h AS (SELECT path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM p)
+SELECT 'titles nodes' AS what, path, 'page:' || path AS a, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS b FROM p WHERE regexp_matches(html, '<h1[^>]*>[^<]*</h1>')
+UNION ALL SELECT 'hrefs edges', path, 'page:' || path, 'uri:' || target FROM h WHERE starts_with(target, '/') UNION ALL SELECT 'hrefs unresolved', path, target, '/' || target FROM h WHERE NOT starts_with(target, '/')""")
+def extractor_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Two extractors over the pages, read once: titles as nodes, links as edges or unresolved."""
+    registry = extractors.Registry().add(extractors.Extractor("titles", ("html",), _title)).add(extractors.Extractor("hrefs", ("html", "md"), _hrefs))
+    out = registry.run(table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("content")))
+    rows = lambda name, a, b: out[name].select(F.concat_ws(" ", "extractor", F.lit(name)).alias("what"), "path", F.col(a).alias("a"), b.alias("b"))
+    return rows("nodes", "key", F.col("name")).unionByName(rows("edges", "from_key", F.col("to_key"))).unionByName(rows("unresolved", "expression", F.col("candidates")[0]))
+
+
+@query(" , m AS (SELECT t.to_key, from_key FROM edges t WHERE t.type = 'touches_table') SELECT DISTINCT to_key AS table_key, n.file FROM m JOIN nodes n ON n.key = m.from_key WHERE m.to_key = (SELECT min(to_key) FROM m)", graph=True)
+def table_migrations(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that touch one table: here an edge's file is the one of its start."""
+    e, n = edges(spark, sf), nodes(spark, sf)
+    first = e.where("type = 'touches_table'").agg(F.min("to_key")).first()[0]
+    placed = e.where(F.col("to_key") == first).join(n.select(F.col("key").alias("from_key"), "file"), "from_key")
+    return summaries.migrations(placed, first).select(F.lit(first).alias("table_key"), "file")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.keys import key
+from strandline.operators.lookup import Index
 from strandline.plans.runtime import cut, exists, run_folder
 
 NODES = ("key", "type", "name", "file", "is_project", "kind")
@@ -136,6 +137,16 @@ def edges(spark: SparkSession, sf_dir: str, by: str = "from_key") -> DataFrame:
     return spark.read.schema(build_edges(spark, sf_dir).schema).parquet(f"{stored(spark, sf_dir)}/{by}")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of keys and names, stored beside the graph when it is first asked for."""
+    folder = stored(spark, sf_dir)
+    if not exists(spark, f"{folder}/names/_SUCCESS"):
+        grams, names = Index.tables(nodes(spark, sf_dir))
+        grams.write.mode("overwrite").parquet(f"{folder}/grams")
+        names.write.mode("overwrite").parquet(f"{folder}/names")
+    return Index(spark.read.parquet(f"{folder}/grams"), spark.read.parquet(f"{folder}/names"))
+
+
 #: The same graph for DuckDB.
 SQL = r"""people AS (SELECT c_custkey, c_name, n_name, n_nationkey, n_regionkey, 'method:Geo\' || n_name || '::' || c_name AS m FROM customer JOIN nation ON c_nationkey = n_nationkey),
 mine AS (SELECT orders.*, m FROM orders JOIN people ON o_custkey = c_custkey),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import analysis, communities, lookup, store, traverse
+from strandline.operators import analysis, communities, extractors, lookup, store, traverse
 from strandline.plans import runtime, testbed
 
 NODE = "key string, type string, name string, file string, is_project boolean, kind string"
@@ -61,6 +61,41 @@ def test_short_name_is_found_among_many(spark):
     assert lookup.find(n, "nothing").envelope("find", {"name": "nothing"})["found"] is False
 
 
+def test_an_index_finds_what_a_scan_finds(spark, tmp_path):
+    names = ["App\\Models\\Order", "App\\order", "Ördner", "ab", "x%y", "x_y", "xzy", "Order", "a_very_long_name"]
+    n = spark.createDataFrame([(f"class:{i}{x}", "class", x, None, True, None) for i in range(3) for x in names] + [("section:z", "section", "Page One", None, None, None)], NODE)
+    for df, name in zip(lookup.Index.tables(n), ("g", "n")):
+        df.write.parquet(str(tmp_path / name))
+    index = lookup.Index(spark.read.parquet(str(tmp_path / "g")), spark.read.parquet(str(tmp_path / "n")))
+    for asked in ("order", "ORDER", "App\\order", "x%y", "x_y", "ab", "a", "", "Page One", "ördner", "Ördner", "long", "class:1Order", "very%name", "nothing"):
+        for type_ in (None, "class"):
+            want = [r.key for r in lookup.candidates(n, asked, type_).collect()]
+            assert [r.key for r in lookup.candidates(n, asked, type_, index=index).collect()] == want, asked
+    assert index.keys("ab") is None and "PushedFilters: [In(gram" in index.keys("orde")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_answer_comes_in_pages(spark):
+    answer = lookup.Answer(True, spark.range(5).orderBy("id"))
+    one = answer.envelope("list", {}, page=2, graph={"nodes": 5})
+    assert [r["id"] for r in one["result"]] == [0, 1] and one["next"] == 2 and one["graph"] == {"nodes": 5}
+    last = answer.envelope("list", {}, page=2, offset=4)
+    assert [r["id"] for r in last["result"]] == [4] and "next" not in last
+
+
+def test_extractors_share_one_read_and_fail_alone(spark):
+    def words(path, content):
+        yield from (("nodes", {"key": f"w:{w}", "type": "word", "name": w}) for w in content.split())
+
+    registry = extractors.Registry({"sizes": "n int"}).add(extractors.Extractor("words", ("md",), words)).add(extractors.Extractor("sizes", ("md", "js"), lambda p, c: [("sizes", {"n": len(c)})]))
+    registry.add(extractors.Extractor("strict", ("js",), lambda p, c: [("nodes", {}), ("other", {})]))
+    with pytest.raises(ValueError):
+        registry.add(extractors.Extractor("words", (), words))
+    files = spark.createDataFrame([("a", "md", "x y"), ("b", "js", "bad"), ("c", "css", "z"), ("d", "md", None)], "path string, lang string, content string")
+    out = registry.run(files)
+    assert rows(out["nodes"].select("path", "name")) == [("a", "x"), ("a", "y")] and rows(out["sizes"]) == [("a", "sizes", 3), ("b", "sizes", 3), ("d", "sizes", 0)]
+    assert [r.warning for r in out["warnings"].collect()] == ["strict: b: unknown outputs ['other']"] and out["unresolved"].count() == 0
+
+
 def test_edges_with_nulls_stay_apart(spark):
     kind = EDGE + ", file string, line int"
     old = spark.createDataFrame([], kind)
