@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -41,6 +42,8 @@ _NONE = np.iinfo(np.int32).max
 #: Words of more bytes are counted one by one, not in step with others.
 LONG = 512
 _WHITE = b" \t\n\x0b\x0c\r"
+#: Runs of characters that are no white space of Unicode (which some control characters of Python's are not).
+_NO_SPACE = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _BLANK = np.zeros(256, bool)
 _BLANK[list(_WHITE)] = True
 
@@ -519,12 +522,52 @@ def _prefixes(path: str, word: str) -> PrefixTable:
     return PrefixTable(path, word)
 
 
+def _cut_counts(path: str, part: str) -> np.ndarray:
+    """Tokens of part[:0], part[:1] and so on, for a part without white space and added tokens.
+
+    Prefixes of a text in composed form are in that form too, so that their lower-case letters are those of the whole
+    and one table of prefix counts answers for all. Other texts, whose marks may still join a letter, are encoded
+    prefix by prefix."""
+    if unicodedata.is_normalized("NFC", part):
+        lower = [c.lower() for c in part]
+        at, table = np.cumsum([0, *map(len, lower)]), _prefixes(path, part)
+        if "".join(table.pieces) == "".join(lower):
+            return table.upto[at]
+    return np.array([len(e.ids) for lo in range(0, len(part) + 1, 256) for e in library(path).encode_batch([part[:k] for k in range(lo, min(lo + 256, len(part) + 1))], add_special_tokens=False)])
+
+
+def longest_cut(path: str, word: str, room: int) -> int:
+    """The most characters of a word without ASCII blanks that need no more than `room` tokens.
+
+    Parts between white space of other kinds and between added tokens are counted one after the other. A cut within an
+    added token leaves ordinary characters, which go with the part before it."""
+    v, best, done = vocabulary(path), 0, 0
+    for m in _NO_SPACE.finditer(word):
+        if done > room:
+            break
+        best, at, before = m.start(), m.start(), ("", done)
+        for part in v.at_special.split(m[0]) if v.at_special else [m[0]]:
+            if before[1] > room:
+                break
+            if part in v.special:
+                cuts = [before[1] + len(e.ids) for e in library(path).encode_batch([before[0] + part[:k] for k in range(1, len(part))], add_special_tokens=False)]
+                counts = np.array([done, *cuts, done + 1])
+            else:
+                counts = done + _cut_counts(path, part)
+            fits = np.flatnonzero(counts <= room)
+            if len(fits):
+                best = max(best, at + int(fits[-1]))
+            before = ("", done + 1) if part in v.special else (part, done)
+            at, done = at + len(part), int(counts[-1])
+        if done <= room:
+            best = at
+    return len(word) if done <= room else best
+
+
 def count_within(docs: DataFrame, path: str, budget: int, text: str = "text") -> tuple[DataFrame, tuple[str, str]]:
     """docs with two more columns: the exact number of tokens of each whole text, and the bytes of its longest
-    prefix of no more than `budget` tokens, both from the prefix counts and without encoding a prefix again.
-
-    The prefix ends behind a word and what is blank behind it, or in a word behind any of its characters; words with
-    characters beyond Latin-1 or added tokens, which the tokenizer may rewrite, are kept or left whole."""
+    prefix (in whole characters) of no more than `budget` tokens, both from prefix counts. That is the longest one for any
+    text: marks, control characters, other scripts and added tokens included (longest_cut)."""
     names = free_name(docs, "n_tokens"), free_name(docs, "fitting_bytes")
 
     def make(texts: pa.Array) -> list[pa.Array]:
@@ -544,9 +587,7 @@ def count_within(docs: DataFrame, path: str, budget: int, text: str = "text") ->
             begin = int(ends[first[k] + at - 1]) if at else 0
             begin += len(raw[begin:end]) - len(raw[begin:end].lstrip(_WHITE))
             word = raw[begin:end].decode()
-            fitting[k] = begin
-            if _PLAIN.fullmatch(word) and not (vocabulary(path).at_special and vocabulary(path).at_special.search(word)):
-                fitting[k] += len(word[: _prefixes(path, word).longest_within(budget - done)].encode())
+            fitting[k] = begin + len(word[: longest_cut(path, word, budget - done)].encode())
         return [pa.array(total), pa.array(fitting)]
 
     return append_columns(docs, text, [StructField(n, LongType()) for n in names], make), names
@@ -576,7 +617,7 @@ class PrefixTable:
         self.pieces: list[str] = []
         upto = [0]
         done = 0
-        parts = [p for word in (text or "").split(" ") for sub in word.split() for p in split_word(v, sub)]
+        parts = [p for word in _NO_SPACE.findall(text or "") for p in split_word(v, word)]
         raw = [p for p in parts if not isinstance(p, int)]
         length = np.array([len(p) for p in raw], np.int64)
         _, final = prefix_counts(v, np.frombuffer(b"".join(raw), np.uint8), length)

@@ -10,7 +10,8 @@ order, passages whose parts were rearranged are caught.
 A pair is tiled only if the seeds it shares could cover that much: an upper bound, so nothing is lost.
 Tiling looks only at words inside shared seeds, since every match of SEED words consists of them.
 
-Items with fewer than SEED words, null texts and null items contaminate nothing and are not contaminated.
+Items with fewer than SEED words, null texts and null items contaminate nothing and are not contaminated;
+undecided() names these items.
 Repeated item or document rows are compared each and give one row for each pair of ids. Extra columns are not
 read. With up to BROADCAST_WORDS words the items go to every task and documents are read once, without a
 shuffle; larger sets of items are joined on seeds, with the same result. There the places of an item that a
@@ -192,6 +193,13 @@ def item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "item_id long, words array<long>").where(F.size("words") >= SEED)
 
 
+def undecided(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, item_words) of the items that are too short to be told from chance: contamination() decides nothing
+    about them. Null and empty texts have no words."""
+    words = F.array_remove(F.split(F.coalesce(F.col(item_text), F.lit("")), r"[^0-9A-Za-z\x{80}-\x{10ffff}]+"), "")
+    return benchmark.select(F.col(item_id).alias("item_id"), F.size(words).alias("item_words")).where(F.col("item_words") < SEED)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """A row for each document and item with coverage >= threshold."""
     items = item_words(benchmark, item_id, item_text)

@@ -20,8 +20,9 @@ name; without any labelled row every text is "und". Repeated rows are judged eac
 read. The sample is TRAIN_DOCS whole documents a language of no more than TRAIN_BYTES bytes each, those with the
 smallest hash of doc_id.
 
-known() keeps the texts that some learned language codes shorter than plain bytes would: letters at random, or
-a language that was never learned, cost 13 bits a byte and more, as none of their contexts is in a tree."""
+known() keeps the texts that some learned language codes about as well as the training texts: the bound follows the
+median of these, which junk among them hardly moves. Letters at random, or a language that was never learned, cost more, as few of their contexts are in a
+tree."""
 
 from __future__ import annotations
 
@@ -35,8 +36,9 @@ from strandline.llm.common import append_columns, free_name, segment_sums, text_
 
 TRAIN_DOCS = 400
 TRAIN_BYTES = 200_000
-#: A text of a learned language costs at most so many bits a byte, and so many more whatever its length.
-MOST_BITS, SLACK = 8.0, 128.0
+#: A text of a learned language costs at most MARGIN times what the median training text of LEAST_BYTES bytes and more
+#: does, never more than MOST_BITS bits a byte, and so many bits more whatever its length.
+MARGIN, LEAST_BYTES, MOST_BITS, SLACK = 2.5, 100, 8.0, 128.0
 ALPHABET = 112
 #: Contexts of three bytes are kept from so many occurrences on, over all languages.
 MIN_CONTEXT = 4
@@ -60,6 +62,7 @@ class Model:
 
     def __init__(self, languages: list[str], lut: np.ndarray, size: int, blank: int, row: np.ndarray, cost: np.ndarray):
         self.languages, self.lut, self.size, self.blank, self.row, self.cost = languages, lut, size, blank, row, cost
+        self.typical = 0.0  # bits a byte of the median training text, of those of LEAST_BYTES and more
 
     def bits(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code lengths, a row for each text and a column for each language."""
@@ -145,7 +148,15 @@ def train(samples: dict[str, list[str]]) -> Model | None:
         known[every[order]] = first[order] + np.arange(len(every[order]))
         found = known[three % size**order]
         row = np.where(found >= 0, found, row)
-    return Model(languages, lut, size, blank, row, -np.log2(cost).reshape(-1, len(languages)).astype(np.float32))
+    model = Model(languages, lut, size, blank, row, -np.log2(cost).reshape(-1, len(languages)).astype(np.float32))
+    costs = []
+    for k in languages:
+        for lo in range(0, len(raw[k]), 32):
+            some = [t for t in raw[k][lo : lo + 32] if len(t) >= LEAST_BYTES]
+            length = np.array([len(t) for t in some], np.int64)
+            costs += (model.bits(np.frombuffer(b"".join(some), np.uint8), np.r_[0, np.cumsum(length)]).min(1) / length).tolist()
+    model.typical = float(np.median(costs)) if costs else 0.0
+    return model
 
 
 def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", each: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> dict[str, list[str]]:
@@ -167,11 +178,13 @@ def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "tex
     return out
 
 
-def known(docs: DataFrame, model: Model | None, text: str = "text", most_bits: float = MOST_BITS, slack: float = SLACK) -> DataFrame:
-    """The rows whose text has a letter and is one of a learned language by its code length; see the module's
-    text. Null and empty texts go; without a model nothing is known and all rows go. A map, no shuffle."""
+def known(docs: DataFrame, model: Model | None, text: str = "text", margin: float = MARGIN, slack: float = SLACK) -> DataFrame:
+    """The rows whose text has a letter and is one of a learned language by its code length: no more than `margin` times
+    the bits a byte of the median training text, MOST_BITS at most, and `slack` bits that short texts need. Null and
+    empty texts go; without a model nothing is known and all rows go. A map, no shuffle."""
     if model is None:
         return docs.where(F.lit(False))
+    most_bits = min(MOST_BITS, margin * model.typical) if model.typical else MOST_BITS
     fits, held = free_name(docs, "lang_fits"), docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: pa.Array) -> list[pa.Array]:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -251,12 +251,20 @@ def scan(text: str, templates: list[Template], threshold: float = THRESHOLD) ->
                 for at, pairs in finds(words[lo:hi], t, threshold):
                     out.append((t.name, len(pairs) / n, len(pairs), lo + at + pairs[0][0], lo + at + pairs[-1][0]))
             k = m
-    # where finds overlap, the one with most words is kept: the better coverage on a tie, then fewer foreign words, then the name
+    return settled(out)
+
+
+def settled(finds: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
+    """Finds in order of their places. Where they overlap, the one with most words is kept: the better coverage on a
+    tie, then fewer foreign words, then the name. Kept ones do not overlap, so only the one before a find's end matters."""
+    begins: list[int] = []
     kept: list[tuple[str, float, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (-x[2], -x[1], x[4] - x[3], x[0], x[3])):
-        if all(x[4] < y[3] or x[3] > y[4] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[3], x[0]))
+    for x in sorted(finds, key=lambda x: (-x[2], -x[1], x[4] - x[3], x[0], x[3])):
+        k = bisect_right(begins, x[4])  # the kept finds before k begin no later than x ends
+        if not k or kept[k - 1][4] < x[3]:
+            begins.insert(k, x[3])
+            kept.insert(k, x)
+    return kept
 
 
 SCHEMA = "doc_id long, license string, coverage double, matched_words int, first_word int, last_word int"

@@ -314,7 +314,8 @@ def distinct_texts(texts: list[str], bands: int = 16, rows: int = 3) -> list[str
 
 
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
-    """rows: (text, label). Copies and near copies count once; a text with both labels counts as toxic."""
+    """rows: (text, label). Copies and near copies count once; a text with both labels counts as toxic, and of near
+    copies with different labels the first text's label counts. Texts of one label only teach nothing: None."""
     label: dict[str, int] = {}
     for text, toxic in rows:
         if text:
@@ -350,9 +351,13 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model | None:
     pooled = (n1 + n0) / len(y)
     z = (rate1 - rate0) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / y.sum() + 1 / (len(y) - y.sum())), 1e-12))
     long = np.array([len(s) >= 3 for s in names])
-    bad = np.flatnonzero((z > 5) & (n1 >= 4) & (rate1 > 10 * rate0) & long)
+    # where few texts are toxic no window is that sure: the best there are take part then
+    for least, sure, times in ((4, 5, 10), (2, 3, 3), (1, 0, 1), (1, -np.inf, 0)):
+        bad = np.flatnonzero((z > sure) & (n1 >= least) & (rate1 > times * rate0) & long)
+        if len(bad):
+            break
     bad = bad[np.argsort(-z[bad], kind="stable")][:LANDMARKS]
-    if not len(bad):
+    if not len(bad):  # no toxic text has a window of three letters
         return None
     clean = np.flatnonzero((n1 <= n0 * max(1e-9, y.mean()) * 3 + 1) & (n0 > 0) & long)
     common = clean[np.argsort(-n0[clean], kind="stable")][: CLEAN_LANDMARKS // 2]

@@ -4,6 +4,7 @@ empty tables and extra columns with clashing names."""
 import hashlib
 import lzma
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -159,10 +160,39 @@ def test_prefix_counts_as_columns(spark):
             assert r[n] == count(t)
             fits = t.encode()[: r[fitting]].decode()
             assert count(fits) <= budget and (r[fitting] == len(t.encode())) == (count(t) <= budget or not t)
-            if t.isascii() and "<" not in t and "\x1c" not in t and len(fits) < len(t) < 1000:
+            if len(fits) < len(t) < 1000:
                 assert not any(count(t[:k]) <= budget for k in range(len(fits) + 1, len(t) + 1))
 
 
+CUTS = [
+    "日本語のテキストは空白なしで続くので長い一語になる" * 3, "日本語　テキスト　ABC", "ééạ̀x", "ẹ́́y", "한국어 한ᄀ", "a\x1cb\x1d\x00c\x7f12", "x<|endoftext|>y!<|endoftext|><|startoftext|>", "!!<|endoftext", "<|endof<|endoftext|>|>",
+    "İSTANBUL'RE ΣΟΦΟΣ ΣΑΣ", "we're'll'''ve", "🙂👩‍👩‍👧 ok🙂", "a b c d", "naïve—“quotes”…½²Ⅷ٣", "ßẞﬁﬃ", "don't<|startoftext|>'re", "मानक हिन्दी", "e\u0301e\u0301a\u0300\u0323x", "\u00e9\u0323\u0301y", "\u1112\u1161\u11ab\u1100", "x\u0307\u0323\u0307<|endoftext|>o\u0308", "a\u00a0b\u2003c\u2028d\x85e", "ẋ̣̇",
+]
+
+
+@pytest.mark.parametrize("word", CUTS)
+def test_the_longest_prefix_of_any_text(word):
+    """Against all prefixes by the library, for every budget."""
+    lib = Tokenizer.from_file(WORD)
+    for part in word.split(" "):
+        counts = [len(lib.encode(part[:k], add_special_tokens=False).ids) for k in range(len(part) + 1)]
+        for room in range(counts[-1] + 2):
+            assert bpe.longest_cut(WORD, part, room) == max(k for k, n in enumerate(counts) if n <= room), (part, room)
+
+
+def test_budgets_of_texts_without_blanks(spark):
+    lib = Tokenizer.from_file(WORD)
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    texts = [*CUTS, " ".join(CUTS), "日本語" * 2000]
+    for budget in (5, 40, 2048):
+        found, (n, fitting) = bpe.count_within(documents(spark, texts), WORD, budget)
+        for r in found.collect():
+            t = texts[r.doc_id]
+            fits = t.encode()[: r[fitting]].decode()
+            assert r[n] == count(t) and count(fits) <= budget
+            assert not any(count(t[:k]) <= budget for k in range(len(fits) + 1, min(len(t), len(fits) + 120) + 1))
+
+
 def test_long_words_are_counted_one_by_one(monkeypatch):
     v, words = bpe.vocabulary(WORD), ["antidisestablishmentarianism", "a" * 40, "the", "understandings" * 3]
     raw, length = np.frombuffer("".join(words).encode(), np.uint8), np.array([len(w) for w in words])
@@ -256,7 +286,29 @@ def test_rotation_keeps_lengths():
 def test_licenses(spark):
     texts = [None, "", "Foo bar.\nLicensed under the Apache License, Version 2.0.", "licensed under cc by-nc 4.0 and Released under the MIT License.", "This work is hereby licensed under the old GNU General Public License version 3", "a license is not enough", "All rights\nreserved. " * 2]
     got = rows(license_scan.scan_licenses(documents(spark, texts)).select("doc_id", "license"))
-    assert got == [(2, "Apache-2.0"), (3, "CC-BY-NC-4.0"), (3, "MIT"), (4, "GPL-3.0"), (6, "reserved"), (6, "reserved")] or got[:5] == [(2, "Apache-2.0"), (3, "CC-BY-NC-4.0"), (3, "MIT"), (4, "GPL-3.0"), (6, "reserved")]
+    assert got == [(2, "Apache-2.0"), (3, "CC-BY-NC-4.0"), (3, "MIT"), (4, "GPL-3.0"), (6, "reserved"), (6, "reserved")]
+
+
+def test_many_notices_in_one_text():
+    """Finds do not overlap and none is lost; settling them costs about as much as finding them."""
+    known = [license_scan.Template(k, v) for k, v in license_scan.NOTICES.items()]
+    notice = license_scan.NOTICES["MIT"]
+    text = " ".join(f"credit {i} to somebody else here for it . {notice} ." for i in range(3000))
+    began = time.process_time()
+    found = license_scan.scan(text, known)
+    assert [x[0] for x in found] == ["MIT"] * 3000 and all(a[4] < b[3] for a, b in zip(found, found[1:]))
+    assert time.process_time() - began < 20
+
+
+def test_settled_finds_are_those_of_a_plain_comparison():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        finds = [("abc"[int(rng.integers(3))], float(rng.random()), int(rng.integers(1, 9)), int(a), int(a + rng.integers(0, 9))) for a in rng.integers(0, 60, int(rng.integers(0, 25)))]
+        kept = []
+        for x in sorted(finds, key=lambda x: (-x[2], -x[1], x[4] - x[3], x[0], x[3])):
+            if all(x[4] < y[3] or x[3] > y[4] for y in kept):
+                kept.append(x)
+        assert license_scan.settled(finds) == sorted(kept, key=lambda x: (x[3], x[0]))
 
 
 def test_patience_alignment_is_monotone():
@@ -595,3 +647,65 @@ def test_decontamination_by_join_keeps_to_the_bound(spark):
     docs = documents(spark, texts)
     want = rows(decontaminate.contamination(docs, bench))
     assert rows(decontaminate.contamination(docs, bench, broadcast_words=0)) == want and {(r[0], r[1]) for r in want} == {(5, 3), (6, 4), (7, 5), (10, 3)}
+
+
+def test_toxicity_learns_from_few_toxic_rows(spark):
+    """Three toxic texts of two hundred: there is a model, which finds their words and leaves clean texts alone."""
+    rng = np.random.default_rng(2)
+    words = ["river", "garden", "window", "paper", "music", "winter", "bread", "lamp", "story", "bridge", "cloud", "table"]
+    clean = [" ".join(rng.choice(words, 30)) + f" {i}." for i in range(200)]
+    toxic = [f"{' '.join(rng.choice(words, 8))} you grumblefrotz {' '.join(rng.choice(words, 8))}." for _ in range(3)]
+    docs = documents(spark, [*clean, *toxic])
+    labels = spark.createDataFrame([(i, 1, int(i >= 200)) for i in range(203)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert model is not None
+    asked = documents(spark, ["the garden and you grumblefrotz window", "the garden and the window of winter", "", None])
+    found, name = toxicity.score(asked, model)
+    got = [r[name] for r in found.orderBy("doc_id").collect()]
+    assert got[0] > max(got[1:]) and all(0 <= x <= 1 for x in got)
+    one_kind = labels.where("toxic = 0")
+    assert toxicity.fit(docs, one_kind, F.lit(True)) is None and toxicity.fit(docs.limit(0), labels, F.lit(True)) is None
+
+
+def test_toxicity_over_the_tables(spark):
+    """The query: columns, whole tables, and what it finds of the labels."""
+    from strandline.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, data).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert set(got) == set(docs) and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for i, r in got.items())
+    said = [(got[r.doc_id], r.toxic) for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.doc_id in got]
+    toxic = [r.predicted for r, t in said if t == 1]
+    clean = [r.predicted for r, t in said if t == 0]
+    assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_languages_of_odd_tables(spark):
+    rows_ = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("le chat est sur la table", "fr")] * 30 + [("the cat sat on the mat", "fr"), (None, "en"), ("", "fr"), ("the dog", None)])]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    model = language_id.train(language_id.sample(docs, F.lit(True)))
+    odd = ["the mat", "la table", "the cat " * 60_000, "12 34", None, "the mat", "é"]
+    asked = spark.createDataFrame([(i, t, "x", 0.5) for i, t in enumerate(odd)], "doc_id long, text string, lang_pred string, lang_score double")
+    found, pred, score = language_id.identify(asked, model)
+    got = {r.doc_id: (r[pred], r[score]) for r in found.collect()}
+    assert [got[i][0] for i in range(6)] == ["en", "fr", "en", "und", "und", "en"] and got[0] == got[5] and got[2][1] == 1.0
+    assert language_id.identify(asked.limit(0), model)[0].count() == 0 and language_id.known(asked.limit(0), model).count() == 0
+
+
+def test_junk_is_of_no_known_language(spark):
+    """The bound of known() follows the training texts: they and texts like them stay, letters at random go."""
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(language_id.sample(data, F.lit(True)))
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    junk = ["".join(rng.choice(letters, 400)), " ".join("".join(rng.choice(letters, 7)) for _ in range(80)), "".join(rng.choice(np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")), 600)), "字" * 200]
+    asked = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], data.schema).unionByName(spark.createDataFrame([(-9, "short zz", None)], data.schema))
+    kept = {r.doc_id for r in language_id.known(data.unionByName(asked), model).collect()}
+    assert not kept & {-1, -2, -3, -4} and -9 in kept
+    assert all(r.doc_id in kept for r in data.collect() if r.text and any(c.isalpha() for c in r.text))
+
+
+def test_items_that_are_too_short_are_named(spark):
+    items = spark.createDataFrame([(1, "one two three four"), (2, "one, two; three four five"), (3, None), (4, "日本語 ok")], "item_id long, text string")
+    assert rows(decontaminate.undecided(items)) == [(1, 4), (3, 0), (4, 2)]
