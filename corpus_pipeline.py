@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language: their text has a letter, and the language that fits it best codes it
-    shorter than plain bytes (language_id.known). Null texts, junk and languages without labels go; short texts have
+    about as short as the training texts, by a bound that follows these (language_id.known). Null texts, junk and languages without labels go; short texts have
     a slack and stay. Without labels nothing is known, and nothing is left. Rows are judged one by one."""
     model = language_id.train(language_id.sample(docs, ~held_out()))
     return language_id.known(docs, model).select(*docs.columns)
