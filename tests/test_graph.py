@@ -185,7 +185,7 @@ def gaining_merges(found, pairs):
 def test_communities_come_to_rest(spark, monkeypatch, kind, small):
     """All levels in a task, all by turns of joins, and large levels by turns with small ones in a task."""
     monkeypatch.setattr(communities, "SMALL", small)
-    n, rng = {"chain": 2000, "groups": 300}[kind], random.Random(5)
+    n, rng = {"chain": 800, "groups": 150}[kind], random.Random(5)
     pairs = [(i, i + 1) for i in range(n - 1)]
     if kind == "groups":
         pairs = sorted({(min(p), max(p)) for i in range(n) for j in range(4) if (p := (i, i // 30 * 30 + rng.randrange(30) if j else rng.randrange(n))) and p[0] != p[1]})
