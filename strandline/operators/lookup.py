@@ -66,6 +66,13 @@ def candidates(nodes: DataFrame, name: str, type_: str | None = None, limit: int
     return found.orderBy(rank(same_key), rank(same_name), rank(tail), "key").limit(limit)
 
 
+def routes_by_uri(nodes: DataFrame, uri: str) -> DataFrame:
+    """Routes of one URI under any verb, with or without its first slash; A-Z are compared without case, and % and _
+    stand for themselves."""
+    path = lower("/" + uri.lstrip("/"))
+    return nodes.where((F.col("type") == "route") & F.col("key").startswith("route:") & ascii_lower(F.col("key")).endswith(" " + path))
+
+
 def is_exact(name: str) -> Column:
     """Same key, same name, or same name behind the last backslash; case counts."""
     return (F.col("key") == name) | (F.col("name") == name) | (short_name(F.col("name")) == name)

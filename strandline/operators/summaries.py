@@ -67,6 +67,26 @@ def model(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return out.unionByName(into).groupBy("role", "other").agg(F.count("*").alias("n")).select(F.lit(key).alias("key"), "role", "other", "n")
 
 
+#: What is counted of documents, by table and types.
+DOCS_COUNTS = {
+    "docs": ("node", ("doc",)), "sections": ("node", ("section",)), "documents_edges": ("edge", ("documents",)), "links_doc_edges": ("edge", ("links_doc",)),
+    "unresolved": ("unresolved", ("documents", "links_doc")), "concepts": ("node", ("concept",)), "mentions_edges": ("edge", ("mentions",)), "relates_concept_edges": ("edge", ("relates_concept",)),
+}
+
+
+def docs_counts(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """One row of DOCS_COUNTS over nodes (type), edges (type) and unresolved references (kind); zeros where nothing is."""
+    typed = lambda df, type_, what: df.select(F.lit(what).alias("what"), F.col(type_).alias("type"))
+    every = typed(nodes, "type", "node").unionByName(typed(edges, "type", "edge")).unionByName(typed(unresolved, "kind", "unresolved"))
+    return every.agg(*[F.count_if((F.col("what") == what) & F.col("type").isin(*types)).alias(name) for name, (what, types) in DOCS_COUNTS.items()])
+
+
+def doc_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """The nodes of documents that have a stored file, with the columns of files (path, ...) beside their own."""
+    docs_ = nodes.where("type = 'doc'")
+    return docs_.join(files.select(F.col("path").alias("file"), *[F.col(c).alias(f"file_{c}") for c in files.columns if c != "path"]), "file")
+
+
 def docs(edges: DataFrame, key: str) -> DataFrame:
     """(role, other): sections that document a node, and nodes that it documents."""
     into = _ends(edges, key, ["documents"], True).select(F.lit("documented_by").alias("role"), "other")

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from strandline.plans import build_catalog, catalog, code_catalog, registry  # noqa: F401
+from strandline.plans import build_catalog, catalog, code_catalog, model_catalog, registry  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
