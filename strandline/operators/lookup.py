@@ -121,12 +121,13 @@ def find(nodes: DataFrame, name: str, type_: str | None = None, fuzzy: bool = Fa
 
 
 def node(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """A node with its numbers of outgoing and incoming edges by type: (key, direction, edge_type, n)."""
+    """A node with its numbers of outgoing and incoming edges by type: (key, name, node_type, file, direction, edge_type,
+    n), and its `line` and `meta` where nodes have these."""
     out = edges.where(F.col("from_key") == key).groupBy("type").agg(F.count("*").alias("n")).select(F.lit("out").alias("direction"), F.col("type").alias("edge_type"), "n")
     into = edges.where(F.col("to_key") == key).groupBy("type").agg(F.count("*").alias("n")).select(F.lit("in").alias("direction"), F.col("type").alias("edge_type"), "n")
     one = nodes.where(F.col("key") == key)
     counts = out.unionByName(into).withColumn("key", F.lit(key))
-    return one.join(counts, "key", "left").select("key", "name", F.col("type").alias("node_type"), "file", "direction", "edge_type", "n")
+    return one.join(counts, "key", "left").select("key", "name", F.col("type").alias("node_type"), "file", *[c for c in ("line", "meta") if c in nodes.columns], "direction", "edge_type", "n")
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import lookup, models, scopes, summaries
+from strandline.operators import lookup, models, scopes, summaries, tools
+from strandline.operators.desk import Desk
 from strandline.operators.versions import Delta
 from strandline.plans.build_catalog import new_log
 from strandline.plans.code_catalog import numbered
 from strandline.plans.registry import query
-from strandline.plans.testbed import edges, nodes, table
+from strandline.plans.catalog import FUNCTION, _impact_sql
+from strandline.plans.testbed import edges, nodes, search_index, table
 
 c, lit = F.col, F.lit
 
@@ -188,3 +190,38 @@ def scopes_replaced(spark: SparkSession, sf: str) -> DataFrame:
     log.change(lambda at: scopes.append_unresolved(log, at, lines.where("l_returnflag = 'N'").select(file.alias("path"), F.concat(lit("m"), c("l_suppkey").cast("string")).alias("member"))))
     rows = lambda name, what, a, b: log.read(name).select(what.alias("what"), c(a).alias("a"), c(b).alias("b"))
     return rows("nodes", c("type"), "key", "by").unionByName(rows("edges", c("type"), "from_key", "by")).unionByName(rows("unresolved", lit("unresolved"), "path", "member"))
+
+
+# tools
+
+
+@query(r""", n AS (SELECT *, CASE WHEN file IS NOT NULL THEN length(key) END AS line FROM nodes), x AS (SELECT from_key AS key, 'out' AS direction, type AS edge_type, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT to_key, 'in', type, count(*) FROM edges GROUP BY ALL)
+SELECT n.key, name, n.type AS node_type, file, line, kind, direction, edge_type, x.n FROM n LEFT JOIN x USING (key) WHERE n.key = 'class:Geo\NATION_5'""", graph=True)
+def node_with_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """A node with its line and meta, which say more of it than its type."""
+    n = nodes(spark, sf).withColumn("line", F.when(c("file").isNotNull(), F.length("key"))).withColumn("meta", F.parse_json(F.to_json(F.struct("kind"))))
+    found = lookup.node(n, edges(spark, sf), "class:Geo\\NATION_5")
+    return found.withColumn("kind", F.try_variant_get("meta", "$.kind", "string")).drop("meta")
+
+
+@query(_impact_sql(FUNCTION, 2, 0.0, "SELECT key, depth, via FROM named"), graph=True)
+def impact_likeliest(spark: SparkSession, sf: str) -> DataFrame:
+    """Impact of a key that no node has goes on with the likeliest one: here the function of that name."""
+    return tools.impact(nodes(spark, sf), edges(spark, sf, "to_key"), FUNCTION.removeprefix("function:"), 2).rows.select("key", "depth", "via")
+
+
+@query(r""", asked AS (SELECT 'node' AS tool, '{"key": "class:Geo\\nation_' || n_nationkey || '"}' AS args, 'class:Geo\nation_' || n_nationkey AS part FROM nation WHERE n_nationkey % 8 = 1),
+near AS (SELECT tool, args, key, row_number() OVER (PARTITION BY args ORDER BY key) AS r FROM asked LEFT JOIN nodes ON contains(lower(key), lower(part)))
+SELECT tool, args, string_agg(key, ' ' ORDER BY key) AS suggested FROM near WHERE r <= 5 GROUP BY tool, args
+UNION ALL SELECT 'route', '{"name": "GET /' || lower(r_name) || '/none"}', '' FROM region WHERE r_regionkey < 2 UNION ALL SELECT 'communities', '{}', ''""", graph=True)
+def misses_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions to a desk, some without an answer: these are kept with what was suggested."""
+    desk = Desk(new_log(spark), nodes(spark, sf), edges(spark, sf), edges(spark, sf, "to_key"), search_index(spark, sf), clock=lambda: "2024-01-01T00:00:00+00:00")
+    for row in table(spark, sf, "nation").where("n_nationkey % 8 = 1").collect():  # a few keys that people ask for
+        desk.ask("node", key=f"class:Geo\\nation_{row.n_nationkey}")
+        desk.ask("node", key=f"class:Geo\\{row.n_name}")
+    for row in table(spark, sf, "region").where("r_regionkey < 2").collect():
+        desk.ask("route", name=f"GET /{row.r_name.lower()}/none")
+        desk.ask("route", name=f"get {row.r_name.lower()}")
+    desk.ask("communities")
+    return desk.misses().select("tool", "args", F.array_join("suggested", " ").alias("suggested"))
