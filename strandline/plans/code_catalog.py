@@ -224,16 +224,17 @@ def markdown_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_PAGES} SELECT path, 'part' AS anchor, 'order.' || k AS text, true AS backticked FROM pg
-UNION ALL SELECT path, 'part-1', '/europe', false FROM pg""")
+UNION ALL SELECT path, 'part-1', '/europe', false FROM pg UNION ALL SELECT path, 'part', 'Geo', false FROM pg
+UNION ALL SELECT path, slug, unnest(['p' || k || '.md', 'a.b', 'c.md']), false FROM pg""")
 def markdown_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """Code spans, and URIs outside of links."""
-    return markdown.mentions(_markdown(spark, sf)).where("backticked or text = '/europe'")
+    """Code spans, URIs, and what looks like the name of a class or view, in links too."""
+    return markdown.mentions(_markdown(spark, sf))
 
 
 @query(", m AS (SELECT 'pages/' || page_id || '.md' AS path, page_id AS k FROM pages) SELECT path, 'part-1' AS anchor, '/europe' AS text, 'route:GET /europe' AS keys, 'route_uri' AS matches FROM m", graph=True)
 def mention_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes that the pages' URIs mean."""
-    found = markdown.resolve_mentions(markdown.mentions(_markdown(spark, sf)).where("text = '/europe'"), nodes(spark, sf))
+    """Nodes that the pages' mentions mean; most of them mean none."""
+    found = markdown.resolve_mentions(markdown.mentions(_markdown(spark, sf)), nodes(spark, sf))
     return found.withColumns({"keys": F.array_join("keys", " "), "matches": F.array_join("matches", " ")})
 
 

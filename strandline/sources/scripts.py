@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ _WITH_OPTIONS = ("axios", "axios.request", "$.ajax")
 _CALL = re.compile(r"(?<![\w$.])(axios|\$|fetch)\s*(?:\.\s*(\w+)\s*)?\(\s*", re.I)
 _SAID = re.compile(r"(?<!\w)(method|type)\s*:\s*(['\"`])(\w+)\2", re.I)
 _URL = re.compile(r"(?<!\w)url\s*:\s*(?=['\"`])", re.I)
+_SIGN = re.compile(r"[()\[\]{}'\"`]")
 
 
 def _literal(content: str, at: int) -> tuple[str, int] | None:
@@ -23,41 +25,50 @@ def _literal(content: str, at: int) -> tuple[str, int] | None:
     return (content[at + 1 : end], end + 1) if end >= 0 and "\n" not in content[at:end] else None
 
 
-def _closing(content: str, at: int) -> int:
-    """The place of the bracket that closes what is open at a place, brackets inside literals not counted."""
-    depth = 0
-    while at < len(content):
-        c = content[at]
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-            if depth < 0:
-                return at
-        elif skip := _literal(content, at):
-            at = skip[1]
-            continue
-        at += 1
-    return at
+def _closings(content: str) -> Callable[[int], int]:
+    """For any place, the one of the bracket that closes what is open there (the end where none does), brackets inside
+    literals not counted. Brackets and quotes are looked at once, from the last to the first: what closes behind an
+    opening bracket closes it, and goes on behind that."""
+    spots = [m.start() for m in _SIGN.finditer(content)]
+    ends = [len(content)] * (len(spots) + 1)
+    behind = lambda at: ends[bisect_left(spots, at)]
+    for k in range(len(spots) - 1, -1, -1):
+        at = spots[k]
+        if content[at] in ")]}":
+            ends[k] = at
+        elif content[at] in "([{":
+            ends[k] = behind(ends[k + 1] + 1)
+        else:
+            skip = _literal(content, at)
+            ends[k] = behind(skip[1]) if skip else ends[k + 1]
+    return behind
+
+
+def _firsts(found: list[re.Match]) -> Callable[[int], re.Match | None]:
+    """For any place, the first of some matches that starts there or behind it."""
+    starts = [m.start() for m in found]
+    return lambda at: found[k] if (k := bisect_left(starts, at)) < len(found) else None
 
 
 def calls(content: str) -> list[tuple[int, str, str]]:
-    """(line, verb, url) of the calls in one script."""
-    out = []
+    """(line, verb, url) of the calls in one script. Time grows with its length, however calls nest."""
+    out: list[tuple[int, str, str]] = []
+    closing, said_at, url_at = _closings(content), _firsts(list(_SAID.finditer(content))), _firsts(list(_URL.finditer(content)))
+    breaks = [m.start() for m in re.finditer("\n", content)]
     for m in _CALL.finditer(content):
         of, verb, at = m[1].lower(), (m[2] or "").lower(), m.end()
-        rest = content[at : _closing(content, at)]
-        said = _SAID.search(rest)
-        by_option = said[3] if said else "GET"
-        literal = None
+        end = closing(at)
+        said, inside, literal = said_at(at), url_at(at), None
+        by_option = said[3] if said and said.end() <= end else "GET"
         if of == "fetch" and not verb:
             literal, verb = _literal(content, at), by_option
         elif verb in _VERBS.get(of, ()):
             literal = _literal(content, at)
-        elif (f"{of}.{verb}" if verb else of) in _WITH_OPTIONS and rest.startswith("{") and (inside := _URL.search(rest)):
-            literal, verb = _literal(rest, inside.end()), by_option
+        elif (f"{of}.{verb}" if verb else of) in _WITH_OPTIONS and at < end and content[at] == "{" and inside and inside.end() < end:
+            literal, verb = _literal(content, inside.end()), by_option
+            literal = literal if literal and literal[1] <= end else None
         if literal and "${" not in literal[0]:
-            out.append((content.count("\n", 0, m.start()) + 1, verb.upper(), literal[0]))
+            out.append((bisect_left(breaks, m.start()) + 1, verb.upper(), literal[0]))
     return sorted(out)
 
 

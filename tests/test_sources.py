@@ -1,5 +1,8 @@
 """Text sources on small inline files."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from strandline.functions.text import normalise_path, slugify, view_name
@@ -104,3 +107,36 @@ def test_mentions_resolve_without_a_nested_loop(spark):
     assert sorted((r["text"], r["keys"]) for r in found.collect()) == [("A\\B", ["class:A\\B"]), ("B", ["class:A\\B", "class:D\\B"]), ("C", ["class:C"])]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def closing_one_by_one(content, at):
+    """The bracket that closes what is open at a place, from that place on."""
+    depth = 0
+    while at < len(content):
+        skip = scripts._literal(content, at)
+        depth += (content[at] in "([{") - (content[at] in ")]}")
+        if depth < 0:
+            return at
+        at = skip[1] if skip else at + 1
+    return at
+
+
+def test_closings_of_any_place():
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice("()[]{}'\"`a\n") for _ in range(rng.randrange(40)))
+        found = scripts._closings(text)
+        assert [found(at) for at in range(len(text) + 1)] == [closing_one_by_one(text, at) for at in range(len(text) + 1)], text
+
+
+def test_nested_calls_without_an_end():
+    start = time.time()
+    assert len(scripts.calls("fetch('/a', {x: $.get(\n" * 20000)) == 20000
+    assert scripts.calls("fetch(" * 50000 + "type: 'post'") == []
+    assert time.time() - start < 5
+
+
+def test_sections_of_a_file_with_many_headings(spark):
+    text = "".join(f"# T\nline {k}\n\n" for k in range(3000))
+    got = markdown.sections(spark.createDataFrame([("a.md", text), ("b.md", "no heading"), ("c.md", None), ("d.md", "# Last")], "path string, content string")).orderBy("path", "line").collect()
+    assert len(got) == 3001 and got[2999].anchor == "t-2999" and got[7].body == "line 7\n" and got[2999].body == "line 2999\n\n" and (got[3000].path, got[3000].body) == ("d.md", "")
