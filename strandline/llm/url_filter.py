@@ -66,18 +66,18 @@ def term_weight(url: str | None, terms: ahocorasick.Automaton) -> float:
     return sum(hits.values())
 
 
-def rule_index(rules: Sequence[tuple[str, str, str]]) -> dict[str, list[tuple[str, str, int, str]]]:
-    """By host: (path, action, length, name), longest path first."""
-    index: dict[str, list[tuple[str, str, int, str]]] = {}
-    for action, host, path in rules:
-        index.setdefault(host, []).append((path, action, len(host + path), host + path))
+def rule_index(rules: Sequence[tuple[str, str, str]]) -> dict[str, list[tuple[str, str, tuple[int, int], str]]]:
+    """By host: (path, action, (length, minus its place in the list), name), longest path first."""
+    index: dict[str, list[tuple[str, str, tuple[int, int], str]]] = {}
+    for k, (action, host, path) in enumerate(rules):
+        index.setdefault(host, []).append((path, action, (len(host + path), -k), host + path))
     for host in index:
-        index[host].sort(key=lambda r: -r[2])
+        index[host].sort(key=lambda r: r[2], reverse=True)
     return index
 
 
-def best_rule(host: str, path: str, index: dict[str, list[tuple[str, str, int, str]]]) -> tuple[str, str] | None:
-    """(action, name) of the longest rule that fits."""
+def best_rule(host: str, path: str, index: dict[str, list[tuple[str, str, tuple[int, int], str]]]) -> tuple[str, str] | None:
+    """(action, name) of the longest rule that fits, the first in the list on a tie."""
     best, at = None, 0
     while host:
         suffix = host[at:]

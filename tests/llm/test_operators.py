@@ -46,6 +46,21 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_rules_of_one_length_go_by_their_order(spark):
+    long = "http://b.co/a/" + "free/" * 200_000 + "bet"
+    urls = ["http://b.co/abcd/", "http://b.co/abcd/", "http://c.co/abcd/", long, long, "http://b.co/" + "é" * 300_000]
+    pages = spark.createDataFrame([(i % 4, u, "h") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    ways = [("block", "b.co", "/a"), ("allow", "co", "/abc"), ("allow", "b.co", "/a"), ("block", "co", "/abc")]
+    for rules in (ways, ways[1:] + ways[:1], ways[::-1]):
+        fits = lambda u: [r for r in rules if (u.split("/")[2] + ".").endswith(r[1] + ".") and ("/" + u.split("/", 3)[3]).startswith(r[2])]
+        want = []
+        for i, u in enumerate(urls):
+            best = max(fits(u), key=lambda r: len(r[1] + r[2]), default=None)  # the first of the longest
+            want.append((i % 4, best and best[1] + best[2], best[0] if best else "allow"))
+        got = [(r.page_id, r["rule"], r.verdict) for r in url_filter.filter_urls(pages, rules).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # 2
 
 
