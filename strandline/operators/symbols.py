@@ -16,6 +16,14 @@ from strandline.plans.runtime import cut
 
 DEPTH = 15
 
+#: Short names that stand for a class of the same name in FACADES, and those that stand for another one.
+FACADES = "Illuminate\\Support\\Facades\\"
+SHORT = (
+    "Artisan", "Auth", "Blade", "Broadcast", "Bus", "Cache", "Config", "Cookie", "Crypt", "Date", "DB", "Event", "File", "Gate", "Hash", "Http", "Lang", "Log", "Mail", "Notification",
+    "Password", "Process", "Queue", "RateLimiter", "Redirect", "Redis", "Request", "Response", "Route", "Schema", "Schedule", "Session", "Storage", "URL", "Validator", "View", "Vite",
+)
+OTHER = {"App": "Illuminate\\Foundation\\Application", "Arr": "Illuminate\\Support\\Arr", "Str": "Illuminate\\Support\\Str"}
+
 
 def ancestors(classes: DataFrame, interfaces: bool = True, depth: int = DEPTH) -> DataFrame:
     """(class, ancestor, rank): a class itself and all it inherits from, each once at its first rank. Cycles end
@@ -63,6 +71,20 @@ def substitute_interfaces(types: DataFrame, classes: DataFrame, bindings: DataFr
     return out.withColumns({"concrete": F.coalesce("bound", "one", "type"), "kind": kind, "cap": F.coalesce(base_confidence(kind), F.lit(1.0))}).drop("k", "bound", "one")
 
 
+def expand_aliases(types: DataFrame, classes: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """types (type, ...) with short names as the classes they stand for, by `aliases` (short name: class; the fixed ones
+    if none are given). A name with a namespace stays, and so does one that a class of its own has; case is ignored."""
+    given = {n: FACADES + n for n in SHORT} | OTHER if aliases is None else aliases
+    low = {n.lower(): full for n, full in given.items()}
+    if not low:
+        return types
+    full = F.try_element_at(F.create_map(*[F.lit(x) for pair in low.items() for x in pair]), F.lower("type"))
+    # no more rows than aliases
+    taken = classes.select(F.lower("class").alias("_taken")).where(F.col("_taken").isin(*low)).distinct()
+    rows = types.join(F.broadcast(taken), F.lower("type") == F.col("_taken"), "left")
+    return rows.withColumn("type", F.coalesce(F.when(F.col("_taken").isNull(), full), "type")).drop("_taken")
+
+
 def resolve_calls(calls: DataFrame, classes: DataFrame, methods: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """calls (from_key, type, member, resolution, confidence) as edges and unresolved references. A call goes to
     the method its receiver's class has or inherits, to the class where it has none of that name, or to an

@@ -77,6 +77,18 @@ def interface_substitution(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.substitute_interfaces(all_classes.select(c("class").alias("type")), all_classes, bindings(spark, sf))
 
 
+_SHORT = ("DB", "log", "Str", "App\\Log", "Own", "Schema", "app", "RATELIMITER")
+_FULL = ("Illuminate\\Support\\Facades\\DB", "Illuminate\\Support\\Facades\\Log", "Illuminate\\Support\\Str", "App\\Log", "Own", "Schema", "Illuminate\\Foundation\\Application", "Illuminate\\Support\\Facades\\RateLimiter")
+
+
+@query(f"SELECT p_partkey, {list(_FULL)}[p_partkey % 8 + 1] AS type FROM part".replace("\\\\", "\\"))
+def alias_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Short names of parts' types as classes; one of them is a class of its own."""
+    types = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*[lit(n) for n in _SHORT]), (c("p_partkey") % 8 + 1).cast("int")).alias("type"))
+    own = classes(spark, sf).select("class").unionByName(spark.createDataFrame([("schema",)], "class string"))
+    return symbols.expand_aliases(types, own)
+
+
 _CALLS = "calls AS (SELECT 'o' || l_orderkey AS from_key, CASE WHEN l_linenumber > 1 THEN 'S' || l_suppkey END AS type, 'm' || CAST(l_quantity AS BIGINT) AS member, CASE l_returnflag WHEN 'A' THEN 'static' WHEN 'N' THEN 'return_type' ELSE 'eloquent' END AS resolution FROM lineitem)"
 
 

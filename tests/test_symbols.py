@@ -48,3 +48,10 @@ def test_routes(spark, classes, methods):
     assert rows(made.select("name", "class")) == [("auth", None), ("can:edit", "App\\Can")] and used.count() == 2
     b = spark.createDataFrame([("i", "A", True), ("I", "I", False), ("I", None, False), ("I", "Q", False)], "abstract string, concrete string, shared boolean")
     assert rows(routes.binds(b, classes)) == [("binds", "class:I", "class:A", True)]
+
+
+def test_aliases(spark, classes):
+    types = spark.createDataFrame([("a", 1), ("A", 2), ("db", 3), ("My\\DB", 4), (None, 5), ("arr", 6), ("Arr", 6)], "type string, k int")
+    own = classes.select("class").unionByName(spark.createDataFrame([("ARR",), ("arr",)], "class string"))
+    assert rows(symbols.expand_aliases(types, own)) == sorted([("a", 1), ("A", 2), ("Illuminate\\Support\\Facades\\DB", 3), ("My\\DB", 4), (None, 5), ("arr", 6), ("Arr", 6)], key=str)
+    assert rows(symbols.expand_aliases(types, own, {"A": "X\\A", "Q": "X\\Q"})) == rows(types) and rows(symbols.expand_aliases(types, own, {})) == rows(types)
