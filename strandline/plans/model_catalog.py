@@ -195,7 +195,7 @@ def scopes_replaced(spark: SparkSession, sf: str) -> DataFrame:
 # tools
 
 
-@query(r""", n AS (SELECT *, CASE WHEN file IS NOT NULL THEN length(key) END AS line FROM nodes), x AS (SELECT from_key AS key, 'out' AS direction, type AS edge_type, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT to_key, 'in', type, count(*) FROM edges GROUP BY ALL)
+@query(r""", n AS (SELECT *, CAST(CASE WHEN file IS NOT NULL THEN length(key) END AS INTEGER) AS line FROM nodes), x AS (SELECT from_key AS key, 'out' AS direction, type AS edge_type, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT to_key, 'in', type, count(*) FROM edges GROUP BY ALL)
 SELECT n.key, name, n.type AS node_type, file, line, kind, direction, edge_type, x.n FROM n LEFT JOIN x USING (key) WHERE n.key = 'class:Geo\NATION_5'""", graph=True)
 def node_with_meta(spark: SparkSession, sf: str) -> DataFrame:
     """A node with its line and meta, which say more of it than its type."""

@@ -118,3 +118,11 @@ def test_replaced_scopes(spark, tmp_path):
     with pytest.raises(KeyError, match="nowhere"):
         log.change(lambda at: scopes.append_unresolved(log, at, spark.createDataFrame([("nowhere", "x")], "path string, member string")))
     assert rows(scopes.stored_files(log.read("files"), spark.createDataFrame([("g",), ("g",), ("q",)], "path string"))) == [("g", "h")]
+
+
+def test_the_fifteenth_parent_is_the_last(spark):
+    chain = spark.createDataFrame([(f"C{k}", f"C{k + 1}") for k in range(40)], "class string, parent string")
+    got = set(rows(models.lineage(chain)))
+    assert got == {(f"c{k}", f"c{k + d}") for k in range(40) for d in range(16) if k + d <= 40}
+    ring = spark.createDataFrame([("A", "b"), ("B", "A"), ("B", "A")], "class string, parent string")
+    assert rows(models.lineage(ring)) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
