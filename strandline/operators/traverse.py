@@ -2,7 +2,9 @@
 
 A level joins the frontier with the edges; the hundred best edges of a node come from a ranked window, whose
 limit Spark applies before the shuffle as well, so a node with very many edges does not gather them in one
-task. The frontier is broadcast by Spark when it is small. Every level is checkpointed: plans stay short."""
+task. A frontier of FEW keys at most is looked up in the table by their values, which a table that is sorted by its
+end answers from the row groups that hold them; a larger one is joined, and broadcast by Spark when it is small
+enough. Every level is checkpointed: plans stay short."""
 
 from __future__ import annotations
 
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 from strandline.plans.runtime import cut
 
 EDGES_PER_NODE = 100
+#: Keys that are looked up by value; more are joined.
+FEW = 500
+#: Values of one pushed list: Spark hands lists up to this length to the scan value by value, longer ones as a range.
+_LIST = 10
 
 #: Types that carry impact backwards.
 IMPACT_TYPES = (
@@ -20,26 +26,41 @@ IMPACT_TYPES = (
 )
 
 
+def few(keys: DataFrame) -> list[str] | None:
+    """The values of a table of one column, or None where it has more than FEW rows. Never more than these reach the driver."""
+    rows = keys.limit(FEW + 1).collect()
+    return [x[0] for x in rows] if len(rows) <= FEW else None
+
+
+def at_keys(rows: DataFrame, column: str, keys: DataFrame, values: list[str] | None) -> DataFrame:
+    """The rows whose column is one of the keys (one column, known as `values` if few). Null is no key."""
+    if values is None:
+        return rows.join(keys.toDF("at"), F.col(column) == F.col("at"), "left_semi")
+    known = sorted({v for v in values if v is not None})
+    wanted = F.lit(False)
+    for k in range(0, len(known), _LIST):
+        wanted = wanted | F.col(column).isin(known[k : k + _LIST])
+    return rows.where(wanted)
+
+
 def _best(rows: DataFrame, near: str, far: str) -> DataFrame:
     order = Window.partitionBy(near).orderBy(F.desc_nulls_last("confidence"), "type", far)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= EDGES_PER_NODE)
 
 
 def _walk(edges: DataFrame, key: str, depth: int, near: str, far: str, keep: Column | None) -> DataFrame:
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(key,)], "at string")
+    frontier, values = edges.sparkSession.createDataFrame([(key,)], "at string"), [key]
     visited, out = frontier, None
     for level in range(1, max(1, depth) + 1):
-        # the first level is one key, which a sorted table finds by its row groups
-        met = edges.where(F.col(near) == key) if level == 1 else edges.join(frontier, F.col(near) == F.col("at"), "left_semi")
-        best = _best(met, near, far)
+        best = _best(at_keys(edges, near, frontier, values), near, far)
         step = best.where(keep) if keep is not None else best
         step = cut(step.select(F.lit(level).alias("depth"), "from_key", "to_key", F.col("type").alias("edge_type"), "confidence"))
         out = step if out is None else out.unionByName(step)
         if level == depth:
             break
         frontier = cut(step.select(F.col(far).alias("at")).distinct().join(visited, "at", "left_anti"))
-        if frontier.isEmpty():
+        values = few(frontier)
+        if values == []:
             break
         visited = visited.unionByName(frontier)
     return out
@@ -61,12 +82,16 @@ def impact(nodes: DataFrame, edges: DataFrame, key: str, depth: int = 3, min_con
     spark = edges.sparkSession
     used = edges.where(F.col("type").isin(*IMPACT_TYPES) & (F.col("confidence").isNull() | (F.col("confidence") >= min_confidence)))
     start = spark.createDataFrame([(key,)], "at string")
-    owned = edges.where((F.col("type") == "declares") & (F.col("from_key") == key)).where(F.lit(key).startswith("class:"))
-    methods = owned.join(nodes.where("type = 'method'"), F.col("to_key") == F.col("key"), "left_semi").select(F.col("to_key").alias("at"))
-    frontier = cut(start.unionByName(methods).distinct())
+    owned = edges.where((F.col("type") == "declares") & (F.col("from_key") == key))
+    frontier, values = start, [key]
+    if key.startswith("class:"):
+        declared = cut(owned.select("to_key").distinct())
+        methods = at_keys(nodes.where("type = 'method'"), "key", declared, few(declared)).select(F.col("key").alias("at"))
+        frontier = cut(start.unionByName(methods).distinct())
+        values = few(frontier)
     walked, found = frontier, None
     for level in range(1, max(1, depth) + 1):
-        met = used.join(frontier, F.col("to_key") == F.col("at"), "left_semi").groupBy(F.col("from_key").alias("key")).agg(F.min("type").alias("via"))
+        met = at_keys(used, "to_key", frontier, values).groupBy(F.col("from_key").alias("key")).agg(F.min("type").alias("via"))
         if found is not None:
             met = met.join(found.select("key"), "key", "left_anti")
         met = cut(met.withColumn("depth", F.lit(level)))
@@ -74,7 +99,8 @@ def impact(nodes: DataFrame, edges: DataFrame, key: str, depth: int = 3, min_con
         if level == depth:
             break
         frontier = cut(met.select(F.col("key").alias("at")).join(walked, "at", "left_anti"))
-        if frontier.isEmpty():
+        values = few(frontier)
+        if values == []:
             break
         walked = walked.unionByName(frontier)
     kind = F.col("kind")
@@ -83,7 +109,8 @@ def impact(nodes: DataFrame, edges: DataFrame, key: str, depth: int = 3, min_con
         .when(F.col("type") == "route", "routes").when(F.col("type") == "view", "views").when(F.col("type") == "method", "methods")
         .when(F.col("type") == "section", "docs").when(F.col("type") == "file", "js_files").otherwise("classes")
     )
-    return found.join(nodes, "key").select("key", "name", "depth", "via", bucket.alias("bucket"))
+    keys = found.select("key")
+    return found.join(at_keys(nodes, "key", keys, few(keys)), "key").select("key", "name", "depth", "via", bucket.alias("bucket"))
 
 
 def path(edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFrame | None:
@@ -92,11 +119,10 @@ def path(edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFram
     spark = edges.sparkSession
     if start == end:
         return spark.createDataFrame([], "step int, from_key string, to_key string, edge_type string, confidence double")
-    frontier = spark.createDataFrame([(start,)], "at string")
+    frontier, values = spark.createDataFrame([(start,)], "at string"), [start]
     visited, levels = frontier, []
     for level in range(1, max_depth + 1):
-        met = edges.where(F.col("from_key") == start) if level == 1 else edges.join(frontier, F.col("from_key") == F.col("at"), "left_semi")
-        best = _best(met, "from_key", "to_key")
+        best = _best(at_keys(edges, "from_key", frontier, values), "from_key", "to_key")
         parent = F.min_by(F.struct("from_key", "type", "confidence"), F.struct("from_key", "rank"))
         found = best.groupBy(F.col("to_key").alias("at")).agg(parent.alias("p")).join(visited, "at", "left_anti")
         met = cut(found.select("at", "p.from_key", "p.type", "p.confidence"))
@@ -104,7 +130,8 @@ def path(edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFram
         if not met.where(F.col("at") == end).isEmpty():
             break
         frontier = met.select("at")
-        if frontier.isEmpty():
+        values = few(frontier)
+        if values == []:
             return None
         visited = visited.unionByName(frontier)
     else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from strandline.operators.invalidate import rebuild
 from strandline.operators.versions import Conflict, Delta, Log
 from strandline.plans.catalog import _MEMBER, _WEIGHTS
 from strandline.plans.registry import query
-from strandline.plans.runtime import run_folder
+from strandline.plans.runtime import cut, run_folder
 from strandline.plans.testbed import edges, nodes, table
 from strandline.sources import literals, markdown
+from strandline.streaming import watch
 
 
 def new_log(spark: SparkSession) -> Log:
@@ -139,6 +141,25 @@ def edge_changes(spark: SparkSession, sf: str) -> DataFrame:
     return log.changes("pairs", 1)
 
 
+# a stream of files
+
+
+@query(f"""WITH one AS ({_S1}), two AS ({_S2}) SELECT coalesce(one.path, two.path) AS path, coalesce(two.hash, one.hash) AS hash,
+CASE WHEN one.path IS NULL OR one.hash <> two.hash THEN 2 ELSE 1 END AS batch, CAST(CASE WHEN one.path IS NOT NULL AND one.hash <> two.hash THEN 2 ELSE 1 END AS BIGINT) AS times FROM one FULL JOIN two USING (path)""")
+def files_followed(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of files that stops and goes on: its table, the run that has last changed a file, and how often each was
+    handed on. Rows that tell nothing new are neither written nor handed on."""
+    log, inbox, state = new_log(spark), f"{run_folder(spark)}/inbox-{uuid.uuid4().hex}", f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
+    told: list[DataFrame] = []
+    for n, seen in enumerate(snapshots(spark, sf), 1):
+        rows = seen.select("path", "hash", F.lit(n).alias("seen"))
+        rows.write.mode("append").parquet(inbox)
+        hand_on = lambda changed, number, n=n: told.append(cut(changed.withColumn("batch", F.lit(n))))
+        watch.follow(spark.readStream.schema(rows.schema).parquet(inbox), log, state, hand_on).awaitTermination()
+    calls = reduce(DataFrame.unionByName, told).groupBy("path").agg(F.max("batch").alias("batch"), F.count("*").alias("times"))
+    return log.read("files").join(calls, "path").select("path", "hash", "batch", "times")
+
+
 # builds, misses, communities
 
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import lookup, models, scopes, summaries, tools
+from strandline.operators import lookup, models, scopes, summaries, tools, traverse
 from strandline.operators.desk import Desk
 from strandline.operators.versions import Delta
 from strandline.plans.build_catalog import new_log
 from strandline.plans.code_catalog import numbered
 from strandline.plans.registry import query
 from strandline.plans.catalog import FUNCTION, _impact_sql
+from strandline.plans.runtime import cut
 from strandline.plans.testbed import edges, nodes, search_index, table
 
 c, lit = F.col, F.lit
@@ -136,6 +137,22 @@ def hydrated_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return cls.select(lit("class").alias("what"), c("key").alias("class_key"), "key").unionByName(methods.select(lit("method").alias("what"), "class_key", "key"))
 
 
+@query(r""" SELECT 'stored' AS what, 'geo/' || n_name || '.php' AS a, md5(n_name) AS b FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)
+UNION ALL SELECT 'node', n.key, n.type FROM nodes n WHERE n.key IN (SELECT 'function:' || s_name FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT 'of file', key, file FROM nodes WHERE file = 'geo/NATION_7.php'""", graph=True)
+def stored_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by path (some asked for again and again, some never stored), nodes by key, keys of one file."""
+    nation, n = table(spark, sf, "nation"), nodes(spark, sf)
+    path = lambda name: F.concat(lit("geo/"), name, lit(".php"))
+    files = nation.select(path(c("n_name")).alias("path"), F.md5(c("n_name").cast("binary")).alias("hash"))
+    poor = table(spark, sf, "customer").where("c_acctbal < 0").select("c_nationkey")
+    asked = nation.join(poor, c("n_nationkey") == c("c_nationkey")).select(path(c("n_name")).alias("path")).unionByName(poor.select(lit("geo/none.php").alias("path")))
+    keys = cut(table(spark, sf, "supplier").where("s_acctbal < 0").select(F.concat(lit("function:"), c("s_name")).alias("key")).unionByName(nation.select(F.concat(lit("none:"), "n_name").alias("key"))))
+    rows = scopes.stored_files(files, asked).select(lit("stored").alias("what"), c("path").alias("a"), c("hash").alias("b"))
+    found = traverse.at_keys(n, "key", keys, traverse.few(keys)).select(lit("node").alias("what"), c("key").alias("a"), c("type").alias("b"))
+    own = scopes.keys_of(n, "geo/NATION_7.php").select(lit("of file").alias("what"), c("key").alias("a"), lit("geo/NATION_7.php").alias("b"))
+    return rows.unionByName(found).unionByName(own)
+
+
 @query(" SELECT key FROM nodes WHERE key = 'route:GET /europe'", graph=True)
 def routes_of_uri(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.routes_by_uri(nodes(spark, sf), "Europe").select("key")

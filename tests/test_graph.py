@@ -50,6 +50,33 @@ def test_path(spark):
     assert traverse.path(e, "e", "a") is None
 
 
+def test_a_level_is_looked_up_by_value_while_it_is_small(spark, tmp_path, monkeypatch, capsys):
+    rng = random.Random(5)
+    pairs = {(f"m{rng.randrange(300):03}", f"m{rng.randrange(300):03}") for _ in range(900)} | {("m000", None), (None, "m001")}
+    graph(spark, sorted(pairs, key=repr)).repartitionByRange(6, "from_key").sortWithinPartitions("from_key").write.parquet(str(tmp_path / "e"))
+    e = spark.read.schema(EDGE).parquet(str(tmp_path / "e"))
+    n = spark.createDataFrame([(f"m{k:03}", "method", str(k), None, None, None) for k in range(300)], NODE)
+
+    def answers():
+        way = traverse.path(e, "m000", "m123", 6)
+        return [rows(x.na.fill("-")) for x in (traverse.callees(e, "m000", 3), traverse.callers(e, "m005", 3), traverse.impact(n, e, "m009"), way)]
+
+    want = answers()
+    monkeypatch.setattr(traverse, "FEW", 0)  # every level joined
+    assert answers() == want
+    monkeypatch.setattr(traverse, "FEW", 12)  # some levels
+    assert answers() == want
+    keys = spark.createDataFrame([(f"m{k:03}",) for k in range(0, 24, 2)] + [(None,)], "at string")
+    assert traverse.few(keys) is None
+    monkeypatch.setattr(traverse, "FEW", 500)
+    met = traverse.at_keys(e, "from_key", keys, traverse.few(keys))
+    met.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Or(In(from_key" in plan.split("PushedFilters")[1].split("ReadSchema")[0] and "Join" not in plan
+    assert rows(met.na.fill("-")) == rows(traverse.at_keys(e, "from_key", keys, None).na.fill("-"))
+    assert traverse.at_keys(e, "from_key", keys, []).count() == 0
+
+
 def test_short_name_is_found_among_many(spark):
     names = [f"App\\Models\\ServiceOrder{i}" for i in range(30)] + ["App\\Models\\ServiceOrder"]
     n = spark.createDataFrame([(f"class:{x}", "class", x, None, True, None) for x in names], NODE)
