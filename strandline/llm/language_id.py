@@ -18,7 +18,8 @@ ALPHABET most frequent ones to one symbol.
 Null texts and texts without a letter get "und" with score 0; ties go to the first language in order of
 name; without any labelled row every text is "und". Repeated rows are judged each; extra columns are not
 read. The sample is TRAIN_DOCS whole documents a language of no more than TRAIN_BYTES bytes each, those with the
-smallest hash of doc_id.
+smallest hash of doc_id. Its texts stay in tasks, which count them; the driver gets counts and makes the table of at
+most MODEL_CELLS code lengths.
 
 known() keeps the texts that some learned language codes about as well as the training texts: the bound follows the
 median of these, which junk among them hardly moves. Letters at random, or a language that was never learned, cost more, as few of their contexts are in a
@@ -26,13 +27,15 @@ tree."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField
 
-from strandline.llm.common import append_columns, free_name, segment_sums, text_bytes
+from strandline.llm.common import append_columns, chunks, free_name, materialize, ragged, segment_sums, text_bytes
 
 TRAIN_DOCS = 400
 TRAIN_BYTES = 200_000
@@ -42,6 +45,8 @@ MARGIN, LEAST_BYTES, MOST_BITS, SLACK = 2.5, 100, 8.0, 128.0
 ALPHABET = 112
 #: Contexts of three bytes are kept from so many occurrences on, over all languages.
 MIN_CONTEXT = 4
+#: Code lengths in a model at most (4 bytes each), so that it can be sent to all executors however many languages there are.
+MODEL_CELLS = 100_000_000
 #: Bytes worked on at once; a longer text is summed piece by piece.
 STEP = 1 << 20
 
@@ -89,20 +94,64 @@ class Model:
         return out
 
 
-def symbols(texts: list[bytes], lut: np.ndarray, blank: int) -> np.ndarray:
-    """All texts' symbols, each text led by three blanks."""
-    lead = np.full(3, blank, np.int64)
-    return np.concatenate([np.concatenate([lead, lut[np.frombuffer(t, np.uint8)].astype(np.int64)]) for t in texts] or [lead])
-
-
-def train(samples: dict[str, list[str]]) -> Model | None:
-    samples = {k: v for k, v in samples.items() if any(v)}
-    if not samples:
+def symbols(raw: np.ndarray, off: np.ndarray, lut: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' symbols, each text led by three blanks, and which of them are the texts' own."""
+    size = np.diff(off)
+    own = np.ones(len(raw) + 3 * len(size), bool)
+    own[ragged(off[:-1] + 3 * np.arange(len(size)), np.full(len(size), 3))] = False
+    out = np.full(len(own), blank, np.int64)
+    out[own] = lut[raw]
+    return out, own
+
+
+def byte_counts(rows: DataFrame) -> dict[str, np.ndarray]:
+    """How often a sample's (l, t) texts hold each folded byte, a row for each language; those without a byte are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = fold_table()
+        for batch in batches:
+            for part in chunks(batch, "t", STEP):
+                raw, off = text_bytes(part.column("t"))
+                who, at = np.unique(np.asarray(part.column("l").to_pylist(), object), return_inverse=True)
+                code = np.repeat(at, np.diff(off)) * 256 + fold[raw]
+                cell, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(who[cell // 256].tolist(), pa.string()), pa.array(cell % 256), pa.array(n)], names=["l", "byte", "n"])
+
+    out: dict[str, np.ndarray] = {}
+    for x in rows.mapInArrow(run, "l string, byte long, n long").groupBy("l", "byte").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(x.l, np.zeros(256, np.int64))[x.byte] = x.n
+    return {k: out[k] for k in sorted(out)}
+
+
+def gram_counts(rows: DataFrame, languages: list[str], lut: np.ndarray, size: int, blank: int) -> DataFrame:
+    """(i, context, s, n): how often symbol s follows three symbols in the texts of language i; counted in every task, then
+    summed. All shorter contexts' counts are sums of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {k: i for i, k in enumerate(languages)}
+        for batch in batches:
+            for part in chunks(batch, "t", STEP):
+                raw, off = text_bytes(part.column("t"))
+                s, own = symbols(raw, off, lut, blank)
+                who = np.array([place.get(k, -1) for k in part.column("l").to_pylist()])
+                lead = np.flatnonzero(own)
+                gram = ((s[lead - 3] * size + s[lead - 2]) * size + s[lead - 1]) * size + s[lead]
+                cell, n = np.unique(np.repeat(who, np.diff(off)) * size**4 + gram, return_counts=True)
+                arrays = [cell // size**4, cell % size**4 // size, cell % size, n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["i", "context", "s", "n"])
+
+    return rows.mapInArrow(run, "i long, context long, s long, n long").groupBy("i", "context", "s").agg(F.sum("n").alias("n"))
+
+
+def train(rows: DataFrame) -> Model | None:
+    """The model of a sample (l, t). Texts are counted where they lie; the driver gets sums: of each language the bytes, the
+    grams of three symbols and of four whose context is kept. No more than MODEL_CELLS code lengths are kept: where
+    languages and contexts are too many for that, contexts of three symbols are those met most often."""
+    bytes_ = byte_counts(rows)
+    if not bytes_:
         return None
-    languages = sorted(samples)
-    fold = fold_table()
-    raw = {k: [t.encode() for t in samples[k] if t] for k in languages}
-    seen = sum(np.bincount(fold[np.frombuffer(b"".join(raw[k]), np.uint8)], minlength=256) for k in languages)
+    languages = list(bytes_)
+    fold, seen = fold_table(), sum(bytes_.values())
     kept = [int(b) for b in np.argsort(-seen, kind="stable")[:ALPHABET] if seen[b]]
     if _BLANK not in kept:
         kept.append(_BLANK)
@@ -111,27 +160,27 @@ def train(samples: dict[str, list[str]]) -> Model | None:
     place[kept] = np.arange(len(kept))
     lut, blank = place[fold], kept.index(_BLANK)
 
-    grams = []  # for each language the symbols and, for orders 1 to 3, the contexts before them
-    for k in languages:
-        s = symbols(raw[k], lut, blank)
-        own = np.concatenate([np.r_[[False] * 3, np.ones(len(t), bool)] for t in raw[k]])[3:]
-        grams.append(tuple(x[own] for x in (s[3:], s[2:-1], s[1:-2] * size + s[2:-1], (s[:-3] * size + s[1:-2]) * size + s[2:-1])))
-    every = [None, np.arange(size)]
-    for order in (2, 3):
-        context, count = np.unique(np.concatenate([g[order] for g in grams]), return_counts=True)
-        every.append(context[count >= (MIN_CONTEXT if order == 3 else 1)])
+    grams = materialize(gram_counts(rows, languages, lut, size, blank), "language-grams")
+    met = grams.groupBy("context").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_CONTEXT)
+    two = grams.groupBy("i", (F.col("context") % size**2).alias("context"), "s").agg(F.sum("n").alias("n"))
+    short = columns(two)
+    every = [None, np.arange(size), np.unique(short[1]), None]
+    room = max(0, MODEL_CELLS // (size * len(languages)) - 1 - size - len(every[2]))
+    if met.count() > room:
+        met = met.orderBy(F.desc("n"), "context").limit(room)
+    long_ = columns(grams.join(met.select("context"), "context", "left_semi"))
+    every[3] = np.unique(long_[1])
 
     tables = [[] for _ in range(4)]  # by order: probabilities (row, symbol) of each language
-    for s, *contexts in grams:
-        count = np.bincount(s, minlength=size).astype(float)
+    for i in range(len(languages)):
+        (c2, s2, n2), (c3, s3, n3) = ([x[found[0] == i] for x in found[1:]] for found in (short, long_))
+        count = np.bincount(s2, n2, minlength=size)
         t, d = count.sum(), (count > 0).sum()
         p = np.where(count > 0, count / (t + d), d / (t + d) / size)[None, :]
         tables[0].append(p.astype(np.float32))
-        for order in (1, 2, 3):
-            rows, wanted = contexts[order - 1], every[order]
-            at = np.minimum(np.searchsorted(wanted, rows), len(wanted) - 1)
-            hit = wanted[at] == rows if len(wanted) else np.zeros(len(rows), bool)
-            count = np.bincount(at[hit] * size + s[hit], minlength=len(wanted) * size).reshape(-1, size).astype(np.float32)
+        for order, c, s, n in ((1, c2 % size, s2, n2), (2, c2, s2, n2), (3, c3, s3, n3)):
+            wanted = every[order]
+            count = np.bincount(np.searchsorted(wanted, c) * size + s, n, minlength=len(wanted) * size).reshape(-1, size).astype(np.float32)
             t, d = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
             shorter = wanted % size ** (order - 1)
             lower = tables[order - 1][-1][np.searchsorted(every[order - 1], shorter) if order > 1 else np.zeros(len(wanted), int)]
@@ -149,18 +198,33 @@ def train(samples: dict[str, list[str]]) -> Model | None:
         found = known[three % size**order]
         row = np.where(found >= 0, found, row)
     model = Model(languages, lut, size, blank, row, -np.log2(cost).reshape(-1, len(languages)).astype(np.float32))
-    costs = []
-    for k in languages:
-        for lo in range(0, len(raw[k]), 32):
-            some = [t for t in raw[k][lo : lo + 32] if len(t) >= LEAST_BYTES]
-            length = np.array([len(t) for t in some], np.int64)
-            costs += (model.bits(np.frombuffer(b"".join(some), np.uint8), np.r_[0, np.cumsum(length)]).min(1) / length).tolist()
-    model.typical = float(np.median(costs)) if costs else 0.0
+    model.typical = typical(rows, model)
     return model
 
 
-def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", each: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> dict[str, list[str]]:
-    """At most `each` whole labelled texts of every language: the training rows on the driver.
+def columns(found: DataFrame) -> tuple[np.ndarray, ...]:
+    """(i, context, s, n) of counts."""
+    got = found.select("i", "context", "s", "n").toArrow()
+    return tuple(got.column(k).to_numpy() for k in range(4))
+
+
+def typical(rows: DataFrame, model: Model) -> float:
+    """Bits a byte of the median text of a sample, of those of LEAST_BYTES and more; 0 if there is none."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        raw, off = text_bytes(texts)
+        return [pa.array(held.value.bits(raw, off).min(1) / np.maximum(1, np.diff(off)))]
+
+    long_ = rows.where(F.octet_length("t") >= LEAST_BYTES).select("t")
+    got = append_columns(long_, "t", [StructField("bits", DoubleType())], make).agg(F.median("bits")).first()[0]
+    held.unpersist()
+    return got or 0.0
+
+
+def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", each: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(l, t): at most `each` whole labelled texts of every language, as a table in the shared folder. Rows that repeat a
+    key and a language count once, by the smallest of their texts.
 
     Rows of a language are counted first; only those with a hash below a bound that some four times `each`
     rows pass are ranked, so a language's ranking never meets a great part of the rows in one task."""
@@ -168,14 +232,11 @@ def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "tex
     fit = where & F.col(lang).isNotNull() & (F.octet_length(text) <= most_bytes)
     rows = docs.where(fit).select(F.col(key).alias("k"), F.col(lang).alias("l"), hash_.alias("h"))
     share = rows.groupBy("l").agg((F.lit(4.0 * each + 100) / F.count("*")).alias("share"))
-    few = rows.join(F.broadcast(share), "l").where(F.col("h") / float(2**63) <= F.col("share"))  # a row for each language
+    below = rows.join(F.broadcast(share), "l").where(F.col("h") / float(2**63) <= F.col("share"))  # a row for each language
     order = Window.partitionBy("l").orderBy("h", "k")
-    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("k").distinct()
-    found = docs.where(fit).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen), "k", "left_semi")
-    out: dict[str, list[str]] = {}
-    for x in sorted(found.select("l", "t").collect()):
-        out.setdefault(x.l, []).append(x.t)
-    return out
+    chosen = below.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("k", "l")
+    found = docs.where(fit).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen), ["k", "l"], "left_semi")
+    return materialize(found.groupBy("k", "l").agg(F.min("t").alias("t")).select("l", "t"), "language-sample")
 
 
 def known(docs: DataFrame, model: Model | None, text: str = "text", margin: float = MARGIN, slack: float = SLACK) -> DataFrame:

@@ -534,10 +534,15 @@ def test_components(spark):
 # 9
 
 
+def labelled(spark, samples):
+    return spark.createDataFrame([(k, t) for k, texts in samples.items() for t in texts], "l string, t string")
+
+
 def test_languages(spark):
     rng = np.random.default_rng(4)
     make = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
-    model = language_id.train({"x": [make("abcde", 60) for _ in range(20)], "y": [make("cdefgé", 60) for _ in range(20)], "empty": [""]})
+    model = language_id.train(labelled(spark, {"x": [make("abcde", 60) for _ in range(20)], "y": [make("cdefgé", 60) for _ in range(20)], "empty": [""]}))
+    assert model.languages == ["x", "y"]
     texts = [make("abcde", 12), make("cdefgé", 12), None, "", "123 !?", "日本"]
     out, lang, score = language_id.identify(documents(spark, texts), model)
     got = {r.doc_id: (r[lang], r[score]) for r in out.collect()}
@@ -545,14 +550,14 @@ def test_languages(spark):
     assert [got[i] for i in (2, 3, 4)] == [("und", 0.0)] * 3 and all(0 <= s <= 1 for _, s in got.values())
     out, lang, _ = language_id.identify(documents(spark, texts), None)
     assert {r[lang] for r in out.collect()} == {"und"}
-    assert language_id.train({}) is None
+    assert language_id.train(labelled(spark, {})) is None and language_id.train(labelled(spark, {"x": ["", None]})) is None
 
 
-def test_code_lengths_by_brute_force(monkeypatch):
+def test_code_lengths_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MIN_CONTEXT", 1)
     monkeypatch.setattr(language_id, "STEP", 7)
     samples = {"a": ["banana band", "nab"], "b": ["bandit dana"]}
-    model = language_id.train(samples)
+    model = language_id.train(labelled(spark, samples))
     texts = ["band nan", "zzz", "", "bandana banana band"]
     raw = [t.encode() for t in texts]
     got = model.bits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
@@ -632,20 +637,21 @@ def test_language_sample_is_the_ranking_by_hash(spark):
     rows_ = [(i, f"text {i}", ("x", "y", None)[i % 3]) for i in range(3000)] + [(None, "null id", "x"), (9000, None, "x"), (9001, "long " * 100, "y")]
     docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
     h = lambda k: spark.sql(f"select shiftrightunsigned(xxhash64(cast({k} as bigint)), 1)")
-    got = language_id.sample(docs, F.col("doc_id").isNotNull(), each=20, most_bytes=200)
+    found = language_id.sample(docs.unionByName(docs.where("doc_id < 1500")), F.col("doc_id").isNotNull(), each=20, most_bytes=200)
+    got = {lang: [r.t for r in found.where(F.col("l") == lang).collect()] for lang in "xy"}
     order = docs.where("text is not null and doc_id < 9001 and doc_id is not null").select("text", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")).collect()
     assert h(1).count() == 1
     for lang in "xy":
         want = [r.text for r in sorted((r for r in order if r.lang == lang), key=lambda r: r.h)[:20]]
         assert sorted(got[lang]) == sorted(want)
-    assert language_id.sample(docs.limit(0), F.lit(True)) == {}
+    assert language_id.sample(docs.limit(0), F.lit(True)).count() == 0
 
 
 def test_known_texts(spark):
     rng = np.random.default_rng(3)
     make = lambda letters, n: "".join(rng.choice(list(letters), n))
     prose = [" ".join(rng.choice(["the", "river", "runs", "under", "old", "stone", "bridges"], 60)) for _ in range(30)]
-    model = language_id.train({"x": prose})
+    model = language_id.train(labelled(spark, {"x": prose}))
     texts = [None, "", "123 456", prose[0], "the old river", "a", "The River runs. " * 5000, make("αβγδεζηθ", 300), make("abcdefghijklmnopqrstuvwxyz", 2000)]
     docs = documents(spark, texts)
     got = language_id.known(docs, model)
