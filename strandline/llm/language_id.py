@@ -40,8 +40,9 @@ from strandline.llm.common import append_columns, chunks, free_name, materialize
 TRAIN_DOCS = 400
 TRAIN_BYTES = 200_000
 #: A text of a learned language costs at most MARGIN times what the median training text of LEAST_BYTES bytes and more
-#: does, never more than MOST_BITS bits a byte, and so many bits more whatever its length.
-MARGIN, LEAST_BYTES, MOST_BITS, SLACK = 2.5, 100, 8.0, 128.0
+#: does, within LEAST_BITS to MOST_BITS bits a byte (training texts that repeat themselves cost next to nothing, and
+#: plain texts of their language several times as much), and so many bits more whatever its length.
+MARGIN, LEAST_BYTES, LEAST_BITS, MOST_BITS, SLACK = 2.5, 100, 4.0, 8.0, 128.0
 ALPHABET = 112
 #: Contexts of three bytes are kept from so many occurrences on, over all languages.
 MIN_CONTEXT = 4
@@ -241,11 +242,11 @@ def sample(docs: DataFrame, where: Column, key: str = "doc_id", text: str = "tex
 
 def known(docs: DataFrame, model: Model | None, text: str = "text", margin: float = MARGIN, slack: float = SLACK) -> DataFrame:
     """The rows whose text has a letter and is one of a learned language by its code length: no more than `margin` times
-    the bits a byte of the median training text, MOST_BITS at most, and `slack` bits that short texts need. Null and
+    the bits a byte of the median training text, LEAST_BITS at least and MOST_BITS at most, and `slack` bits that short texts need. Null and
     empty texts go; without a model nothing is known and all rows go. A map, no shuffle."""
     if model is None:
         return docs.where(F.lit(False))
-    most_bits = min(MOST_BITS, margin * model.typical) if model.typical else MOST_BITS
+    most_bits = min(MOST_BITS, max(LEAST_BITS, margin * model.typical)) if model.typical else MOST_BITS
     fits, held = free_name(docs, "lang_fits"), docs.sparkSession.sparkContext.broadcast(model)
 
     def make(texts: pa.Array) -> list[pa.Array]:
