@@ -19,6 +19,8 @@ FEW = 500
 #: Values of one pushed list: Spark hands lists up to this length to the scan value by value, longer ones as a range.
 _LIST = 10
 
+STEP = "step int, from_key string, to_key string, edge_type string, confidence double"
+
 #: Types that carry impact backwards.
 IMPACT_TYPES = (
     "calls", "routes_to", "renders", "dispatches", "schedules", "listens", "observes", "injects",
@@ -118,7 +120,7 @@ def path(edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFram
     each node; no rows if start is end, None if `end` is not met. Of several parents the least key wins."""
     spark = edges.sparkSession
     if start == end:
-        return spark.createDataFrame([], "step int, from_key string, to_key string, edge_type string, confidence double")
+        return spark.createDataFrame([], STEP)
     frontier, values = spark.createDataFrame([(start,)], "at string"), [start]
     visited, levels = frontier, []
     for level in range(1, max_depth + 1):
@@ -141,4 +143,4 @@ def path(edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFram
         row = levels[n - 1].where(F.col("at") == at).first()
         steps.append((n, row.from_key, at, row.type, row.confidence))
         at = row.from_key
-    return spark.createDataFrame(steps[::-1], "step int, from_key string, to_key string, edge_type string, confidence double")
+    return spark.createDataFrame(steps[::-1], STEP)

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from strandline.operators import traverse
 from strandline.plans import build_catalog, catalog, code_catalog, model_catalog, registry  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
@@ -38,3 +39,9 @@ def test_query(spark, duck, name):
     names = [x[0] for x in want.description]
     assert sorted(found.columns) == sorted(names)
     assert rows([tuple(x) for x in found.collect()], found.columns) == rows(want.fetchall(), names)
+
+
+def test_a_path_that_is_not_there_has_no_steps(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "path", lambda *a: None)
+    found = catalog.path_shortest(spark, str(DATA))
+    assert found.collect() == [] and found.columns == ["step", "from_key", "to_key", "edge_type", "confidence"]
