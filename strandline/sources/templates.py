@@ -5,7 +5,7 @@ the arguments are taken out before they are split at commas, so that an argument
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.text import view_name
@@ -52,10 +52,12 @@ def includes(files: DataFrame) -> DataFrame:
     listed = F.when(F.col("arguments").rlike(r"^\s*\["), F.transform(items, _literal))
     targets = F.when(F.col("name") == "includeFirst", listed).otherwise(one)
     rank = F.element_at(F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair]), F.col("name"))
-    named = rows.withColumn("targets", F.filter(targets, lambda t: t.isNotNull())).where(F.size("targets") > 0)
-    first = named.groupBy("view", "name").agg(F.min("place").alias("first"))
-    kept = named.join(first, ["view", "name"]).where(~F.col("name").isin(*FIRST_ONLY) | (F.col("place") == F.col("first")))
-    each = kept.select("view", F.explode("targets").alias("target"), "name", F.struct(rank.alias("rank"), "place").alias("order"))
+    # exploded at once: a filter on the targets would be worked out anew beneath the columns that it is made of
+    named = rows.select("view", "place", "name", F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("target"))
+    # one shuffle by view serves the window and the last grouping; a join would build a table of all directives
+    first = F.min("place").over(Window.partitionBy("view", "name"))
+    kept = named.repartition("view").withColumn("first", first).where(~F.col("name").isin(*FIRST_ONLY) | (F.col("place") == F.col("first")))
+    each = kept.select("view", "target", "name", F.struct(rank.alias("rank"), "place").alias("order"))
     return each.groupBy("view", "target").agg(F.max_by("name", "order").alias("directive"))
 
 

@@ -65,6 +65,13 @@ def test_templates_later_place_wins_and_arguments_nest(spark):
     assert rows(templates.components(f)) == []
 
 
+def test_includes_join_no_tables_of_directives(spark):
+    f = spark.range(1000).selectExpr("concat('resources/views/v', id, '.blade.php') AS path", "'@extends(\\'a\\') @include(\\'b\\') @extends(\\'c\\')' AS content")
+    found = templates.includes(f)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # a side taken for small would go through the driver
+    assert rows(found.groupBy("target", "directive").count()) == [("a", "extends", 1000), ("b", "include", 1000)]
+
+
 def test_requests_with_nested_options():
     js = "$.ajax({data: {a: 1}, url: '/x', type: 'POST'})\nfetch('/z', {headers: {A: 'b)'}, method: 'POST'})\naxios.request({method: \"put\", url: \"/r\"})\naxios.create({url: '/no'}); my.fetch('/no'); fetch(url); $.ajax({url: "
     assert scripts.calls(js) == [(1, "POST", "/x"), (2, "POST", "/z"), (3, "PUT", "/r")]
