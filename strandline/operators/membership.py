@@ -43,7 +43,7 @@ def summary(log: Log) -> Answer:
 
 def hubs(log: Log, nodes: DataFrame, edges: DataFrame, limit: int = 20, types: list[str] | None = None) -> DataFrame:
     """(key, type, degree, bridges) of the nodes of largest degree; bridges is null while no communities are stored."""
-    weights = analysis.projection(nodes, edges)
+    weights = cut(analysis.projection(nodes, edges))
     top = analysis.hubs(analysis.degrees(nodes, weights), limit, types)
     found = membership(log)
     if found is None:

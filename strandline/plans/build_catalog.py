@@ -196,7 +196,7 @@ SELECT deg.key, deg.type, degree, (SELECT count(*) FROM far WHERE far.key = deg.
 def hubs_with_bridges(spark: SparkSession, sf: str) -> DataFrame:
     """The largest hubs with the communities they bridge, from stored communities: here the file of a node, else its
     type."""
-    log, n, e = new_log(spark), nodes(spark, sf), edges(spark, sf)
+    log, n, e = new_log(spark), nodes(spark, sf), edges(spark, sf, None)
     membership.store(log, _given(spark, sf), n, e, "2024-01-01T00:00:00+00:00")
     return membership.hubs(log, n, e)
 
@@ -205,7 +205,7 @@ def hubs_with_bridges(spark: SparkSession, sf: str) -> DataFrame:
 def communities_stored(spark: SparkSession, sf: str) -> DataFrame:
     """Stored communities as they are read back, with their time."""
     log = new_log(spark)
-    membership.store(log, _given(spark, sf), nodes(spark, sf), edges(spark, sf), "2024-01-01T00:00:00+00:00")
+    membership.store(log, _given(spark, sf), nodes(spark, sf), edges(spark, sf, None), "2024-01-01T00:00:00+00:00")
     return membership.summary(log).rows.select("community", "size", "computed_at", "resolution")
 
 

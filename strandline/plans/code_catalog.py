@@ -198,7 +198,7 @@ def community_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Size, members of largest degree and namespaces of given communities: here the file of a node, else its type."""
     n = nodes(spark, sf)
     given = n.join(analysis.eligible(n).select("key"), "key", "left_semi").select("key", F.coalesce("file", "type").alias("community"))
-    found = analysis.community_summary(given, analysis.degrees(n, analysis.projection(n, edges(spark, sf))))
+    found = analysis.community_summary(given, analysis.degrees(n, analysis.projection(n, edges(spark, sf, None))))
     return found.withColumns({"members": F.array_join("members", " "), "namespaces": F.array_join("namespaces", " ")})
 
 

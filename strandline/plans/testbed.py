@@ -6,6 +6,7 @@ Keys are unique, so they order ties; no surrogate numbers are needed and no glob
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.keys import key
 from strandline.operators.lookup import Index
-from strandline.plans.runtime import cut, exists, run_folder
+from strandline.plans.runtime import exists, run_folder
 
 NODES = ("key", "type", "name", "file", "is_project", "kind")
 
@@ -114,27 +115,33 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the graph as tables: nodes sorted by key, edges by from_key and once more by to_key, so that a
-    lookup of a key reads few row groups. Written once for an application and a state of the tables."""
+    """The folder of the graph's tables, one for an application and a state of the input tables."""
     state = _state(spark, sf_dir)
     if state not in _STORED or not exists(spark, _STORED[state]):
-        folder = f"{run_folder(spark)}/graph-{uuid.uuid4().hex}"
-        build_nodes(spark, sf_dir).repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{folder}/nodes")
-        once = cut(build_edges(spark, sf_dir))
-        for end in ("from_key", "to_key"):
-            other = "to_key" if end == "from_key" else "from_key"  # a hub's edges fill as many ranges as they need
-            once.repartitionByRange(end, other).sortWithinPartitions(end).write.parquet(f"{folder}/{end}")
-        _STORED[state] = folder
+        _STORED[state] = f"{run_folder(spark)}/graph-{uuid.uuid4().hex}"
     return _STORED[state]
 
 
+def _part(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the graph, written when it is first asked for: a query pays for no order that it does not read."""
+    at = f"{stored(spark, sf_dir)}/{name}"
+    if not exists(spark, f"{at}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(at)
+    return spark.read.schema((build_nodes if name == "nodes" else build_edges)(spark, sf_dir).schema).parquet(at)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(build_nodes(spark, sf_dir).schema).parquet(f"{stored(spark, sf_dir)}/nodes")
+    """The nodes sorted by key, so that a lookup of a key reads few row groups."""
+    return _part(spark, sf_dir, "nodes", lambda: build_nodes(spark, sf_dir).repartitionByRange("key").sortWithinPartitions("key"))
 
 
-def edges(spark: SparkSession, sf_dir: str, by: str = "from_key") -> DataFrame:
-    """The edges, from the table that is sorted by from_key or to_key."""
-    return spark.read.schema(build_edges(spark, sf_dir).schema).parquet(f"{stored(spark, sf_dir)}/{by}")
+def edges(spark: SparkSession, sf_dir: str, by: str | None = "from_key") -> DataFrame:
+    """The edges, from the table that is sorted by from_key or to_key; by None: in no order, for those who read them all."""
+    whole = _part(spark, sf_dir, "edges", lambda: build_edges(spark, sf_dir))
+    if by is None:
+        return whole
+    other = "to_key" if by == "from_key" else "from_key"  # a hub's edges fill as many ranges as they need
+    return _part(spark, sf_dir, by, lambda: whole.repartitionByRange(by, other).sortWithinPartitions(by))
 
 
 def search_index(spark: SparkSession, sf_dir: str) -> Index:

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from strandline.operators import traverse
-from strandline.plans import build_catalog, catalog, code_catalog, model_catalog, registry  # noqa: F401
+from strandline.plans import build_catalog, catalog, code_catalog, model_catalog, registry, runtime, testbed  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
@@ -45,3 +45,11 @@ def test_a_path_that_is_not_there_has_no_steps(spark, monkeypatch):
     monkeypatch.setattr(traverse, "path", lambda *a: None)
     found = catalog.path_shortest(spark, str(DATA))
     assert found.collect() == [] and found.columns == ["step", "from_key", "to_key", "edge_type", "confidence"]
+
+
+def test_a_query_pays_for_no_order_that_it_does_not_read(spark, monkeypatch):
+    monkeypatch.setattr(testbed, "_STORED", {})
+    for name in ("hub_percentile_set", "hubs_attached", "hubs_with_bridges"):
+        registry.queries()[name](spark, str(DATA)).collect()
+    folder = testbed.stored(spark, str(DATA))
+    assert [runtime.exists(spark, f"{folder}/{x}") for x in ("nodes", "edges", "from_key", "to_key")] == [True, True, False, False]
