@@ -16,7 +16,7 @@ from strandline.plans.code_catalog import numbered
 from strandline.plans.registry import query
 from strandline.plans.catalog import FUNCTION, _impact_sql
 from strandline.plans.runtime import cut
-from strandline.plans.testbed import edges, nodes, search_index, table
+from strandline.plans.testbed import edges, nodes, table
 
 c, lit = F.col, F.lit
 
@@ -233,7 +233,7 @@ SELECT tool, args, string_agg(key, ' ' ORDER BY key) AS suggested FROM near WHER
 UNION ALL SELECT 'route', '{"name": "GET /' || lower(r_name) || '/none"}', '' FROM region WHERE r_regionkey < 2 UNION ALL SELECT 'communities', '{}', ''""", graph=True)
 def misses_kept(spark: SparkSession, sf: str) -> DataFrame:
     """Questions to a desk, some without an answer: these are kept with what was suggested."""
-    desk = Desk(new_log(spark), nodes(spark, sf), edges(spark, sf), edges(spark, sf, "to_key"), search_index(spark, sf), clock=lambda: "2024-01-01T00:00:00+00:00")
+    desk = Desk(new_log(spark), nodes(spark, sf), edges(spark, sf), clock=lambda: "2024-01-01T00:00:00+00:00")
     for row in table(spark, sf, "nation").where("n_nationkey % 8 = 1").collect():  # a few keys that people ask for
         desk.ask("node", key=f"class:Geo\\nation_{row.n_nationkey}")
         desk.ask("node", key=f"class:Geo\\{row.n_name}")

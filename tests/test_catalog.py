@@ -53,3 +53,11 @@ def test_a_query_pays_for_no_order_that_it_does_not_read(spark, monkeypatch):
         registry.queries()[name](spark, str(DATA)).collect()
     folder = testbed.stored(spark, str(DATA))
     assert [runtime.exists(spark, f"{folder}/{x}") for x in ("nodes", "edges", "from_key", "to_key")] == [True, True, False, False]
+
+
+def test_one_search_builds_no_index(spark, monkeypatch):
+    monkeypatch.setattr(testbed, "_STORED", {})
+    for name in ("find_exact", "find_short_name", "find_fuzzy_top25", "misses_kept"):
+        registry.queries()[name](spark, str(DATA)).collect()
+    folder = testbed.stored(spark, str(DATA))
+    assert [runtime.exists(spark, f"{folder}/{x}") for x in ("nodes", "grams", "names", "to_key")] == [True, False, False, False]
