@@ -37,7 +37,8 @@ DECLARED, CONSULTED = "path string, symbol string, shape string", "path string,
 @dataclass
 class Rebuild:
     """What a rebuild did: the commit (None if nothing changed), the files touched (path, status, round), and how many
-    rounds it took. status: new, changed, deleted, or affected; round: the last one that read the file."""
+    rounds it took. status: new, changed, deleted, or affected by a symbol that differs from the last rebuild's; files that
+    were read only for a shape that a later round took back are not touched. round: the last one that read the file."""
 
     commit: Commit | None
     touched: DataFrame
@@ -99,7 +100,10 @@ def rebuild(log: Log, seen: DataFrame, symbols: Callable[[DataFrame, DataFrame],
         frontier = cut(dependents(consulted, differ))
         n = frontier.count()
         touched, _ = touched_of(touched.unionByName(frontier.withColumn("round", F.lit(rounds))).groupBy("path").agg(F.max("round").alias("round")))
-    named = cut(touched.join(status, "path", "left").select("path", F.coalesce("status", F.lit("affected")).alias("status"), "round"))
+    # a file may be read for a shape that a later round takes back; it is touched if one that it had looked up differs in the end
+    net = dependents(stored("consulted", CONSULTED), changed_symbols(known_symbols(before), known_symbols(declared))).join(status, "path", "left_anti")
+    settled = status.select("path", "status").unionByName(net.withColumn("status", F.lit("affected")))
+    named = cut(touched.join(settled, "path").select("path", "status", "round"))
     paths = named.select("path")
     fresh = {"files": seen.join(status.where("status <> 'deleted'"), "path", "left_semi").select("path", "hash"), "declared": declared.join(paths, "path", "left_semi"), "consulted": consulted.join(paths, "path", "left_semi").distinct()}
     fresh |= outputs(seen.join(paths, "path", "left_semi"), known_symbols(declared))

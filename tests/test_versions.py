@@ -127,6 +127,15 @@ def test_files_that_use_each_other_come_to_rest(spark, log):
     assert touched == {"A": "changed", "B": "affected", "C": "affected"} and set(shapes(log).values()) == {"Fixed"}
 
 
+def test_a_shape_that_is_taken_back_touches_nothing(spark, log):
+    build(spark, log, U="u = Int", W="w u", X="x y", V="v x")
+    assert shapes(log) == {"u": "Int", "w": "Int", "x": "?", "v": "?"}
+    # Y reads what w was before U went, X takes it over for a round, and V looks x up
+    touched, _ = build(spark, log, W="w u", Y="y w", X="x y", V="v x")
+    assert touched == {"U": "deleted", "Y": "new", "W": "affected", "X": "affected"}
+    assert shapes(log) == {"w": "?", "y": "?", "x": "?", "v": "?"} and rows(log.read("consulted")) == [("V", "x", True), ("W", "u", False), ("X", "y", True), ("Y", "w", True)]
+
+
 def test_stale_nodes(spark):
     old, new = table(spark, ("A", "x"), ("A", "y"), ("B", "z"), schema="path string, key string"), table(spark, ("A", "x"), schema="path string, key string")
     assert rows(stale(old, new, table(spark, ("A",), schema="path string"))) == [("A", "y")]
