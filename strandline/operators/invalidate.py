@@ -31,6 +31,8 @@ from strandline.operators.versions import Commit, Delta, Log
 from strandline.plans.runtime import Replaced, cut
 
 ROUNDS = 1000
+#: Both sides of these joins grow with the files, and files of a table say too little of its rows to send one through the driver.
+MERGE = "merge"
 DECLARED, CONSULTED = "path string, symbol string, shape string", "path string, symbol string, hit boolean"
 
 
@@ -51,18 +53,18 @@ def known_symbols(declared: DataFrame) -> DataFrame:
 
 def dependents(consulted: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path) of the files that have looked one of the symbols up, found or not."""
-    return consulted.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("path").distinct()
+    return consulted.join(symbols.select("symbol").distinct().hint(MERGE), "symbol", "left_semi").select("path").distinct()
 
 
 def changed_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
     """(symbol) of what came, went or has another shape, from known symbols before and after."""
-    both = old.select("symbol", F.col("shape").alias("was"), F.lit(True).alias("had")).join(new.select("symbol", F.col("shape").alias("now"), F.lit(True).alias("has")), "symbol", "full")
+    both = old.select("symbol", F.col("shape").alias("was"), F.lit(True).alias("had")).join(new.select("symbol", F.col("shape").alias("now"), F.lit(True).alias("has")).hint(MERGE), "symbol", "full")
     return both.where(F.col("had").isNull() | F.col("has").isNull() | ~F.col("was").eqNullSafe(F.col("now"))).select("symbol")
 
 
 def replaced(table: DataFrame, paths: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """A table with the rows of some files taken out, and with new ones."""
-    left = table.join(paths.select("path"), "path", "left_anti").select(*table.columns)
+    left = table.join(paths.select("path").hint(MERGE), "path", "left_anti").select(*table.columns)
     return left if rows is None else left.unionByName(rows.select(*table.columns))
 
 
@@ -86,14 +88,14 @@ def rebuild(log: Log, seen: DataFrame, symbols: Callable[[DataFrame, DataFrame],
     while n:
         if rounds == ROUNDS:
             raise RuntimeError(f"symbols still change after {ROUNDS} rounds")
-        files = seen.join(frontier, "path", "left_semi")
+        files = seen.join(frontier.hint(MERGE), "path", "left_semi")
         made, looked = (cut(t) for t in symbols(files, known_symbols(declared)))
         # only symbols that the frontier (at first also the deleted files) declared or declares can have changed
         own = (frontier.unionByName(gone) if not rounds else frontier).distinct()
         base = before if not rounds else declared
-        maybe = base.join(own, "path", "left_semi").select("symbol").unionByName(made.select("symbol")).distinct()
+        maybe = base.join(own.hint(MERGE), "path", "left_semi").select("symbol").unionByName(made.select("symbol")).distinct()
         after = cut(replaced(declared, frontier, made))
-        differ = cut(changed_symbols(known_symbols(base.join(maybe, "symbol", "left_semi")), known_symbols(after.join(maybe, "symbol", "left_semi"))))
+        differ = cut(changed_symbols(known_symbols(base.join(maybe.hint(MERGE), "symbol", "left_semi")), known_symbols(after.join(maybe.hint(MERGE), "symbol", "left_semi"))))
         consulted, _ = consulted_of(replaced(consulted, frontier, looked))
         declared, _ = declared_of(after)
         rounds += 1
@@ -101,12 +103,12 @@ def rebuild(log: Log, seen: DataFrame, symbols: Callable[[DataFrame, DataFrame],
         n = frontier.count()
         touched, _ = touched_of(touched.unionByName(frontier.withColumn("round", F.lit(rounds))).groupBy("path").agg(F.max("round").alias("round")))
     # a file may be read for a shape that a later round takes back; it is touched if one that it had looked up differs in the end
-    net = dependents(stored("consulted", CONSULTED), changed_symbols(known_symbols(before), known_symbols(declared))).join(status, "path", "left_anti")
+    net = dependents(stored("consulted", CONSULTED), changed_symbols(known_symbols(before), known_symbols(declared))).join(status.hint(MERGE), "path", "left_anti")
     settled = status.select("path", "status").unionByName(net.withColumn("status", F.lit("affected")))
-    named = cut(touched.join(settled, "path").select("path", "status", "round"))
+    named = cut(touched.join(settled.hint(MERGE), "path").select("path", "status", "round"))
     paths = named.select("path")
-    fresh = {"files": seen.join(status.where("status <> 'deleted'"), "path", "left_semi").select("path", "hash"), "declared": declared.join(paths, "path", "left_semi"), "consulted": consulted.join(paths, "path", "left_semi").distinct()}
-    fresh |= outputs(seen.join(paths, "path", "left_semi"), known_symbols(declared))
+    fresh = {"files": seen.join(status.where("status <> 'deleted'").hint(MERGE), "path", "left_semi").select("path", "hash"), "declared": declared.join(paths.hint(MERGE), "path", "left_semi"), "consulted": consulted.join(paths.hint(MERGE), "path", "left_semi").distinct()}
+    fresh |= outputs(seen.join(paths.hint(MERGE), "path", "left_semi"), known_symbols(declared))
 
     def deltas(at: int) -> dict[str, Delta]:
         there = log.tables(at) if at else []

@@ -121,7 +121,7 @@ class Log:
         if not added:
             raise FileNotFoundError(f"no table {name} in {self.root}")
         found = self._rows(added)
-        return found.join(self._rows(removed), list(IDENTITY), "left_anti").select(*found.columns) if removed else found
+        return found.join(self._rows(removed).hint("merge"), list(IDENTITY), "left_anti").select(*found.columns) if removed else found
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self.rows(name, version).drop(*IDENTITY)
@@ -208,4 +208,4 @@ class Log:
 
     def without(self, name: str, some: DataFrame, on: list[str], version: int) -> Delta:
         """The rows of a table that match rows of `some` in the columns `on`, to be removed."""
-        return Delta(remove=self.rows(name, version).join(some.select(*on).distinct(), on, "left_semi"))
+        return Delta(remove=self.rows(name, version).join(some.select(*on).distinct().hint("merge"), on, "left_semi"))

@@ -42,7 +42,7 @@ def typed_documents(files: DataFrame, known: DataFrame) -> tuple[DataFrame, Data
     """A document declares itself. Every third one has a shape of its own, its hash; the others look up the document of
     a quarter of their number and take its shape, or none if it is missing."""
     own = files.select("path", "hash", F.concat(F.lit("doc:"), "doc_id").alias("symbol"), F.when(F.col("doc_id") % 3 != 0, F.expr("concat('doc:', doc_id div 4)")).alias("other"))
-    found = own.join(known.select(F.col("symbol").alias("other"), F.col("shape").alias("theirs"), F.lit(True).alias("hit")), "other", "left")
+    found = own.join(known.select(F.col("symbol").alias("other"), F.col("shape").alias("theirs"), F.lit(True).alias("hit")).hint("merge"), "other", "left")
     shape = F.when(F.col("other").isNull(), F.col("hash")).otherwise(F.coalesce("theirs", F.lit("none")))
     return found.select("path", "symbol", shape.alias("shape")), found.where("other is not null").select("path", F.col("other").alias("symbol"), F.coalesce("hit", F.lit(False)).alias("hit"))
 
@@ -79,7 +79,7 @@ def rebuild_touched(spark: SparkSession, sf: str) -> DataFrame:
     """Files that the second snapshot's rebuild touches, through chains of documents that take over shapes, with the
     shape that each declares in the end."""
     log, done = _typed(spark, sf)
-    return done.touched.join(log.read("declared"), "path", "left").select("path", "status", "shape")
+    return done.touched.join(log.read("declared").hint("merge"), "path", "left").select("path", "status", "shape")
 
 
 @query(_TYPED + """ SELECT 'edges' AS what, 'doc:' || doc_id AS a, 'doc:' || doc_id // 4 AS b FROM s2 WHERE doc_id % 3 <> 0 AND doc_id // 4 IN (SELECT doc_id FROM s2)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import builds, membership
-from strandline.operators.invalidate import rebuild, stale
+from strandline.operators.invalidate import changed_symbols, dependents, rebuild, replaced, stale
 from strandline.operators.versions import Conflict, Delta, Log
 
 ROW = "k string, place int, v int"
@@ -136,6 +136,12 @@ def test_a_shape_that_is_taken_back_touches_nothing(spark, log):
     assert shapes(log) == {"w": "?", "y": "?", "x": "?", "v": "?"} and rows(log.read("consulted")) == [("V", "x", True), ("W", "u", False), ("X", "y", True), ("Y", "w", True)]
 
 
+def test_joins_of_a_rebuild_send_no_table_through_the_driver(spark):
+    known, looked = spark.createDataFrame([("s", "x")], "symbol string, shape string"), spark.createDataFrame([("p", "s")], "path string, symbol string")
+    for found in (changed_symbols(known, known), dependents(looked, known), replaced(looked, looked)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stale_nodes(spark):
     old, new = table(spark, ("A", "x"), ("A", "y"), ("B", "z"), schema="path string, key string"), table(spark, ("A", "x"), schema="path string, key string")
     assert rows(stale(old, new, table(spark, ("A",), schema="path string"))) == [("A", "y")]
