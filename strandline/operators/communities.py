@@ -12,26 +12,36 @@ A turn looks for every node's best move and then makes many of them at once, suc
 Modularity is 1 at most and rises by 2 * SAME at least with every turn, which bounds the turns; a level ends when no
 node has a move that gains. All this is grouped sums and joins by community, however large one is.
 
-Coarse levels are small, and a turn on them costs more for its jobs than for its rows. A level of SMALL links at most,
-counted before, is swept node by node in one task instead, until no move gains there either."""
+Such turns are many, and each reads all links. A level is therefore swept node by node in tasks where it can be: nodes
+are dealt to blocks, each block with SMALL links or so within it, and a task moves its nodes, from a community of
+their own each, among the communities of the block until none gains. All members of these are in the block, so each gain is exact whatever
+other tasks do, and modularity rises. What is left over between blocks is joined by the next levels, whose nodes are the
+communities, dealt anew; they have fewer links and so fewer blocks, at last one. Nodes with one neighbour join it
+before, where they are many. Turns remain for levels that no blocks make small enough, like those with a node of more links than blocks
+can part."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strandline.operators.analysis import PERCENTILE, both_ways, degrees, hub_set, projection
 from strandline.plans.runtime import Replaced, cut
 
 #: A smaller gain of a move (half the rise of modularity) is none.
 SAME = 1e-9
-#: Links, counted from both ends, of a level that one task sweeps: some 10 MB.
+#: Links, counted from both ends, that one task sweeps: some 10 MB, and twice as many at most.
 SMALL = 1 << 18
+#: Blocks of a level at most.
+BLOCKS = 1 << 12
+#: Nodes with one neighbour join it in a level of their own if at least one link of so many is theirs.
+LONE = 8
 
 
 def modularity(membership: DataFrame, weights: DataFrame, resolution: float = 1.0) -> float:
@@ -91,23 +101,19 @@ def _level(nodes: DataFrame, links: DataFrame, strength: DataFrame, total: float
             seen(state.select("id", F.col("c").alias("community")))
 
 
-def _sweep(resolution: float):
-    """The step over the links (src, dst, w) of a small level, loops with twice their weight among them."""
+def _sweep(total: float, resolution: float):
+    """The step over the links (src, dst, w, k, need) of one block: (id, c) of its nodes. k is the strength of src, need
+    what its move has to gain: as much as by its best link, which may lead to another block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
+    def run(rows: pa.Table) -> pa.Table:
         names = pa.chunked_array([*rows.column("src").chunks, *rows.column("dst").chunks]).unique().sort()
         place = lambda c: np.asarray(pc.index_in(rows.column(c), value_set=names))
-        src, dst, w = place("src"), place("dst"), rows.column("w").to_numpy()
-        n, total = len(names), float(w.sum())
-        k = np.bincount(src, w, n)
-        order = np.argsort(src, kind="stable")
-        order = order[src[order] != dst[order]]
+        src, dst, w, n = place("src"), place("dst"), rows.column("w").to_numpy(), len(names)
+        k, need = np.zeros(n), np.zeros(n)
+        k[src], need[src] = rows.column("k").to_numpy(), rows.column("need").to_numpy()
+        order = np.lexsort((dst, src))
         cuts, ends, weights = np.searchsorted(src[order], np.arange(n + 1)).tolist(), dst[order].tolist(), w[order].tolist()
-        c, tot, k = list(range(n)), k.tolist(), k.tolist()
+        c, tot, k, need = list(range(n)), k.tolist(), k.tolist(), need.tolist()
         least, moved = SAME * total * total, True
         while moved:
             moved = False
@@ -119,45 +125,91 @@ def _sweep(resolution: float):
                 stay = near.pop(own, 0) * total - resolution * (tot[own] - k[x]) * k[x]
                 if near:
                     gain, to = max((kin * total - resolution * tot[y] * k[x], -y) for y, kin in near.items())
-                    if gain - stay > least:
+                    if gain - stay > least and gain > need[x] - least:
                         tot[own] -= k[x]
                         c[x], moved = -to, True
                         tot[-to] += k[x]
-        yield pa.RecordBatch.from_arrays([names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names, names.take(pa.array(c))], names=["id", "c"])
+        return pa.table({"id": names, "c": names.take(pa.array(c))})
 
     return run
 
 
+def _lone(best: DataFrame, least: float, resolution: float) -> DataFrame:
+    """(id, c): nodes with one neighbour that gain by joining it, all of them at once. Each bears half of what all
+    others that join the same node cost it."""
+    ends = best.select(F.col("id").alias("to"), (F.col("n") == 1).alias("lone"))
+    moves = best.where((F.col("n") == 1) & (F.col("gain") > least)).join(ends, "to").where(~F.col("lone") | (F.col("id") > F.col("to")))
+    moves = moves.join(moves.groupBy("to").agg(F.sum("k").alias("all")), "to")
+    return moves.where(F.col("gain") > F.lit(resolution / 2) * F.col("k").cast("double") * (F.col("all") - F.col("k"))).select("id", F.col("to").alias("c"))
+
+
+def _blocks(links: DataFrame, best: DataFrame, size: int, turn: int) -> DataFrame | None:
+    """links with their block, those within one block only; None if no number of blocks makes them small enough.
+    Nodes are dealt by hash, anew for each turn, but two nodes that are each other's best move stay together."""
+    back = best.select(F.col("id").alias("to"), F.col("to").alias("back"))
+    lead = cut(best.join(back, "to").select("id", F.when(F.col("back") == F.col("id"), F.least("id", "to")).otherwise(F.col("id")).alias("lead"), F.col("gain").alias("need")))
+    parts = math.ceil((size / SMALL) ** 0.5) if SMALL else math.inf  # of so many blocks each has size / parts^2 links
+    while parts <= BLOCKS:
+        home = lead.select("id", "need", F.pmod(F.xxhash64("lead", F.lit(turn)), F.lit(parts)).alias("block"))
+        inner = links.join(home.withColumnRenamed("id", "src"), "src").join(home.select(F.col("id").alias("dst"), "block"), ["dst", "block"])
+        inner = cut(inner.select("block", "src", "dst", "w", "k", "need"))
+        if (inner.groupBy("block").count().agg(F.max("count")).first()[0] or 0) <= 2 * SMALL:
+            return inner
+        parts *= 2
+    return None
+
+
 def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, seen=None) -> DataFrame:
     """(id, community) by greedy modularity: levels of moves (see above), whose communities are the nodes of the next
-    level, until their number stays. A community is named by its least member. ids: (id); weights: (a, b, w), loops
-    allowed."""
-    membership, weights = cut(ids.select("id", F.col("id").alias("community"))), cut(weights)
+    level, until no two of them gain by becoming one. A community is named by its least member. ids: (id); weights:
+    (a, b, w), loops allowed."""
+    membership, weights, turn = cut(ids.select("id", F.col("id").alias("community"))), cut(weights), 0
     while True:
-        links = cut(both_ways(weights.where("a <> b")))
+        both = both_ways(weights.where("a <> b"))
         loops = weights.where("a = b").groupBy(F.col("a").alias("id")).agg((2 * F.sum("w")).alias("k"))
-        strength = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).unionByName(loops).groupBy("id").agg(F.sum("k").alias("k")))
-        total = strength.agg(F.sum("k")).first()[0] or 0
+        strength = cut(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).unionByName(loops).groupBy("id").agg(F.sum("k").alias("k")))
+        total = float(strength.agg(F.sum("k")).first()[0] or 0)
         if total <= 0:
             break
-        nodes = membership.select(F.col("community").alias("id")).distinct()
-        if links.count() <= SMALL:
-            whole = links.unionByName(loops.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("k").alias("w")))
-            swept = whole.repartition(1).sortWithinPartitions("src", "dst").mapInArrow(_sweep(resolution), nodes.select("id", F.col("id").alias("c")).schema)
-            state = nodes.join(swept, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
-        else:
-            state = _level(nodes, links, strength, float(total), resolution, seen)
-        least = state.groupBy("c").agg(F.min("id").alias("name"))
-        state = cut(state.join(least, "c").select("id", F.col("name").alias("c")))
-        before, after = nodes.count(), state.select("c").distinct().count()
-        membership = cut(membership.join(state.withColumnRenamed("id", "community"), "community").select("id", F.col("c").alias("community")))
-        if after == before:
+        least = SAME * total * total
+        ends = both.join(strength.withColumnRenamed("id", "src"), "src").join(strength.select(F.col("id").alias("dst"), F.col("k").alias("other")), "dst")
+        gain = F.col("w") * F.lit(total) - F.lit(resolution) * F.col("other") * F.col("k").cast("double")
+        links = cut(ends.select("src", "dst", "w", "k", gain.alias("gain")))
+        size, gains = links.agg(F.count("*"), F.count_if(F.col("gain") > least)).first()
+        if not gains:
+            break
+        state = _joined(links, strength, size, turn, total, resolution, seen)
+        least_of = state.groupBy("c").agg(F.min("id").alias("name"))
+        state = cut(state.join(least_of, "c").select("id", F.col("name").alias("c")))
+        if not state.where("id <> c").limit(1).count():
             break
+        known = state.withColumnRenamed("id", "community")
+        membership = cut(membership.join(known, "community", "left").select("id", F.coalesce("c", "community").alias("community")))
         end = lambda x, y: state.select(F.col("id").alias(x), F.col("c").alias(y))  # noqa: E731, B023
         joined = weights.join(end("a", "ca"), "a").join(end("b", "cb"), "b")
         weights = cut(joined.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
-    least = membership.groupBy("community").agg(F.min("id").alias("name"))
-    return membership.join(least, "community").select("id", F.col("name").alias("community"))
+        turn += 1
+    named = membership.groupBy("community").agg(F.min("id").alias("name"))
+    return membership.join(named, "community").select("id", F.col("name").alias("community"))
+
+
+def _joined(links: DataFrame, strength: DataFrame, size: int, turn: int, total: float, resolution: float, seen=None) -> DataFrame:
+    """(id, c) of all nodes with a strength: what one level makes of them."""
+    if size <= SMALL:
+        inner = links.select(F.lit(0).alias("block"), "src", "dst", "w", "k", F.lit(0.0).alias("need"))
+    else:
+        # of the best moves of all the one between the least names is the best of both its ends, so a level joins two nodes at least
+        rank = F.struct("gain", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"))
+        best = cut(links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("k").alias("k"), F.max("gain").alias("gain"), F.max_by("dst", rank).alias("to")))
+        lone = cut(_lone(best, SAME * total * total, resolution))
+        if SMALL and lone.count() * 2 * LONE > size:
+            return strength.select("id").join(lone, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+        inner = _blocks(links, best, size, turn)
+        if inner is None:
+            return _level(strength.select("id"), links.select("src", "dst", "w"), strength, total, resolution, seen)
+    kind = strength.schema["id"].dataType
+    swept = inner.groupBy("block").applyInArrow(_sweep(total, resolution), StructType([StructField("id", kind), StructField("c", kind)]))
+    return strength.select("id").join(swept, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
 
 
 def attach_hubs(hubs: DataFrame, weights: DataFrame, membership: DataFrame) -> DataFrame:

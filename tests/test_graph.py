@@ -224,6 +224,37 @@ def test_communities_come_to_rest(spark, monkeypatch, kind, small):
     assert len(set(found.values())) < 1.5 * len(set(plain))
 
 
+def test_large_levels_are_swept_in_blocks(spark, monkeypatch):
+    """A level of more than SMALL links is no sequence of turns: blocks of bounded size, each in a task."""
+    rng, n, sizes, turns = random.Random(8), 400, [], []
+    pairs = sorted({(min(p), max(p)) for i in range(n) for j in range(6) if (p := (i, i // 40 * 40 + rng.randrange(40) if j else rng.randrange(n))) and p[0] != p[1]})
+    pairs += [(rng.randrange(n), i) for i in range(n, 2 * n)]  # nodes with one neighbour
+    monkeypatch.setattr(communities, "SMALL", 700)
+    blocks = communities._blocks
+    monkeypatch.setattr(communities, "_blocks", lambda *a: (found := blocks(*a), sizes.append([r["count"] for r in found.groupBy("block").count().collect()]))[0])
+    ids, weights = spark.range(2 * n), spark.createDataFrame([(a, b, 1) for a, b in pairs], "a long, b long, w long")
+    found, plain = dict(communities.communities(ids, weights, seen=turns.append).collect()), sequential(2 * n, pairs)
+    assert turns == [] and sizes and max(map(len, sizes)) > 1 and max(map(max, sizes)) <= 1400
+    assert len(found) == 2 * n and gaining_merges(found, pairs) == [] and modularity(found, pairs) > modularity(plain, pairs) - 0.03  # blocks hide two links of three at first
+    assert all(found[c] == c <= k for k, c in found.items())
+
+
+def test_nodes_with_one_neighbour_join_it_at_once_where_all_gain(spark):
+    pairs = [(0, 1), (0, 2), (1, 2), *((0, k) for k in range(3, 40)), (40, 41)]
+    n, total = {x: [] for x in range(42)}, 2.0 * len(pairs)
+    for a, b in pairs:
+        n[a].append(b), n[b].append(a)
+
+    def moves(resolution):
+        gain = lambda x, t: total - resolution * len(n[t]) * len(n[x])
+        best = [(x, len(y), len(y), gain(x, t), t) for x, y in n.items() for t in [max(y, key=lambda t: (gain(x, t), t))]]
+        return dict(communities._lone(spark.createDataFrame(best, "id long, n long, k long, gain double, to long"), 1e-9 * total * total, resolution).collect())
+
+    found = moves(1.0)
+    assert set(found) == {*range(3, 40), 41} and modularity({x: found.get(x, x) for x in n}, pairs) > modularity({x: x for x in n}, pairs)
+    assert set(moves(2.0)) == {41}  # 37 at once would cost more than each alone gains
+
+
 def test_modularity_rises_with_every_turn(spark, monkeypatch):
     monkeypatch.setattr(communities, "SMALL", 0)
     data = "/root/testdata/sf0.001"
