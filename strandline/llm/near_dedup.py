@@ -41,6 +41,8 @@ BANDS = 72
 #: Members of a bucket that are compared with as many others at once, and about how many shingles they may hold.
 BLOCK = 512
 BLOCK_SHINGLES = 2_000_000
+#: Shingles whose common ones are counted at once.
+PART_SHINGLES = 1 << 18
 #: Link from 100 * intersection >= PERCENT * union on.
 PERCENT = 75
 #: At most so many ids of candidates are sent to all executors (16 MB); more are joined by a shuffle.
@@ -190,21 +192,25 @@ def confirmed(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, text: str, pe
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of some sets share, as a matrix."""
+    """How many elements each two of some sets share, as a matrix. Elements are dealt by their last bits, so that the
+    arrays of a part stay small however large the sets are."""
     m = len(sets)
-    owner = np.repeat(np.arange(m), [len(x) for x in sets])
-    value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = count[at] > 1
-    owner, at = owner[keep], (np.cumsum(count > 1) - 1)[at[keep]]
     out = np.zeros((m, m), np.float32)
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    step = max(256, (4 << 20) // m)
-    for lo in range(0, int((count > 1).sum()), step):
-        a, b = np.searchsorted(at, [lo, lo + step])
-        part = np.zeros((m, step), np.float32)
-        part[owner[a:b], at[a:b] - lo] = 1
-        out += part @ part.T
+    parts = 1 << (sum(map(len, sets)) // PART_SHINGLES).bit_length()
+    for k in range(parts):
+        some = [x[x & (parts - 1) == k] for x in sets] if parts > 1 else sets
+        owner = np.repeat(np.arange(m), [len(x) for x in some])
+        value, at, count = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
+        keep = count[at] > 1
+        owner, at = owner[keep], (np.cumsum(count > 1) - 1)[at[keep]]
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        step = max(256, (1 << 20) // m)
+        for lo in range(0, int((count > 1).sum()), step):
+            a, b = np.searchsorted(at, [lo, lo + step])
+            part = np.zeros((m, step), np.float32)
+            part[owner[a:b], at[a:b] - lo] = 1
+            out += part @ part.T
     return out
 
 

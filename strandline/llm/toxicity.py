@@ -56,8 +56,8 @@ TOXIC_WEIGHT = 3.0
 SPAN = 5
 DECAY = 0.6
 FLOOR = -1.0
-#: Bytes worked on at once (a longer text is one step).
-STEP = 1 << 20
+#: Bytes worked on at once (a longer text is one step); the arrays of a step are some 150 times as large.
+STEP = 1 << 18
 
 _LETTERS = 60  # 0 unused, 1-26 a-z, 27-58 Latin-1 letters by their second byte, 59 any other letter
 _OFFSETS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
@@ -149,7 +149,8 @@ def features(strings: list[bytes], place: np.ndarray, size: int) -> np.ndarray:
     row = key // _LETTERS**3
     out = np.zeros((len(strings), size))
     out[row[cell >= 0], cell[cell >= 0]] = phi[cell >= 0]
-    return out / np.maximum(norm, 1e-9)[:, None]
+    out /= np.maximum(norm, 1e-9)[:, None]
+    return out
 
 
 def explicit(w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -730,3 +730,23 @@ def test_junk_is_of_no_known_language(spark):
 def test_items_that_are_too_short_are_named(spark):
     items = spark.createDataFrame([(1, "one two three four"), (2, "one, two; three four five"), (3, None), (4, "日本語 ok")], "item_id long, text string")
     assert rows(decontaminate.undecided(items)) == [(1, 4), (3, 0), (4, 2)]
+
+
+def test_memory_of_a_step_does_not_follow_large_blocks():
+    """Working arrays of large blocks of sets and of scored texts stay small, with the same counts and scores."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    pool = near_dedup.mix64(np.arange(30_000, dtype=np.uint64)).view(np.int64)
+    small = [np.unique(rng.choice(pool, n)) for n in rng.integers(1, 20_000, 60)] + [pool[:0]]
+    want = [[len(np.intersect1d(a, b)) for b in small] for a in small]
+    assert (near_dedup.shared_counts(small) == want).all()
+    large = [pool] * 100  # 24 MB
+    text, model = "some plain words of a text " * 40, toxicity.Model(np.zeros(toxicity._LETTERS**3), 0.0)
+    texts = pa.array([text] * 2000)  # 2 MB
+    for work, most in ((lambda: near_dedup.shared_counts(large), 60), (lambda: model.scores(texts), 60)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most, peak
