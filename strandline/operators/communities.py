@@ -196,7 +196,7 @@ def communities(ids: DataFrame, weights: DataFrame, resolution: float = 1.0, see
 def _joined(links: DataFrame, strength: DataFrame, size: int, turn: int, total: float, resolution: float, seen=None) -> DataFrame:
     """(id, c) of all nodes with a strength: what one level makes of them."""
     if size <= SMALL:
-        inner = links.select(F.lit(0).alias("block"), "src", "dst", "w", "k", F.lit(0.0).alias("need"))
+        inner = links.select(F.lit(0).alias("block"), "src", "dst", "w", "k", F.lit(-math.inf).alias("need"))  # no other block
     else:
         # of the best moves of all the one between the least names is the best of both its ends, so a level joins two nodes at least
         rank = F.struct("gain", F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"))
