@@ -1,9 +1,10 @@
 """Bounded breadth-first walks: callers, callees, impact, shortest path. One join a level, for all nodes of it.
 
-A level joins the frontier with the edges; the hundred best edges of a node come from a ranked window, whose
-limit Spark applies before the shuffle as well, so a node with very many edges does not gather them in one
-task. A frontier of FEW keys at most is looked up in the table by their values, which a table that is sorted by its
-end answers from the row groups that hold them; a larger one is joined, and broadcast by Spark when it is small
+A level joins the frontier with the edges. Callers and callees show the hundred best edges of a node: a ranked
+window, whose limit Spark applies before the shuffle as well, so a node with very many edges does not gather them in
+one task. Impact and path go over all edges, grouped by the node that they lead to; partial groups are made before
+the shuffle. A frontier of FEW keys at most is looked up in the table by their values, which a table that is sorted by
+its end answers from the row groups that hold them; a larger one is joined, and broadcast by Spark when it is small
 enough. Every level is checkpointed: plans stay short."""
 
 from __future__ import annotations
@@ -116,17 +117,21 @@ def impact(nodes: DataFrame, edges: DataFrame, key: str, depth: int = 3, min_con
 
 
 def path(edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFrame | None:
-    """Steps (step, from_key, to_key, edge_type, confidence) of a shortest path over the hundred best edges of
-    each node; no rows if start is end, None if `end` is not met. Of several parents the least key wins."""
+    """Steps (step, from_key, to_key, edge_type, confidence) of a shortest path over all edges; no rows if start is
+    end, None if `end` is not met. Of several parents the least key wins, of its edges to a node the best."""
     spark = edges.sparkSession
     if start == end:
         return spark.createDataFrame([], STEP)
     frontier, values = spark.createDataFrame([(start,)], "at string"), [start]
     visited, levels = frontier, []
+    sure = F.col("confidence")
+    order = F.struct("from_key", sure.isNull(), ~F.isnan(sure), -sure, "type")  # of confidences the highest first, as in _best
+    parent = F.min_by(F.struct("from_key", "type", "confidence"), order)
     for level in range(1, max_depth + 1):
-        best = _best(at_keys(edges, "from_key", frontier, values), "from_key", "to_key")
-        parent = F.min_by(F.struct("from_key", "type", "confidence"), F.struct("from_key", "rank"))
-        found = best.groupBy(F.col("to_key").alias("at")).agg(parent.alias("p")).join(visited, "at", "left_anti")
+        reached = at_keys(edges, "from_key", frontier, values)
+        if level == max_depth:
+            reached = reached.where(F.col("to_key") == end)  # nothing goes on from the others
+        found = reached.groupBy(F.col("to_key").alias("at")).agg(parent.alias("p")).join(visited, "at", "left_anti")
         met = cut(found.select("at", "p.from_key", "p.type", "p.confidence"))
         levels.append(met)
         if not met.where(F.col("at") == end).isEmpty():

@@ -1,6 +1,7 @@
 """Every query of the library against its SQL, over the smallest tables."""
 
 import math
+import random
 from pathlib import Path
 
 import pytest
@@ -47,6 +48,23 @@ def test_a_path_that_is_not_there_has_no_steps(spark, monkeypatch):
     assert found.collect() == [] and found.columns == ["step", "from_key", "to_key", "edge_type", "confidence"]
 
 
+def test_a_path_past_hubs_is_that_of_its_sql(spark, duck, monkeypatch):
+    rng, sure = random.Random(3), [None, 0.6, 0.7, 0.8, 1.0]
+    made = lambda a, b: (rng.choice(["calls", "declares", "resolves"]), a, b, None, rng.choice(sure))
+    graph = [made("start", f"hub{k}") for k in range(3)] + [("calls", f"hub{k}", f"leaf{i:03}", None, 1.0) for k in range(3) for i in range(120)]
+    graph += [made(f"hub{rng.randrange(3)}", f"m{rng.randrange(40):02}") for _ in range(200)] + [made(f"m{rng.randrange(40):02}", f"n{rng.randrange(20):02}") for _ in range(200)]
+    graph += [made(f"n{rng.randrange(20):02}", "end") for _ in range(8)] + [made("end", "beyond")]
+    e = spark.createDataFrame(graph, "type string, from_key string, to_key string, resolution string, confidence double").repartition(5)
+    duck.execute("CREATE TEMP TABLE made (type VARCHAR, from_key VARCHAR, to_key VARCHAR, resolution VARCHAR, confidence DOUBLE)")
+    duck.executemany("INSERT INTO made VALUES (?, ?, ?, ?, ?)", graph)
+    for few in (500, 0):
+        monkeypatch.setattr(traverse, "FEW", few)
+        for end, steps in (("hub2", 1), ("m07", 2), ("n11", 3), ("end", 4), ("beyond", 0)):
+            want = duck.execute(f"WITH RECURSIVE edges AS (FROM made){catalog._path_sql('start', end, 4)}").fetchall()
+            found = traverse.path(e, "start", end, 4)
+            assert sorted(want) == sorted(map(tuple, [] if found is None else found.collect())) and len(want) == steps
+
+
 def test_a_query_pays_for_no_order_that_it_does_not_read(spark, monkeypatch):
     monkeypatch.setattr(testbed, "_STORED", {})
     for name in ("hub_percentile_set", "hubs_attached", "hubs_with_bridges"):

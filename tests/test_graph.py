@@ -50,6 +50,16 @@ def test_path(spark):
     assert traverse.path(e, "e", "a") is None
 
 
+def test_a_path_goes_over_all_edges_of_a_node(spark):
+    sure = graph(spark, [("hub", f"f{i:03}") for i in range(150)], "instantiates")
+    unsure = graph(spark, [("a", "hub"), ("hub", "m")], "declares", None)
+    e = sure.unionByName(unsure).unionByName(graph(spark, [("m", "end")], "resolves", 0.6))
+    want = [(1, "a", "hub", "declares", None), (2, "hub", "m", "declares", None), (3, "m", "end", "resolves", 0.6)]
+    assert rows(traverse.path(e, "a", "end", 4)) == want  # the last of the hub's 151 edges
+    assert rows(traverse.path(e, "a", "end", 3)) == want  # at the last level
+    assert traverse.path(e, "a", "end", 2) is None
+
+
 def test_a_level_is_looked_up_by_value_while_it_is_small(spark, tmp_path, monkeypatch, capsys):
     rng = random.Random(5)
     pairs = {(f"m{rng.randrange(300):03}", f"m{rng.randrange(300):03}") for _ in range(900)} | {("m000", None), (None, "m001")}
